@@ -51,7 +51,7 @@ def runs_at_least(runs: DataFrame, keys: Sequence[str], k: int, chunk_frames: in
         runs.where("frame_end > frame_start"), keys, chunk_frames, "frame_start", "frame_end"
     ).where(F.col("level") >= k)
     p = p.select(*keys, F.col("t").alias("frame_start"), F.col("next_t").alias("frame_end"))
-    return union_runs(p, keys, chunk_frames)
+    return union_runs(cut(p), keys, chunk_frames)
 
 
 def drop_micro(runs: DataFrame, fs: float, min_s: float) -> DataFrame:
@@ -92,7 +92,7 @@ def irregular_episodes(
     rows = samples.select(*keys, t, F.col("state").alias("state"), F.col(t).alias("_e"))
     runs = collapse_islands(rows, keys, [t], by_width(t, chunk_s), t, "_e", gap=None, run=["state"])
     if end == "next":
-        runs = scan(runs, keys, [t], by_width(t, chunk_s), {"_n": lead(t)})
+        runs = scan(cut(runs), keys, [t], by_width(t, chunk_s), {"_n": lead(t)})
         dt = median_step(samples, keys, t, chunk_s)
         runs = salted_join(runs, dt, keys).withColumn(
             "_e", F.coalesce("_n", F.col("_e") + F.coalesce("dt_s", F.lit(0.05)))
@@ -100,7 +100,7 @@ def irregular_episodes(
     ep = runs.where("state").select(*keys, F.col(t).alias("start_s"), F.col("_e").alias("end_s"))
     if merge_gap_s > 0:
         ep = collapse_islands(
-            ep, keys, ["start_s", "end_s"], by_width("start_s", chunk_s), gap=merge_gap_s
+            cut(ep), keys, ["start_s", "end_s"], by_width("start_s", chunk_s), gap=merge_gap_s
         ).drop("n")
     return ep.where((F.col("end_s") - F.col("start_s")) >= min_episode_s)
 

@@ -171,7 +171,7 @@ def all_active(rast: DataFrame, fs: float, min_episode_s: float) -> DataFrame:
 
 def face_session_table(df: DataFrame, spans: DataFrame, t: str, fs: float, chunk_s: float, win: float, step: float) -> DataFrame:
     """G-37: states, group episodes, pair synchrony and window summaries per session."""
-    st = cut(binary_states(intensities(df)))
+    st = cut(binary_states(cut(intensities(df))))
     rast = cut(raster(st, spans, t, "joy_active", fs, chunk_s))
     tri = all_active(rast, fs, 0.0)
     jac = pair_overlap(rast, fs, 0.0).groupBy("session_id").agg(F.avg("jaccard").alias("joy_jaccard_mean"), F.sum("n_sync_ep").alias("joy_n_sync_ep"))

@@ -35,7 +35,7 @@ def shared_object(
     a, b = _frames(F.greatest("onset", "t0") - F.col("t0"), F.least("offset", "t1") - F.col("t0"), fs)
     f = f.select(*keys, "object", a.alias("frame_start"), b.alias("frame_end"))
     by_object = ep.runs_at_least(f, [*keys, "object"], min_participants)
-    runs = ep.drop_micro(ep.union_runs(by_object, keys), fs, min_overlap_s)
+    runs = ep.drop_micro(ep.union_runs(cut(by_object), keys), fs, min_overlap_s)
     return _run_stats(cut(runs), spans, keys, fs)
 
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.session import cut
+
 from .align import interval_join, role_pairs
 from .scan import (
     by_width, collapse_islands, lag, lead, running_sum, salted_join, scan, with_group_aggs,
@@ -47,7 +49,7 @@ def mask_to_segments(
         (F.col("frame_idx") * hop_s).alias("start_s"),
         (F.least(F.col("_e") + 1, F.col("_last")) * hop_s).alias("end_s"),
     )
-    return merge_gaps(seg, merge_gap_s, chunk_frames * hop_s)
+    return merge_gaps(cut(seg), merge_gap_s, chunk_frames * hop_s)
 
 
 def merge_gaps(segs: DataFrame, merge_gap_s: float, chunk_s: float) -> DataFrame:
@@ -138,7 +140,7 @@ def merge_union(segs: DataFrame, chunk_s: float) -> DataFrame:
 
 def silence_intervals(segs: DataFrame, totals: DataFrame, chunk_s: float) -> DataFrame:
     """I-06: complement of the union inside ``[0, total_s]``, head and tail included."""
-    u = merge_union(segs, chunk_s)
+    u = cut(merge_union(segs, chunk_s))
     bounds = totals.select("session_id", F.col("total_s").alias("start_s"), F.col("total_s").alias("end_s"))
     w = scan(
         u.unionByName(bounds), KEYS, ["start_s", "end_s"],
@@ -155,7 +157,7 @@ def silence_intervals(segs: DataFrame, totals: DataFrame, chunk_s: float) -> Dat
 
 def multi_active_intervals(segs: DataFrame, k: int, chunk_s: float) -> DataFrame:
     """I-07: maximal intervals with at least ``k`` active at once."""
-    p = activity_profile(segs, KEYS, chunk_s).where(F.col("level") >= k)
+    p = cut(activity_profile(segs, KEYS, chunk_s).where(F.col("level") >= k))
     return collapse_islands(
         p, KEYS, ["t", "next_t"], by_width("t", chunk_s), "t", "next_t", gap=0.0
     ).select("session_id", F.col("t").alias("start_s"), F.col("next_t").alias("end_s"))
@@ -251,7 +253,7 @@ def aggregate_turns(
             df, KEYS, order, by_width("start_s", chunk_s), gap=max_pause_s, run=["role"]
         ).select("session_id", "role", "start_s", "end_s")
 
-    return merge(merge(segs).where(duration() >= turn_min_s))
+    return merge(cut(merge(segs).where(duration() >= turn_min_s)))
 
 
 def floor_exchanges(

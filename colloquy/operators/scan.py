@@ -372,3 +372,8 @@ def average_rank(
     )
     left = df.withColumn("_rv", F.col(value).cast("double"))
     return salted_join(left, ranks, [*keys, "_rv"], "left", 4).drop("_rv")
+
+
+def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two aggregated tables; without keys both hold one row."""
+    return a.join(b, list(keys), how) if keys else salted_join(a, b, [], how)

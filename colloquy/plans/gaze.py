@@ -453,7 +453,7 @@ for _mode, _sql in {
 
 @query("g32_binary_states", t.with_(FACE) + "SELECT session_id, role, t, ja joy_active, sa sad_active, a6 au6_active, a12 au12_active, a6 * a12 au6_au12_coactive FROM fs")
 def _(spark, sf):
-    return fc.binary_states(fc.intensities(face(spark, sf))).select("session_id", "role", "t", "joy_active", "sad_active", "au6_active", "au12_active", "au6_au12_coactive")
+    return fc.binary_states(cut(fc.intensities(face(spark, sf)))).select("session_id", "role", "t", "joy_active", "sad_active", "au6_active", "au12_active", "au6_au12_coactive")
 
 
 WIN = """sp AS (SELECT session_id, max(t) t1 FROM fa GROUP BY ALL), wn AS (SELECT session_id, t1, i window_idx, i * 0.5 s, least(i * 0.5 + 1.0, t1) e FROM sp, range(0, 100) r(i) WHERE i < ceil(t1 / 0.5)),
@@ -461,7 +461,7 @@ wd AS (SELECT wn.session_id, r.role, window_idx, any_value(s)::DOUBLE t_start, a
 
 
 def windows(spark, sf):
-    f = fc.intensities(face(spark, sf))
+    f = cut(fc.intensities(face(spark, sf)))
     return fc.window_descriptors(f, face_spans(f), "t", 1.0, 0.5, {"joy_mean": "joy_intensity", "sad_mean": "sad_intensity"})
 
 
@@ -473,12 +473,12 @@ def _(spark, sf):
 @query("g34_window_synchrony", t.with_(FACE, WIN) + """, l AS (SELECT session_id, role, window_idx, 'joy_mean' feature, joy_mean v FROM wd UNION ALL SELECT session_id, role, window_idx, 'sad_mean', sad_mean FROM wd)
 SELECT a.session_id, a.role role_a, b.role role_b, a.feature, count(*) FILTER (a.v IS NOT NULL AND b.v IS NOT NULL) n, round(corr(a.v, b.v), 6) r FROM l a JOIN l b ON a.session_id = b.session_id AND a.window_idx = b.window_idx AND a.feature = b.feature AND a.role < b.role GROUP BY ALL""")
 def _(spark, sf):
-    return rnd(fc.window_synchrony(windows(spark, sf), ["joy_mean", "sad_mean"]), "r")
+    return rnd(fc.window_synchrony(cut(windows(spark, sf)), ["joy_mean", "sad_mean"]), "r")
 
 
 @query("g35_windowed_summary", t.with_(FACE, WIN) + "SELECT session_id, role, 'joy_mean' feature, round(avg(joy_mean), 6) mean, round(quantile_cont(joy_mean, 0.5), 6) median, count(joy_mean) / count(*)::DOUBLE valid_ratio FROM wd GROUP BY ALL")
 def _(spark, sf):
-    return rnd(fc.windowed_summary(windows(spark, sf), ["joy_mean"]), "mean", "median")
+    return rnd(fc.windowed_summary(cut(windows(spark, sf)), ["joy_mean"]), "mean", "median")
 
 
 RAS = """gr AS (SELECT sp.session_id, r.role, i f, i / 10.0::DOUBLE t FROM sp JOIN (SELECT DISTINCT session_id, role FROM fa) r USING (session_id), range(0, 60) q(i) WHERE i <= floor(t1 * 10.0)),
@@ -486,7 +486,7 @@ ra AS (SELECT gr.session_id, gr.role, gr.f, coalesce(fs.ja, 0) x FROM gr ASOF LE
 
 
 def rast(spark, sf):
-    f = fc.binary_states(fc.intensities(face(spark, sf)))
+    f = fc.binary_states(cut(fc.intensities(face(spark, sf))))
     return cut(fc.raster(f, face_spans(f), "t", "joy_active", 10.0, 2.0))
 
 
@@ -557,7 +557,7 @@ def _(spark, sf):
 
 @query("g42_face_sync_window")
 def _(spark, sf):
-    f = fc.intensities(face(spark, sf))
+    f = cut(fc.intensities(face(spark, sf)))
     return po.face_sync(f, face_spans(f), 10.0, 2.0, 2.0)
 
 
