@@ -142,9 +142,9 @@ def trailing_token(x: Column) -> Column:
 
 
 def linear_to_rc(k: Column, width: int = 9) -> Column:
-    """F-15"""
+    """F-15: row and column (from 1) of cell k (from 1)."""
     return F.struct(
-        F.floor(k / F.lit(width)).cast("int").alias("r"), F.pmod(k, F.lit(width)).cast("int").alias("c")
+        (F.floor((k - 1) / F.lit(width)) + 1).cast("int").alias("r"), (F.pmod(k - 1, F.lit(width)) + 1).cast("int").alias("c")
     )
 
 

@@ -202,9 +202,9 @@ def rwg(spark, sf):
     return rl.rwg_j(t.responses(spark, sf), ["group_id", "dimension"], "participant", "item", "score")
 
 
-@query("p18_rwg_j", t.with_(t.RESP, RWG) + "SELECT group_id, dimension, n_raters, n_items, round(rwg_j, 6) rwg_j, round(score_range, 6) score_range, round(score_sd, 6) score_sd FROM rw")
+@query("p18_rwg_j", t.with_(t.RESP, RWG) + "SELECT group_id, dimension, n_raters, n_items, round(rwg_j, 6) rwg_j, round(score_range, 4) score_range, round(score_sd, 6) score_sd FROM rw")
 def _(spark, sf):
-    return rnd(rwg(spark, sf), "rwg_j", "score_range", "score_sd")
+    return rnd(rnd(rwg(spark, sf), "rwg_j", "score_sd"), "score_range", d=4)
 
 
 @query("p18_agreement_summary", t.with_(t.RESP, RWG) + "SELECT count(rwg_j) n_units, sum((rwg_j >= 0.7)::INT)::BIGINT n_agree, round(avg(rwg_j), 6) rwg_mean, round(avg((rwg_j >= 0.7)::INT::DOUBLE), 6) share_agree FROM rw")
