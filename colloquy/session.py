@@ -50,3 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, under the shared checkpoint folder."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}/{name}"

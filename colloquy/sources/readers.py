@@ -12,10 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from colloquy.operators import keys as ky
-from colloquy.operators.align import interval_join  # noqa: F401  (re-exported for callers)
 from colloquy.operators.episodes import median_step
 from colloquy.operators.keys import conform, numeric_text
-from colloquy.operators.scan import by_width, last_valid, running_sum, salted_join, scan
+from colloquy.operators.scan import running_sum, salted_join, scan
 from colloquy.session import cut
 
 
@@ -35,44 +34,44 @@ def read_eu_csv(spark: SparkSession, path: str, numeric: Sequence[str] = (), sep
     return ky.to_numeric(ky.strip_column_names(d), numeric)
 
 
-def sniff(spark: SparkSession, path: str, heads: int = 5) -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file; ``i`` orders the lines of a file's first block."""
+    m = F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("off")
+    return spark.read.text(path).select(*m, F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+
+
+def sniff(spark: SparkSession, path: str) -> DataFrame:
     """S-02: dialect of each file from its first lines: the separator giving most columns.
 
-    A ``sep=x`` first line decides. All files are scored in one job; only the first
-    lines of each reach the grouping.
+    A ``sep=x`` first line decides, and the header is then the second line. All files are
+    scored in one job; each file contributes two lines.
     """
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("off"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    first = t.where("off = 0").groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("i") % (1 << 33) < (1 << 32), F.struct("i", "value")))), 1, heads).alias("h"))
-    head = F.transform("h", lambda x: x["value"])
-    told = F.regexp_extract(F.element_at(head, 1), r"^sep=(.)", 1)
-    cnt = lambda s: F.array_max(F.transform(head, lambda v: F.size(F.split(v, s))))
-    semi, comma, tab = cnt(";"), cnt(","), cnt("\t")
-    best = F.when(told != "", told).when((semi >= comma) & (semi >= tab), ";").when(comma >= tab, ",").otherwise("\t")
-    return first.select("file", best.alias("sep"), (told != "").alias("has_directive"))
+    t = _lines(spark, path).where("off = 0")
+    first = t.groupBy("source_file").agg(F.min_by("value", "i").alias("first"), F.min("i").alias("_i"))
+    second = salted_join(t, first.select("source_file", "_i"), ["source_file"], "inner").where("i > _i")
+    second = second.groupBy("source_file").agg(F.min_by("value", "i").alias("second"))
+    f = first.join(second, "source_file", "left")
+    told = F.regexp_extract("first", r"^sep=(.)", 1)
+    head = F.when(told != "", F.col("second")).otherwise(F.col("first"))
+    n = lambda s: F.size(F.split(head, s))
+    sep = F.when(told != "", told).when((n(";") >= n(",")) & (n(";") >= n("\t")), ";").when(n(",") >= n("\t"), ",").otherwise("\t")
+    return f.select("source_file", sep.alias("sep"), head.alias("head"))
 
 
 def read_csv_sniff(spark: SparkSession, path: str) -> DataFrame:
     """S-02: files of mixed dialects in one table; columns missing in a file are NULL.
 
-    One read per dialect (a handful), not per file.
+    One parse per distinct header (a handful of schema versions), not per file.
     """
-    heads = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("value"), F.monotonically_increasing_id().alias("i"))
-    first = heads.groupBy("file").agg(F.min_by("value", "i").alias("first"))
-    second = heads.join(first, "file").where("value != first").groupBy("file").agg(F.min_by("value", "i").alias("second"))
-    f = first.join(second, "file", "left")
-    clean = F.regexp_replace("first", "^﻿", "")
-    told = F.regexp_extract(clean, r"^sep=(.)", 1)
-    head = F.when(told != "", F.col("second")).otherwise(clean)
-    n = lambda s: F.size(F.split(head, s))
-    sep = F.when(told != "", told).when((n(";") >= n(",")) & (n(";") >= n("\t")), ";").when(n(",") >= n("\t"), ",").otherwise("\t")
-    f = f.select("file", sep.alias("sep"), head.alias("head"), (told != "").alias("told"))
+    f = cut(sniff(spark, path))
+    lines = salted_join(_lines(spark, path).select("source_file", "value"), f, ["source_file"], "inner")
+    body = lines.where((F.col("value") != F.col("head")) & ~F.col("value").rlike(r"^sep=.$") & (F.col("value") != ""))
     parts = []
-    for r in f.groupBy("sep", "head", "told").agg(F.collect_list("file").alias("files")).collect():
+    for r in f.select("sep", "head").distinct().collect():
         cols = [c.strip().strip('"') for c in r["head"].split(r["sep"])]
-        lines = spark.read.text(r["files"]).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-        body = lines.where((F.col("value") != r["head"]) & ~F.col("value").rlike(r"^sep=.$") & (F.col("value") != ""))
         row = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in cols)), {"sep": r["sep"]})
-        parts.append(body.select("source_file", row.alias("r")).select("r.*", "source_file"))
+        mine = body.where((F.col("sep") == r["sep"]) & (F.col("head") == r["head"]))
+        parts.append(mine.select("source_file", row.alias("r")).select("r.*", "source_file"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -169,10 +168,10 @@ def read_placements(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cad_export(spark: SparkSession, path: str, cols: Sequence[str], numeric: Sequence[str], sep: str = ",") -> DataFrame:
     """S-10: table whose header row may come late; lines before it are ignored."""
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("i"), "value")
+    t = _lines(spark, path)
     head = reduce(lambda a, b: a & b, [F.lower("value").contains(c.lower()) for c in cols])
-    at = t.where(head).groupBy("source_file").agg(F.min("i").alias("_h"), F.min_by("value", "i").alias("_head"))
-    d = salted_join(t, at, ["source_file"], "inner").where("i > _h and value != ''")
+    at = t.where(head & (F.col("off") == 0)).groupBy("source_file").agg(F.min("i").alias("_h"), F.min_by("value", "i").alias("_head"))
+    d = salted_join(t, at, ["source_file"], "inner").where("(off > 0 or i > _h) and value != ''")
     names = F.transform(F.split("_head", sep), lambda c: F.lower(F.trim(c)))
     f = F.split("value", sep)
     pick = lambda c: F.trim(F.get(f, F.array_position(names, c.lower()) - 1))
