@@ -73,10 +73,9 @@ def gini(df: DataFrame, keys: Sequence[str], value: str, out: str = "gini") -> D
     """A-05: Gini index from the ranked distinct values of each group."""
     c = cumulative_counts(df, keys, value)
     # Ranks below+1 .. below+k of one value add up in closed form.
-    rank_sum = F.col("k") * F.col("below") + F.col("k") * (F.col("k") + 1) / 2.0
-    g = c.groupBy(*keys).agg(
-        F.sum("k").alias("n"), F.sum(F.col("k") * F.col(value)).alias("s"), F.sum(rank_sum * F.col(value)).alias("rs")
-    )
+    k, x = F.col("n_equal"), F.col(value)
+    rank_sum = k * F.col("n_below") + k * (k + 1) / 2.0
+    g = c.groupBy(*keys).agg(F.sum(k).alias("n"), F.sum(k * x).alias("s"), F.sum(rank_sum * x).alias("rs"))
     v = 2.0 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")
     return g.select(*keys, F.when(F.col("s") > 0, v).alias(out))
 
@@ -118,8 +117,8 @@ def impute(df: DataFrame, cols: Sequence[str], how: str = "mean") -> DataFrame:
 def rank_min_desc(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """A-11: rank 1 for the largest; ties share the smallest rank."""
     c = cumulative_counts(df, keys, value)
-    c = with_group_aggs(c, keys, _n=F.sum("k"))
-    r = c.select(*keys, F.col(value).alias("_rv"), (F.col("_n") - F.col("below") - F.col("k") + 1).alias(out))
+    c = with_group_aggs(c, keys, _n=F.sum("n_equal"))
+    r = c.select(*keys, F.col(value).alias("_rv"), (F.col("_n") - F.col("n_below") - F.col("n_equal") + 1).alias(out))
     d = df.withColumn("_rv", F.col(value).cast("double"))
     return salted_join(d, r, [*keys, "_rv"], "left", 4).drop("_rv")
 

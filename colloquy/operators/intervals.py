@@ -14,7 +14,7 @@ from colloquy.session import cut
 
 from .align import interval_join, role_pairs
 from .scan import (
-    by_width, collapse_islands, lag, lead, running_sum, salted_join, scan, with_group_aggs,
+    by_width, collapse_islands, gap_islands, lag, lead, running_sum, salted_join, scan, with_group_aggs,
 )
 
 KEYS = ["session_id"]
@@ -246,14 +246,15 @@ def aggregate_turns(
     Same-role neighbours with a pause of at most ``max_pause_s`` form one turn, turns
     shorter than ``turn_min_s`` are dropped, and what became adjacent is merged again.
     """
-    order = ["start_s", "end_s", "role"]
 
-    def merge(df):
-        return collapse_islands(
-            df, KEYS, order, by_width("start_s", chunk_s), gap=max_pause_s, run=["role"]
-        ).select("session_id", "role", "start_s", "end_s")
+    def merge(df, order):
+        # A turn keeps the place of its first segment among turns that start together.
+        rows = gap_islands(df, KEYS, order, by_width("start_s", chunk_s), "start_s", "end_s", max_pause_s, ["role"])
+        return rows.groupBy(*KEYS, "role", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
 
-    return merge(cut(merge(segs).where(duration() >= turn_min_s)))
+    first = merge(segs.select(*KEYS, "role", "start_s", "end_s"), ["start_s", "end_s", "role"])
+    first = first.where(duration() >= turn_min_s).select(*KEYS, "role", "start_s", "end_s", F.col("island.end_s").alias("_first_end"))
+    return merge(cut(first), ["start_s", "_first_end", "role"]).select("session_id", "role", "start_s", "end_s")
 
 
 def floor_exchanges(

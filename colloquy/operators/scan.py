@@ -349,15 +349,15 @@ def cumulative_counts(
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("k"))
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
     cuts = [i / pieces for i in range(1, pieces)]
     bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
     j = salted_join(counts, bounds, keys, "inner")
     j = j.withColumn(
         "_piece", F.size(F.filter("_b", lambda b: b <= F.col(value))).cast("long")
     ).drop("_b")
-    s = scan(j, keys, [value], F.col("_piece"), {"_c": running_sum(F.col("k"))})
-    return s.select(*keys, value, "k", (F.col("_c") - F.col("k")).alias("below"))
+    s = scan(j, keys, [value], F.col("_piece"), {"_c": running_sum("n_equal")})
+    return s.select(*keys, value, "n_equal", (F.col("_c") - F.col("n_equal")).alias("n_below"))
 
 
 def average_rank(
@@ -367,8 +367,8 @@ def average_rank(
     ranks = cumulative_counts(df, keys, value).select(
         *keys,
         F.col(value).alias("_rv"),
-        (F.col("below") + (F.col("k") + 1) / 2.0).alias(out),
-        F.col("k").alias(f"{out}_ties"),
+        (F.col("n_below") + (F.col("n_equal") + 1) / 2.0).alias(out),
+        F.col("n_equal").alias(f"{out}_ties"),
     )
     left = df.withColumn("_rv", F.col(value).cast("double"))
     return salted_join(left, ranks, [*keys, "_rv"], "left", 4).drop("_rv")

@@ -257,10 +257,7 @@ def _(spark, sf):
     return t.directions(spark, sf).select("session_id", "role", "frame_idx", F.round(x, 6).alias("rx"), F.round(z, 6).alias("rz"))
 
 
-ACC = fn.ACCENTED, fn.UNACCENTED
-
-
-@query("f12_normalize_text", f"SELECT doc_id, md5(regexp_replace(translate(regexp_replace(translate(trim(text, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ -~]+', '', 'g'), '', ''), ' +', ' ', 'g')) h FROM documents")
+@query("f12_normalize_text", f"SELECT doc_id, md5(regexp_replace(lower(trim(regexp_replace(trim(text, ' '), '[^ -~]+', '', 'g'), ' ')), ' +', ' ', 'g')) h FROM documents")
 def _(spark, sf):
     d = t.table(spark, sf, "documents")
     # Both sides keep printable ASCII only: engines differ in what counts as white space.
@@ -314,7 +311,7 @@ def _(spark, sf):
     return t.table(spark, sf, "supplier").select("s_suppkey", fn.item_of(c).alias("item"), fn.dimension_of(c).alias("dimension"), fn.question_of(c).alias("question"))
 
 
-@query("f19_hms_boolean", "SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE seconds, event_type = 'view' flag FROM events")
+@query("f19_hms_boolean", "SELECT event_id, (hour(ts) * 3600 + minute(ts) * 60 + second(ts))::DOUBLE AS seconds, event_type = 'view' AS flag FROM events")
 def _(spark, sf):
     e = t.table(spark, sf, "events")
     x = F.when(F.col("event_type") == "view", " OUI").otherwise("non")
@@ -651,10 +648,10 @@ def _(spark, sf):
     return ky.median_split(t.features(spark, sf), ["quantity", "tax"]).groupBy("profile").agg(F.count("*").alias("n"))
 
 
-@query("c14_master_dataset", t.with_(t.FEAT) + "SELECT unit_id, price, s_acctbal, mean_order FROM feat LEFT JOIN supplier ON unit_id = s_suppkey LEFT JOIN (SELECT o_custkey, round(avg(o_totalprice), 4) mean_order FROM orders GROUP BY ALL) ON unit_id = o_custkey")
+@query("c14_master_dataset", t.with_(t.FEAT) + "SELECT unit_id, price, s_acctbal, mean_order FROM feat LEFT JOIN supplier ON unit_id = s_suppkey LEFT JOIN (SELECT o_custkey, round(avg(o_totalprice), 6) mean_order FROM orders GROUP BY ALL) ON unit_id = o_custkey")
 def _(spark, sf):
     s = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit_id"), "s_acctbal")
-    o = t.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.round(F.avg("o_totalprice"), 4).alias("mean_order"))
+    o = t.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.round(F.avg("o_totalprice"), 6).alias("mean_order"))
     return t.features(spark, sf).select("unit_id", "price").join(s, "unit_id", "left").join(o, "unit_id", "left")
 
 
@@ -665,9 +662,9 @@ def longi(spark, sf):
     return t.table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"), F.when(F.year("o_orderdate") < 1999, "T1").otherwise("T2").alias("timepoint"), F.col("o_totalprice").alias("v"))
 
 
-@query("c15_longitudinal_pairs", t.with_(LG) + "SELECT unit, round(avg(v) FILTER (timepoint = 'T1'), 4) \"v_T1\", round(avg(v) FILTER (timepoint = 'T2'), 4) \"v_T2\", round(avg(v) FILTER (timepoint = 'T2') - avg(v) FILTER (timepoint = 'T1'), 4) delta_v FROM lg GROUP BY ALL")
+@query("c15_longitudinal_pairs", t.with_(LG) + "SELECT unit, round(avg(v) FILTER (timepoint = 'T1'), 6) \"v_T1\", round(avg(v) FILTER (timepoint = 'T2'), 6) \"v_T2\", round(avg(v) FILTER (timepoint = 'T2') - avg(v) FILTER (timepoint = 'T1'), 6) delta_v FROM lg GROUP BY ALL")
 def _(spark, sf):
-    return rnd(fu.longitudinal_pairs(longi(spark, sf), ["unit"], "timepoint", ["v"]), "v_T1", "v_T2", "delta_v", d=4)
+    return rnd(fu.longitudinal_pairs(longi(spark, sf), ["unit"], "timepoint", ["v"]), "v_T1", "v_T2", "delta_v")
 
 
 @query("c16_pair_availability", t.with_(LG) + ", u AS (SELECT unit, max((timepoint = 'T1')::INT) a, max((timepoint = 'T2')::INT) b FROM lg GROUP BY ALL) SELECT sum(a)::BIGINT n_t1, sum(b)::BIGINT n_t2, sum(a * b)::BIGINT n_pairs, count(*) n_units FROM u")

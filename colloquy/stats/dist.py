@@ -13,8 +13,17 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _each(fn, x):
+    x = np.asarray(x, dtype=float)
+    return np.fromiter(map(fn, x.ravel()), float, x.size).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def _beta_fraction(a, b, x, steps: int = 400):

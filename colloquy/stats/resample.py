@@ -249,8 +249,8 @@ def bca_ci(df: DataFrame, keys: Sequence[str], replicates: int, level: float = 0
     adj = lambda z: F.col("z0") + (F.col("z0") + F.col(z)) / (1 - F.col("acc") * (F.col("z0") + F.col(z)))
     b = b.withColumn("_pl", normal_cdf(adj("_zl"))).withColumn("_ph", normal_cdf(adj("_zh")))
     # Ranked replicates: take the values at the two adjusted positions.
-    c = salted_join(cumulative_counts(reps, keys, "stat").withColumnRenamed("below", "below_"), b, keys, "inner")
-    at = lambda p: F.min(F.when(F.col("below_") + F.col("k") >= F.col(p) * (F.col("nb") - 1) + 1e-9, F.col("stat")))
+    c = salted_join(cumulative_counts(reps, keys, "stat"), b, keys, "inner")
+    at = lambda p: F.min(F.when(F.col("n_below") + F.col("n_equal") >= F.col(p) * (F.col("nb") - 1) + 1e-9, F.col("stat")))
     return c.groupBy(*keys).agg(F.max("theta").alias("theta"), at("_pl").alias("ci_low"), at("_ph").alias("ci_high"))
 
 
