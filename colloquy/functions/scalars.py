@@ -248,10 +248,10 @@ def postprocess_congruence(x: Column, mode: str = "raw") -> Column:
 
 def scale_coordinates(df: DataFrame, by: Sequence[str], factor_x: float = 25.7, factor_y: float = 25.95, limit: float = 200.0) -> DataFrame:
     """F-25: CAD units to scene units where a layout's median |x| is above ``limit``."""
-    from colloquy.operators.scan import quantiles, salted_join
+    from colloquy.operators.scan import quantiles, attach
 
     m = quantiles(df.withColumn("_ax", F.abs("x")), by, "_ax", {"_med": 0.5})
-    d = salted_join(df, m, by)
+    d = attach(df, m, by)
     cad = F.col("_med") > limit
     return (
         d.withColumn("x", F.when(cad, F.col("x") / factor_x).otherwise(F.col("x")))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scan import average_rank, cumulative_counts, quantiles, row_number, running_sum, salted_join, scan, with_group_aggs
+from .scan import average_rank, cumulative_counts, quantiles, row_number, running_sum, attach, scan, with_group_aggs
 
 
 def describe_by(df: DataFrame, value: str, keys: Sequence[str], digits: int = 3) -> DataFrame:
@@ -110,7 +110,7 @@ def impute(df: DataFrame, cols: Sequence[str], how: str = "mean") -> DataFrame:
         long = melt(df, [], list(cols))
         q = quantiles(long, ["feature"], "value", {"m": 0.5})
         fill = q.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"_f_{c}") for c in cols])
-    j = salted_join(df, fill, [])
+    j = attach(df, fill, [])
     return j.select(*[F.coalesce(c, f"_f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
@@ -120,7 +120,7 @@ def rank_min_desc(df: DataFrame, keys: Sequence[str], value: str, out: str = "ra
     c = with_group_aggs(c, keys, _n=F.sum("n_equal"))
     r = c.select(*keys, F.col(value).alias("_rv"), (F.col("_n") - F.col("n_below") - F.col("n_equal") + 1).alias(out))
     d = df.withColumn("_rv", F.col(value).cast("double"))
-    return salted_join(d, r, [*keys, "_rv"], "left", 4).drop("_rv")
+    return attach(d, r, [*keys, "_rv"], "left").drop("_rv")
 
 
 def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, out: str = "is_repeat") -> DataFrame:

@@ -14,7 +14,7 @@ from colloquy.session import cut
 
 from .intervals import activity_profile
 from .scan import (
-    by_width, collapse_islands, lag, last_valid, lead, next_valid, quantiles, row_number, salted_join, scan,
+    by_width, collapse_islands, lag, last_valid, lead, next_valid, quantiles, row_number, attach, scan,
 )
 
 CHUNK_FRAMES = 65536
@@ -94,7 +94,7 @@ def irregular_episodes(
     if end == "next":
         runs = scan(cut(runs), keys, [t], by_width(t, chunk_s), {"_n": lead(t)})
         dt = median_step(samples, keys, t, chunk_s)
-        runs = salted_join(runs, dt, keys).withColumn(
+        runs = attach(runs, dt, keys).withColumn(
             "_e", F.coalesce("_n", F.col("_e") + F.coalesce("dt_s", F.lit(0.05)))
         )
     ep = runs.where("state").select(*keys, F.col(t).alias("start_s"), F.col("_e").alias("end_s"))
@@ -117,7 +117,7 @@ def time_align(
     zero = samples.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(F.col("is_marker"), F.col(t))), F.min(t)).alias("_zero")
     )
-    d = salted_join(samples.where("not is_marker"), zero, keys).withColumn(t, F.col(t) - F.col("_zero"))
+    d = attach(samples.where("not is_marker"), zero, keys).withColumn(t, F.col(t) - F.col("_zero"))
     first = F.min(F.struct(*values))
     d = d.where(F.col(t).isNotNull()).groupBy(*keys, t).agg(first.alias("_v"))
     d = d.select(*keys, t, *[F.col(f"_v.{v}").alias(v) for v in values])

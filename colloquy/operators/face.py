@@ -13,7 +13,7 @@ from colloquy.stats.moments import pearson_by
 from . import episodes as ep
 from .aggregates import melt
 from .align import asof, grid, role_pairs
-from .scan import quantiles, salted_join
+from .scan import quantiles, attach
 
 KEYS = ["session_id", "role"]
 
@@ -74,7 +74,7 @@ def binary_states(df: DataFrame, mode: str = "quantile", absolute: float = 0.0,
     cols = [*AU_BASE, "joy_intensity", "sad_intensity"]
     thr = thresholds(df, cols, mode, absolute, q, z_k)
     wide = thr.groupBy(*KEYS).agg(*[F.max(F.when(F.col("feature") == c, F.col("thr"))).alias(f"_t_{c}") for c in cols])
-    d = salted_join(df, wide, KEYS)
+    d = attach(df, wide, KEYS)
     on = {c: (F.col(c) > F.col(f"_t_{c}")).cast("double") for c in cols}
     d = d.select(*df.columns, *[v.alias(_state(c)) for c, v in on.items()])
     # An emotion without threshold counts as never active, a unit without one as unknown.
@@ -102,7 +102,7 @@ def window_descriptors(
     reduced before the shuffle. A window with too few valid samples is nulled.
     """
     w = ep.sliding_windows(spans, win, step)
-    d = salted_join(df, spans, ["session_id"], "inner").where((F.col(t) >= F.col("t0")) & (F.col(t) <= F.col("t1")))
+    d = attach(df, spans, ["session_id"], "inner").where((F.col(t) >= F.col("t0")) & (F.col(t) <= F.col("t1")))
     lo = F.greatest(F.floor((F.col(t) - F.col("t0") - win) / step), F.lit(0)).cast("long")
     hi = F.floor((F.col(t) - F.col("t0")) / step).cast("long")
     d = d.withColumn("window_idx", F.explode(F.sequence(lo, hi)))

@@ -12,7 +12,7 @@ from colloquy.functions.scalars import clip, ratio_eps, sqrt_clipped
 from .aggregates import melt, zscore_within
 from .face import row_mean
 from .keys import coalesce_with_source
-from .scan import salted_join, with_group_aggs
+from .scan import attach, with_group_aggs
 
 KEYS = ["group_id", "condition", "scenario", "timepoint"]
 

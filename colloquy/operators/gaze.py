@@ -12,7 +12,7 @@ from colloquy.session import cut
 from . import episodes as ep
 from .aggregates import entropy_of, union_all
 from .align import asof, interpolate, interval_join, role_pairs
-from .scan import by_width, lag, last_valid, next_valid, quantiles, row_number, running_sum, salted_join, scan
+from .scan import by_width, lag, last_valid, next_valid, quantiles, row_number, running_sum, attach, scan
 
 DIR = ("dx", "dy", "dz")
 POS = ("px", "py", "pz")
@@ -31,7 +31,7 @@ def shared_object(
     span; coverage is counted per object, joined over objects, micro-episodes dropped.
     """
     keys = list(keys)
-    f = salted_join(fix, spans, keys, "inner")
+    f = attach(fix, spans, keys, "inner")
     a, b = _frames(F.greatest("onset", "t0") - F.col("t0"), F.least("offset", "t1") - F.col("t0"), fs)
     f = f.select(*keys, "object", a.alias("frame_start"), b.alias("frame_end"))
     by_object = ep.runs_at_least(f, [*keys, "object"], min_participants)
@@ -57,7 +57,7 @@ def shared_object_windows(
     """G-10: shared attention per window, for the whole group or per role pair."""
     w = ep.sliding_windows(spans, win, step)
     keys = ["session_id", "window_idx"]
-    f = salted_join(fix, spans, ["session_id"], "inner")
+    f = attach(fix, spans, ["session_id"], "inner")
     lo = F.greatest(F.floor((F.col("onset") - F.col("t0") - win) / step) + 1, F.lit(0)).cast("long")
     hi = F.floor((F.least("offset", "t1") - F.col("t0")) / step).cast("long")
     f = f.withColumn("_lo", lo).withColumn("_hi", hi).where("_hi >= _lo")
@@ -89,7 +89,7 @@ def infer_target(fix: DataFrame, roles: DataFrame) -> DataFrame:
     hit = objects.join(names, "session_id").where(F.upper("object").contains(F.upper("target")))
     one = hit.groupBy("session_id", "object").agg(F.count("*").alias("_h"), F.min("target").alias("target"))
     one = one.where("_h = 1").drop("_h")
-    return salted_join(fix, one, ["session_id", "object"])
+    return attach(fix, one, ["session_id", "object"])
 
 
 def mutual_gaze_object(
@@ -98,7 +98,7 @@ def mutual_gaze_object(
     """G-13: frames where both of a pair look at each other; masks may be widened."""
     k = ["session_id", "role_a", "role_b"]
     f = fix.where(F.col("target").isNotNull() & (F.col("target") != F.col("role")))
-    f = salted_join(f, spans, ["session_id"], "inner")
+    f = attach(f, spans, ["session_id"], "inner")
     a, b = _frames(F.greatest("onset", "t0") - F.col("t0"), F.least("offset", "t1") - F.col("t0"), fs)
     n = F.ceil((F.col("t1") - F.col("t0")) * fs).cast("long")
     f = f.select(
@@ -126,7 +126,7 @@ def mutual_gaze_group(pairs: DataFrame) -> DataFrame:
 
 def _on_grid(rows: DataFrame, spans: DataFrame, value: str, fs: float, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Value of the latest row covering each grid frame."""
-    f = salted_join(rows, spans, ["session_id"], "inner")
+    f = attach(rows, spans, ["session_id"], "inner")
     a, b = _frames(F.greatest(start, "t0") - F.col("t0"), F.least(end, "t1") - F.col("t0"), fs)
     f = f.withColumn("_a", a).withColumn("_b", b).where("_b > _a")
     f = f.withColumn("frame_idx", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)))
@@ -245,7 +245,7 @@ def stable_directions(dirs: DataFrame, fs: float, min_dur_s: float = 0.15, angle
     k = max(1, int(min_dur_s * fs))
     keys = ["session_id", "role"]
     last = dirs.groupBy(*keys).agg(F.max("frame_idx").alias("_last"))
-    w = salted_join(dirs, last, keys).withColumn(
+    w = attach(dirs, last, keys).withColumn(
         "frame_start", F.explode(F.sequence(F.greatest(F.col("frame_idx") - (k - 1), F.lit(0)), F.least("frame_idx", F.col("_last") - (k - 1)))
         if k > 1 else F.array("frame_idx")),
     )
@@ -455,7 +455,7 @@ def rigid_yaw(pairs: DataFrame, keys: Sequence[str], min_std_m: float = 0.008) -
     ).where((F.col("_sa") >= min_std_m) & (F.col("_sb") >= min_std_m))
     th = F.atan2(F.col("xz") - F.col("zx"), F.col("xx") + F.col("zz"))
     m = m.withColumn("_th", th)
-    j = salted_join(pairs, m, keys, "inner")
+    j = attach(pairs, m, keys, "inner")
     ca, sa = F.cos("_th"), F.sin("_th")
     ax, az = F.col("ax") - F.col("max_"), F.col("az") - F.col("maz")
     rx = ca * ax - sa * az - (F.col("bx") - F.col("mbx"))
@@ -479,7 +479,7 @@ def yaw_stability(
     s = s.withColumn("_flip", F.coalesce((F.abs(fn.wrap180(F.col("theta_deg") - F.col("_p"))) > 90).cast("long"), F.lit(0)))
     s = cut(scan(s, keys, [idx], by_width(idx, chunk), {"_f": running_sum("_flip")}))
     anchor = s.groupBy(*keys).agg(F.min_by("_f", F.struct("resid_m", idx)).alias("_fa"))
-    s = salted_join(s, anchor, keys)
+    s = attach(s, anchor, keys)
     odd = F.pmod(F.col("_f") - F.col("_fa"), F.lit(2)) == 1
     s = s.withColumn("theta", F.when(odd, fn.wrap180(F.col("theta_deg") + 180.0)).otherwise(F.col("theta_deg")))
     g = s.groupBy(*keys).agg(

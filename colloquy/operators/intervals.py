@@ -14,7 +14,7 @@ from colloquy.session import cut
 
 from .align import interval_join, role_pairs
 from .scan import (
-    by_width, collapse_islands, gap_islands, lag, lead, running_sum, salted_join, scan, with_group_aggs,
+    by_width, collapse_islands, gap_islands, lag, lead, running_sum, attach, scan, with_group_aggs,
 )
 
 KEYS = ["session_id"]
@@ -100,7 +100,7 @@ def pairwise_overlap(segs: DataFrame, chunk_s: float) -> DataFrame:
         "session_id", "role_a", "role_b",
         F.explode(F.array(F.col("role_a"), F.col("role_b"))).alias("role"),
     )
-    s = salted_explode(segs, sides)
+    s = segs.join(sides, ["session_id", "role"])
     side = F.when(F.col("role") == F.col("role_a"), "a").otherwise("b")
     keys = ["session_id", "role_a", "role_b"]
     e = s.withColumn("side", side).select(
@@ -124,13 +124,6 @@ def pairwise_overlap(segs: DataFrame, chunk_s: float) -> DataFrame:
     return p.groupBy(*keys).agg(F.sum(both).alias("overlap_s"))
 
 
-def salted_explode(segs: DataFrame, sides: DataFrame, salts: int = 8) -> DataFrame:
-    """Every segment once per role pair of its session, hot roles spread over ``salts``."""
-    salt = F.pmod(F.xxhash64("session_id", "role", "start_s", "end_s"), F.lit(salts)).cast("int")
-    right = sides.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return segs.withColumn("_salt", salt).join(right, ["session_id", "role", "_salt"]).drop("_salt")
-
-
 def merge_union(segs: DataFrame, chunk_s: float) -> DataFrame:
     """I-05: maximal intervals during which anybody is active."""
     return collapse_islands(
@@ -149,7 +142,7 @@ def silence_intervals(segs: DataFrame, totals: DataFrame, chunk_s: float) -> Dat
     w = w.select(
         "session_id", F.coalesce("before", F.lit(0.0)).alias("start_s"), F.col("start_s").alias("end_s")
     )
-    w = salted_join(w, totals, KEYS)
+    w = attach(w, totals, KEYS)
     return w.select(
         "session_id", "start_s", F.least("end_s", "total_s").alias("end_s")
     ).where("end_s > start_s")
@@ -172,7 +165,7 @@ def occupancy_timeline(
     session. Cost follows the number of segments, not of frames.
     """
     n = totals.select("session_id", F.ceil(F.col("total_s") * fs).cast("long").alias("n_frames"))
-    s = salted_join(segs, n, KEYS, "inner")
+    s = attach(segs, n, KEYS, "inner")
     s = s.select(
         "session_id",
         F.least(F.floor(F.col("start_s") * fs).cast("long"), "n_frames").alias("start_s"),
@@ -216,7 +209,7 @@ def activity_synchrony(frames: DataFrame) -> DataFrame:
     """
     ends = frames.groupBy("session_id", "role").agg((F.max("frame_idx") + 1).alias("len"))
     n = ends.groupBy("session_id").agg(F.min("len").alias("n"))
-    act = salted_join(frames.where("active").select("session_id", "role", "frame_idx"), n, KEYS, "inner")
+    act = attach(frames.where("active").select("session_id", "role", "frame_idx"), n, KEYS, "inner")
     act = act.where("frame_idx < n").select("session_id", "role", "frame_idx")
     s = ends.select("session_id", "role").join(
         act.groupBy("session_id", "role").agg(F.count("*").alias("s")), ["session_id", "role"], "left"
@@ -391,6 +384,6 @@ def align_tracks(samples: DataFrame, markers: DataFrame, t: str = "t") -> DataFr
     m = markers.groupBy("session_id", "role").agg(F.min(t).alias("_m"))
     ref = m.groupBy("session_id").agg(F.min("_m").alias("_ref"))
     shift = m.join(ref, "session_id").select("session_id", "role", (F.col("_m") - F.col("_ref")).alias("shift_s"))
-    return salted_join(samples, shift, ["session_id", "role"]).withColumn(
+    return attach(samples, shift, ["session_id", "role"]).withColumn(
         t, F.col(t) - F.coalesce("shift_s", F.lit(0.0))
     )

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scan import quantiles, salted_join, with_group_aggs
+from .scan import quantiles, attach, with_group_aggs
 
 KEYS = ["group_id", "condition", "scenario", "timepoint"]
 
@@ -111,7 +111,7 @@ def first_available_column(df: DataFrame, cols: Sequence[str], out: str) -> Data
     """M-09: the first candidate with any value, for the whole table."""
     have = [c for c in cols if c in df.columns]
     cnt = df.agg(*[F.count(c).alias(f"_n_{c}") for c in have])
-    d = salted_join(df, cnt, [])
+    d = attach(df, cnt, [])
     pick = reduce(lambda acc, c: acc.when(F.col(f"_n_{c}") > 0, F.col(c)), have, F.when(F.lit(False), F.lit(None)))
     return d.withColumn(out, pick).drop(*[f"_n_{c}" for c in have])
 
@@ -187,7 +187,7 @@ def median_split(df: DataFrame, cols: Sequence[str], out: str = "profile") -> Da
 
     q = quantiles(melt(df, [], cols), ["feature"], "value", {"m": 0.5})
     one = q.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"_m_{c}") for c in cols])
-    d = salted_join(df, one, [])
+    d = attach(df, one, [])
     side = [F.when(F.col(c) >= F.col(f"_m_{c}"), "haut").when(F.col(c) < F.col(f"_m_{c}"), "bas") for c in cols]
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     return d.withColumn(out, F.when(ok, F.concat_ws("/", *side))).drop(*[f"_m_{c}" for c in cols])

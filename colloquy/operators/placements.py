@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.functions.scalars import clip, host_shape, within_tolerance
 from colloquy.session import cut
 
-from .scan import by_width, gap_islands, lag, quantiles, salted_join, scan, with_group_aggs
+from .scan import by_width, gap_islands, lag, quantiles, attach, scan, with_group_aggs
 
 K = ["layout_id"]
 
@@ -76,7 +76,7 @@ def _medians(df: DataFrame, x: str, z: str) -> DataFrame:
 
 def shift(df: DataFrame, offset: DataFrame) -> DataFrame:
     """Objects moved by their layout's (tx, tz)."""
-    d = salted_join(df, offset.select(*K, F.col("tx").alias("_tx"), F.col("tz").alias("_tz")), K)
+    d = attach(df, offset.select(*K, F.col("tx").alias("_tx"), F.col("tz").alias("_tz")), K)
     return d.withColumn("x", F.col("x") + F.coalesce("_tx", F.lit(0.0))).withColumn("z", F.col("z") + F.coalesce("_tz", F.lit(0.0))).drop("_tx", "_tz")
 
 
@@ -164,12 +164,12 @@ def assign_rows(points: DataFrame, steps: DataFrame, tol: float = 0.25) -> DataF
     reduced to one sum per layout and phase before the shuffle.
     """
     p = with_group_aggs(points, K, _lo=F.min("z"))
-    p = salted_join(p, steps.where("step > 0"), K, "inner")
+    p = attach(p, steps.where("step > 0"), K, "inner")
     ph = p.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(PHASES - 1))))
     phase = F.col("_lo") + F.col("_i") * F.col("step") / F.lit(PHASES - 1)
     res = F.abs(F.col("z") - phase - F.rint((F.col("z") - phase) / F.col("step")) * F.col("step"))
     best = ph.groupBy(*K, "_i").agg(F.round(F.avg(res), 12).alias("_r")).groupBy(*K).agg(F.min_by("_i", F.struct("_r", "_i")).alias("_i"))
-    p = salted_join(p, best, K)
+    p = attach(p, best, K)
     k = F.rint((F.col("z") - phase) / F.col("step"))
     off = F.abs(F.col("z") - phase - k * F.col("step"))
     return p.withColumn("row", F.when(off <= tol, k.cast("long"))).drop("_lo", "_i", "step")

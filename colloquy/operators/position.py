@@ -11,7 +11,7 @@ from colloquy.stats.moments import pearson_by
 from . import episodes as ep
 from .align import asof, grid, interval_join, role_pairs
 from .face import row_mean
-from .scan import salted_join, with_group_aggs
+from .scan import attach, with_group_aggs
 
 POS = ["px", "py", "pz"]
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CHUNK = "_chunk"
-SALTS = 32
+SMALL_GROUP = 100_000  # distinct values one task may order at once
 
 
 def by_width(col: str, width: float) -> Column:
@@ -253,25 +253,31 @@ def collapse_islands(
     )
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join a detail table to one row per key, spreading each key over ``salts`` tasks."""
+def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a detail table to one row per key.
+
+    A plain equi-join: at run time the small side is broadcast if its measured size
+    allows, otherwise a hot key's partition is split and its one small row repeated (the
+    adaptive skew join, forced in ``session.pin``). Without keys ``small`` is one row.
+    """
     keys = list(keys)
-    if not keys:
-        return big.withColumn("_one", F.lit(1)).join(
-            F.broadcast(small.withColumn("_one", F.lit(1))), "_one", how
-        ).drop("_one")
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    if keys:
+        return big.join(small, keys, how)
+    one = F.lit(1).alias("_one")
+    return big.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
+
+
+def _keep(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the wanted keys (all or none without keys)."""
+    if keys:
+        return rows.join(wanted.select(*keys), list(keys), "left_semi")
+    return attach(rows, wanted.select(F.lit(1).alias("_w")), [], "inner").drop("_w")
 
 
 def with_group_aggs(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Group aggregates on every row (an unordered window without its single-task groups)."""
     small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return salted_join(df, small, keys)
+    return attach(df, small, keys)
 
 
 def quantiles(
@@ -285,17 +291,17 @@ def quantiles(
     keys = list(keys)
     eps = 4.0 / accuracy
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
+        F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     )
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
     names = list(probs)
     cuts = [c for n in names for c in (max(probs[n] - eps, 0.0), min(probs[n] + eps, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.percentile_approx("_v", cuts, accuracy).alias("_q"),
+    size = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    # Only keys with more rows than the sketch resolves are sketched.
+    big = _keep(rows, size.where(F.col("_n") > accuracy), keys)
+    sketch = attach(size, big.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_q")), keys)
     # Groups the sketch holds whole are ordered whole; there the bracket is their range.
     small = F.col("_n") <= accuracy
     plan = F.array(
@@ -314,7 +320,7 @@ def quantiles(
         ]
     )
     brackets = sketch.select(*keys, "_n", plan.alias("_b"))
-    j = salted_join(counts, brackets, keys, "inner")
+    j = attach(counts, brackets, keys, "inner")
     j = j.select(*keys, "_v", "_k", F.explode("_b").alias("b"))
     # Values under the bracket are only counted; those in it keep their identity.
     j = j.withColumn("_in", F.when(F.col("_v") < F.col("b.lo"), None).otherwise(F.col("_v")))
@@ -342,8 +348,8 @@ def cumulative_counts(
 ) -> DataFrame:
     """Distinct values per key with their count and the number of rows strictly below.
 
-    Values are cut into ``pieces`` ranges at sketched quantiles, so the running count
-    is a chunked scan rather than one sort per key.
+    Groups with many distinct values are cut into ``pieces`` ranges at sketched
+    quantiles, so the running count is a chunked scan rather than one sort per key.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(
@@ -351,11 +357,12 @@ def cumulative_counts(
     )
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
     cuts = [i / pieces for i in range(1, pieces)]
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
-    j = salted_join(counts, bounds, keys, "inner")
-    j = j.withColumn(
-        "_piece", F.size(F.filter("_b", lambda b: b <= F.col(value))).cast("long")
-    ).drop("_b")
+    size = counts.groupBy(*keys).agg(F.count("*").alias("_d"))
+    big = _keep(counts, size.where(F.col("_d") > SMALL_GROUP), keys)
+    bounds = big.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
+    j = attach(counts, bounds, keys)
+    piece = F.size(F.filter("_b", lambda b: b <= F.col(value))).cast("long")
+    j = j.withColumn("_piece", F.when(F.col("_b").isNotNull(), piece).otherwise(F.lit(0).cast("long"))).drop("_b")
     s = scan(j, keys, [value], F.col("_piece"), {"_c": running_sum("n_equal")})
     return s.select(*keys, value, "n_equal", (F.col("_c") - F.col("n_equal")).alias("n_below"))
 
@@ -371,9 +378,9 @@ def average_rank(
         F.col("n_equal").alias(f"{out}_ties"),
     )
     left = df.withColumn("_rv", F.col(value).cast("double"))
-    return salted_join(left, ranks, [*keys, "_rv"], "left", 4).drop("_rv")
+    return attach(left, ranks, [*keys, "_rv"], "left").drop("_rv")
 
 
 def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join two aggregated tables; without keys both hold one row."""
-    return a.join(b, list(keys), how) if keys else salted_join(a, b, [], how)
+    return a.join(b, list(keys), how) if keys else attach(a, b, [], how)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import intervals as iv
 from .aggregates import entropy_of, zscore_within
-from .scan import by_width, quantiles, running_sum, salted_join, scan, with_group_aggs
+from .scan import by_width, quantiles, running_sum, attach, scan, with_group_aggs
 from colloquy.session import cut
 
 # Fixed values of the decibel scale used for energy frames.
@@ -29,7 +29,7 @@ def activity_mask(frames: DataFrame, thr_db: float, floor_db: float | None = Non
     keys = ["session_id", "role"]
     f = energy(frames)
     med = quantiles(f, keys, "db", {"_med": 0.5})
-    f = salted_join(f, med, keys)
+    f = attach(f, med, keys)
     active = F.col("db") > F.col("_med") + thr_db
     if floor_db is not None:
         active = active & (decibel(F.col("rms"), F.lit(1.0)) > floor_db)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colloquy.functions.scalars import normalize_text, postprocess_congruence, text_units
 
 from .aggregates import gini, last_action
-from .scan import salted_join, with_group_aggs
+from .scan import attach, with_group_aggs
 
 GT = ["group_id", "task"]
 TASK, COMM = "TASK_ATTRIBUTE", "COMMUNICATION_MESSAGE"
@@ -46,7 +46,7 @@ def contribution(snapshot: DataFrame, expected: Column | None = None) -> DataFra
         F.sum(F.coalesce(ok, F.lit(False)).cast("long")).alias("contribution_correct"), F.count("*").alias("contribution_total")
     )
     n = s.groupBy(*GT).agg((F.count("*") if expected is None else F.max(expected)).alias("_n"))
-    return salted_join(g, n, GT).select(*GT, "subject", "contribution_correct", "contribution_total", (F.col("contribution_correct") / F.col("_n")).alias("contribution_i"))
+    return attach(g, n, GT).select(*GT, "subject", "contribution_correct", "contribution_total", (F.col("contribution_correct") / F.col("_n")).alias("contribution_i"))
 
 
 def strategy(actions: DataFrame, final_correct: DataFrame, expected: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def skill_items(last: DataFrame, key: DataFrame, expected: DataFrame, max_item:
     l = last if max_item is None else last.where(F.col("item").between(1, max_item))
     j = l.join(key, [*GT, "item"])
     g = j.groupBy(*GT, "subject").agg(F.sum((F.col("answer") == F.col("truth")).cast("long")).alias("correct"), F.count("*").alias("total"))
-    return salted_join(g, expected, GT).withColumn("skill_i", F.try_divide(F.col("correct").cast("double"), F.col("expected_total"))).drop("expected_total")
+    return attach(g, expected, GT).withColumn("skill_i", F.try_divide(F.col("correct").cast("double"), F.col("expected_total"))).drop("expected_total")
 
 
 def correct_items(last: DataFrame, key: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def skill_words(words: DataFrame, truth: DataFrame, expected: DataFrame) -> Data
     w = words.select(*GT, "subject", normalize_text(F.col("word")).alias("word")).where("word != ''").distinct()
     t = truth.select(*GT, normalize_text(F.col("word")).alias("word")).distinct().withColumn("_ok", F.lit(1))
     g = w.join(t, [*GT, "word"], "left").groupBy(*GT, "subject").agg(F.count("_ok").alias("correct"), F.count("*").alias("total"))
-    return salted_join(g, expected, GT).withColumn("skill_i", F.try_divide(F.col("correct").cast("double"), F.col("expected_total"))).drop("expected_total")
+    return attach(g, expected, GT).withColumn("skill_i", F.try_divide(F.col("correct").cast("double"), F.col("expected_total"))).drop("expected_total")
 
 
 def open_ideas(words: DataFrame, min_len: int = 2) -> DataFrame:
@@ -191,7 +191,7 @@ def population_norm(groups: DataFrame, population: DataFrame, value: str, refere
     """E-12: value over the population's maximum; a reference on another scale (maximum not
     above ``min_scale``) is refused and the sample's own maximum used instead."""
     ref = population.agg(F.max(reference).alias("_ref"))
-    d = salted_join(with_group_aggs(groups, [], _mx=F.max(value)), ref, [])
+    d = attach(with_group_aggs(groups, [], _mx=F.max(value)), ref, [])
     ok = F.col("_ref") > min_scale
     src = F.when(ok, "population").when(F.col("_ref") > 0, "sample_scale_incompatible").otherwise("sample")
     return d.withColumn(out, F.try_divide(F.col(value).cast("double"), F.when(ok, F.col("_ref")).otherwise(F.col("_mx")))).withColumn(f"{out}_source", src).drop("_ref", "_mx")
@@ -239,7 +239,7 @@ def reference_z(df: DataFrame, cols: Sequence[str], population: DataFrame, mappi
     """E-19: z against the mapped population column, or the sample where none fits (sd invalid)."""
     pop = population.agg(*[x for c in cols if c in mapping for x in (F.avg(mapping[c]).alias(f"_pm_{c}"), F.stddev_samp(mapping[c]).alias(f"_ps_{c}"))])
     own = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    d = salted_join(salted_join(df, own, []), pop, [])
+    d = attach(attach(df, own, []), pop, [])
     out = []
     for c in cols:
         m, s = F.col(f"_m_{c}"), F.col(f"_s_{c}")

@@ -642,5 +642,5 @@ def _(spark, sf):
     p = mo.pearson_by(f, [], "price", "quantity", out="pearson")
     s = mo.spearman_by(f, [], "price", "quantity", out="spearman").drop("n")
     m = r.agg(F.avg(d).alias("rank_delta_mean"), F.max(d).alias("rank_delta_max"))
-    from colloquy.operators.scan import salted_join
-    return rnd(salted_join(salted_join(p, s, []), m, []), "pearson", "spearman", "rank_delta_mean")
+    from colloquy.operators.scan import attach
+    return rnd(attach(attach(p, s, []), m, []), "pearson", "spearman", "rank_delta_mean")

@@ -7,15 +7,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings results or skew handling depend on.
+PINNED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key's partition even where that costs another shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build_session(app: str = "colloquy", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
+        **PINNED,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -25,8 +33,9 @@ def build_session(app: str = "colloquy", master: str | None = None, **conf) -> S
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Fix the one runtime setting results depend on (event times are read as UTC)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Event times are read as UTC; skewed joins are split at run time."""
+    for key, value in PINNED.items():
+        spark.conf.set(key, value)
     return spark
 
 

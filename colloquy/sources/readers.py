@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from colloquy.operators import keys as ky
 from colloquy.operators.episodes import median_step
 from colloquy.operators.keys import conform, numeric_text
-from colloquy.operators.scan import running_sum, salted_join, scan
+from colloquy.operators.scan import running_sum, attach, scan
 from colloquy.session import cut
 
 
@@ -48,7 +48,7 @@ def sniff(spark: SparkSession, path: str) -> DataFrame:
     """
     t = _lines(spark, path).where("off = 0")
     first = t.groupBy("source_file").agg(F.min_by("value", "i").alias("first"), F.min("i").alias("_i"))
-    second = salted_join(t, first.select("source_file", "_i"), ["source_file"], "inner").where("i > _i")
+    second = attach(t, first.select("source_file", "_i"), ["source_file"], "inner").where("i > _i")
     second = second.groupBy("source_file").agg(F.min_by("value", "i").alias("second"))
     f = first.join(second, "source_file", "left")
     told = F.regexp_extract("first", r"^sep=(.)", 1)
@@ -64,7 +64,7 @@ def read_csv_sniff(spark: SparkSession, path: str) -> DataFrame:
     One parse per distinct header (a handful of schema versions), not per file.
     """
     f = cut(sniff(spark, path))
-    lines = salted_join(_lines(spark, path).select("source_file", "value"), f, ["source_file"], "inner")
+    lines = attach(_lines(spark, path).select("source_file", "value"), f, ["source_file"], "inner")
     body = lines.where((F.col("value") != F.col("head")) & ~F.col("value").rlike(r"^sep=.$") & (F.col("value") != ""))
     parts = []
     for r in f.select("sep", "head").distinct().collect():
@@ -163,7 +163,7 @@ def read_placements(spark: SparkSession, path: str) -> DataFrame:
     d = lines.select("layout_id", numeric_text(g(1)).alias("t"), F.trim(g(2)).alias("name"), numeric_text(g(3)).alias("x"), numeric_text(g(4)).alias("y"), numeric_text(g(5)).alias("z"))
     d = d.where("t is not null and name != ''")
     last = d.groupBy("layout_id").agg(F.max("t").alias("_t"))
-    return salted_join(d, last, ["layout_id"]).where("t = _t").drop("_t")
+    return attach(d, last, ["layout_id"]).where("t = _t").drop("_t")
 
 
 def read_cad_export(spark: SparkSession, path: str, cols: Sequence[str], numeric: Sequence[str], sep: str = ",") -> DataFrame:
@@ -171,7 +171,7 @@ def read_cad_export(spark: SparkSession, path: str, cols: Sequence[str], numeric
     t = _lines(spark, path)
     head = reduce(lambda a, b: a & b, [F.lower("value").contains(c.lower()) for c in cols])
     at = t.where(head & (F.col("off") == 0)).groupBy("source_file").agg(F.min("i").alias("_h"), F.min_by("value", "i").alias("_head"))
-    d = salted_join(t, at, ["source_file"], "inner").where("(off > 0 or i > _h) and value != ''")
+    d = attach(t, at, ["source_file"], "inner").where("(off > 0 or i > _h) and value != ''")
     names = F.transform(F.split("_head", sep), lambda c: F.lower(F.trim(c)))
     f = F.split("value", sep)
     pick = lambda c: F.trim(F.get(f, F.array_position(names, c.lower()) - 1))
@@ -259,7 +259,7 @@ def stitch_chunks(samples: DataFrame, keys: Sequence[str], order: str, t: str, c
     p = p.join(first, keys)
     shift = F.col("_a0") + F.col("_cum") - F.col("_len") - F.col("_a")
     p = p.select(*keys, order, "_o0", shift.alias("shift_s"))
-    d = salted_join(samples, p, [*keys, order])
+    d = attach(samples, p, [*keys, order])
     d = d.where(~F.col("is_marker") | (F.col(order) == F.col("_o0")))
     return d.withColumn(t, F.col(t) + F.col("shift_s")).drop("_o0")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.operators.aggregates import melt
-from colloquy.operators.scan import quantiles, salted_join
+from colloquy.operators.scan import quantiles, attach
 from colloquy.session import cut
 from .models import _grouped, _matrix, centred_moments
 from .moments import correlation_matrix, gram, pair_rows, pearson_by, spearman_by
@@ -61,7 +61,7 @@ def pca_scores(df: DataFrame, fit: DataFrame, cols: Sequence[str], k: int, refer
         F.max(F.when((F.col("component") == j) & (F.col("feature") == c), F.col("weight"))).alias(f"_w{j}_{c}")
         for j in range(1, k + 1) for c in cols
     ])
-    d = salted_join(salted_join(df, m, []), w, [])
+    d = attach(attach(df, m, []), w, [])
     z = {c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}
     pcs = [sum((z[c] * F.col(f"_w{j}_{c}") for c in cols), F.lit(0.0)).alias(f"PC{j}") for j in range(1, k + 1)]
     return d.select(*df.columns, *pcs)
@@ -70,7 +70,7 @@ def pca_scores(df: DataFrame, fit: DataFrame, cols: Sequence[str], k: int, refer
 def orient(scores: DataFrame, component: str, reference: str) -> DataFrame:
     """P-21: flip a component so that it rank-correlates positively with a reference."""
     r = spearman_by(scores, [], component, reference).select(F.when(F.col("rho") < 0, -1.0).otherwise(1.0).alias("_sign"))
-    return salted_join(scores, r, []).withColumn(component, F.col(component) * F.col("_sign")).drop("_sign")
+    return attach(scores, r, []).withColumn(component, F.col(component) * F.col("_sign")).drop("_sign")
 
 
 def _normal(seed: int, *parts: Column) -> Column:
@@ -109,7 +109,7 @@ def bootstrap_stability(df: DataFrame, unit: str, cols: Sequence[str], k: int, r
     p = len(cols)
     d = df.na.drop(subset=cols)
     m = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    d = cut(salted_join(d, m, []).select(F.col(unit).alias("unit"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols]))
+    d = cut(attach(d, m, []).select(F.col(unit).alias("unit"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols]))
     w = bootstrap_weights(d.select("unit", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), [], replicates, seed)
     j = w.select("b", "unit", "w").join(d, "unit")
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
@@ -137,7 +137,7 @@ def bootstrap_stability(df: DataFrame, unit: str, cols: Sequence[str], k: int, r
                     rows += [(r.b, c + 1, cols[i], float(v[i, c]), abs(float(cos[c]))) for i in range(p)]
             yield pd.DataFrame(rows, columns=["b", "component", "feature", "stat", "cosine"])
 
-    m2 = salted_join(j.groupBy("b").agg(*agg), refw.withColumnRenamed("_ref", "ref_"), [])
+    m2 = attach(j.groupBy("b").agg(*agg), refw.withColumnRenamed("_ref", "ref_"), [])
     reps = cut(m2.mapInPandas(run, "b int, component int, feature string, stat double, cosine double"))
     key = ["component", "feature"]
     load = reps.groupBy(*key).agg(F.avg("stat").alias("loading_mean"), F.stddev_samp("stat").alias("loading_std"), F.count("*").alias("n_boot"))

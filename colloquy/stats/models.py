@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.operators.scan import average_rank, row_number, salted_join, scan, with_group_aggs
+from colloquy.operators.scan import average_rank, row_number, attach, scan, with_group_aggs
 from colloquy.session import cut
 from .dist import chi2_p_value, f_p_value, normal_quantile, t_p_value, t_quantile
 from .moments import gram, pearson_by
@@ -36,10 +36,10 @@ def centred_moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) ->
     """Moments of complete rows, centred at the column means (kept as ``mi``, ``mj``)."""
     d = df.na.drop(subset=list(cols))
     m = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    c = salted_join(d, m, []).select(*keys, *[(F.col(x) - F.col(f"_m_{x}")).alias(x) for x in cols])
+    c = attach(d, m, []).select(*keys, *[(F.col(x) - F.col(f"_m_{x}")).alias(x) for x in cols])
     g = gram(c, keys, cols)
     arr = F.array(*[F.col(f"_m_{x}") for x in cols])
-    return salted_join(g, m.select(arr.alias("_m")), [])
+    return attach(g, m.select(arr.alias("_m")), [])
 
 
 def _matrix(pdf: pd.DataFrame, p: int):
@@ -125,7 +125,7 @@ def fit_models(df: DataFrame, models: Mapping[str, tuple[str, Sequence[str]]], k
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     d = df.na.drop(subset=list(cols))
     m = d.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    j = salted_join(d, m, [])
+    j = attach(d, m, [])
     return j.select(*[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
@@ -176,14 +176,14 @@ def indirect_effect(df: DataFrame, unit: str, x: str, m: str, y: str, replicates
         F.max(F.when((F.col("model") == "a") & (F.col("term") == x), F.col("beta"))).alias("a"),
         F.max(F.when((F.col("model") == "b") & (F.col("term") == m), F.col("beta"))).alias("b"),
     ).withColumn("indirect", F.col("a") * F.col("b"))
-    return salted_join(est, ci, [])
+    return attach(est, ci, [])
 
 
 def composites(df: DataFrame, spec: Mapping[str, Mapping[str, float]], inverted: Sequence[str] = ()) -> DataFrame:
     """C-13: weighted mean of z-scored indicators (sample sd), inverted ones negated."""
     cols = list(dict.fromkeys(c for w in spec.values() for c in w))
     m = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
-    j = salted_join(df, m, [])
+    j = attach(df, m, [])
     z = {c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) * (-1.0 if c in inverted else 1.0) for c in cols}
     out = []
     for name, ws in spec.items():
@@ -262,7 +262,7 @@ def repeated_kfold(df: DataFrame, unit: str, y: str, xs: Sequence[str], folds: i
     cols = [y, *xs]
     d = df.na.drop(subset=cols)
     m = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    d = salted_join(d, m, []).select(unit, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
+    d = attach(d, m, []).select(unit, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
     r = d.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     r = r.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col("repeat"), F.col(unit)), F.lit(folds)))
     g = gram(r, ["repeat", "fold"], cols).withColumn("_m", F.array(*[F.lit(0.0)] * len(cols)))
@@ -289,7 +289,7 @@ def residuals(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """Rows with fitted value and residual; the coefficients travel as one row."""
     f = ols(df, y, xs)
     b = f.agg(*[F.max(F.when(F.col("term") == t, F.col("beta"))).alias(f"_b_{t}") for t in ["const", *xs]])
-    d = salted_join(df.na.drop(subset=[y, *xs]), b, [])
+    d = attach(df.na.drop(subset=[y, *xs]), b, [])
     fit = F.col("_b_const") + sum((F.col(f"_b_{x}") * F.col(x) for x in xs), F.lit(0.0))
     return d.withColumn("fitted", fit).withColumn("resid", F.col(y) - fit).drop("_b_const", *[f"_b_{x}" for x in xs])
 
@@ -302,7 +302,7 @@ def diagnostics(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     k = k.withColumn("_z", normal_quantile((F.col("_rk") - 0.375) / (F.col("_n") + 0.25)))
     qq = pearson_by(k, [], "resid", "_z", 3, "qq_r")
     bp = ols(r.withColumn("_e2", F.col("resid") ** 2), "_e2", xs).agg((F.max("n") * F.max("r2")).alias("bp_lm"))
-    return salted_join(qq, bp.withColumn("bp_p", chi2_p_value("bp_lm", F.lit(float(len(xs))))), [])
+    return attach(qq, bp.withColumn("bp_p", chi2_p_value("bp_lm", F.lit(float(len(xs))))), [])
 
 
 def cluster_robust(df: DataFrame, y: str, xs: Sequence[str], cluster: str) -> DataFrame:
@@ -380,7 +380,7 @@ def adjusted_means(df: DataFrame, y: str, factor: str, levels: Sequence[str], co
     base = F.col("_b_const") + sum((F.col(f"_b_{c}") * F.col(f"_m_{c}") for c in covariates), F.lit(0.0))
     rows = [F.struct(F.lit(levels[0]).alias("level"), base.alias("adjusted_mean"))]
     rows += [F.struct(F.lit(lv).alias("level"), (base + F.col(f"_b_{n}")).alias("adjusted_mean")) for lv, n in zip(levels[1:], names)]
-    return salted_join(b, m, []).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return attach(b, m, []).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def dispersion_regression(df: DataFrame, group: str, score: str, outcome: DataFrame, y: str) -> DataFrame:
@@ -397,7 +397,7 @@ def dispersion_regression(df: DataFrame, group: str, score: str, outcome: DataFr
         F.max(F.when((F.col("model") == "mean_sd") & (F.col("term") == "sd"), F.col("beta"))).alias("beta_sd"),
     )
     r = pearson_by(g, [], "m", "sd", 3, "r_mean_sd").drop("n")
-    s = salted_join(s, r, [])
+    s = attach(s, r, [])
     return s.withColumn("delta_r2", F.col("r2_mean_sd") - F.col("r2_mean")).withColumn("confounded", F.abs("r_mean_sd") > 0.7)
 
 
@@ -412,7 +412,7 @@ def random_intercept(df: DataFrame, group: str, y: str, x: str) -> DataFrame:
     r = cut(residuals(df, y, [x]))
     vc = variance_components(r, group, "resid").select("var_between", "var_within")
     d = with_group_aggs(r, [group], _n=F.count("*"), _my=F.avg(y), _mx=F.avg(x))
-    d = salted_join(d, vc, [])
+    d = attach(d, vc, [])
     th = 1.0 - F.sqrt(F.col("var_within") / (F.col("var_within") + F.col("_n") * F.col("var_between")))
     d = d.withColumn("_t", th)
     yy, xx, c = F.col(y) - F.col("_t") * F.col("_my"), F.col(x) - F.col("_t") * F.col("_mx"), 1.0 - F.col("_t")

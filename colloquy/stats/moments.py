@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.scan import average_rank, salted_join
+from colloquy.operators.scan import average_rank, attach
 
 
 def pearson_by(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 2, out: str = "r") -> DataFrame:
@@ -111,7 +111,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] =
     cols = list(cols)
     # Centre first: correlations do not depend on the shift, rounding does.
     mean = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    c = salted_join(df, mean, []).select(*keys, *[(F.col(x) - F.col(f"_m_{x}")).alias(x) for x in cols])
+    c = attach(df, mean, []).select(*keys, *[(F.col(x) - F.col(f"_m_{x}")).alias(x) for x in cols])
     g = gram(c, keys, cols).where("i < j")
     cov = F.col("sij") - F.col("si") * F.col("sj") / F.col("n")
     va = F.col("sii") - F.col("si") * F.col("si") / F.col("n")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.scan import salted_join, with_group_aggs
+from colloquy.operators.scan import attach, with_group_aggs
 from colloquy.session import cut
 
 
@@ -32,7 +32,7 @@ def network_summary(edges: DataFrame) -> DataFrame:
     """P-45: nodes, edges, density, share of positive edges."""
     e = edges.agg(F.count("*").alias("n_edges"), F.avg((F.col("rho") > 0).cast("double")).alias("positive_share"))
     n = both_ways(edges).agg(F.countDistinct("a").alias("n_nodes"))
-    o = salted_join(e, n, [])
+    o = attach(e, n, [])
     return o.withColumn("density", F.try_divide(2.0 * F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1)))
 
 

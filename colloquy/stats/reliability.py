@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.scan import salted_join, with_group_aggs
+from colloquy.operators.scan import attach, with_group_aggs
 from .moments import pearson_by
 
 
@@ -19,11 +19,11 @@ def _cells(df: DataFrame, keys: Sequence[str], na: str) -> DataFrame:
     """Mean per participant and item; ``listwise`` keeps participants with every item."""
     c = df.where("score is not null").groupBy(*keys, "participant", "item").agg(F.avg("score").alias("score"))
     var = c.groupBy(*keys, "item").agg(F.var_samp("score").alias("_v")).where("_v > 0")
-    c = salted_join(c, var, [*keys, "item"], "inner").drop("_v")
+    c = attach(c, var, [*keys, "item"], "inner").drop("_v")
     if na == "listwise":
         k = var.groupBy(*keys).agg(F.count("*").alias("_k"))
         full = c.groupBy(*keys, "participant").agg(F.count("*").alias("_c"))
-        full = salted_join(full, k, keys, "inner").where("_c = _k").select(*keys, "participant")
+        full = attach(full, k, keys, "inner").where("_c = _k").select(*keys, "participant")
         c = c.join(full, [*keys, "participant"], "left_semi")
     return c
 
@@ -73,7 +73,7 @@ def item_statistics(df: DataFrame, keys: Sequence[str] = ("dimension",), na: str
     )
     allv = s.groupBy(*keys).agg(F.sum("_v").alias("_sv"), F.count("*").alias("_k"))
     o = s.join(r, [*keys, "item"]).join(q, [*keys, "item"])
-    o = salted_join(salted_join(o, n, keys, "inner"), allv, keys, "inner")
+    o = attach(attach(o, n, keys, "inner"), allv, keys, "inner")
     k = F.col("_k") - 1
     ss = F.col("_st2") - 2 * F.col("_sxt") + F.col("_sx2") - F.col("_sx") * F.col("_sx") / F.col("_np")
     rest_var = ss / (F.col("_np") - 1)
@@ -86,7 +86,7 @@ def prune_by_rdrop(df: DataFrame, rdrop: float = 0.3, alpha_ok: float = 0.7) ->
     st = item_statistics(df)
     al = cronbach_alpha(df).select("dimension", "alpha")
     weak = F.col("r_drop").isNull() | (F.col("r_drop") < rdrop)
-    s = salted_join(st, al, ["dimension"])
+    s = attach(st, al, ["dimension"])
     s = with_group_aggs(s, ["dimension"], _k=F.count("*"), _b=F.sum(weak.cast("long"))).where(weak)
     reason = F.when(F.col("alpha") >= alpha_ok, "alpha acceptable").when(F.col("_k") - F.col("_b") < 2, "too few items left")
     return s.select("dimension", "item", "r_drop", "alpha", reason.isNull().alias("drop"), reason.alias("kept_because"))
@@ -152,13 +152,13 @@ def anova_table(df: DataFrame, keys: Sequence[str], target: str, rater: str, val
     c = df.groupBy(*keys, target, rater).agg(F.avg(value).alias("_x"))
     k = c.select(*keys, rater).distinct().groupBy(*keys).agg(F.count("*").alias("k"))
     n_t = c.where("_x is not null").groupBy(*keys, target).agg(F.count("*").alias("_c"))
-    full = salted_join(n_t, k, keys, "inner").where("_c = k").select(*keys, target)
+    full = attach(n_t, k, keys, "inner").where("_c = k").select(*keys, target)
     c = c.join(full, [*keys, target], "left_semi")
     c = with_group_aggs(c, keys, _g=F.avg("_x")).withColumn("_x", F.col("_x") - F.col("_g")).drop("_g")
     tot = c.groupBy(*keys).agg(F.sum(F.col("_x") ** 2).alias("ss_total"))
     t = c.groupBy(*keys, target).agg(F.avg("_x").alias("_m")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_m") ** 2).alias("_tm"))
     r = c.groupBy(*keys, rater).agg(F.avg("_x").alias("_m")).groupBy(*keys).agg(F.sum(F.col("_m") ** 2).alias("_rm"))
-    o = tot.join(t, keys).join(r, keys).join(k, keys) if keys else salted_join(salted_join(salted_join(tot, t, []), r, []), k, [])
+    o = tot.join(t, keys).join(r, keys).join(k, keys) if keys else attach(attach(attach(tot, t, []), r, []), k, [])
     return o.select(
         *keys, "n", "k", "ss_total", (F.col("k") * F.col("_tm")).alias("ss_targets"), (F.col("n") * F.col("_rm")).alias("ss_raters")
     )
@@ -213,7 +213,7 @@ def rwg_j(df: DataFrame, keys: Sequence[str], rater: str, item: str, value: str,
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, item, rater).agg(F.avg(value).alias("_x"))
     nr = c.select(*keys, rater).distinct().groupBy(*keys).agg(F.count("*").alias("n_raters"))
     v = c.groupBy(*keys, item).agg(F.var_samp("_x").alias("_v"), F.count("*").alias("_c"))
-    v = salted_join(v, nr, keys, "inner").where("_c = n_raters")
+    v = attach(v, nr, keys, "inner").where("_c = n_raters")
     g = v.groupBy(*keys).agg(F.avg("_v").alias("_ov"), F.count("*").alias("n_items"), F.max("n_raters").alias("n_raters"))
     q = F.col("_ov") / F.lit((categories**2 - 1) / 12.0)
     j = F.col("n_items")

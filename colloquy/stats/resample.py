@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.operators.scan import (
-    average_rank, cumulative_counts, join_keys, previous_max, quantiles, row_number, running_sum, salted_join, scan,
+    average_rank, cumulative_counts, join_keys, previous_max, quantiles, row_number, running_sum, attach, scan,
     with_group_aggs,
 )
 from colloquy.session import cut
@@ -39,7 +39,7 @@ def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_fdr
     m = ok.groupBy(*fam).agg(F.count("*").alias("_m"))
     chunk = F.floor(F.sqrt(F.col(p)) * 255).cast("long")
     r = scan(ok, fam, [p, "_i"], chunk, {"_k": row_number()})
-    r = salted_join(r, m, fam, "inner").withColumn("_neg", -F.col(p)).withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k"))
+    r = attach(r, m, fam, "inner").withColumn("_neg", -F.col(p)).withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k"))
     r = r.withColumn("_negi", -F.col("_k"))
     # From the largest p downwards the adjusted value is the running minimum.
     s = scan(cut(r), fam, ["_negi"], -chunk, {"_best": previous_max("_q")})
@@ -77,7 +77,7 @@ def _weighted_rank(df: DataFrame, keys: Sequence[str], value: str, piece: str, o
 def _pieces(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     cuts = [i / PIECES for i in range(1, PIECES)]
     b = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
-    j = salted_join(df, b, keys)
+    j = attach(df, b, keys)
     return j.withColumn(out, F.size(F.filter("_b", lambda v: v <= F.col(value)))).drop("_b")
 
 
@@ -170,7 +170,7 @@ def leave_one_out_spearman(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Past the highest set bit all positions share one block without an upper sibling.
     lv = lv.withColumn("_blk", F.expr("shiftright(_pos, _lv + 1)")).withColumn("_up", F.expr("shiftright(_pos, _lv) & 1"))
     top = p.groupBy(*keys).agg(F.max("_pos").alias("_mp"))
-    lv = cut(salted_join(lv, top, keys).where(F.expr("shiftright(_mp, _lv) > 0")).drop("_mp"))
+    lv = cut(attach(lv, top, keys).where(F.expr("shiftright(_mp, _lv) > 0")).drop("_mp"))
     cnt = lv.groupBy(*keys, "_lv", "_blk", "_py", "y").agg(F.sum("_up").alias("_u"))
     cnt = cnt.withColumn("_neg", -F.col("y"))
     run = scan(cnt, [*keys, "_lv", "_blk"], ["_neg"], -F.col("_py").cast("long"), {"_cu": running_sum("_u")})
@@ -224,7 +224,7 @@ def permutation_p(df: DataFrame, keys: Sequence[str], replicates: int, seed: int
     s = scan(e, kb, ["_h", "unit"], _hash_chunk(F.col("_h")), {"_i": row_number()}).withColumn("_i", F.col("_i") - 1)
     j = s.select(*kb, "_i", "y").join(d.select(*keys, "_i", "x"), [*keys, "_i"])
     r = pearson_by(j, kb, "x", "y", 3, "_r")
-    r = salted_join(r.drop("n"), obs.drop("n"), keys, "inner")
+    r = attach(r.drop("n"), obs.drop("n"), keys, "inner")
     g = r.groupBy(*keys).agg(
         F.max("rho").alias("rho"),
         ((F.sum((F.abs("_r") >= F.abs("rho") - 1e-12).cast("long")) + 1) / F.lit(replicates + 1)).alias("p_perm"),
@@ -240,7 +240,7 @@ def bca_ci(df: DataFrame, keys: Sequence[str], replicates: int, level: float = 0
     jk = with_group_aggs(jackknife(df, keys), keys, _m=F.avg("stat"))
     dev = F.col("_m") - F.col("stat")
     acc = jk.groupBy(*keys).agg((F.sum(dev**3) / (6.0 * F.pow(F.sum(dev**2), F.lit(1.5)))).alias("acc"))
-    b = salted_join(reps, obs, keys, "inner").groupBy(*keys).agg(
+    b = attach(reps, obs, keys, "inner").groupBy(*keys).agg(
         F.max("theta").alias("theta"), F.avg((F.col("stat") < F.col("theta")).cast("double")).alias("below"), F.count("stat").alias("nb")
     )
     b = join_keys(b, acc, keys).withColumn("z0", normal_quantile(F.greatest(F.least("below", 1 - 0.5 / F.col("nb")), 0.5 / F.col("nb"))))
@@ -249,7 +249,7 @@ def bca_ci(df: DataFrame, keys: Sequence[str], replicates: int, level: float = 0
     adj = lambda z: F.col("z0") + (F.col("z0") + F.col(z)) / (1 - F.col("acc") * (F.col("z0") + F.col(z)))
     b = b.withColumn("_pl", normal_cdf(adj("_zl"))).withColumn("_ph", normal_cdf(adj("_zh")))
     # Ranked replicates: take the values at the two adjusted positions.
-    c = salted_join(cumulative_counts(reps, keys, "stat"), b, keys, "inner")
+    c = attach(cumulative_counts(reps, keys, "stat"), b, keys, "inner")
     at = lambda p: F.min(F.when(F.col("n_below") + F.col("n_equal") >= F.col(p) * (F.col("nb") - 1) + 1e-9, F.col("stat")))
     return c.groupBy(*keys).agg(F.max("theta").alias("theta"), at("_pl").alias("ci_low"), at("_ph").alias("ci_high"))
 

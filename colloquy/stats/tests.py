@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.operators.scan import average_rank, quantiles, salted_join, with_group_aggs
+from colloquy.operators.scan import average_rank, quantiles, attach, with_group_aggs
 from .dist import chi2_p_value, f_p_value, normal_cdf, t_p_value, t_quantile
 from .moments import spearman_by
 
@@ -97,7 +97,7 @@ def levene(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFr
     keys = list(keys)
     d = df.where(F.col(value).isNotNull())
     med = quantiles(d, [*keys, group], value, {"_med": 0.5})
-    d = salted_join(d, med, [*keys, group]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    d = attach(d, med, [*keys, group]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     return anova_oneway(d, keys, group, "_dev").drop("eta2").withColumnRenamed("f", "w")
 
 
