@@ -78,9 +78,7 @@ def scan(
     map-side combine and a window over one row per chunk.
     """
     keys, order = list(keys), list(order)
-    body = df.withColumn(CHUNK, chunk)
-    for name, s in specs.items():
-        body = body.withColumn(f"_e_{name}", s.expr)
+    body = df.select("*", chunk.alias(CHUNK), *[s.expr.alias(f"_e_{n}") for n, s in specs.items()])
     pos = F.struct(*order)
 
     aggs = []
@@ -174,23 +172,17 @@ def gap_islands(
     pos = F.struct(*order)
     state = F.struct(*run) if run else F.lit(True)
 
-    loc = df.withColumn(CHUNK, chunk).withColumn("_run", state)
-    loc = loc.withColumn(
-        "_chg",
-        (F.row_number().over(inside) > 1) & ~F.lag("_run").over(inside).eqNullSafe(F.col("_run")),
-    )
-    loc = loc.withColumn("_nrun", F.sum(F.col("_chg").cast("long")).over(upto))
+    loc = df.select("*", chunk.alias(CHUNK), state.alias("_run"))
+    changed = ~F.lag("_run").over(inside).eqNullSafe(F.col("_run"))
+    loc = loc.select("*", ((F.row_number().over(inside) > 1) & changed).cast("long").alias("_chg"))
+    loc = loc.select("*", F.sum("_chg").over(upto).alias("_nrun"))
     # The run number grows with the order, so the largest (run, end) pair seen so far
     # holds the latest end of the current run.
-    loc = loc.withColumn(
-        "_prev",
-        F.max(F.struct("_nrun", F.col(end).alias("e"))).over(
-            inside.rowsBetween(W.unboundedPreceding, -1)
-        ),
-    )
+    latest = F.max(F.struct("_nrun", F.col(end).alias("e"))).over(inside.rowsBetween(W.unboundedPreceding, -1))
+    loc = loc.select("*", latest.alias("_prev"))
     new_run = F.col("_prev").isNull() | (F.col("_prev._nrun") != F.col("_nrun"))
     late = F.lit(False) if gap is None else (F.col(start) - F.col("_prev.e")) > F.lit(gap)
-    loc = loc.withColumn("_new", new_run | late).withColumn("_pos", pos).drop("_prev")
+    loc = loc.select(*df.columns, CHUNK, "_run", "_nrun", (new_run | late).alias("_new"), pos.alias("_pos"))
 
     summary = loc.groupBy(*keys, CHUNK).agg(
         F.min_by("_run", "_pos").alias("first_run"),
@@ -202,35 +194,27 @@ def gap_islands(
     up = W.partitionBy(*keys).orderBy(CHUNK)
     until = up.rowsBetween(W.unboundedPreceding, 0)
     before = up.rowsBetween(W.unboundedPreceding, -1)
-    c = summary.withColumn("prev_run", F.lag("last_run").over(up))
-    c = c.withColumn(
-        "joins", F.coalesce(F.col("prev_run").eqNullSafe(F.col("first_run")), F.lit(False))
-        & F.lag(F.lit(1)).over(up).isNotNull(),
-    )
-    c = c.withColumn(
-        "g", F.sum(F.col("changes") + F.when(F.col("joins"), 0).otherwise(1)).over(until)
-    )
-    c = c.withColumn("carry", F.max(F.struct("g", F.col("tail.e").alias("e"))).over(before))
+    joins = F.lag("last_run").over(up).eqNullSafe(F.col("first_run")) & F.lag(F.lit(1)).over(up).isNotNull()
+    c = summary.select("*", F.coalesce(joins, F.lit(False)).alias("joins"))
+    runs = F.sum(F.col("changes") + F.when(F.col("joins"), 0).otherwise(1)).over(until)
+    c = c.select("*", runs.alias("g"))
+    c = c.select("*", F.max(F.struct("g", F.col("tail.e").alias("e"))).over(before).alias("carry"))
     opened_after = (
         F.lit(False)
         if gap is None
         else (F.col(f"last_new.{order[0]}") - F.col("carry.e")) > F.lit(gap)
     )
     own = (F.col("changes") > 0) | ~F.col("joins") | opened_after
-    c = c.withColumn(
-        "carry_id", F.last(F.when(own, F.col("last_new")), ignorenulls=True).over(before)
-    )
-    carried = c.select(*keys, CHUNK, "joins", F.col("carry.e").alias("carry_e"), "carry_id")
+    carry_id = F.last(F.when(own, F.col("last_new")), ignorenulls=True).over(before)
+    carried = c.select(*keys, CHUNK, "joins", F.col("carry.e").alias("carry_e"), carry_id.alias("carry_id"))
 
     row = loc.join(carried, [*keys, CHUNK], "left")
     continues = F.col("joins") & (F.col("_nrun") == 0)
     reopened = F.lit(False) if gap is None else (F.col(start) - F.col("carry_e")) > F.lit(gap)
     opens = F.col("_new") & (~continues | reopened)
-    row = row.withColumn("_open", F.when(opens, F.col("_pos")))
-    row = row.withColumn(
-        island, F.coalesce(F.last("_open", ignorenulls=True).over(upto), F.col("carry_id"))
-    )
-    return row.select(*df.columns, island)
+    row = row.select("*", F.when(opens, F.col("_pos")).alias("_open"))
+    seen = F.last("_open", ignorenulls=True).over(upto)
+    return row.select(*df.columns, F.coalesce(seen, F.col("carry_id")).alias(island))
 
 
 def collapse_islands(

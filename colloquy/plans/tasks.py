@@ -143,10 +143,16 @@ def _(spark, sf):
     return te.typed_text(c.select(F.col("conv_id").alias("group_id"), F.lit("typing").alias("task"), F.col("text").alias("answer"), F.col("role").alias("truth")))
 
 
+def assembled(spark, sf):
+    """Individual and strategy tables; what both read is written once."""
+    la, sn, ex = cut(last(spark, sf)), cut(snapshot(spark, sf)), cut(expected(spark, sf))
+    ky = sn.where("item % 10 != 0").select("group_id", "task", "item", "truth")
+    ind = te.individual_table(te.effort(events(spark, sf)), te.skill_items(la, ky, ex), te.contribution(sn), ["T2"])
+    return ind, te.strategy(t.task_log(spark, sf), te.correct_items(la, ky), ex)
+
+
 def individual(spark, sf):
-    return te.individual_table(
-        te.effort(events(spark, sf)), te.skill_items(last(spark, sf), key(spark, sf), expected(spark, sf)), te.contribution(snapshot(spark, sf)), ["T2"]
-    )
+    return assembled(spark, sf)[0]
 
 
 IND = """ef AS (SELECT group_id, task, subject, sum((event_type LIKE 'TASK%')::INT)::DOUBLE et0, sum((event_type LIKE 'COMM%')::INT)::DOUBLE effort_comm FROM ev GROUP BY ALL),
@@ -198,7 +204,8 @@ def _(spark, sf):
 @query("e13_task_table", IALL + """SELECT group_id, task, count(*) n_members, sum(effort_total) effort_total_sum, round(avg(skill_i), 6) skill_mean, max(skill_i) skill_max, sum(contribution_correct)::BIGINT contribution_correct_sum, any_value(n_touched) n_touched, round(any_value(redundancy_rate), 6) redundancy_rate,
  """ + CONG.format(x="skill_i") + " skill_congruence FROM ind JOIN stg USING (group_id, task) GROUP BY ALL")
 def _(spark, sf):
-    o = te.task_table(cut(individual(spark, sf)), cut(strat(spark, sf)))
+    ind, st = assembled(spark, sf)
+    o = te.task_table(cut(ind), cut(st))
     o = o.select("group_id", "task", "n_members", "effort_total_sum", "skill_mean", "skill_max", "contribution_correct_sum", "n_touched", "redundancy_rate", "skill_congruence")
     return rnd(rnd(o, "skill_mean", "redundancy_rate"), "skill_congruence", d=5)
 
@@ -212,7 +219,8 @@ def _(spark, sf):
 @query("e14_group_summary", IALL + """, tt AS (SELECT group_id, task, sum(effort_total) e, avg(skill_i) s FROM ind GROUP BY ALL)
 SELECT group_id, count(*) n_tasks, sum(e) effort_total_sum, round(avg(s), 6) skill_mean, round(avg(coverage_any), 6) coverage_any_mean, round(avg(redundancy_rate), 6) redundancy_rate_mean FROM tt JOIN stg USING (group_id, task) GROUP BY ALL""")
 def _(spark, sf):
-    o = te.group_summary(te.task_table(cut(individual(spark, sf)), cut(strat(spark, sf))))
+    ind, st = assembled(spark, sf)
+    o = te.group_summary(te.task_table(cut(ind), cut(st)))
     o = o.select("group_id", "n_tasks", "effort_total_sum", "skill_mean", "coverage_any_mean", "redundancy_rate_mean")
     return rnd(o, "skill_mean", "coverage_any_mean", "redundancy_rate_mean")
 
