@@ -19,55 +19,49 @@ from .scan import by_width, gap_islands, lag, quantiles, attach, scan, with_grou
 K = ["layout_id"]
 
 
-def near_pairs(solution: DataFrame, placed: DataFrame, radius: float | None) -> DataFrame:
-    """J-13: solution / placed pairs of one layout within ``radius`` (all of them if None)."""
+def near_pairs(solution: DataFrame, placed: DataFrame, radius: float) -> DataFrame:
+    """J-13: solution / placed pairs of one layout within ``radius``, found by grid cell."""
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     s = solution.select(*K, "s_id", F.col("x").alias("sx"), F.col("z").alias("sz"))
     p = placed.select(*K, "p_id", F.col("x").alias("px"), F.col("z").alias("pz"))
-    if radius is None:
-        j = s.join(p, K)
-    else:
-        cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-        step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        s = s.withColumn("_i", F.explode(F.transform(step, lambda d: d + cell("sx")))).withColumn("_j", F.explode(F.transform(step, lambda d: d + cell("sz"))))
-        p = p.withColumn("_i", cell("px")).withColumn("_j", cell("pz"))
-        j = s.join(p, [*K, "_i", "_j"])
+    s = s.withColumn("_i", F.explode(F.transform(step, lambda d: d + cell("sx")))).withColumn("_j", F.explode(F.transform(step, lambda d: d + cell("sz"))))
+    p = p.withColumn("_i", cell("px")).withColumn("_j", cell("pz"))
+    j = s.join(p, [*K, "_i", "_j"])
     dx, dz = F.col("sx") - F.col("px"), F.col("sz") - F.col("pz")
-    j = j.withColumn("dist", F.sqrt(dx * dx + dz * dz))
-    j = j if radius is None else j.where(F.col("dist") <= radius)
+    j = j.withColumn("dist", F.sqrt(dx * dx + dz * dz)).where(F.col("dist") <= radius)
     return j.select(*K, "s_id", "p_id", "dist")
 
 
-def match_greedy(solution: DataFrame, placed: DataFrame, radius: float = 0.5, growth: float = 4.0, max_radius: float = 1e6) -> DataFrame:
+def match_greedy(solution: DataFrame, placed: DataFrame, radius: float = 0.5, growth: float = 4.0) -> DataFrame:
     """K-01: one-to-one pairs by ascending distance (ties by ids).
 
     Pairs within a radius come before all longer ones, so the search radius grows only
     when nothing is left inside it. Within a radius, a pair that is the nearest one left
     for both of its objects is what the sequential rule takes next for them; each round
-    takes all such pairs at once. Distances beyond ``max_radius`` are searched last.
+    takes all such pairs at once. Objects without a position cannot be matched.
     """
-    s, p = cut(solution), cut(placed)
-    found = None
-    r: float | None = radius
-    while True:
-        both = s.select(*K).distinct().join(p.select(*K).distinct(), K)
-        if both.isEmpty():
-            break
+    at = lambda d: d.where(~F.isnan("x") & ~F.isnan("z"))
+    s, p = cut(at(solution)), cut(at(placed))
+    found, r = None, radius
+    while not s.select(*K).distinct().join(p.select(*K).distinct(), K).isEmpty():
         e = cut(near_pairs(s, p, r))
+        new_here = False
         while not e.isEmpty():
+            new_here = True
             o = F.struct("dist", "s_id", "p_id")
             bs = e.groupBy(*K, "s_id").agg(F.min(o).alias("b")).select(*K, "b")
             bp = e.groupBy(*K, "p_id").agg(F.min(o).alias("b")).select(*K, "b")
             new = cut(bs.join(bp, [*K, "b"]).select(*K, "b.s_id", "b.p_id", "b.dist"))
             found = new if found is None else found.unionByName(new)
             e = cut(e.join(new.select(*K, "s_id"), [*K, "s_id"], "left_anti").join(new.select(*K, "p_id"), [*K, "p_id"], "left_anti"))
-        if found is not None:
+        if new_here:
             s = cut(s.join(found.select(*K, "s_id"), [*K, "s_id"], "left_anti"))
             p = cut(p.join(found.select(*K, "p_id"), [*K, "p_id"], "left_anti"))
-        if r is None:
-            break
-        r = r * growth if r * growth <= max_radius else None
-    empty = solution.select(*K, "s_id").join(placed.select(*K, "p_id"), K).withColumn("dist", F.lit(0.0)).limit(0)
-    return cut(found) if found is not None else empty
+        r *= growth
+    if found is None:
+        return solution.select(*K, "s_id").join(placed.select(*K, "p_id"), K).withColumn("dist", F.lit(0.0)).limit(0)
+    return cut(found)
 
 
 def _medians(df: DataFrame, x: str, z: str) -> DataFrame:

@@ -251,6 +251,43 @@ def _(spark, sf):
     return rnd(o, "angle_x", "ux", "az", "wrapped", "d2", "to_origin")
 
 
+def _vec(spark, sf, **cols):
+    d = t.directions(spark, sf).select("session_id", "role", "frame_idx", *[c.alias(n) for n, c in cols.items()])
+    return rnd(d, *[n for n in cols if n != "bin"])
+
+
+VQ = "SELECT session_id, role, frame_idx, "
+
+
+@query("f06_angle_to_target", t.with_(t.DIRS) + VQ + "round(degrees(acos(greatest(-1, least(1, -(dx*px+dy*py+dz*pz)/sqrt(px*px+py*py+pz*pz))))), 6) angle FROM dirs")
+def _(spark, sf):
+    c = lambda *n: [F.col(x) for x in n]
+    return _vec(spark, sf, angle=fn.angle_to_target(c("dx", "dy", "dz"), c("px", "py", "pz"), [F.lit(0.0)] * 3))
+
+
+@query("f07_unit_vector", t.with_(t.DIRS) + VQ + "round(px / sqrt(px*px+py*py+pz*pz), 6) ux, round(py / sqrt(px*px+py*py+pz*pz), 6) uy, round(pz / sqrt(px*px+py*py+pz*pz), 6) uz FROM dirs")
+def _(spark, sf):
+    u = fn.unit_vector([F.col(x) for x in ("px", "py", "pz")], [F.lit(0.0)] * 3)
+    return _vec(spark, sf, ux=u[0], uy=u[1], uz=u[2])
+
+
+@query("f08_wrap180", t.with_(t.DIRS) + VQ + "round(((dx * 720 + 180 + 7200) % 360) - 180, 6) wrapped FROM dirs")
+def _(spark, sf):
+    return _vec(spark, sf, wrapped=fn.wrap180(F.col("dx") * 720))
+
+
+@query("f09_azimuth_bin", t.with_(t.DIRS) + VQ + "round((degrees(atan2(px, pz)) + 360) % 360, 6) az, least(floor(((degrees(atan2(px, pz)) + 360) % 360) / 22.5), 15)::INT bin FROM dirs")
+def _(spark, sf):
+    az = fn.azimuth(F.col("px"), F.col("pz"))
+    return _vec(spark, sf, az=az, bin=fn.histogram_bin(az, 0.0, 360.0, 16))
+
+
+@query("f11_distance", t.with_(t.DIRS) + VQ + "round(sqrt(px*px+pz*pz), 6) d2, round(sqrt(px*px+py*py+pz*pz), 6) d3 FROM dirs")
+def _(spark, sf):
+    p = [F.col(x) for x in ("px", "py", "pz")]
+    return _vec(spark, sf, d2=fn.distance([p[0], p[2]], [F.lit(0.0)] * 2), d3=fn.distance(p, [F.lit(0.0)] * 3))
+
+
 @query("f10_rotate_yaw", t.with_(t.DIRS) + ", r AS (SELECT *, cos(radians(30)) * dx - sin(radians(30)) * dz x, sin(radians(30)) * dx + cos(radians(30)) * dz z FROM dirs) SELECT session_id, role, frame_idx, round(x / sqrt(x*x+dy*dy+z*z), 6) rx, round(z / sqrt(x*x+dy*dy+z*z), 6) rz FROM r")
 def _(spark, sf):
     x, y, z = fn.rotate_yaw(F.col("dx"), F.col("dy"), F.col("dz"), F.lit(30.0))
@@ -559,6 +596,16 @@ def _(spark, sf):
     return li(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey").join(p, "l_partkey", "left")
 
 
+@query("j10_theta_self_join", t.with_(t.SEG) + "SELECT a.session_id, a.role source, b.role target, a.start_s a_s, a.end_s a_e, b.start_s b_s FROM seg a JOIN seg b ON a.session_id = b.session_id AND a.role <> b.role AND b.start_s > a.start_s AND b.start_s <= a.end_s + 0.5")
+def _(spark, sf):
+    from colloquy.operators.align import interval_join
+    s = t.segments(spark, sf)
+    a = s.select("session_id", F.col("role").alias("source"), F.col("start_s").alias("a_s"), F.col("end_s").alias("a_e"), (F.col("end_s") + 0.5).alias("_until"))
+    b = s.select("session_id", F.col("role").alias("target"), F.col("start_s").alias("b_s"), F.col("start_s").alias("_at"))
+    j = interval_join(a, b, ["session_id"], 10.0, ("a_s", "_until"), ("b_s", "_at"), (F.col("source") != F.col("target")) & (F.col("b_s") > F.col("a_s")) & (F.col("b_s") <= F.col("a_e") + 0.5))
+    return j.drop("_until", "_at")
+
+
 @query("j12_existence_joins", t.with_(t.SEG) + "SELECT session_id, role, start_s, end_s FROM seg a WHERE end_s - start_s < 2 AND EXISTS (SELECT 1 FROM seg b WHERE b.session_id = a.session_id AND b.role <> a.role AND b.start_s <= a.end_s AND b.end_s >= a.start_s)")
 def _(spark, sf):
     from colloquy.operators.align import interval_join

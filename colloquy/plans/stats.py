@@ -274,10 +274,10 @@ def _(spark, sf):
     return rnd(d.select("unit_id", "load", "deal"), "load", "deal")
 
 
-@query("c13_composite_loadings")
+@query("c13_composite_loadings", t.with_(t.FEAT) + ", z AS (SELECT quantity, lines, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () + (lines - avg(lines) OVER ()) / stddev_samp(lines) OVER () l FROM feat) SELECT unnest(['quantity', 'lines']) x, 'load' y, count(*) n, unnest([round(corr(quantity, l), 6), round(corr(lines, l), 6)]) loading FROM z")
 def _(spark, sf):
     d = cut(md.composites(t.features(spark, sf), {"load": {"quantity": 1.0, "lines": 1.0}}))
-    return md.composite_loadings(d, "load", ["quantity", "lines"])
+    return rnd(md.composite_loadings(d, "load", ["quantity", "lines"]), "loading")
 
 
 @query("p34_cluster_robust", t.with_(t.FEAT, REG) + """, e AS (SELECT family_key, quantity x, price - a - b * quantity e FROM feat, rg), s AS (SELECT family_key, sum(e) s0, sum(x * e) s1 FROM e GROUP BY ALL),
