@@ -7,11 +7,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colloquy.session import checkpoint_dir
 
 WHITE = b" \t\n\r\x0b\x0c"
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,7 +39,13 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over small batches: texts are long, and a batch is held several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """One output batch for each input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +54,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def fold(doc_id: int | None, n: int) -> int:
@@ -63,12 +70,14 @@ def fold_column(doc_id, n: int):
 def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0) -> DataFrame:
     """At most ``limit`` rows for each value of ``keys``, those with the smallest seeded hash of doc_id; ``_n`` counts them.
 
-    Spark keeps ``limit`` rows per key and task before the shuffle, so a key with most rows is no hot group.
+    The rows of a key are first thinned by that hash to about twice the limit, so no task sorts many rows of one key.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id"))
-    return labels.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    seen = labels.groupBy(*keys).agg(F.count("*").alias("_all"))
+    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    near = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) * F.col("_all") <= 2.0 * limit + 50
+    thin = labels.join(seen, keys).where(near).drop("_all")
+    order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col("doc_id"))
+    return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
 
 
 def labelled(labels: DataFrame, target: str) -> DataFrame:
@@ -81,5 +90,8 @@ def labelled(labels: DataFrame, target: str) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, ...) with the text of each; a repeated doc_id gives a row for each of its texts."""
-    return docs.select("doc_id", "text").join(rows, "doc_id")
+    """``rows`` (doc_id, ...), a bounded sample, with the text of each; a repeated doc_id gives a row for each of its texts.
+
+    The sample is broadcast: its size is bounded by the parameters of ``bounded_sample``.
+    """
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import bounded_sample, fold_column, map_batches
+from colloquy.llm.common import bounded_sample, fold_column, map_batches, map_stream
 
 WIDTH = 1 << 16
 PER_LANGUAGE = 1500
@@ -147,8 +147,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, penalty: float = 1.
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "gram", "n"])
 
-    rows = known.select("doc_id", "lang", "text").join(sample, ["doc_id", "lang"]).select("lang", "text")
-    by = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text")
+    by = map_stream(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     packed = by.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).collect()  # at most WIDTH numbers a language
     packed = sorted(packed, key=lambda r: r["lang"])
     counts = np.zeros((len(packed), WIDTH))

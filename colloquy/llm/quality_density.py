@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import WHITE, fold_column, labelled, map_batches, texts_of, written
+from colloquy.llm.common import WHITE, fold_column, labelled, map_batches, map_stream, written
 
 NAMES = ("words", "word_length", "long_words", "distinct", "top_word", "second_word", "upper", "digits", "symbols", "marks", "sentence_marks", "lines", "repeated_lines", "bars", "compressed", "last_char_mix")
 SHRINK = 0.2
@@ -130,22 +130,22 @@ def train(measured: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) ->
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.ravel()[at])], ["at", "v"])
 
     out = np.zeros(2 * (1 + p + p * p))
-    for r in measured.select("y", "stats").mapInArrow(sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+    for r in map_stream(measured.select("y", "stats"), sums, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         out[r["at"]] = r["v"]
     out = out.reshape(2, -1)
     return Model(out[:, 0], out[:, 1:1 + p], out[:, 1 + p:].reshape(2, p, p), shrink, ridge)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, y, text) of the rows that may be learnt from."""
-    return texts_of(docs, labelled(labels, "quality").where(fold_column(F.col("doc_id"), FOLDS) != HELD_OUT))
+def fitted(measured: DataFrame, labels: DataFrame, shrink: float, ridge: float) -> Model:
+    """Model from the statistics (doc_id, stats) of all documents whose labels may be learnt from."""
+    known = labelled(labels, "quality").where(fold_column(F.col("doc_id"), FOLDS) != HELD_OUT)
+    return train(measured.join(known, "doc_id"), shrink, ridge)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> DataFrame:
     """One row per document: whether its label was held out, score, prediction."""
-    known = labelled(labels, "quality").where(fold_column(F.col("doc_id"), FOLDS) != HELD_OUT)
     measured = written(measure(docs, ["doc_id"]), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(train(measured.join(known, "doc_id"), shrink, ridge))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(measured, labels, shrink, ridge))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = model.value.score(np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, len(NAMES)))
@@ -156,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrink: float = SHRINK, r
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, shrink: float = SHRINK, ridge: float = RIDGE) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``threshold``, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(measure(training_rows(docs, labels), ["y"]), shrink, ridge))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(measure(docs, ["doc_id"]), labels, shrink, ridge))
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
