@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from colloquy.llm.common import map_batches
+from colloquy.llm.common import map_batches, map_stream
 
 BLOCK = 1 << 16
 LONG = 1 << 12
@@ -139,16 +139,16 @@ def merge_table(path: str) -> MergeTable:
 
 
 class Known(dict):
-    """Remembers what ``make`` gives for short strings, up to ``KNOWN`` of them."""
+    """Remembers what ``make`` gives for short strings, up to ``limit`` of them."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], limit: int = KNOWN):
         super().__init__()
-        self.make = make
+        self.make, self.limit = make, limit
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= UNIT:
-            if len(self) >= KNOWN:
+            if len(self) >= self.limit:
                 self.clear()
             self[key] = value
         return value
@@ -162,9 +162,9 @@ class Units:
     string as little-endian unsigned 32-bit integers.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes]):
-        self.whole, self.plain, self.line_feed = whole, Known(encode), encode("\n")
-        self.spaced = Known(self._spaced)
+    def __init__(self, encode: Callable[[str], bytes], whole: Callable[[str], bytes], limit: int = KNOWN):
+        self.whole, self.plain, self.line_feed = whole, Known(encode, limit), encode("\n")
+        self.spaced = Known(self._spaced, limit)
 
     def _spaced(self, unit: str) -> bytes:
         if unit and unit[-1] in ",.;:!?" and unit[:-1].isalpha():
@@ -292,12 +292,15 @@ def round_trip(text: str | None, path: str) -> tuple[int, str, str]:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: tokens, digest of the ids, digest of the text decoded from them."""
+    kinds = (pa.int64(), pa.string(), pa.string())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [round_trip(t, path) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [round_trip(t, path) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        _units.cache_clear()  # a worker that goes on with other work needs the memory
 
-    return map_batches(docs.select("doc_id", "text"), run, RESULT)
+    return map_stream(docs.select("doc_id", "text"), run, RESULT)
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:

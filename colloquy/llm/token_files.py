@@ -27,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from colloquy.llm.bpe import Units, byte_letters
-from colloquy.llm.common import file_system, shared, written
+from colloquy.llm.common import file_system, map_stream, shared, written
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 END_ID = 2
 LEVEL = 3
+KNOWN = 1_000_000  # units that a worker remembers, at about 200 bytes each
 INDEX = "path string, part int, n_tokens long, n_docs long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -155,7 +156,7 @@ def library_units(path: str) -> Units:
             return array("I", [t.id for t in model.tokenize("".join(map(letter, text.encode())))]).tobytes()
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    return Units(encode, encode)
+    return Units(encode, encode, KNOWN)
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, planes: str = "byte", folder: str | None = None) -> DataFrame:
@@ -185,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, planes:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([len(writer.docs)], pa.int64())], ["path", "part", "n_tokens", "n_docs"])
 
-    return written(rows.select("doc_id", "text").mapInArrow(write, INDEX), "token-index")
+    return written(map_stream(rows.select("doc_id", "text"), write, INDEX), "token-index")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return placed.select("path", "start").repartitionByRange(max(1, n), "start").mapInArrow(scan, RESULT)
+    return map_stream(placed.select("path", "start").repartitionByRange(max(1, n), "start"), scan, RESULT)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -230,4 +231,4 @@ def read_ids(spark: SparkSession, files: DataFrame) -> DataFrame:
                     for doc, _, pieces in PlaneReader(source, source.size()).documents():
                         yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([np.concatenate([np.zeros(0, "<u4"), *pieces]).tolist()], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return files.select("path").repartition(max(1, files.count()), "path").mapInArrow(scan, "doc_id long, ids array<long>")
+    return map_stream(files.select("path").repartition(max(1, files.count()), "path"), scan, "doc_id long, ids array<long>")
