@@ -9,8 +9,9 @@ a shingle.
 
 Documents with equal multisets are one node. Nodes that share a band of ``ROWS`` components meet; each band's group is
 first compared with one of its members only (a star), and nodes that link are joined into components. Groups that
-still hold several components are compared across the components, all pairs, so no link between nodes that share a
-band is lost, while copies are never expanded into pairs. Every link is verified: with a and b the shingles of two
+still hold several components are compared across them: groups of at most ``FEW`` nodes pair by pair, the nodes of
+larger ones by an exact join on the rarest elements of their multisets (``across``). So no link between nodes that
+share a band is lost, while a large group is never expanded into pairs. Every link is verified: with a and b the shingles of two
 documents, counted with repeats, the overlap must be at least 0.8 of the union.
 
 Defined results: words are lower-cased runs of ASCII letters, digits and other non-ASCII characters; a text of one to
@@ -22,20 +23,23 @@ an empty result; other columns are not read by ``near_duplicates`` and all kept
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from colloquy.llm.common import written
+from colloquy.llm.common import map_stream, written
 from colloquy.llm.words import split_words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
+FEW = 8
 SIZE = BANDS * ROWS
 CHUNK = 1 << 18
+TICKS = 1 << 34
 KNOWN = 300_000
 SKETCH = "doc_id long, digest binary, n long, bands array<long>"
 
@@ -97,13 +101,14 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> n
         low, level = low + width, level + 1
         left = left[w[left] > low]
     seed, doc, width, low, top = (np.concatenate(x) for x in (seeds, docs, widths, lows, tops))
-    time, step = np.zeros(len(seed)), np.zeros(len(seed), np.uint64)
-    flat = np.full(len(bags) * size, np.inf)
+    # Times are whole numbers, so that their sums do not depend on how the points are cut into blocks.
+    time, step = np.zeros(len(seed), np.int64), np.zeros(len(seed), np.uint64)
+    flat = np.full(len(bags) * size, np.iinfo(np.int64).max)
     while len(seed):
         points = int(np.clip(8192 // len(seed), 1, 256))
         u = mixed(seed[:, None] + (step[:, None] + np.arange(1, points + 1, dtype=np.uint64)) * _A)
         gap = -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0) / width[:, None]
-        t = time[:, None] + np.cumsum(gap, axis=1)
+        t = time[:, None] + np.cumsum(np.ceil(gap * TICKS).astype(np.int64), axis=1)
         v = mixed(u ^ _A)
         component = (v >> np.uint64(40)).astype(np.int64) % size
         unit = low[:, None] + np.floor(((v & np.uint64((1 << 40) - 1)).astype(np.float64) / (1 << 40)) * width[:, None]).astype(np.int64) + 1
@@ -148,7 +153,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([int(w.sum()) for _, w in bags], pa.int64()), lists], ["doc_id", "digest", "n", "bands"])
 
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary")).mapInArrow(run, SKETCH)
+    return map_stream(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary")), run, SKETCH)
 
 
 def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,7 +164,7 @@ def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "bag"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInArrow(run, "node long, bag array<long>")
+    return map_stream(texts, run, "node long, bag array<long>")
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -191,41 +196,81 @@ def components(links: DataFrame) -> DataFrame:
         label = after.select("node", "label")
 
 
+def centres(groups: DataFrame) -> DataFrame:
+    """(key, a, _n): each group's node with the largest ``centre``."""
+    top = groups.groupBy("key").agg(F.max("centre").alias("_top"))
+    return groups.join(top, "key").where(F.col("centre") == F.col("_top")).select("key", F.col("node").alias("a"), F.col("n").alias("_n"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+BIN = 1.03
+
+
+def across(nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that may overlap by 0.8, complete.
+
+    Elements are ordered by the number of nodes that hold them. Two multisets of x >= y elements with an overlap of
+    o >= 4 (x + y) / 9 share an element among the first x - o + 1 and y - o + 1. The smaller one needs its first
+    y - 8y/9 + 1 elements only, whatever its partner; the larger one is looked up by classes of partner sizes that
+    differ by 3 %. Elements all of whose holders are in one part are left out before the parts meet.
+    """
+    held = nodes.join(bags, "node").select("node", "n", "part", F.explode("bag").alias("e"))
+    common = held.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    shared = held.join(common, "e")
+    w = Window.partitionBy("node")  # one document's elements
+    rank = F.row_number().over(w.orderBy("f", "e"))
+    at = (F.col("n") - F.count("*").over(w) + rank - 1).alias("at")  # elements that no other node holds come first
+    up = lambda c: F.ceil(c).cast("long")
+    size_class = lambda c: F.floor(F.log(c.cast("double")) / F.lit(math.log(BIN)) + 1e-9).cast("int")
+    n = F.col("n")
+    placed = written(shared.select("node", "n", "part", "e", at).where(F.col("at") <= n - up(n * 4 / 5)), "placed")
+    small = placed.where(F.col("at") <= n - up(n * 8 / 9)).withColumn("c", size_class(n))
+    large = placed.withColumn("c", F.explode(F.sequence(size_class(up(n * 4 / 5)), size_class(n))))
+    least = F.greatest(F.pow(F.lit(BIN), F.col("c").cast("double")) - 1e-6, n * 4 / 5)
+    large = large.where(F.col("at") <= n - up((n + least) * 4 / 9 - 1e-6))
+    both = small.select("e", "c", "part").unionByName(large.select("e", "c", "part"))
+    mixed_up = written(both.groupBy("e", "c").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("e", "c"), "elements")
+    small, large = (x.join(mixed_up, ["e", "c"]).select("e", "c", "part", "node", "n") for x in (small, large))
+    small, large = written(small, "small"), written(large, "large")
+    parts = small.select("e", "c", F.col("part").alias("p")).distinct().join(large.select("e", "c", F.col("part").alias("q")).distinct(), ["e", "c"]).where("p != q")
+    one = parts.join(small.select("e", "c", F.col("part").alias("p"), F.col("node").alias("a"), F.col("n").alias("_n")), ["e", "c", "p"])
+    two = large.select("e", "c", F.col("part").alias("q"), F.col("node").alias("b"), "n")
+    return one.join(two, ["e", "c", "q"]).where((5 * F.col("_n") >= 4 * n) & (F.col("_n") <= n)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the smallest doc_id with an equal multiset), class_id, and whether the document names its class."""
+    """doc_id, node (the smallest doc_id with an equal multiset), class_id, and whether the document names its class.
+
+    Tables that grow with the documents are joined by merge at every size; none is broadcast while it is still small.
+    """
     sketch = written(sketches(docs), "sketches")
     nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("node"))
     named = written(sketch.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("node")), "nodes")
     own = sketch.join(named.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
-    # One random order of the nodes for all bands: a large group has the same centre in most of them, so few pairs.
-    groups = own.groupBy("key").agg(F.count("*").alias("_k")).where("_k > 1").select("key")
-    met = written(own.join(groups, "key").distinct(), "met")
+    groups = own.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    met = own.join(groups, "key").distinct()
+    # The node that meets most others is the likeliest centre of its group; equal ones are told apart by a hash.
+    weight = met.groupBy("node").agg((F.sum("k") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("centre"))
+    met = written(met.join(weight, "node"), "met")
     bags = written(bags_of(docs, met.select("node").distinct()), "bags")
-    fits = 5 * F.least("_n", "n") >= 4 * F.greatest("_n", "n")
 
-    links, label = None, None
-    for step in ("star", "again", "rest"):
-        if label is not None:
-            split = met.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-            mixed_up = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-            split = written(split.join(mixed_up, "key"), "split")
-        else:
-            split = met.withColumn("part", F.col("node"))
-        if step == "rest":
-            parts = split.select("key", "part").distinct()
-            other = parts.withColumnRenamed("part", "_part")
-            across = parts.join(other, "key").where(F.col("part") < F.col("_part"))
-            first = across.join(split, ["key", "part"]).select("key", "_part", F.col("node").alias("a"), F.col("n").alias("_n"))
-            found = first.join(split.select("key", F.col("part").alias("_part"), F.col("node").alias("b"), "n"), ["key", "_part"]).where(fits)
-        else:
-            seed = F.lit({"star": 0x5BF03635, "again": 0x7ED558CC}[step])
-            centre = split.groupBy("key").agg(F.min(F.xxhash64("node", seed)).alias("h"))
-            centre = split.join(centre, "key").where(F.xxhash64("node", seed) == F.col("h")).select("key", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("part").alias("_part"))
-            found = split.join(centre, "key").where((F.col("part") != F.col("_part")) & fits).select("a", F.col("node").alias("b"))
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(pairs, bags)
-        links = written(new if links is None else links.unionByName(new), "links")
-        label = components(links)
+    fits = 5 * F.least("_n", "n") >= 4 * F.greatest("_n", "n")
+    found = met.join(centres(met), "key").where((F.col("node") != F.col("a")) & fits).select("a", F.col("node").alias("b"))
+    links = written(verified(ordered(found), bags), "links")
+    label = components(links)
+
+    split = met.join(label, "node", "left").select("key", "k", "node", "n", F.coalesce("label", "node").alias("part"))
+    mixed_up = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    split = written(split.join(mixed_up, "key"), "split")
+    few = split.where(F.col("k") <= FEW)
+    other = few.select("key", F.col("node").alias("a"), F.col("n").alias("_n"), F.col("part").alias("_part"))
+    pairs = few.join(other, "key").where((F.col("part") < F.col("_part")) & fits).select("a", F.col("node").alias("b"))
+    pairs = pairs.unionByName(across(split.where(F.col("k") > FEW).select("node", "n", "part").distinct(), bags))
+    links = written(links.unionByName(verified(ordered(pairs), bags)), "links")
+    label = components(links)
 
     rows = docs.select("doc_id").join(named, "doc_id", "left").withColumn("node", F.coalesce("node", "doc_id"))
     out = rows.join(label, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
