@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import map_batches, written
+from colloquy.llm.common import map_batches, map_stream, written
 from colloquy.llm.words import FOLD, split_words, word_ids
 
 WINDOW = 10
@@ -147,15 +147,17 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
                         out = [b" ".join(words[i:i + n]).decode() for i in range(at, min(at + 10_000, len(words) - n + 1))]
                         yield pa.RecordBatch.from_arrays([pa.array([doc] * len(out), pa.int64()), pa.array([key] * len(out)), pa.array(range(at, at + len(out)), pa.int64()), pa.array(out)], ["doc_id", "_text", "at", "window"])
 
-    hits = written(rows.distinct().mapInArrow(windows, "doc_id long, _text string, at long, window string").join(items, "window").select("doc_id", "_text", "at", "n", "item_id"), "hits")
+    hits = written(map_stream(rows.distinct(), windows, "doc_id long, _text string, at long, window string").join(items, "window").select("doc_id", "_text", "at", "n", "item_id"), "hits")
     same = ["doc_id", "_text"]
     hit = hits.select(*same, F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy(same).agg(F.count("*").alias("n_hit"))
     ids = hits.where(F.col("item_id").isNotNull()).select(*same, "item_id").distinct().groupBy(same).agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("ids"), F.count("*").alias("n_items"))
     count = map_batches(rows, lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(split_words(t)) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "_text", "n_words"]), "doc_id long, _text string, n_words long")
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_text"] == b["_text"])
-    out = count.join(hit, on(count, hit), "left").join(ids, on(count, ids), "left")
-    n_hit = F.coalesce(hit["n_hit"], F.lit(0))
-    return out.select(count["doc_id"], "n_words", n_hit.alias("n_hit"), F.coalesce(ids["n_items"], F.lit(0)).alias("n_items"), F.sha2(F.coalesce(ids["ids"], F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    out = count
+    for k, part in enumerate((hit, ids)):
+        part = part.withColumnsRenamed({"doc_id": f"_doc{k}", "_text": f"_key{k}"})
+        out = out.join(part, F.col("doc_id").eqNullSafe(F.col(f"_doc{k}")) & (F.col("_text") == F.col(f"_key{k}")), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import map_batches
+from colloquy.llm.common import map_batches, map_stream
 from colloquy.llm.words import word_ids
 
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -76,7 +76,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(count)], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in docs.select(F.col("text").cast("binary")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in map_stream(docs.select(F.col("text").cast("binary")), run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 

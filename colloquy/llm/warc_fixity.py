@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import file_system, shared, written
+from colloquy.llm.common import file_system, map_stream, shared, written
 
 FANOUT = 16
 LEVEL = 4
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, replicas: int = 2, folder: str | None = Non
                     out.write(np.array(entries, ENTRY).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(entries)], pa.int64())], ["archive", "n_records"])
 
-    return written(rows.mapInArrow(write, ARCHIVES), "archives"), folders
+    return written(map_stream(rows, write, ARCHIVES), "archives"), folders
 
 
 def manifest(folder: str, archive: str) -> Iterator[np.ndarray]:
@@ -145,7 +145,7 @@ def _each(archives: DataFrame, fn, schema: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return archives.select("archive").repartitionByRange(max(1, archives.count()), "archive").mapInArrow(run, schema)
+    return map_stream(archives.select("archive").repartitionByRange(max(1, archives.count()), "archive"), run, schema)
 
 
 def _nodes(archive: str, hashes) -> Iterator[list[tuple]]:
