@@ -105,8 +105,8 @@ def normalize_text(x: Column) -> Column:
 
 
 def text_units(x: Column) -> Column:
-    """F-13: word tokens of the normalised text."""
-    return F.regexp_extract_all(normalize_text(x), F.lit(r"([a-z0-9]+)"), 1)
+    """F-13: word tokens (letters and digits of any script, underscore) of the normalised text."""
+    return F.regexp_extract_all(normalize_text(x), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def _first_match(x: Column, pattern: str, group: int = 1) -> Column:
@@ -155,11 +155,10 @@ def map_alias(name: Column, aliases: Mapping[str, str]) -> Column:
 
 
 def recode_likert(x: Column, labels: Mapping[str, int], item: Column, reversed_items: Sequence[str]) -> Column:
-    """F-17: label or digit to 1..9; listed items count from the other end."""
+    """F-17: label, or exactly one digit, to 1..9; listed items count from the other end."""
     text = normalize_text(x)
     by_label = F.coalesce(*[F.when(text == k, F.lit(v)) for k, v in labels.items()])
-    score = F.coalesce(by_label, F.regexp_extract(x, r"(\d+)", 1).try_cast("int"))
-    score = F.when(score.between(1, 9), score)
+    score = F.coalesce(by_label, F.regexp_extract(text, r"^([1-9])$", 1).try_cast("int"))
     return F.when(item.isin(list(reversed_items)), 10 - score).otherwise(score)
 
 
@@ -185,6 +184,7 @@ def hms_to_seconds(x: Column) -> Column:
     return F.when(F.size(p) == 3, part(0) * 3600 + part(1) * 60 + part(2))
 
 
+# Words for true, in lower case.
 TRUE_WORDS = ["1", "true", "vrai", "yes", "oui", "y", "t"]
 
 

@@ -70,14 +70,14 @@ def entropy_of(
 
 
 def gini(df: DataFrame, keys: Sequence[str], value: str, out: str = "gini") -> DataFrame:
-    """A-05: Gini index from the ranked distinct values of each group."""
+    """A-05: Gini index from the ranked distinct values of each group; NULL below two values."""
     c = cumulative_counts(df, keys, value)
     # Ranks below+1 .. below+k of one value add up in closed form.
     k, x = F.col("n_equal"), F.col(value)
     rank_sum = k * F.col("n_below") + k * (k + 1) / 2.0
     g = c.groupBy(*keys).agg(F.sum(k).alias("n"), F.sum(k * x).alias("s"), F.sum(rank_sum * x).alias("rs"))
     v = 2.0 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")
-    return g.select(*keys, F.when(F.col("s") > 0, v).alias(out))
+    return g.select(*keys, F.when((F.col("s") > 0) & (F.col("n") > 1), v).alias(out))
 
 
 def rate_per_min(count: Column, duration_s: Column) -> Column:
@@ -160,12 +160,11 @@ def theme_counts(comments: DataFrame, text: str, themes: Mapping[str, Sequence[s
 
 
 def column_inventory(df: DataFrame, block: Mapping[str, str] | None = None) -> DataFrame:
-    """A-17: rows, missing and distinct values and type of every column, in one pass."""
+    """A-17: rows, missing values and type of every column, in one pass."""
     cols, types = df.columns, dict(df.dtypes)
     one = df.agg(
         F.count("*").alias("_n"),
         *[F.count(c).alias(f"_v{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)],
     )
     rows = F.array(
         *[

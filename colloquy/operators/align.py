@@ -9,27 +9,44 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scan import by_width, last_valid, next_valid, scan
 
 
-def _buckets(df: DataFrame, start: str, end: str, width: float, factor: int, levels: int):
-    """Bucket copies of each interval; long intervals use coarser levels only."""
+def _levels(sides, width: float, factor: int) -> int:
+    """Bucket levels that the longest interval of both sides needs."""
+    longest = max((df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0.0) for df, (s, e) in sides)
+    n = 1
+    while width * factor**n <= longest:
+        n += 1
+    return n
+
+
+def _buckets(df: DataFrame, start: str, end: str, width: float, factor: int, levels: int, left: bool) -> DataFrame:
+    """Bucket copies of each interval, tagged with the own levels of the pair they are for.
+
+    At its own level a row meets rows of that and of finer levels; at a coarser level it
+    visits rows whose own level that is. So two short rows meet on the finest level only.
+    """
     span = F.floor(F.col(end) / width) - F.floor(F.col(start) / width)
     own = F.lit(0)
     for lv in range(levels - 1):
         own = F.when(span >= factor ** (lv + 1), lv + 1).otherwise(own)
+
+    def tag(lv: int, b: Column, mine, other) -> Column:
+        mine, other = (x if isinstance(x, Column) else F.lit(x) for x in (mine, other))
+        la, lb = (mine, other) if left else (other, mine)
+        return F.struct(F.lit(lv).alias("lv"), b.alias("b"), la.alias("la"), lb.alias("lb"))
+
     def at_level(lv: int) -> Column:
         w = width * factor**lv
-        seq = F.sequence(
-            F.floor(F.col(start) / w).cast("long"), F.floor(F.col(end) / w).cast("long")
-        )
-        tagged = F.transform(seq, lambda b: F.struct(F.lit(lv).alias("lv"), b.alias("b")))
-        return F.when(F.lit(lv) >= F.col("_lv"), tagged).otherwise(none)
+        seq = F.sequence(F.floor(F.col(start) / w).cast("long"), F.floor(F.col(end) / w).cast("long"))
+        host = F.flatten(F.transform(seq, lambda b: F.array(*[tag(lv, b, lv, o) for o in range(lv + 1)])))
+        visit = F.transform(seq, lambda b: tag(lv, b, F.col("_own"), lv))
+        return F.when(F.col("_own") == lv, host).when(F.col("_own") < lv, visit)
 
-    none = F.lit(None).cast("array<struct<lv:int,b:bigint>>")
-    copies = F.array_compact(F.array(*[at_level(lv) for lv in range(levels)]))
-    ok = F.col(end) >= F.col(start)
     return (
-        df.where(ok)
-        .withColumn("_lv", own)
-        .withColumn("_bk", F.explode(F.flatten(copies)))
+        df.where(F.col(end) >= F.col(start))
+        .withColumn("_own", own)
+        .withColumn("_copy", F.explode(F.flatten(F.array_compact(F.array(*[at_level(lv) for lv in range(levels)])))))
+        .withColumns({f"_{c}": F.col(f"_copy.{c}") for c in ("lv", "b", "la", "lb")})
+        .drop("_copy", "_own")
     )
 
 
@@ -41,33 +58,34 @@ def interval_join(
     l: tuple[str, str],
     r: tuple[str, str],
     where: Column | None = None,
-    levels: int = 2,
-    factor: int = 64,
+    levels: int | None = None,
+    factor: int = 16,
     how: str = "inner",
 ) -> DataFrame:
     """J-08: pairs of intervals of one key that share a moment (closed ends).
 
-    Both sides are cut into time buckets and joined on (key, level, bucket), so the
-    work per task follows local density, not the length of a session. A row spanning
-    ``factor`` buckets or more is bucketed on a coarser level, which bounds its copies.
+    Both sides are cut into time buckets and joined on (key, level, bucket, own level of
+    the left row, own level of the right row), so the work per task follows local density,
+    not the length of a session, and two short rows are compared in one bucket of the
+    finest level only. A row spanning ``factor`` buckets or more is bucketed on a coarser
+    level. ``levels`` is measured from the longest interval where it is not given, so a row
+    never has more than about ``factor`` copies on a level.
     ``where`` narrows the match; columns of the two sides must have different names.
     """
     keys = list(keys)
-    a = _buckets(left, *l, width, factor, levels).withColumnRenamed("_lv", "_lva")
-    b = _buckets(right, *r, width, factor, levels).withColumnRenamed("_lv", "_lvb")
-    a = a.withColumn("_lv", F.col("_bk.lv")).withColumn("_b", F.col("_bk.b")).drop("_bk")
-    b = b.withColumn("_lv", F.col("_bk.lv")).withColumn("_b", F.col("_bk.b")).drop("_bk")
-    b = b.select(*[F.col(c).alias(f"_r_{c}") if c in (*keys, "_lv", "_b") else F.col(c) for c in b.columns])
-    on = F.col("_lv") == F.col("_r__lv")
-    on = on & (F.col("_b") == F.col("_r__b"))
-    for k in keys:
+    n = levels or _levels(((left, l), (right, r)), width, factor)
+    tags = ["_lv", "_b", "_la", "_lb"]
+    a = _buckets(left, *l, width, factor, n, True)
+    b = _buckets(right, *r, width, factor, n, False)
+    b = b.select(*[F.col(c).alias(f"_r_{c}") if c in (*keys, *tags) else F.col(c) for c in b.columns])
+    on = F.lit(True)
+    for k in (*keys, *tags):
         on = on & (F.col(k) == F.col(f"_r_{k}"))
-    on = on & (F.greatest("_lva", "_lvb") == F.col("_lv"))
     on = on & (F.col(l[0]) <= F.col(r[1])) & (F.col(r[0]) <= F.col(l[1]))
     if where is not None:
         on = on & where
     if how == "left_semi":
-        # A row and its bucket copies may match several times; the caller deduplicates.
+        # A row and its bucket copies may match several times.
         return a.join(b, on, "left_semi").select(*left.columns).distinct()
     w = F.lit(width) * F.pow(F.lit(float(factor)), F.col("_lv"))
     first = F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / w).cast("long") == F.col("_b")

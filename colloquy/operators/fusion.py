@@ -11,7 +11,7 @@ from colloquy.functions.scalars import clip, ratio_eps, sqrt_clipped
 
 from .aggregates import melt, zscore_within
 from .face import row_mean
-from .keys import coalesce_with_source
+from .keys import coalesce_with_source, median_split
 from .scan import attach, with_group_aggs
 
 KEYS = ["group_id", "condition", "scenario", "timepoint"]
@@ -201,3 +201,48 @@ def construct_scores(scores: DataFrame, alpha: DataFrame, unit: Sequence[str], c
 def component_ratio(df: DataFrame, a: str, b: str, out: str = "component_ratio") -> DataFrame:
     """C-19: ratio of two components and their sum."""
     return df.withColumn(out, F.try_divide(F.col(a), F.col(b))).withColumn(f"{out}_sum", F.col(a) + F.col(b))
+
+
+def silent_division_profile(df: DataFrame, a: str, b: str) -> DataFrame:
+    """C-12: number of units in each quarter of a median split by two measures."""
+    return median_split(df, [a, b]).groupBy("profile").agg(F.count("*").alias("n"))
+
+
+def master_dataset(base: DataFrame, sources: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """C-14: ``base`` with the columns of each source, by left joins on ``keys``, and where each unit was found.
+
+    A source has at most one row per unit: of several, numeric columns are averaged and others take their largest
+    value. A column that the table already has is filled where it is NULL. ``in_<source>`` tells whether the unit was
+    in the source.
+    """
+    keys, out = list(keys), base
+    for name, source in sources.items():
+        kinds = dict(source.dtypes)
+        cols = [c for c in source.columns if c not in keys]
+        number = lambda c: kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
+        s = source.groupBy(*keys).agg(*[(F.avg(c) if number(c) else F.max(c)).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in"))
+        had = out.columns
+        j = out.join(s, keys, "left")
+        out = j.select(
+            *[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) if c in cols else F.col(c) for c in had],
+            *[F.col(f"_s_{c}").alias(c) for c in cols if c not in had], F.coalesce("_in", F.lit(False)).alias(f"in_{name}"),
+        )
+    return out
+
+
+def analysis_dataset(df: DataFrame, unit: str, families: Mapping[str, Sequence[str]], outcomes: DataFrame, kept: Sequence[str] | None = None, supplement: DataFrame | None = None) -> DataFrame:
+    """C-18: one predictor for each family, with its source, joined to the outcomes.
+
+    Each family takes the first of its columns that is in ``kept`` (all, where none is given) and not NULL; columns
+    that ``df`` lacks come from ``supplement``. Units without outcomes are left out.
+    """
+    d = df
+    if supplement is not None:
+        more = [c for c in supplement.columns if c != unit and c not in df.columns]
+        d = d.join(supplement.select(unit, *more), unit, "left")
+    cols = []
+    for family, names in families.items():
+        use = [c for c in names if c in d.columns and (kept is None or c in kept)]
+        d = coalesce_with_source(d, use, family)
+        cols += [family, f"{family}_source"]
+    return d.select(unit, *cols).join(outcomes, unit)

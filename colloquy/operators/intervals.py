@@ -338,7 +338,7 @@ def backchannels(
     """
     key = ["session_id", "role", "start_s", "end_s"]
     cand = segs.where(duration().between(min_s, max_s)).select(*key)
-    pad = proximity_s * 1.001
+    pad = max(proximity_s, continuation_s, turn_start_s) * 1.001
     probe = cand.distinct().select(
         "*", (F.col("start_s") - pad).alias("lo"), (F.col("end_s") + pad).alias("hi")
     )

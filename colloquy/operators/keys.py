@@ -38,11 +38,12 @@ def group_base_id(gid: Column) -> Column:
 
 
 def normalize_group_id(x: Column, prefix: str = "bim") -> Column:
-    """M-03: prefix and three digits, with the suffix kept."""
+    """M-03: prefix and the number, padded to at least three digits, with the suffix kept."""
     low = F.lower(F.trim(x.cast("string")))
-    num = F.regexp_extract(low, r"(\d+)", 1)
+    num = F.regexp_replace(F.regexp_extract(low, r"(\d+)", 1), r"^0+(?=\d)", "")
+    padded = F.when(F.length(num) < 3, F.lpad(num, 3, "0")).otherwise(num)
     suf = F.regexp_extract(low, r"\d+(_\d+)$", 1)
-    return F.when(num == "", low).otherwise(F.concat(F.lit(prefix), F.lpad(num.try_cast("int").cast("string"), 3, "0"), suf))
+    return F.when(num == "", low).otherwise(F.concat(F.lit(prefix), padded, suf))
 
 
 def exclude_groups(df: DataFrame, excluded: DataFrame, key: str = "group_id", base: bool = False) -> DataFrame:

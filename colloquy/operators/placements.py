@@ -19,49 +19,59 @@ from .scan import by_width, gap_islands, lag, quantiles, attach, scan, with_grou
 K = ["layout_id"]
 
 
-def near_pairs(solution: DataFrame, placed: DataFrame, radius: float) -> DataFrame:
-    """J-13: solution / placed pairs of one layout within ``radius``, found by grid cell."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+def near_pairs(solution: DataFrame, placed: DataFrame, radius: float | Column) -> DataFrame:
+    """J-13: solution / placed pairs of one layout within ``radius``, found by grid cell.
+
+    ``radius`` may be a column of both tables that is constant in a layout.
+    """
+    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    cell = lambda c: F.floor(F.col(c) / F.col("_r")).cast("long")
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = solution.select(*K, "s_id", F.col("x").alias("sx"), F.col("z").alias("sz"))
-    p = placed.select(*K, "p_id", F.col("x").alias("px"), F.col("z").alias("pz"))
+    s = solution.select(*K, "s_id", F.col("x").alias("sx"), F.col("z").alias("sz"), r.alias("_r"))
+    p = placed.select(*K, "p_id", F.col("x").alias("px"), F.col("z").alias("pz"), r.alias("_r"))
     s = s.withColumn("_i", F.explode(F.transform(step, lambda d: d + cell("sx")))).withColumn("_j", F.explode(F.transform(step, lambda d: d + cell("sz"))))
-    p = p.withColumn("_i", cell("px")).withColumn("_j", cell("pz"))
+    p = p.withColumn("_i", cell("px")).withColumn("_j", cell("pz")).drop("_r")
     j = s.join(p, [*K, "_i", "_j"])
     dx, dz = F.col("sx") - F.col("px"), F.col("sz") - F.col("pz")
-    j = j.withColumn("dist", F.sqrt(dx * dx + dz * dz)).where(F.col("dist") <= radius)
+    j = j.withColumn("dist", F.sqrt(dx * dx + dz * dz)).where(F.col("dist") <= F.col("_r"))
     return j.select(*K, "s_id", "p_id", "dist")
 
 
-def match_greedy(solution: DataFrame, placed: DataFrame, radius: float = 0.5, growth: float = 4.0) -> DataFrame:
+def match_greedy(solution: DataFrame, placed: DataFrame, radius: float = 0.5, growth: float = 2.0) -> DataFrame:
     """K-01: one-to-one pairs by ascending distance (ties by ids).
 
-    Pairs within a radius come before all longer ones, so the search radius grows only
-    when nothing is left inside it. Within a radius, a pair that is the nearest one left
-    for both of its objects is what the sequential rule takes next for them; each round
-    takes all such pairs at once. Objects without a position cannot be matched.
+    Pairs within a radius come before all longer ones, so a layout's search radius grows
+    only when nothing is left inside it. Within a radius, a pair that is the nearest one
+    left for both of its objects is what the sequential rule takes next for them; each
+    round takes all such pairs at once. Objects whose position is NULL, NaN or infinite
+    cannot be matched. A layout ends when one of its sides is used up, which a radius over
+    its extent brings about.
     """
-    at = lambda d: d.where(~F.isnan("x") & ~F.isnan("z"))
-    s, p = cut(at(solution)), cut(at(placed))
-    found, r = None, radius
-    while not s.select(*K).distinct().join(p.select(*K).distinct(), K).isEmpty():
-        e = cut(near_pairs(s, p, r))
-        new_here = False
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    at = lambda d: d.where(finite("x") & finite("z"))
+    s = cut(at(solution).select(*K, "s_id", "x", "z").withColumn("_r", F.lit(float(radius))))
+    p = cut(at(placed).select(*K, "p_id", "x", "z").withColumn("_r", F.lit(float(radius))))
+    empty = s.join(p.select(*K, "p_id"), K).select(*K, "s_id", "p_id", F.lit(0.0).alias("dist")).limit(0)
+    found = None
+    while True:
+        both = s.select(*K).distinct().join(p.select(*K).distinct(), K)
+        s, p = cut(s.join(both, K, "left_semi")), cut(p.join(both, K, "left_semi"))
+        if s.isEmpty():
+            break
+        e, news = cut(near_pairs(s, p, F.col("_r"))), None
         while not e.isEmpty():
-            new_here = True
             o = F.struct("dist", "s_id", "p_id")
             bs = e.groupBy(*K, "s_id").agg(F.min(o).alias("b")).select(*K, "b")
             bp = e.groupBy(*K, "p_id").agg(F.min(o).alias("b")).select(*K, "b")
             new = cut(bs.join(bp, [*K, "b"]).select(*K, "b.s_id", "b.p_id", "b.dist"))
-            found = new if found is None else found.unionByName(new)
+            news = new if news is None else news.unionByName(new)
             e = cut(e.join(new.select(*K, "s_id"), [*K, "s_id"], "left_anti").join(new.select(*K, "p_id"), [*K, "p_id"], "left_anti"))
-        if new_here:
-            s = cut(s.join(found.select(*K, "s_id"), [*K, "s_id"], "left_anti"))
-            p = cut(p.join(found.select(*K, "p_id"), [*K, "p_id"], "left_anti"))
-        r *= growth
-    if found is None:
-        return solution.select(*K, "s_id").join(placed.select(*K, "p_id"), K).withColumn("dist", F.lit(0.0)).limit(0)
-    return cut(found)
+        if news is not None:
+            found = news if found is None else found.unionByName(news)
+            s = s.join(news.select(*K, "s_id"), [*K, "s_id"], "left_anti")
+            p = p.join(news.select(*K, "p_id"), [*K, "p_id"], "left_anti")
+        s, p = (d.withColumn("_r", F.col("_r") * growth) for d in (s, p))
+    return empty if found is None else cut(found)
 
 
 def _medians(df: DataFrame, x: str, z: str) -> DataFrame:
@@ -250,9 +260,9 @@ MAX_TASK_S = 1500.0
 
 
 def duration_seconds(df: DataFrame, sources: Sequence[str], cap_s: float = MAX_TASK_S, out: str = "duration_s") -> DataFrame:
-    """K-10: first available duration of the layout, capped."""
-    g = df.groupBy(*K).agg(*[F.max(c).alias(c) for c in sources])
-    return g.select(*K, clip(F.coalesce(*sources), 0.0, cap_s).alias(out))
+    """K-10: first available duration of the layout, capped; one that is not positive counts as the cap."""
+    g = df.groupBy(*K).agg(*[F.max(c).alias(c) for c in sources]).withColumn("_d", F.coalesce(*sources))
+    return g.select(*K, F.when(F.col("_d") <= 0, F.lit(float(cap_s))).when(F.col("_d").isNotNull(), F.least("_d", F.lit(float(cap_s)))).alias(out))
 
 
 # Weights of rules, count, precision and time in the task score.

@@ -8,10 +8,11 @@ from colloquy.plans import query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
+from colloquy.stats import synthesis as sy
 
 # Recording paths and raw identifiers made from customers.
 PATHS = """pa AS (SELECT c_custkey, 'data/T' || (1 + c_custkey % 2) || '_x/' || CASE WHEN c_custkey % 3 = 0 THEN 'VR' WHEN c_custkey % 3 = 1 THEN 'PC' ELSE 'other' END || '/S' || (1 + c_custkey % 4) || '/bim' || c_custkey AS path,
- 'Bim ' || (c_custkey % 1000) || CASE WHEN c_custkey % 5 = 0 THEN '_2' ELSE '' END raw_id FROM customer)"""
+ 'Bim ' || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '_2' ELSE '' END raw_id FROM customer)"""
 
 
 def paths(spark, sf):
@@ -20,7 +21,7 @@ def paths(spark, sf):
     cond = F.when(k % 3 == 0, "VR").when(k % 3 == 1, "PC").otherwise("other")
     return c.select(
         "c_custkey", F.concat(F.lit("data/T"), 1 + k % 2, F.lit("_x/"), cond, F.lit("/S"), 1 + k % 4, F.lit("/bim"), k).alias("path"),
-        F.concat(F.lit("Bim "), k % 1000, F.when(k % 5 == 0, "_2").otherwise("")).alias("raw_id"),
+        F.concat(F.lit("Bim "), k, F.when(k % 5 == 0, "_2").otherwise("")).alias("raw_id"),
     )
 
 
@@ -30,10 +31,10 @@ def _(spark, sf):
     return paths(spark, sf).select("c_custkey", ky.parse_condition(p).alias("condition"), ky.parse_scenario(p).alias("scenario"), ky.parse_timepoint(p).alias("timepoint"))
 
 
-NORM = "CASE WHEN true THEN 'bim' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') || CASE WHEN c_custkey % 5 = 0 THEN '_2' ELSE '' END END"
+NORM = "CASE WHEN true THEN 'bim' || lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') || CASE WHEN c_custkey % 5 = 0 THEN '_2' ELSE '' END END"
 
 
-@query("m03_normalize_group_id", t.with_(PATHS) + f"SELECT c_custkey, {NORM} group_id, 'bim' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') group_base_id FROM pa")
+@query("m03_normalize_group_id", t.with_(PATHS) + f"SELECT c_custkey, {NORM} group_id, 'bim' || lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') group_base_id FROM pa")
 def _(spark, sf):
     d = paths(spark, sf).withColumn("group_id", ky.normalize_group_id(F.col("raw_id")))
     return d.select("c_custkey", "group_id", ky.group_base_id(F.col("group_id")).alias("group_base_id"))
@@ -301,10 +302,10 @@ def _(spark, sf):
     return d.select("doc_id", F.md5(fn.normalize_text(F.regexp_replace(F.trim("text"), "[^ -~]+", ""))).alias("h"))
 
 
-@query("f13_split_text_units", "SELECT doc_id, len(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '([a-z0-9]+)', 1)) n_units FROM documents")
+@query("f13_split_text_units", "SELECT doc_id, len(regexp_extract_all(translate(lower(text), 'àâäáãéèêëíìîïóòôöõúùûüçñÿ', 'aaaaaeeeeiiiiooooouuuucny'), '([\\p{L}\\p{N}_]+)', 1)) n_units FROM documents")
 def _(spark, sf):
     d = t.table(spark, sf, "documents")
-    return d.select("doc_id", F.size(fn.text_units(F.regexp_replace("text", "[^ -~]", " "))).cast("long").alias("n_units"))
+    return d.select("doc_id", F.size(fn.text_units(F.col("text"))).cast("long").alias("n_units"))
 
 
 @query("f14_extractors", "SELECT p_partkey, p_partkey::INT field, substr('ABCDEFGH', 1 + (p_partkey % 8)::INT, 1) letter, (p_partkey % 9 + 1)::INT r, (p_partkey % 7 + 1)::INT c, p_size num FROM part")
@@ -433,7 +434,7 @@ for _b, _e in {"nats": "-sum(p * ln(p))", "bits": "-sum(p * log2(p))", "normaliz
         return rnd(ag.entropy_of(w, ["l_suppkey"], "w", base="bits" if b == "bits" else "nats", normalize=b == "normalized"), "entropy")
 
 
-@query("a05_gini", "WITH r AS (SELECT l_suppkey, l_quantity v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) r FROM lineitem) SELECT l_suppkey, round(2 * sum(r * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*), 6) gini FROM r GROUP BY ALL")
+@query("a05_gini", "WITH r AS (SELECT l_suppkey, l_quantity v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) r FROM lineitem) SELECT l_suppkey, CASE WHEN count(*) > 1 THEN round(2 * sum(r * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*), 6) END gini FROM r GROUP BY ALL")
 def _(spark, sf):
     return rnd(ag.gini(li(spark, sf), ["l_suppkey"], "l_quantity"), "gini")
 
@@ -548,9 +549,7 @@ def _(spark, sf):
 
 @query("a27_analysis_summary", t.with_(t.FEAT) + "SELECT 'candidates' step, 6 n_features FROM (SELECT 1) UNION ALL SELECT 'few_missing', 5 + (avg((rebate IS NULL)::INT::DOUBLE) <= 0.1)::INT FROM feat")
 def _(spark, sf):
-    s = cut(ky.select_features(t.features(spark, sf), ["unit_id"], 0.1))
-    a = s.agg(F.count("*").cast("int").alias("n_features")).select(F.lit("candidates").alias("step"), "n_features")
-    return a.unionByName(s.agg(F.sum(F.col("selected").cast("int")).cast("int").alias("n_features")).select(F.lit("few_missing").alias("step"), "n_features"))
+    return sy.analysis_summary(t.features(spark, sf), ["unit_id"], 0.1)
 
 
 @query("a28_source_recap", t.with_(t.FEAT) + "SELECT 'features' source, count(*) n_rows, 2 n_columns, count(DISTINCT unit_id) n_units, round(avg((rebate IS NULL)::INT / 2.0::DOUBLE), 6) missing_ratio FROM feat WHERE condition = 'VR'")
@@ -692,14 +691,14 @@ def _(spark, sf):
 
 @query("c12_silent_division_profile", t.with_(t.FEAT) + "SELECT profile, count(*) n FROM (SELECT CASE WHEN quantity >= (SELECT quantile_cont(quantity, 0.5) FROM feat) THEN 'haut' ELSE 'bas' END || '/' || CASE WHEN tax >= (SELECT quantile_cont(tax, 0.5) FROM feat) THEN 'haut' ELSE 'bas' END profile FROM feat) GROUP BY ALL")
 def _(spark, sf):
-    return ky.median_split(t.features(spark, sf), ["quantity", "tax"]).groupBy("profile").agg(F.count("*").alias("n"))
+    return fu.silent_division_profile(t.features(spark, sf), "quantity", "tax")
 
 
-@query("c14_master_dataset", t.with_(t.FEAT) + "SELECT unit_id, price, s_acctbal, mean_order FROM feat LEFT JOIN supplier ON unit_id = s_suppkey LEFT JOIN (SELECT o_custkey, round(avg(o_totalprice), 6) mean_order FROM orders GROUP BY ALL) ON unit_id = o_custkey")
+@query("c14_master_dataset", t.with_(t.FEAT) + "SELECT unit_id, price, s_acctbal, s_suppkey IS NOT NULL in_questionnaire, round(mean_order, 3) mean_order, o_custkey IS NOT NULL in_performance FROM feat LEFT JOIN supplier ON unit_id = s_suppkey LEFT JOIN (SELECT o_custkey, avg(o_totalprice) mean_order FROM orders GROUP BY ALL) ON unit_id = o_custkey")
 def _(spark, sf):
     s = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit_id"), "s_acctbal")
-    o = t.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("unit_id")).agg(F.round(F.avg("o_totalprice"), 6).alias("mean_order"))
-    return t.features(spark, sf).select("unit_id", "price").join(s, "unit_id", "left").join(o, "unit_id", "left")
+    o = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("unit_id"), F.col("o_totalprice").alias("mean_order"))
+    return rnd(fu.master_dataset(t.features(spark, sf).select("unit_id", "price"), {"questionnaire": s, "performance": o}, ["unit_id"]), "mean_order", d=3)
 
 
 LG = "lg AS (SELECT o_custkey unit, CASE WHEN year(o_orderdate) < 1999 THEN 'T1' ELSE 'T2' END timepoint, o_totalprice v FROM orders)"
@@ -728,9 +727,9 @@ def _(spark, sf):
 
 @query("c18_analysis_dataset", t.with_(t.FEAT) + "SELECT unit_id, coalesce(rebate, price) predictor, CASE WHEN rebate IS NOT NULL THEN 'rebate' ELSE 'price' END predictor_source, s_acctbal outcome FROM feat JOIN supplier ON unit_id = s_suppkey")
 def _(spark, sf):
-    f = ky.coalesce_with_source(t.features(spark, sf), ["rebate", "price"], "predictor")
     s = t.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit_id"), F.col("s_acctbal").alias("outcome"))
-    return f.select("unit_id", "predictor", "predictor_source").join(s, "unit_id")
+    f = t.features(spark, sf)
+    return fu.analysis_dataset(f.drop("price"), "unit_id", {"predictor": ["tax", "rebate", "price"]}, s, kept=["rebate", "price"], supplement=f.select("unit_id", "price"))
 
 
 @query("c19_component_ratio", t.with_(t.FEAT) + "SELECT unit_id, round(price / rebate, 6) component_ratio, round(price + rebate, 4) component_ratio_sum FROM feat")

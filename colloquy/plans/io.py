@@ -206,17 +206,17 @@ def _(spark, sf):
     return rnd(o.select("session_id", "role", "part", "t", "value"), "t", d=3)
 
 
-@query("s19_load_sources", "SELECT 'bim' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') group_id, c_acctbal score FROM customer")
+@query("s19_load_sources", "SELECT 'bim' || lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') group_id, c_acctbal score FROM customer")
 def _(spark, sf):
-    c = t.table(spark, sf, "customer").select(F.concat(F.lit("BIM "), F.col("c_custkey") % 1000).alias("Group"), eu_number("c_acctbal").alias("Score_total"))
+    c = t.table(spark, sf, "customer").select(F.concat(F.lit("BIM "), F.col("c_custkey")).alias("Group"), eu_number("c_acctbal").alias("Score_total"))
     p = put(c, "src", header=True, sep=";")
     d = rd.load_sources(spark, {"perf": {"path": f"{p}/*.csv", "candidates": {"group_id": ["group_id", "group"], "score": ["score", "score_total"]}, "numeric": ["score"]}})
     return d["perf"].select("group_id", "score")
 
 
-@query("s20_load_scores", "SELECT 'bim' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') group_id, s_acctbal score FROM supplier")
+@query("s20_load_scores", "SELECT 'bim' || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INT, '0') group_id, s_acctbal score FROM supplier")
 def _(spark, sf):
-    return rd.load_scores(t.table(spark, sf, "supplier").withColumn("g", F.col("s_suppkey") % 1000), ["gid", "g"], ["s_acctbal"])
+    return rd.load_scores(t.table(spark, sf, "supplier").withColumn("g", F.col("s_suppkey")), ["gid", "g"], ["s_acctbal"])
 
 
 @query("s21_load_face", "SELECT vec_id::DOUBLE \"Timestamp\", round(embedding[1]::DOUBLE, 5) \"CheekRaiser\" FROM embeddings")
@@ -291,4 +291,4 @@ def _(spark, sf):
     s = stream(spark, sf)
     us = (F.unix_micros("ts") - F.lit(t.EPOCH_US)) / 1e9
     seg = s.select("session_id", "role", us.alias("start_s"), (us + F.col("value") / 10).alias("end_s"), "ts")
-    return drain(live.live_turns(seg), "turns")
+    return drain(live.live_turns(seg, scale=1000.0), "turns")

@@ -8,7 +8,7 @@ from colloquy.plans import query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
-from colloquy.stats import components as cp, models as md, moments as mo, network as nw, reliability as rl, resample as rs, tests as ts
+from colloquy.stats import components as cp, models as md, moments as mo, network as nw, reliability as rl, resample as rs, synthesis as sy, tests as ts
 
 NUM = ["quantity", "price", "discount", "tax", "rebate", "lines"]
 FULL = ["quantity", "price", "discount", "tax", "lines"]
@@ -590,30 +590,25 @@ def _(spark, sf):
 
 
 @query("p52_multilevel_synthesis", t.with_(t.RESP) + """, g AS (SELECT dimension, group_id, count(*) n, avg(score) m, stddev_samp(score) sd, var_pop(score) v FROM resp GROUP BY ALL)
-SELECT dimension, count(*) n_groups, round(avg(m), 6) mean_of_means, round(avg(sd), 6) mean_sd FROM g GROUP BY ALL""")
+, x AS (SELECT dimension, count(*) n_groups, avg(m) mm, stddev_samp(m) sm, avg(sd) ms, sum(n) n, sum(n * n) kk, (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) b, sum(n * v) / (sum(n) - count(*)) w FROM g GROUP BY ALL)
+SELECT dimension, n_groups, round(mm, 6) mean_of_means, round(sm, 6) sd_of_means, round(ms, 6) mean_sd, round((b - w) / (b + ((n - kk / n) / (n_groups - 1) - 1) * w), 6) icc1 FROM x""")
 def _(spark, sf):
-    r = t.responses(spark, sf)
-    g = r.groupBy("dimension", "group_id").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"))
-    return g.groupBy("dimension").agg(F.count("*").alias("n_groups"), F.round(F.avg("m"), 6).alias("mean_of_means"), F.round(F.avg("sd"), 6).alias("mean_sd"))
+    return rnd(sy.multilevel_synthesis(t.responses(spark, sf), "dimension", "group_id", "score"), "mean_of_means", "sd_of_means", "mean_sd", "icc1")
 
 
 @query("p53_rank_delta", t.with_(t.FEAT) + "SELECT unit_id, rank() OVER (ORDER BY price DESC) rank_a, rank() OVER (ORDER BY quantity DESC) rank_b, rank() OVER (ORDER BY quantity DESC) - rank() OVER (ORDER BY price DESC) delta FROM feat")
 def _(spark, sf):
-    f = t.features(spark, sf).select("unit_id", "price", "quantity")
-    r = ag.rank_min_desc(cut(ag.rank_min_desc(f, [], "price", "rank_a")), [], "quantity", "rank_b")
-    return r.select("unit_id", "rank_a", "rank_b", (F.col("rank_b") - F.col("rank_a")).alias("delta"))
+    return sy.rank_delta(t.features(spark, sf), "unit_id", "price", "quantity")
 
 
 @query("p54_significance_switches", t.with_(t.FEAT, PR, RK, PV, FDR) + "SELECT x, y, CASE WHEN p < 0.05 AND p_fdr >= 0.05 THEN 'lost' WHEN p >= 0.05 AND p_fdr < 0.05 THEN 'gained' ELSE 'same' END change FROM fd")
 def _(spark, sf):
-    c = rs.correlation_table(pairs(spark, sf))
-    a, b = F.col("p") < 0.05, F.col("p_fdr") < 0.05
-    return c.select("x", "y", F.when(a & ~b, "lost").when(~a & b, "gained").otherwise("same").alias("change"))
+    return sy.significance_switches(rs.correlation_table(pairs(spark, sf))).select("x", "y", "change")
 
 
 @query("p56_familiarity_models", t.with_(t.FEAT) + "SELECT 'lines' term, count(*) n, round(regr_slope(price, lines), 4) beta, round(regr_r2(price, lines), 6) r2 FROM feat")
 def _(spark, sf):
-    f = md.ols(t.features(spark, sf), "price", ["lines"]).where("term = 'lines'")
+    f = sy.familiarity_models(t.features(spark, sf), "price", "lines", ["discount", "tax"]).where("model = 'alone'")
     return rnd(rnd(f.select("term", "n", "beta", "r2"), "beta", d=4), "r2")
 
 
@@ -622,25 +617,15 @@ def _(spark, sf):
     f = t.features(spark, sf)
     z = cut(ag.zscore_within(f, ["quantity", "discount", "tax"], []))
     idx = (F.col("z_quantity") + F.col("z_discount") + F.col("z_tax")) / 3
-    d = z.select(F.col("unit_id").alias("unit"), idx.alias("x"), F.col("price").alias("y"))
-    return rs.correlation_metrics(d, [], 30)
+    return sy.index_validity(z.withColumn("idx", idx), "unit_id", "idx", ["z_quantity", "z_discount", "z_tax"], ["price", "lines"], 30)
 
 
 @query("p58_collect_correlations", t.with_(t.FEAT, PR, RK, PV) + "SELECT x, y, n, round(rho, 6) rho, round(p, 6) p FROM pv QUALIFY row_number() OVER (PARTITION BY y, round(rho, 6), round(p, 6), n ORDER BY x) = 1")
 def _(spark, sf):
-    s = mo.spearman_by(pairs(spark, sf), ["x", "y"], "vx", "vy")
-    s = rnd(s.withColumn("p", rs.correlation_p(F.col("rho"), F.col("n"))), "rho", "p")
-    return s.groupBy("y", "rho", "p", "n").agg(F.min("x").alias("x")).select("x", "y", "n", "rho", "p")
+    return sy.collect_correlations({"features": pairs(spark, sf)}).select("x", "y", "n", "rho", "p")
 
 
 @query("p59_score_agreement", t.with_(t.FEAT) + """, r AS (SELECT price x, quantity y, rank() OVER (ORDER BY price DESC) a, rank() OVER (ORDER BY quantity DESC) b, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 rx, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2.0 ry FROM feat)
 SELECT count(*) n, round(corr(x, y), 6) pearson, round(corr(rx::DOUBLE, ry::DOUBLE), 6) spearman, round(avg(abs(b - a)), 6) rank_delta_mean, max(abs(b - a)) rank_delta_max FROM r""")
 def _(spark, sf):
-    f = cut(t.features(spark, sf).select("unit_id", "price", "quantity"))
-    r = ag.rank_min_desc(cut(ag.rank_min_desc(f, [], "price", "a")), [], "quantity", "b")
-    d = F.abs(F.col("b") - F.col("a"))
-    p = mo.pearson_by(f, [], "price", "quantity", out="pearson")
-    s = mo.spearman_by(f, [], "price", "quantity", out="spearman").drop("n")
-    m = r.agg(F.avg(d).alias("rank_delta_mean"), F.max(d).alias("rank_delta_max"))
-    from colloquy.operators.scan import attach
-    return rnd(attach(attach(p, s, []), m, []), "pearson", "spearman", "rank_delta_mean")
+    return rnd(sy.score_agreement(cut(t.features(spark, sf).select("unit_id", "price", "quantity")), "unit_id", "price", "quantity"), "pearson", "spearman", "rank_delta_mean")

@@ -7,7 +7,7 @@ from colloquy.plans import query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
-from colloquy.stats import components as cp, moments as mo
+from colloquy.stats import components as cp, moments as mo, synthesis as sy
 
 # Log events: returned lines are messages, the others task actions.
 EV = """ev AS (SELECT group_id, task, subject, CASE WHEN answer = 'R' THEN 'COMMUNICATION_MESSAGE' ELSE 'TASK_ATTRIBUTE' END event_type, repeat('x', effort::INT % 7) content, repeat('y', line::INT) summary FROM task)"""
@@ -97,42 +97,31 @@ def _(spark, sf):
 
 
 # Words: every word of a conversation turn; a role is a subject, a conversation a group.
-WORDS = """tk AS (SELECT conv_id group_id, 'words' task, role subject, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) w FROM conversations)"""
-
-
 def words(spark, sf):
     from colloquy.functions.scalars import text_units
     c = t.table(spark, sf, "conversations")
     return c.select(F.col("conv_id").alias("group_id"), F.lit("words").alias("task"), F.col("role").alias("subject"), F.explode(text_units(F.col("text"))).alias("word"))
 
 
-ASCII = "regexp_replace(lower(text), '[^ -~]', ' ', 'g')"
-
-
-def ascii_words(spark, sf):
-    c = t.table(spark, sf, "conversations")
-    w = F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("text"), "[^ -~]", " "), F.lit("([a-z0-9]+)"), 1))
-    return c.select(F.col("conv_id").alias("group_id"), F.lit("words").alias("task"), F.col("role").alias("subject"), w.alias("word"))
-
-
-AW = f"aw AS (SELECT conv_id group_id, 'words' task, role subject, unnest(regexp_extract_all({ASCII}, '([a-z0-9]+)', 1)) w FROM conversations)"
+PLAIN = "translate(lower(text), 'àâäáãéèêëíìîïóòôöõúùûüçñÿ', 'aaaaaeeeeiiiiooooouuuucny')"
+AW = f"aw AS (SELECT conv_id group_id, 'words' task, role subject, unnest(regexp_extract_all({PLAIN}, '([\\p{{L}}\\p{{N}}_]+)', 1)) w FROM conversations)"
 
 
 @query("e05_skill_words", t.with_(AW) + """, tr AS (SELECT DISTINCT group_id, w FROM aw WHERE subject = 'user') SELECT group_id, task, subject, count(DISTINCT tr.w) correct, count(DISTINCT aw.w) total, count(DISTINCT tr.w) / 20.0::DOUBLE skill_i FROM aw LEFT JOIN tr USING (group_id, w) GROUP BY ALL""")
 def _(spark, sf):
-    w = ascii_words(spark, sf)
+    w = words(spark, sf)
     e = w.select("group_id", "task").distinct().withColumn("expected_total", F.lit(20))
     return te.skill_words(w, w.where("subject = 'user'"), e)
 
 
 @query("e07_open_ideas", t.with_(AW) + "SELECT group_id, task, subject, count(DISTINCT w) total FROM aw WHERE length(w) >= 2 GROUP BY ALL")
 def _(spark, sf):
-    return te.open_ideas(ascii_words(spark, sf))
+    return te.open_ideas(words(spark, sf))
 
 
 @query("e07_final_ideas", t.with_(AW) + "SELECT group_id, task, count(DISTINCT w) strategy_elements_covered FROM aw GROUP BY ALL")
 def _(spark, sf):
-    c = t.table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.lit("words").alias("task"), F.regexp_replace("text", "[^ -~]", " ").alias("answer"))
+    c = t.table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.lit("words").alias("task"), F.col("text").alias("answer"))
     return te.final_ideas(c)
 
 
@@ -240,9 +229,9 @@ def _(spark, sf):
     return rnd(matrix(spark, sf), "T0", "T1", "T2", "T3")
 
 
-@query("e15_indicator_correlations", t.with_(MAT) + "SELECT 'T0' x, 'T1' y, count(*) n, round(corr(T0, T1), 6) r FROM mx")
+@query("e15_indicator_correlations", t.with_(MAT) + " UNION ALL ".join(f"SELECT 'T{i}' x, 'T{j}' y, count(*) n, round(corr(T{i}, T{j}), 6) r FROM mx WHERE T{i} IS NOT NULL AND T{j} IS NOT NULL" for i in range(4) for j in range(i + 1, 4)))
 def _(spark, sf):
-    return rnd(mo.pearson_by(mo.pair_rows(matrix(spark, sf), [], [("T0", "T1")]), ["x", "y"], "vx", "vy"), "r")
+    return rnd(sy.indicator_correlations(matrix(spark, sf), ["T0", "T1", "T2", "T3"]), "r")
 
 
 @query("e16_c_factor")

@@ -40,14 +40,22 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is named."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is named, a private one is made if driver and executors share a machine; on
+    a cluster that would lose data, so it is an error there.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 

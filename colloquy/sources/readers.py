@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from colloquy.functions.scalars import parse_boolean
 from colloquy.operators import keys as ky
 from colloquy.operators.episodes import median_step
 from colloquy.operators.keys import conform, numeric_text
@@ -75,11 +76,16 @@ def read_csv_sniff(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def quoted(sep: str) -> str:
+    """A separator as a pattern that matches it literally."""
+    return "\\Q" + sep + "\\E"
+
+
 def read_csv_tolerant(spark: SparkSession, path: str, cols: Sequence[str], sep: str = ";", header: bool = True) -> tuple[DataFrame, DataFrame]:
     """S-03: good rows and the rejected lines (those with another number of fields)."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
     d = lines.withColumn("_f", F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in [*cols, "_more"])), {"sep": sep, "mode": "PERMISSIVE"}))
-    n = F.size(F.split(F.regexp_replace("value", '"[^"]*"', "q"), sep))
+    n = F.size(F.split(F.regexp_replace("value", '"[^"]*"', "q"), quoted(sep)))
     head = (F.col(f"_f.{cols[0]}") == cols[0]) if header else F.lit(False)
     d = d.where(~F.coalesce(head, F.lit(False)) & (F.col("value") != ""))
     ok = n == len(cols)
@@ -88,7 +94,7 @@ def read_csv_tolerant(spark: SparkSession, path: str, cols: Sequence[str], sep:
 
 def read_sensor_stream(spark: SparkSession, path: str, cols: Sequence[str], time: str, sep: str = ";") -> tuple[DataFrame, DataFrame]:
     """S-04: data rows and MARKER rows of a stream; END and header lines are skipped."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", sep).alias("f"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", quoted(sep)).alias("f"), "value")
     up = F.upper("value")
     marker, end = up.contains("MARKER"), F.trim(up).startswith("END")
     t0 = numeric_text(F.get("f", 0))
@@ -99,6 +105,7 @@ def read_sensor_stream(spark: SparkSession, path: str, cols: Sequence[str], time
     return rows, markers
 
 
+# The columns of an event log file, in their order.
 EVENT_COLUMNS = [
     "StudyPrefix", "SessionSuffix", "SessionStartDate", "SessionId", "TaskName", "SoloTask", "EventType", "EventContent", "Timestamp",
     "SenderSubjectExternalId", "ReceiverSubjectExternalId", "SummaryDescription",
@@ -112,6 +119,7 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return d.where((F.col("SessionId") != "") & (F.trim("TaskName") != "") & F.col("EventType").isNotNull())
 
 
+# Header names of snapshot files for each field.
 SNAPSHOT = {
     "item": ["cell index", "cell_index", "field index", "item", "field", "index", "id"], "author": ["Last subject author", "last_subject_author", "LastAuthor"],
     "answer": ["Answer", "response"], "truth": ["Ground Truth", "ground_truth", "correct", "solution", "expected"], "editable": ["is_editable", "editable", "modifiable"],
@@ -183,7 +191,7 @@ def read_rule_reports(spark: SparkSession, path: str) -> DataFrame:
     schema = "rules map<string,string>, n_rules_passed int, n_rules_total int"
     d = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("layout_id"))
     vals = F.map_values("rules")
-    passed = F.size(F.filter(vals, lambda v: F.lower(F.trim(v)).isin("1", "true", "vrai", "yes", "oui", "y", "t")))
+    passed = F.size(F.filter(vals, lambda v: parse_boolean(v)))
     has = F.col("rules").isNotNull() & (F.size("rules") > 0)
     return d.select("layout_id", "rules", F.when(has, passed).otherwise(F.col("n_rules_passed")).alias("n_rules_passed"), F.when(has, F.size("rules")).otherwise(F.col("n_rules_total")).alias("n_rules_total"))
 
@@ -228,11 +236,18 @@ def discover_sessions(spark: SparkSession, root: str, pattern: str = "*") -> Dat
     return d.groupBy(*k).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.count("*").alias("n_files"))
 
 
+# Header names of speaking-turn files for each field.
+TURN_COLUMNS = {
+    "session_id": ["session_id", "source_file"], "role": ["speaker", "participant"], "start_s": ["onset", "start", "start_s", "t_start"],
+    "end_s": ["offset", "end", "end_s", "t_end"],
+}
+
+
 def read_speaking_turns(spark: SparkSession, path: str) -> DataFrame:
     """S-14: speaker, onset, offset under any of their names; empty turns drop."""
     d = conform(
         spark.read.csv(path, header=True).select("*", F.col("_metadata.file_path").alias("source_file")),
-        {"session_id": ["session_id", "source_file"], "role": ["speaker", "participant"], "start_s": ["onset", "start", "start_s", "t_start"], "end_s": ["offset", "end", "end_s", "t_end"]},
+        TURN_COLUMNS,
         {"start_s": "double", "end_s": "double"},
     )
     return d.where("role is not null and start_s is not null and end_s > start_s")

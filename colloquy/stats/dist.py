@@ -26,14 +26,18 @@ def _erfc(x):
     return _each(math.erfc, x)
 
 
-def _beta_fraction(a, b, x, steps: int = 400):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+STEPS = 20_000
+
+
+def _beta_fraction(a, b, x):
+    """Continued fraction of the incomplete beta function (modified Lentz); NaN where it has not settled."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, steps):
+    settled = np.zeros(np.shape(x), bool)
+    for m in range(1, STEPS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -43,9 +47,10 @@ def _beta_fraction(a, b, x, steps: int = 400):
             c = 1.0 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
-        if np.all(np.abs(c * d - 1.0) < 1e-15):
+        settled = np.abs(c * d - 1.0) < 1e-14
+        if np.all(settled):
             break
-    return h
+    return np.where(settled, h, np.nan)
 
 
 def betainc(a, b, x):
@@ -65,29 +70,47 @@ def betainc(a, b, x):
     return out
 
 
+LARGE_SHAPE = 1e5
+
+
+def _gammaincc_large(a, x):
+    """Q(a, x) for large ``a``: the uniform expansion around the normal, with its first correction."""
+    mu = (x - a) / a
+    with np.errstate(divide="ignore", invalid="ignore"):
+        eta = np.sign(mu) * np.sqrt(2.0 * np.maximum(mu - np.log1p(mu), 0.0))
+        c0 = np.where(np.abs(mu) < 1e-3, -1.0 / 3 + eta / 12 - 2 * eta**2 / 135, 1.0 / mu - 1.0 / eta)
+        rest = np.exp(-0.5 * a * eta**2) / np.sqrt(2.0 * np.pi * a) * c0
+    return np.where(x <= 0, 1.0, np.clip(0.5 * _erfc(eta * np.sqrt(a / 2.0)) + np.where(np.isfinite(rest), rest, 0.0), 0.0, 1.0))
+
+
 def gammaincc(a, x):
-    """Regularised upper incomplete gamma function Q(a, x)."""
+    """Regularised upper incomplete gamma function Q(a, x); NaN where no expansion settles."""
     a, x = np.broadcast_arrays(np.asarray(a, dtype=float), np.asarray(x, dtype=float))
     out = np.full(x.shape, np.nan)
-    ok = (a > 0) & (x >= 0)
+    large = (a > LARGE_SHAPE) & (x >= 0)
+    if large.any():
+        out[large] = _gammaincc_large(a[large], x[large])
+    ok = (a > 0) & (x >= 0) & ~large
     a, x = a[ok], x[ok]
     if not x.size:
         return out
+    low = x < a + 1
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         front = np.where(x > 0, np.exp(-x + a * np.log(x) - _lgamma(a)), 0.0)
-    term = 1.0 / a
+    term = np.where(low, 1.0 / a, 0.0)
     total = term.copy()
-    for n in range(1, 2000):
+    for n in range(1, STEPS):
         term = term * x / (a + n)
-        total = total + np.where(x < a + 1, term, 0.0)
-        if np.all(np.abs(np.where(x < a + 1, term, 0.0)) < 1e-16 * np.abs(total)):
+        total = total + term
+        summed = term <= 1e-16 * total
+        if np.all(summed):
             break
-    lower = front * total
     b = x + 1.0 - a
     c = np.full(x.shape, 1e300)
     d = 1.0 / np.where(b == 0, 1e-300, b)
     h = d.copy()
-    for i in range(1, 2000):
+    settled = low
+    for i in range(1, STEPS):
         an = -i * (i - a)
         b = b + 2.0
         d = an * d + b
@@ -95,9 +118,10 @@ def gammaincc(a, x):
         c = b + an / c
         c = np.where(np.abs(c) < 1e-300, 1e-300, c)
         h = h * d * c
-        if np.all((np.abs(d * c - 1.0) < 1e-15) | (x < a + 1)):
+        settled = low | (np.abs(d * c - 1.0) < 1e-14)
+        if np.all(settled):
             break
-    out[ok] = np.where(x < a + 1, 1.0 - lower, front * h)
+    out[ok] = np.where(low, np.where(summed, 1.0 - front * total, np.nan), np.where(settled, front * h, np.nan))
     return out
 
 

@@ -88,9 +88,13 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
 
 
 def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tol: float = 1e-9) -> DataFrame:
-    """P-48: weighted power iteration on A + I, unit length."""
+    """P-48: weighted power iteration on A + I, unit length, until no entry moves by ``tol`` or more.
+
+    ``residual`` is the largest move of the last round and ``converged`` tells whether it is below ``tol``.
+    """
     e = cut(both_ways(edges).select("a", "b", "w"))
     v = cut(e.select(F.col("a").alias("node")).distinct().withColumn("c", F.lit(1.0)))
+    gap = None
     for _ in range(rounds):
         s = e.join(v.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("c")).alias("_s"))
         n = v.join(s, "node").select("node", F.col("c").alias("_old"), (F.col("c") + F.col("_s")).alias("c"))
@@ -100,7 +104,8 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 100, tol: float = 1e-
         v = n.select("node", "c")
         if gap is None or gap < tol:
             break
-    return v.select("node", F.col("c").alias("eigenvector"))
+    done = gap is None or gap < tol
+    return v.select("node", F.col("c").alias("eigenvector"), F.lit(gap).cast("double").alias("residual"), F.lit(done).alias("converged"))
 
 
 def bridge_nodes(edges: DataFrame, family: DataFrame) -> DataFrame:
@@ -110,15 +115,17 @@ def bridge_nodes(edges: DataFrame, family: DataFrame) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("cross_edges"), F.sum("w").alias("cross_weight"), F.countDistinct("fb").alias("n_families"))
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """P-50: label propagation; a node takes the heaviest label around it, smallest on ties.
 
-    Own label counts with the node's mean edge weight, which stops two-cycles.
+    Own label counts with the node's mean edge weight, which stops two-cycles. Longer cycles
+    are possible, so ``converged`` tells whether the labels were stable before ``rounds``.
     """
     e = cut(both_ways(edges).select("a", "b", "w"))
     self_w = e.groupBy("a").agg(F.avg("w").alias("w")).select(F.col("a"), F.col("a").alias("b"), "w")
     e = cut(e.unionByName(self_w))
     lab = cut(e.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
+    done = False
     for _ in range(rounds):
         votes = e.join(lab.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.round(F.sum("w"), 9).alias("v"))
         best = votes.groupBy(F.col("a").alias("node")).agg(F.min_by("community", F.struct(-F.col("v"), F.col("community"))).alias("_n"))
@@ -127,7 +134,7 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         lab = n.select("node", "community")
         if done:
             break
-    return lab
+    return lab.withColumn("converged", F.lit(done))
 
 
 def ranked_nodes(measures: DataFrame, measure: str, k: int) -> DataFrame:

@@ -37,7 +37,9 @@ def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_fdr
     d = df.withColumn("_i", F.xxhash64(*[F.col(c) for c in df.columns]))
     ok = cut(d.where(F.col(p).isNotNull()))
     m = ok.groupBy(*fam).agg(F.count("*").alias("_m"))
-    chunk = F.floor(F.sqrt(F.col(p)) * 255).cast("long")
+    # Many p-values may underflow to 0 or be 1; such ties are cut by the hash that orders them.
+    tied = _hash_chunk(F.col("_i")).cast("long")
+    chunk = F.when(F.col(p) <= 0, tied - 1000).when(F.col(p) >= 1, tied + 1000).otherwise(F.floor(F.sqrt(F.col(p)) * 255).cast("long"))
     r = scan(ok, fam, [p, "_i"], chunk, {"_k": row_number()})
     r = attach(r, m, fam, "inner").withColumn("_neg", -F.col(p)).withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k"))
     r = r.withColumn("_negi", -F.col("_k"))
@@ -132,9 +134,6 @@ def jackknife(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.where("n > 2").select(*keys, "unit", F.try_divide(c, F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy))).alias("stat"))
 
 
-LEVELS = 40
-
-
 def leave_one_out_spearman(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """P-10: the rank correlation without each unit, without building unit pairs.
 
@@ -166,11 +165,13 @@ def leave_one_out_spearman(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Joint counts. Position of the distinct x values in order (equal values share one).
     pos = scan(d.select(*keys, "x", "_px").distinct(), keys, ["x"], F.col("_px").cast("long"), {"_pos": row_number()})
     p = cut(d.join(pos.select(*keys, "x", "_pos"), [*keys, "x"]).select(*keys, "unit", "x", "y", "_py", "_pos"))
-    lv = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_lv"))
+    # As many levels as the largest position of the group has bits.
+    top = p.groupBy(*keys).agg(F.max("_pos").alias("_mp"))
+    lv = attach(p, top, keys).where("_mp > 0")
+    lv = lv.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.length(F.bin("_mp")) - 1))).drop("_mp")
     # Past the highest set bit all positions share one block without an upper sibling.
     lv = lv.withColumn("_blk", F.expr("shiftright(_pos, _lv + 1)")).withColumn("_up", F.expr("shiftright(_pos, _lv) & 1"))
-    top = p.groupBy(*keys).agg(F.max("_pos").alias("_mp"))
-    lv = cut(attach(lv, top, keys).where(F.expr("shiftright(_mp, _lv) > 0")).drop("_mp"))
+    lv = cut(lv)
     cnt = lv.groupBy(*keys, "_lv", "_blk", "_py", "y").agg(F.sum("_up").alias("_u"))
     cnt = cnt.withColumn("_neg", -F.col("y"))
     run = scan(cnt, [*keys, "_lv", "_blk"], ["_neg"], -F.col("_py").cast("long"), {"_cu": running_sum("_u")})

@@ -47,7 +47,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, value: str, a,
     var = na * nb / 12.0 * ((n + 1) - F.col("_tie") / (n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(u - na * nb / 2.0) - 0.5, F.lit(0.0)), F.sqrt(var))
     g = g.withColumn("u", u).withColumn("z", z)
-    return g.withColumn("p", F.least(2.0 * (1.0 - normal_cdf("z")), F.lit(1.0))).select(
+    return g.withColumn("p", F.least(2.0 * normal_cdf(-F.col("z")), F.lit(1.0))).select(
         *keys, "n_a", "n_b", "u", "z", (F.col("z") / F.sqrt(n)).alias("r"), (2.0 * F.col("u") / (na * nb) - 1.0).alias("rank_biserial"), "p"
     )
 

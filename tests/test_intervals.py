@@ -181,3 +181,30 @@ def test_occupancy_and_silence_properties(spark, sf):
     u = iv.merge_union(inside, 60.0).groupBy("session_id").agg(F.sum(iv.duration()).alias("u"))
     q = iv.silence_intervals(s, tot, 60.0).groupBy("session_id").agg(F.sum(iv.duration()).alias("q"))
     assert u.join(q, "session_id").where(F.abs(F.col("u") + F.col("q") - t.TOTAL_S) > 1e-6).count() == 0
+
+
+def test_short_pairs_are_compared_on_the_finest_level_only(spark):
+    """Candidates stay near the number of results, with and without a very long interval."""
+    from colloquy.operators.align import _buckets, _levels
+
+    short = lambda n: spark.range(n).select(F.lit(1).alias("s"), (F.col("id") * 2.0).alias("a0"), (F.col("id") * 2.0 + 1.5).alias("a1"))
+    a = short(3000).unionByName(spark.createDataFrame([(1, 0.0, 6000.0)], "s int, a0 double, a1 double"))
+    b = short(3000).select("s", F.col("a0").alias("b0"), F.col("a1").alias("b1"))
+    n = _levels(((a, ("a0", "a1")), (b, ("b0", "b1"))), 1.0, 16)
+    x, y = _buckets(a, "a0", "a1", 1.0, 16, n, True), _buckets(b, "b0", "b1", 1.0, 16, n, False)
+    tags = ["s", "_lv", "_b", "_la", "_lb"]
+    candidates = x.join(y, tags).where("_la = 0 and _lb = 0").count()
+    results = interval_join(a, b, ["s"], 1.0, ("a0", "a1"), ("b0", "b1"))
+    assert results.where("a1 < 6000").count() == 3000 and results.count() == 6000
+    assert candidates <= 3 * 3000
+    assert x.where("a1 = 6000").count() <= 40
+
+
+def test_backchannels_look_as_far_as_the_widest_filter(spark):
+    from colloquy.operators import intervals as iv
+
+    rows = [(1, "A", 0.0, 3.0), (1, "B", 0.0, 2.0), (1, "B", 3.5, 3.9), (1, "A", 3.6, 5.0)]
+    d = spark.createDataFrame(rows, "session_id int, role string, start_s double, end_s double")
+    turns = d.where("end_s - start_s > 1")
+    assert iv.backchannels(d, turns, continuation_s=0.2).count() == 1
+    assert iv.backchannels(d, turns, continuation_s=2.0).count() == 0

@@ -195,3 +195,22 @@ def test_mann_whitney_against_pairs(spark):
     d = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b], "g string, v double")
     r = ts.mann_whitney(d, [], "g", "v", "a", "b").first()
     assert r.u == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+
+
+def test_distributions_hold_for_large_shapes():
+    """At its mean the upper tail of a chi-square stays close to one half, and the expansions agree where they meet."""
+    import numpy as np
+
+    from colloquy.stats import dist
+
+    for df in (1e4, 1e6, 1e7, 1e8, 1e12):
+        assert dist.gammaincc(df / 2, df / 2).item() == pytest.approx(0.5 - 1 / (3 * math.sqrt(math.pi * df)), abs=2e-6)
+    a, z = 1.2e5, np.array([-3.0, -0.5, 0.0, 0.1, 2.0, 5.0])
+    x = a + z * math.sqrt(a)
+    large = dist.gammaincc(np.full(6, a), x)
+    dist_small, dist.LARGE_SHAPE = dist.LARGE_SHAPE, 1e9
+    try:
+        assert dist.gammaincc(np.full(6, a), x) == pytest.approx(large, abs=1e-7)
+    finally:
+        dist.LARGE_SHAPE = dist_small
+    assert dist.betainc(np.array([5e5]), np.array([5e5]), np.array([0.5])).item() == pytest.approx(0.5, abs=1e-9)

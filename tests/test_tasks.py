@@ -122,3 +122,59 @@ def test_hot_session_survives(spark):
     plain = d.withColumn("new", (pm.isNull() | (F.col("start_s") > pm)).cast("int")).groupBy("session_id").agg(F.sum("new").alias("n"))
     got = iv.merge_union(d, 30.0).groupBy("session_id").agg(F.count("*").alias("n"))
     assert {(r.session_id, r.n) for r in plain.collect()} == {(r.session_id, r.n) for r in got.collect()}
+
+
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_stream_turns_do_not_depend_on_batches(spark, files):
+    """However the rows are cut into batches, the closed turns are those of the batch operator."""
+    import random
+
+    from colloquy.operators.intervals import aggregate_turns
+    from colloquy.streaming.live import live_turns
+
+    rng, rows = random.Random(files), []
+    for session in (1, 2):
+        at = 0.0
+        for _ in range(120):
+            at += rng.choice([0.2, 0.5, 1.0, 2.5, 4.0])
+            rows.append((session, rng.choice("AB"), at, at + rng.choice([0.3, 0.8, 1.5, 3.0])))
+    schema = "session_id long, role string, start_s double, end_s double"
+    segments = spark.createDataFrame(rows, schema)
+    want = {(r.session_id, r.role, r.start_s, r.end_s) for r in aggregate_turns(segments, 30.0).collect()}
+    src, out, chk = stage_path(spark, "in"), stage_path(spark, "out"), stage_path(spark, "chk")
+    rng.shuffle(rows)
+    # Rows may come in any order inside the watermark; the last file only moves the watermark.
+    parts = [rows[i::files] for i in range(files)] + [[(9, "A", 1e6, 1e6 + 1)]]
+    for i, part in enumerate(parts):
+        d = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("start_s"))
+        d.coalesce(1).write.mode("append").parquet(f"{src}/{i}")
+    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = live_turns(s, watermark="1 hour").writeStream.format("parquet").option("checkpointLocation", chk).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert {(r.session_id, r.role, r.start_s, r.end_s) for r in got} == want and len(got) == len(want)
+
+
+def test_matching_ends_without_positions(spark):
+    nan, inf = float("nan"), float("inf")
+    s = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, None, 1.0), (1, 3, nan, 0.0), (1, 4, 9000.0, 0.0), (2, 1, None, None), (3, 1, 0.0, 0.0)], "layout_id int, s_id int, x double, z double")
+    p = spark.createDataFrame([(1, 1, 0.1, 0.0), (1, 2, 1.0, None), (1, 3, inf, 0.0), (1, 4, 0.0, 7.0), (2, 1, 0.0, 0.0), (3, 1, 0.2, 0.0), (3, 2, 0.1, 0.0)], "layout_id int, p_id int, x double, z double")
+    got = [tuple(r) for r in pl.match_greedy(s, p).select("layout_id", "s_id", "p_id").orderBy("layout_id", "s_id").collect()]
+    assert got == [(1, 1, 1), (1, 4, 4), (3, 1, 2)]
+
+
+def test_durations_that_are_not_positive_count_as_the_cap(spark):
+    d = spark.createDataFrame([(1, 0.0), (2, -5.0), (3, 20.0), (4, 9000.0), (5, None)], "layout_id int, a double")
+    assert [r.duration_s for r in pl.duration_seconds(d, ["a"]).orderBy("layout_id").collect()] == [1500.0, 1500.0, 20.0, 1500.0, None]
+
+
+def test_ids_and_words_are_not_cut(spark):
+    from colloquy.functions.scalars import recode_likert, text_units
+    from colloquy.operators.keys import normalize_group_id
+
+    d = spark.createDataFrame([("BIM 1234",), ("7",), ("007_2",), ("g12345678901234567890",), ("none",)], "x string")
+    assert [r[0] for r in d.select(normalize_group_id(F.col("x"))).collect()] == ["bim1234", "bim007", "bim007_2", "bim12345678901234567890", "none"]
+    t = spark.createDataFrame([("Straße œuvre слово snake_case",)], "x string")
+    assert t.select(text_units(F.col("x"))).first()[0] == ["straße", "œuvre", "слово", "snake_case"]
+    k = spark.createDataFrame([("7.5",), (" 7 ",), ("0",), ("12",), ("Oui",)], "x string")
+    assert [r[0] for r in k.select(recode_likert(F.col("x"), {"oui": 9}, F.lit("i"), [])).collect()] == [None, 7, None, None, 9]
