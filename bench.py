@@ -30,7 +30,7 @@ def main() -> None:
         "bench", f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEM", "6g"), "spark.ui.enabled": "false",
-            "spark.ui.showConsoleProgress": "false", "spark.local.dir": tempfile.mkdtemp(prefix="spark-"),
+            "spark.ui.showConsoleProgress": "false", "spark.local.dir": tempfile.mkdtemp(prefix="spark-"), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -15,7 +15,8 @@ def spark():
         "tests", "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-            "spark.driver.memory": "4g", "spark.local.dir": tempfile.mkdtemp(prefix="spark-"), "spark.sql.autoBroadcastJoinThreshold": "10MB",
+            "spark.driver.memory": "4g", "spark.local.dir": tempfile.mkdtemp(prefix="spark-"), "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
+            "spark.sql.autoBroadcastJoinThreshold": "10MB",
         },
     )
     s.sparkContext.setLogLevel("ERROR")
