@@ -163,7 +163,7 @@ def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bag(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "bag"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary")).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.col("text").cast("binary")).join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return map_stream(texts, run, "node long, bag array<long>")
 
 
@@ -249,9 +249,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = written(sketches(docs), "sketches")
     nodes = sketch.groupBy("digest").agg(F.min("doc_id").alias("node"))
     named = written(sketch.select("doc_id", "digest").join(nodes, "digest").select("doc_id", "node").groupBy("doc_id").agg(F.min("node").alias("node")), "nodes")
-    own = sketch.join(named.where("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
+    own = sketch.join(named.where("doc_id = node").select("doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
     groups = own.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    met = own.join(groups, "key").distinct()
+    met = own.join(groups.hint("merge"), "key").distinct()
     # The node that meets most others is the likeliest centre of its group; equal ones are told apart by a hash.
     weight = met.groupBy("node").agg((F.sum("k") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("centre"))
     met = written(met.join(weight, "node"), "met")
@@ -280,6 +280,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, one document of each class; rows without a doc_id stay."""
     ids = written(near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
-    once = docs.join(ids.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    often = docs.join(ids.where("_rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    kept = docs.join(ids.withColumnsRenamed({"doc_id": "_kept_id", "_rows": "_kept_rows"}).hint("merge"), F.col("doc_id") == F.col("_kept_id"))  # both branches read one shuffle
+    once, often = kept.where("_kept_rows = 1"), kept.where("_kept_rows > 1").dropDuplicates(["doc_id"])
+    return once.unionByName(often).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
