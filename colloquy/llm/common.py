@@ -67,16 +67,18 @@ def fold_column(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0) -> DataFrame:
+def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0, ties: list[str] = []) -> DataFrame:
     """At most ``limit`` rows for each value of ``keys``, those with the smallest seeded hash of doc_id; ``_n`` counts them.
 
+    ``ties`` orders rows of one doc_id.
+
     The rows of a key are first thinned by that hash to about twice the limit, so no task sorts many rows of one key.
     """
     seen = labels.groupBy(*keys).agg(F.count("*").alias("_all"))
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     near = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) * F.col("_all") <= 2.0 * limit + 50
     thin = labels.join(seen, keys).where(near).drop("_all")
-    order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col("doc_id"))
+    order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col("doc_id"), *ties)
     return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
 
 
@@ -89,6 +91,16 @@ def labelled(labels: DataFrame, target: str) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
+def text_key():
+    """Digest of the column ``text``; null counts as empty."""
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+
+
+def distinct_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row for each text and label ``y`` of ``rows`` (doc_id, y): digest, smallest doc_id, number of ``copies``."""
+    return docs.select("doc_id", text_key().alias("_text")).join(rows, "doc_id").groupBy("y", "_text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, ...), a bounded sample, with the text of each; a repeated doc_id gives a row for each of its texts.
 

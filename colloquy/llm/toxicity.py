@@ -7,8 +7,9 @@ change of the score is added to the loss, so that a group's name by itself moves
 each sentence's label from its document; the second keeps as positive only those sentences of toxic documents that
 the first finds most toxic. A document's score is the calibrated score of its most toxic sentence.
 
-The fit uses a bounded sample: ``per_class`` toxic rows and three times as many others, and ``calibration`` other rows
-of each label. Equal sentences of the sample count once.
+The fit uses a bounded sample of distinct texts: ``per_class`` toxic ones and three times as many others, and
+``calibration`` other texts of each label. A sampled text stands for all its copies where documents are counted. Equal
+sentences of the sample are one row of the fit, and belong to each document that holds them.
 
 Defined results: null and empty texts have one empty sentence, whose score is the intercept's; without labels of both
 classes every score is 0.5; repeated rows each give a row; other columns are not read.
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import bounded_sample, fold_column, labelled, map_batches, texts_of
+from colloquy.llm.common import bounded_sample, distinct_texts, fold_column, labelled, map_batches, text_key, texts_of, written
 from colloquy.llm.linear import Rows, fit_logistic, platt, sigmoid
 from colloquy.llm.words import PIECE, pieces
 
@@ -115,29 +116,33 @@ class Model:
         return float(sigmoid(self.slope * self.logit(text) + self.shift)) if self.weights.any() else 0.5
 
 
-def fit(texts: list[bytes | None], y: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS, identity=IDENTITY) -> Model:
-    """Model of labelled texts, not calibrated."""
+def fit(texts: list[bytes | None], y: np.ndarray, ridge: float = RIDGE, fairness: float = FAIRNESS, identity=IDENTITY, copies: np.ndarray | None = None) -> Model:
+    """Model of labelled texts, not calibrated; each text stands for ``copies`` documents (default: one)."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    owner, rows, pairs, seen = [], [], [], np.zeros(WIDTH, np.int32)
-    met: set[tuple] = set()
+    copies = np.ones(len(y), np.int64) if copies is None else np.asarray(copies, np.int64)
+    owner, line, label, rows, pairs, seen = [], [], [], [], [], np.zeros(WIDTH, np.int64)
+    met: dict[tuple, int] = {}
     for doc in np.argsort(-y, kind="stable").tolist():
-        held = set()
+        held, lines = set(), set()
         for words in sentences(texts[doc]):
-            if (mark := tuple(words)) in met:  # a copied sentence counts once, as toxic if any copy is
-                continue
-            met.add(mark)
             here = columns(words)
             held |= here
-            owner.append(doc)
+            mark = tuple(words)
+            lines.add(at := met.setdefault(mark, len(rows)))
+            if at < len(rows):  # a copied sentence is one row, toxic if any copy is
+                continue
+            label.append(y[doc])
             rows.append(np.fromiter(here, np.int64, len(here)))
             for other in swaps(words, identity):
                 there = columns(other)
                 gone, come = np.array(sorted(here - there), np.int64), np.array(sorted(there - here), np.int64)
                 pairs.append((np.concatenate([gone, come]), np.concatenate([np.ones(len(gone)), -np.ones(len(come))])))
-        seen[list(held)] += 1
-    common = seen >= min(MIN_DOCS, max(1, len(texts) // 10))
+        owner += [doc] * len(lines)
+        line += sorted(lines)
+        seen[list(held)] += copies[doc]
+    common = seen >= min(MIN_DOCS, max(1, int(copies.sum()) // 10))
     used = np.flatnonzero(common)
     place = np.full(WIDTH, -1, np.int64)
     place[used] = np.arange(len(used))
@@ -147,26 +152,33 @@ def fit(texts: list[bytes | None], y: np.ndarray, ridge: float = RIDGE, fairness
         return at[at >= 0], vals[at >= 0]
 
     rows = [compact(r, np.ones(len(r))) for r in rows]
-    data, owner = Rows(rows, len(used)), np.array(owner)
+    data, owner, line, label = Rows(rows, len(used)), np.array(owner), np.array(line), np.array(label)
     apart = Rows([compact(*p) for p in pairs], len(used)) if pairs else None
-    label = y[owner]
     weights, bias = fit_logistic(data, label, ridge, apart, fairness)
     z = data.dot(weights) + bias
     top = np.full(len(y), -np.inf)
-    np.maximum.at(top, owner, z)
-    toxic = (label > 0) & (z >= np.minimum(top[owner], 0.5 * top[owner]))
+    np.maximum.at(top, owner, z[line])
+    most = (y[owner] > 0) & (z[line] >= np.minimum(top[owner], 0.5 * top[owner]))
+    toxic = np.zeros(len(rows), bool)
+    toxic[line[most]] = True
     use = np.flatnonzero(toxic | (label == 0))
     weights, bias = fit_logistic(Rows([rows[i] for i in use], len(used)), toxic[use].astype(float), ridge, apart, fairness)
     return Model(used, weights, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, ridge: float = RIDGE, fairness: float = FAIRNESS, identity=IDENTITY) -> Model:
-    """Fit and calibrate on bounded samples of rows that are not held out; every fifth id by crc32 calibrates."""
+    """Fit and calibrate on bounded samples of texts that are not held out; every fifth id by crc32 calibrates.
+
+    Copies of a text under one label are sampled as one, by their smallest id.
+    """
     known = labelled(labels, "toxic").where(fold_column(F.col("doc_id"), FOLDS) != HELD_OUT)
+    texts = written(distinct_texts(docs, known), "texts")
     check = fold_column(F.col("doc_id"), 5) == 0
-    sample = bounded_sample(known.where(~check), ["y"], 3 * per_class).where((F.col("y") == 0) | (F.col("_n") <= per_class)).drop("_n").withColumn("c", F.lit(False)).unionByName(bounded_sample(known.where(check), ["y"], calibration).drop("_n").withColumn("c", F.lit(True)))
-    rows = sorted(((r["c"], r["doc_id"], bytes(r["text"] or b""), r["y"]) for r in texts_of(docs, sample).select("c", "doc_id", F.col("text").cast("binary"), "y").toLocalIterator()))
-    model = fit([r[2] for r in rows if not r[0]], np.array([r[3] for r in rows if not r[0]]), ridge, fairness, identity)
+    sample = bounded_sample(texts.where(~check), ["y"], 3 * per_class, ties=["_text"]).where((F.col("y") == 0) | (F.col("_n") <= per_class)).drop("_n").withColumn("c", F.lit(False)).unionByName(bounded_sample(texts.where(check), ["y"], calibration, ties=["_text"]).drop("_n").withColumn("c", F.lit(True)))
+    found = texts_of(docs, sample).where(text_key() == F.col("_text")).dropDuplicates(["doc_id", "_text"])
+    rows = sorted(((r["c"], r["doc_id"], bytes(r["text"] or b""), r["y"], r["copies"]) for r in found.select("c", "doc_id", F.col("text").cast("binary"), "y", "copies").toLocalIterator()))
+    fitting = [r for r in rows if not r[0]]
+    model = fit([r[2] for r in fitting], np.array([r[3] for r in fitting]), ridge, fairness, identity, np.array([r[4] for r in fitting]))
     if model.weights.any():
         z = np.array([model.logit(r[2]) for r in rows if r[0]])
         model.slope, model.shift = platt(z, np.array([r[3] for r in rows if r[0]], float))

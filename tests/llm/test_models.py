@@ -146,6 +146,30 @@ def test_toxic_documents_are_found(spark, make):
     assert rows and all(r["predicted"] == toxic[r["doc_id"]] for r in rows)
 
 
+def test_words_of_copied_sentences_and_texts_count():
+    rng = random.Random(9)
+    plain = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in ("rn", "st", "lo", "ni")]
+    say = lambda: " ".join(rng.choice(plain) for _ in range(9)) + "."
+    y = np.array([1, 1, 0, 0, 0] * 40)
+    toxic = lambda i: "you are a zounderkite." if i % 5 else "only grumbleface here."
+    texts = [" ".join([say(), toxic(i) if t else say(), say()]).encode() for i, t in enumerate(y)]
+    model = tox.fit(texts, y)
+    for insult in ("zounderkite", "grumbleface"):
+        assert model.of(insult.encode()) > 1
+    assert max(model.logit(t) for t, k in zip(texts, y) if not k) < min(model.logit(t) for t, k in zip(texts, y) if k)
+    once = [*[say().encode() for _ in range(60)], b"a snollygoster.", *[b"x " + toxic(i).encode() for i in range(30)]]
+    y = np.array([0] * 60 + [1] * 31)
+    assert tox.fit(once, y, copies=[1] * 60 + [40] + [1] * 30).of(b"snollygoster") > 0 == tox.fit(once, y).of(b"snollygoster")
+
+
+def test_copies_do_not_fill_the_sample(spark, make):
+    texts = ["same old insult zounderkite."] * 200 + [f"you {w} grumbleface." for w in "abcdefghijkl"] + [f"fine {i}." for i in range(60)]
+    docs = make(texts + [None])
+    labels = spark.createDataFrame([(i, 1, int(i < 212)) for i in range(272)], "doc_id long, quality int, toxic int")
+    kept = tox.train(docs, labels, per_class=12, calibration=12)
+    assert kept.of(b"zounderkite") > 0 and kept.of(b"grumbleface") > 0
+
+
 def test_identity_terms_move_the_score_little():
     rng = random.Random(8)
     plain = [a + b for a in "bdfgklmn" for b in ("arn", "est", "ilo", "oni", "ut")]
