@@ -91,9 +91,9 @@ def labelled(labels: DataFrame, target: str) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def text_key():
-    """Digest of the column ``text``; null counts as empty."""
-    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+def text_key(text=None):
+    """Digest of a text, by default of the column ``text``; null counts as empty."""
+    return F.sha2(F.coalesce(F.col("text") if text is None else text, F.lit("")).cast("binary"), 256)
 
 
 def distinct_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:

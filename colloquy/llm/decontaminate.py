@@ -2,7 +2,8 @@
 
 Every window of ten consecutive words of an item (or the whole item, where it has fewer) is looked up in every
 document. The windows are broadcast as a hash set while they number at most ``max_windows``; beyond that the same
-windows meet the documents' windows in an equi-join, with equal results.
+windows meet the documents' windows in an equi-join, with equal results. Either way each row is judged, and cut, by
+its own text, also where ids repeat or are null.
 
 Defined results: a null or empty text has no words and no hit; an item without a word has no window; items that share
 a window are each counted; an item with a null id marks words but is in no list of items; repeated rows each give a
@@ -13,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import map_batches, map_stream, written
+from colloquy.llm.common import map_batches, map_stream, text_key, written
 from colloquy.llm.words import FOLD, split_words, word_ids
 
 WINDOW = 10
@@ -88,9 +90,23 @@ class WindowSet:
         _, hit, _ = self.scan(text)
         if hit is None:
             return []
-        starts, ends = word_bounds(text)
-        step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-        return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+        return stretches(text, hit)
+
+
+def stretches(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Byte ranges of the stretches of words marked in ``hit``."""
+    starts, ends = word_bounds(text)
+    step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without the byte ranges ``spans``."""
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last:a])
+        last = b
+    return b"".join([*kept, text[last:]])
 
 
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +146,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
     return map_batches(docs.select("doc_id", F.col("text").cast("binary")), run, RESULT)
 
 
-def _by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """The same result with the windows shuffled by their words; used for large benchmarks."""
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.select("doc_id", key.alias("_text"), F.col("text").cast("binary").alias("text"))
-    items = item_windows(benchmark, size)
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text (``_text``), text."""
+    return docs.select("doc_id", text_key().alias("_text"), F.col("text").cast("binary").alias("text"))
+
+
+def _places(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``items`` (n, window, ...) and the word number ``at`` of each of their windows in ``rows``; the windows are shuffled."""
     sizes = sorted(r[0] for r in items.select("n").distinct().collect())
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,13 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
                         out = [b" ".join(words[i:i + n]).decode() for i in range(at, min(at + 10_000, len(words) - n + 1))]
                         yield pa.RecordBatch.from_arrays([pa.array([doc] * len(out), pa.int64()), pa.array([key] * len(out)), pa.array(range(at, at + len(out)), pa.int64()), pa.array(out)], ["doc_id", "_text", "at", "window"])
 
-    hits = written(map_stream(rows.distinct(), windows, "doc_id long, _text string, at long, window string").join(items, "window").select("doc_id", "_text", "at", "n", "item_id"), "hits")
+    return map_stream(rows, windows, "doc_id long, _text string, at long, window string").join(items, "window").drop("window")
+
+
+def _by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """The same result with the windows shuffled by their words; used for large benchmarks."""
+    rows = _rows(docs)
+    hits = written(_places(rows.distinct(), item_windows(benchmark, size)).select("doc_id", "_text", "at", "n", "item_id"), "hits")
     same = ["doc_id", "_text"]
     hit = hits.select(*same, F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("w")).distinct().groupBy(same).agg(F.count("*").alias("n_hit"))
     ids = hits.where(F.col("item_id").isNotNull()).select(*same, "item_id").distinct().groupBy(same).agg(F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("ids"), F.count("*").alias("n_items"))
@@ -160,6 +184,39 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _cut_by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """``docs`` with the stretches of hit words cut out, for large benchmarks.
+
+    A round finds the places of the windows, and cuts, in the texts that the round before has changed.
+    """
+    items = written(item_windows(benchmark, size).select("n", "window").distinct(), "windows")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text, at, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            hit = np.zeros(len(split_words(text)), bool)
+            for i, m in zip(at, n):
+                hit[i:i + m] = True
+            out.append(without(text, stretches(text, hit)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "_text", "text"])
+
+    now, rounds = _rows(docs).distinct(), []
+    while True:
+        places = _places(now, items).groupBy("doc_id", "_text").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
+        places = written(places.select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_key"), "hits.at", "hits.n"), "places")
+        if places.isEmpty():
+            break
+        hit = now.join(places, now["doc_id"].eqNullSafe(F.col("_doc")) & (now["_text"] == F.col("_key"))).select("doc_id", "_text", "text", "at", "n")
+        now = written(map_batches(hit, cut, "doc_id long, _text string, text binary"), "cut")
+        rounds.append(now.withColumn("_round", F.lit(len(rounds))))
+    if not rounds:
+        return docs
+    done = reduce(DataFrame.unionByName, rounds).groupBy("doc_id", "_text").agg(F.max_by("text", "_round").cast("string").alias("_cut"))
+    done = done.withColumnsRenamed({"doc_id": "_doc", "_text": "_key"})
+    out = docs.join(done, docs["doc_id"].eqNullSafe(done["_doc"]) & (text_key(docs["text"]) == done["_key"]), "left")
+    return out.select(*(F.coalesce(done["_cut"], docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with all its columns, without the documents that hold an item's window (``mode="documents"``), or with
     the stretches of hit words cut out of their texts (``mode="spans"``; the text around a cut is kept as it is).
@@ -169,19 +226,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     found = window_set(benchmark, size, max_windows)
     if found is None:
         if mode != "documents":
-            raise ValueError("spans are cut with a broadcast set only: raise max_windows or remove documents")
-        bad = _by_join(docs, benchmark, size).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+            return _cut_by_join(docs, benchmark, size)
+        items = item_windows(benchmark, size).select("n", "window").distinct()
+        bad = _places(_rows(docs).distinct(), items).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_key")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (text_key(docs["text"]) == bad["_key"]), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(found)
     at = docs.columns.index("text")
 
     def clean(text: bytes) -> bytes:
         while spans := shared.value.spans(text):
-            kept, last = [], 0
-            for a, b in spans:
-                kept.append(text[last:a])
-                last = b
-            text = b"".join([*kept, text[last:]])
+            text = without(text, spans)
         return text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -67,6 +67,32 @@ def test_documents_or_spans_go(spark, make, passages):
             assert cut[i] == t
 
 
+def test_rows_go_by_their_own_text_on_both_paths(spark, make, passages):
+    docs, items = passages
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    first = "left " + " ".join(plain_words(items[4][1])[:5]) + " " + items[0][1] + " " + " ".join(plain_words(items[4][1])[5:]) + " right"
+    rows = [(i if i % 4 else None, t) for i, t in enumerate(docs)] + [(i, f"clean text {i}") for i in (3, 3, 7)] + [(None, "clean text"), (3, first), (None, docs[3]), (None, docs[3])]
+    source = make(rows)
+    want = sorted(((i, t) for i, t in rows if not brute(t, items)[4]), key=str)
+    for bound in (200_000, 5):
+        kept = dc.decontaminate(source, benchmark, max_windows=bound)
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    cut = [dc.decontaminate(source, benchmark, mode="spans", max_windows=b) for b in (200_000, 5)]
+    assert cut[1].columns == source.columns
+    got = [sorted(((r["doc_id"], r["text"]) for r in c.collect()), key=str) for c in cut]
+    assert got[0] == got[1] and len(got[1]) == len(rows) and not any(brute(t, items)[4] for _, t in got[1])
+    clean = make(["clean", None])
+    assert rows_of(dc.decontaminate(clean, benchmark, mode="spans", max_windows=5), "doc_id", "text") == [(0, "clean"), (1, None)]
+
+
+def test_spans_are_cut_until_none_is_left_on_both_paths(spark, make):
+    benchmark = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "p q r")], "item_id long, text string")
+    source = make(["u a b x y p q r z c v", "a b", "p q r"])
+    for bound in (200_000, 1):
+        got = rows_of(dc.decontaminate(source, benchmark, mode="spans", max_windows=bound), "doc_id", "text")
+        assert [(i, t.split()) for i, t in got] == [(0, ["u", "v"]), (1, ["a", "b"]), (2, [])]
+
+
 def test_empty_tables(spark, make):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert dc.contamination(make([]), benchmark).count() == 0
