@@ -70,16 +70,16 @@ def fold_column(doc_id, n: int):
 def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0, ties: list[str] = []) -> DataFrame:
     """At most ``limit`` rows for each value of ``keys``, those with the smallest seeded hash of doc_id; ``_n`` counts them.
 
-    ``ties`` orders rows of one doc_id.
+    ``_weight`` is the number of rows of the key that a sampled row stands for. ``ties`` orders rows of one doc_id.
 
     The rows of a key are first thinned by that hash to about twice the limit, so no task sorts many rows of one key.
     """
     seen = labels.groupBy(*keys).agg(F.count("*").alias("_all"))
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     near = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) * F.col("_all") <= 2.0 * limit + 50
-    thin = labels.join(seen, keys).where(near).drop("_all")
+    thin = labels.join(seen, keys).where(near)
     order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col("doc_id"), *ties)
-    return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).withColumn("_weight", F.col("_all") / F.least("_all", F.lit(limit))).drop("_all")
 
 
 def labelled(labels: DataFrame, target: str) -> DataFrame:

@@ -88,10 +88,11 @@ def fit_logistic(rows: Rows, y: np.ndarray, ridge: float, pairs: Rows | None = N
     return x[:-1], float(x[-1])
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and intercept that turn scores into probabilities; slope 1 and the prior where one class is missing.
 
-    Targets are smoothed by a count of one, so separable scores keep finite slopes.
+    Targets are smoothed by a count of one, so separable scores keep finite slopes. ``weights`` says how many rows of
+    the corpus each row stands for, so that probabilities follow the corpus's shares and not the sample's.
     """
     z, y = np.asarray(z, float), np.asarray(y, float)
     pos, neg = y.sum(), len(y) - y.sum()
@@ -100,11 +101,12 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float
         return 1.0, 0.0
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     u = (z - z.mean()) / spread
+    share = np.full(len(z), 1.0 / len(z)) if weights is None else np.asarray(weights, float) / np.sum(weights)
 
     def loss(x):
         v = x[0] * u + x[1]
-        r = (sigmoid(v) - t) / len(t)
-        return float((np.logaddexp(0.0, v) - t * v).mean() + 1e-6 * x[0] ** 2), np.array([(r * u).sum() + 2e-6 * x[0], r.sum()])
+        r = (sigmoid(v) - t) * share
+        return float(share @ (np.logaddexp(0.0, v) - t * v) + 1e-6 * x[0] ** 2), np.array([(r * u).sum() + 2e-6 * x[0], r.sum()])
 
     a, b = minimise(loss, np.array([1.0, 0.0]), rounds)
     return (a / spread, b - a * z.mean() / spread) if a > 0 else (1.0, 0.0)

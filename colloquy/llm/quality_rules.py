@@ -1,7 +1,8 @@
 """Quality rules: counted base rules, and a hashed word and character n-gram logistic regression.
 
 The classifier is trained on a bounded sample of labelled rows (``per_class`` rows of each label), calibrated by
-Platt scaling on other labelled rows (``calibration`` rows of each label), and scored in Arrow batches over whole
+Platt scaling on other labelled rows (``calibration`` rows of each label, weighed to the labels' shares among all such
+rows), and scored in Arrow batches over whole
 texts. A document is kept when it passes the base rules and its probability of label 1 is at least ``threshold``.
 
 Features are shares: of each hashed word and word pair among the words, and of each hashed run of three or five bytes.
@@ -155,15 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(t) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.astype(np.int32).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], ["doc_id", "y", "cols", "vals"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([c.astype(np.int32).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], ["doc_id", "y", "weight", "cols", "vals"])
 
-    source = texts_of(docs, sample).select("doc_id", "y", F.col("text").cast("binary"))
-    got = sorted(map_batches(source, run, "doc_id long, y int, cols binary, vals binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["cols"]), bytes(r["vals"])))
+    source = texts_of(docs, sample).select("doc_id", "y", F.col("text").cast("binary"), "_weight")
+    got = sorted(map_batches(source, run, "doc_id long, y int, weight double, cols binary, vals binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["cols"]), bytes(r["vals"])))
     rows = lambda some: Rows([(np.frombuffer(bytes(r["cols"]), np.int32), np.frombuffer(bytes(r["vals"]), np.float32)) for r in some], 2 * WIDTH)
     fitting, checking = [r for r in got if fold(r["doc_id"], 5)], [r for r in got if not fold(r["doc_id"], 5)]
     y = np.array([r["y"] for r in fitting], float)
     weights, bias = fit_logistic(rows(fitting), y, ridge)
-    slope, shift = platt(rows(checking).dot(weights) + bias, np.array([r["y"] for r in checking], float)) if weights.any() else (1.0, 0.0)
+    slope, shift = platt(rows(checking).dot(weights) + bias, np.array([r["y"] for r in checking], float), weights=np.array([r["weight"] for r in checking])) if weights.any() else (1.0, 0.0)
     return Model(weights, bias, slope, shift)
 
 

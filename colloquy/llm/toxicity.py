@@ -8,7 +8,7 @@ each sentence's label from its document; the second keeps as positive only those
 the first finds most toxic. A document's score is the calibrated score of its most toxic sentence.
 
 The fit uses a bounded sample of distinct texts: ``per_class`` toxic ones and three times as many others, and
-``calibration`` other texts of each label. A sampled text stands for all its copies where documents are counted. Equal
+``calibration`` other texts of each label, weighed to the labels' shares among all documents. A sampled text stands for all its copies where documents are counted. Equal
 sentences of the sample are one row of the fit, and belong to each document that holds them.
 
 Defined results: null and empty texts have one empty sentence, whose score is the intercept's; without labels of both
@@ -181,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     model = fit([r[2] for r in fitting], np.array([r[3] for r in fitting]), ridge, fairness, identity, np.array([r[4] for r in fitting]))
     if model.weights.any():
         z = np.array([model.logit(r[2]) for r in rows if r[0]])
-        model.slope, model.shift = platt(z, np.array([r[3] for r in rows if r[0]], float))
+        y = np.array([r[3] for r in rows if r[0]], int)
+        documents = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
+        each = {k: documents[k] / n for k, n in zip(*(a.tolist() for a in np.unique(y, return_counts=True)))}
+        model.slope, model.shift = platt(z, y, weights=np.array([each[k] for k in y.tolist()]))
     return model
 
 

@@ -186,6 +186,32 @@ def test_swaps_replace_one_term_at_a_time():
     assert tox.swaps([b"old", b"men"], (("men", "women"), ("old", "young"))) == [[b"old", b"women"], [b"young", b"men"]]
 
 
+def test_weighed_calibration_follows_the_shares_of_the_corpus():
+    rng = np.random.default_rng(12)
+    z, y = np.concatenate([rng.normal(1, 1, 17000), rng.normal(-1, 1, 3000)]), np.repeat([1.0, 0.0], [17000, 3000])
+    use = np.concatenate([np.arange(1000), 17000 + np.arange(1000)])
+    whole = linear.platt(z, y)
+    assert linear.platt(z[use], y[use], weights=np.where(y[use] > 0, 17.0, 3.0)) == pytest.approx(whole, abs=0.3)
+    assert abs(linear.platt(z[use], y[use])[1] - whole[1]) > 1
+
+
+def test_calibration_samples_are_weighed(spark, make, monkeypatch):
+    seen = []
+    for module in (qr, tox):
+        monkeypatch.setattr(module, "platt", lambda z, y, weights: seen.append((np.asarray(y), weights)) or (1.0, 0.0))
+    positive = lambda i: int(i % 5 == 0)
+    docs = make([f"{'awful' if positive(i) else 'nice'} words number {i}." for i in range(300)] + ["nice words."] * 100)
+    labels = spark.createDataFrame([(i, positive(i) if i < 300 else 0, positive(i) if i < 300 else 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    qr.train(docs, labels, per_class=40, calibration=4)
+    tox.train(docs, labels, per_class=20, calibration=4)
+    checking = [i for i in range(400) if fold(i, 5) == 0]
+    known = [i for i in range(400) if fold(i, 3) != 1]
+    for (y, w), ids in zip(seen, (checking, known)):
+        assert np.bincount(y.astype(int)).tolist() == [4, 4]
+        n = sum(positive(i) for i in ids if i < 300)
+        assert w[y > 0].sum() == pytest.approx(n) and w[y == 0].sum() == pytest.approx(len(ids) - n)
+
+
 def test_calibration_gives_probabilities():
     rng = np.random.default_rng(5)
     z = rng.normal(size=4000) * 3
