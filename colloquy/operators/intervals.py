@@ -201,6 +201,60 @@ def occupancy(
     return o.select("session_id", *shares, F.round(multi / F.col("n_frames"), 6).alias("overlap_ratio"))
 
 
+def role_sweep(segs: DataFrame, totals: DataFrame, chunk_s: float, fs: float = 100.0) -> DataFrame:
+    """Step functions of activity, all from one scan of the segments: ``session_id, track, role, t, next_t, level``.
+
+    Tracks: ``time`` (how many segments of the session are active), ``role`` (how many of one role) and ``frame`` (as
+    ``time``, on the integer frames of I-09). Silence, union, overlap and occupancy are sums over these rows; so is the
+    overlap of all role pairs, half of the integral of level^2 of the session less that of its roles.
+    """
+    s = attach(segs, totals.select("session_id", F.ceil(F.col("total_s") * fs).cast("long").alias("_n")), KEYS)
+    f0, f1 = F.least(F.floor(F.col("start_s") * fs).cast("long"), "_n"), F.least(F.ceil(F.col("end_s") * fs).cast("long"), "_n")
+    edge = lambda track, role, t, d: F.struct(F.lit(track).alias("track"), role.alias("role"), t.cast("double").alias("t"), F.lit(d).alias("d"))
+    none, real = F.lit(None).cast("string"), F.col("role").cast("string")
+    rows = F.array(*[
+        edge(track, role, t, d)
+        for track, role, ends in (("time", none, ("start_s", "end_s")), ("role", real, ("start_s", "end_s")), ("frame", none, (f0, f1)))
+        for t, d in ((F.col(ends[0]) if isinstance(ends[0], str) else ends[0], 1), (F.col(ends[1]) if isinstance(ends[1], str) else ends[1], -1))
+    ])
+    rows = F.filter(rows, lambda e: (e["track"] != "frame") | (f1 > f0))
+    e = s.select("session_id", F.explode(rows).alias("e")).groupBy("session_id", "e.track", "e.role", "e.t").agg(F.sum("e.d").alias("d"))
+    e = e.withColumn("_group", F.struct("track", "role"))
+    chunk = F.floor(F.col("t") / F.when(F.col("track") == "frame", chunk_s * fs).otherwise(chunk_s)).cast("long")
+    p = scan(e, ["session_id", "_group"], ["t"], chunk, {"level": running_sum("d"), "next_t": lead("t")})
+    return p.select("session_id", "track", "role", "t", "next_t", "level")
+
+
+def sweep_summary(sweep: DataFrame, totals: DataFrame, fs: float = 100.0, max_level: int = 3) -> DataFrame:
+    """Pauses, overlap, overlap of role pairs and occupancy per session, from one pass over ``role_sweep``."""
+    d = attach(sweep, totals, KEYS, "inner")
+    is_track = lambda name: F.col("track") == name
+    width, level = F.col("next_t") - F.col("t"), F.col("level")
+    gap = F.when(is_track("time") & (level == 0) & F.col("next_t").isNotNull(), F.least("next_t", "total_s") - F.col("t"))
+    gap = F.when(gap > 0, gap)
+    frames = [F.sum(F.when(is_track("frame") & (level == lv if lv < max_level else level >= lv), width).otherwise(0)).alias(f"f{lv}") for lv in range(1, max_level + 1)]
+    square = level * level * width
+    g = d.groupBy("session_id").agg(
+        F.sum(gap).alias("_gap_s"), F.count(gap).alias("_gaps"),
+        F.min(F.when(is_track("time"), F.col("t"))).alias("_first"), F.max(F.when(is_track("time"), F.col("t"))).alias("_last"),
+        F.sum(F.when(is_track("time") & (level >= 2), width)).alias("overlap_s"),
+        ((F.sum(F.when(is_track("time"), square)) - F.sum(F.when(is_track("role"), square))) / 2.0).alias("pairwise_overlap_s"), *frames,
+    )
+    o = totals.join(g, "session_id", "left")
+    # Silence before the first and after the last segment; all of it where there is none.
+    head = F.least(F.coalesce("_first", "total_s"), "total_s")
+    tail = F.when(F.col("_last").isNotNull(), F.col("total_s") - F.col("_last"))
+    silence = F.coalesce("_gap_s", F.lit(0.0)) + F.greatest(head, F.lit(0.0)) + F.greatest(F.coalesce(tail, F.lit(0.0)), F.lit(0.0))
+    pauses = F.coalesce("_gaps", F.lit(0)) + (head > 0).cast("int") + F.coalesce((tail > 0).cast("int"), F.lit(0))
+    n = F.ceil(F.col("total_s") * fs)
+    busy = [F.coalesce(f"f{lv}", F.lit(0)) for lv in range(1, max_level + 1)]
+    share = lambda c: F.when(n > 0, F.round(c / n, 6))
+    return o.select(
+        "session_id", silence.alias("pause_time_s"), F.try_divide(silence, pauses).alias("mean_pause_s"), "overlap_s", "pairwise_overlap_s",
+        share(n - sum(busy, F.lit(0))).alias("pct_0"), *[share(b).alias(f"pct_{lv + 1}") for lv, b in enumerate(busy)], share(sum(busy[1:], F.lit(0))).alias("overlap_ratio"),
+    )
+
+
 def activity_synchrony(frames: DataFrame) -> DataFrame:
     """I-10: Pearson correlation of the binary activity of each role pair.
 
@@ -250,6 +304,21 @@ def aggregate_turns(
     return merge(cut(first), ["start_s", "_first_end", "role"]).select("session_id", "role", "start_s", "end_s")
 
 
+def next_turns(turns: DataFrame, chunk_s: float) -> DataFrame:
+    """Each turn with the role of the next one and the gap to it."""
+    n = scan(
+        turns.withColumn("_next", F.struct("role", "start_s")), KEYS, ["start_s", "end_s", "role"],
+        by_width("start_s", chunk_s), {"nxt": lead("_next")},
+    )
+    return n.select("session_id", "role", "start_s", "end_s", F.col("nxt.role").alias("to_role"), (F.col("nxt.start_s") - F.col("end_s")).alias("gap_s"))
+
+
+def is_exchange(max_gap_s: float = FLOOR_MAX_GAP_S, include_zero: bool = False) -> Column:
+    """Whether a row of ``next_turns`` passes the floor to another role."""
+    low = F.col("gap_s") >= 0 if include_zero else F.col("gap_s") > 0
+    return (F.col("role") != F.col("to_role")) & low & (F.col("gap_s") <= max_gap_s)
+
+
 def floor_exchanges(
     turns: DataFrame,
     chunk_s: float,
@@ -258,17 +327,8 @@ def floor_exchanges(
     min_turn_s: float = 0.0,
 ) -> DataFrame:
     """I-12: pauses between consecutive turns of different roles."""
-    t = turns.where(duration() >= min_turn_s)
-    n = scan(
-        t.withColumn("_next", F.struct("role", "start_s")), KEYS, ["start_s", "end_s", "role"],
-        by_width("start_s", chunk_s), {"nxt": lead("_next")},
-    )
-    n = n.select(
-        "session_id", F.col("role").alias("from_role"), F.col("nxt.role").alias("to_role"),
-        F.col("end_s").alias("at_s"), (F.col("nxt.start_s") - F.col("end_s")).alias("gap_s"),
-    )
-    low = F.col("gap_s") >= 0 if include_zero else F.col("gap_s") > 0
-    return n.where((F.col("from_role") != F.col("to_role")) & low & (F.col("gap_s") <= max_gap_s))
+    n = next_turns(turns.where(duration() >= min_turn_s), chunk_s).where(is_exchange(max_gap_s, include_zero))
+    return n.select("session_id", F.col("role").alias("from_role"), "to_role", F.col("end_s").alias("at_s"), "gap_s")
 
 
 def _sides(segs: DataFrame, min_turn_s: float) -> tuple[DataFrame, DataFrame]:
@@ -321,6 +381,25 @@ def interruptions(segs: DataFrame, **kw) -> DataFrame:
     )
 
 
+def turn_taking(
+    segs: DataFrame, width_s: float = 10.0, max_gap_s: float = TAKEOVER_MAX_GAP_S, min_overlap_s: float = INTERRUPT_MIN_OVERLAP_S,
+    min_after_s: float = INTERRUPT_MIN_AFTER_S, min_turn_s: float = TURN_MIN_S,
+) -> DataFrame:
+    """I-13 and I-14 per session from one interval join: rapid takeovers, attempted and successful interruptions."""
+    a, b = _sides(segs, min_turn_s)
+    gap, overlap = F.col("b_s") - F.col("a_e"), F.least("a_e", "b_e") - F.col("b_s")
+    takes = (gap > 0) & (gap <= max_gap_s)
+    breaks = (F.col("a_s") < F.col("b_s")) & (gap < 0) & (overlap >= min_overlap_s)
+    hit = interval_join(
+        a.withColumn("a_until", F.col("a_e") + F.lit(max_gap_s * 1.001)), b.withColumn("b_at", F.col("b_s")), KEYS, width_s,
+        ("a_s", "a_until"), ("b_s", "b_at"), (F.col("source") != F.col("target")) & (takes | breaks),
+    )
+    return hit.groupBy("session_id").agg(
+        F.sum(takes.cast("long")).alias("rapid_floor_takeovers_total"), F.sum(breaks.cast("long")).alias("n_attempted_interruptions"),
+        F.sum((breaks & (F.col("b_e") - F.col("a_e") >= min_after_s)).cast("long")).alias("n_successful_interruptions"),
+    )
+
+
 def backchannels(
     segs: DataFrame,
     turns: DataFrame,

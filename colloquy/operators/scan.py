@@ -15,8 +15,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from colloquy.session import cut
+
 CHUNK = "_chunk"
-SMALL_GROUP = 100_000  # distinct values one task may order at once
 
 
 def by_width(col: str, width: float) -> Column:
@@ -251,106 +252,67 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     return big.select("*", one).join(F.broadcast(small.select("*", one)), "_one", how).drop("_one")
 
 
-def _keep(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the wanted keys (all or none without keys)."""
-    if keys:
-        return rows.join(wanted.select(*keys), list(keys), "left_semi")
-    return attach(rows, wanted.select(F.lit(1).alias("_w")), [], "inner").drop("_w")
-
-
 def with_group_aggs(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Group aggregates on every row (an unordered window without its single-task groups)."""
     small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return attach(df, small, keys)
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10000
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per key.
+AT_BITS = 33  # monotonically_increasing_id counts the rows of a partition in its lower bits
+
 
-    A mergeable sketch brackets each quantile; only distinct values inside the bracket
-    (about ``8 / accuracy`` of the ranks) are ordered, so no task holds a whole group.
+def ranges(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` sorted and dealt into ranges of the columns ``by``: ``_range`` in their order, ``_at`` the place inside it.
+
+    Ranges are cut by sampled values of all columns together, so a large key or a frequent value is cut like any other.
     """
+    cols = [F.col(c) for c in by]
+    spread = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return cut(spread.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND((1 << AT_BITS) - 1).alias("_at")))
+
+
+def places(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Place (from 0) of each row of ``ranges`` among the rows of its key."""
     keys = list(keys)
-    eps = 4.0 / accuracy
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
-        F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    )
-    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
-    names = list(probs)
-    cuts = [c for n in names for c in (max(probs[n] - eps, 0.0), min(probs[n] + eps, 1.0))]
-    size = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    # Only keys with more rows than the sketch resolves are sketched.
-    big = _keep(rows, size.where(F.col("_n") > accuracy), keys)
-    sketch = attach(size, big.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_q")), keys)
-    # Groups the sketch holds whole are ordered whole; there the bracket is their range.
-    small = F.col("_n") <= accuracy
-    plan = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("name"),
-                (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("rank"),
-                F.when(small | F.lit(probs[n] <= eps), F.col("_lo"))
-                .otherwise(F.col("_q")[2 * i])
-                .alias("lo"),
-                F.when(small | F.lit(probs[n] >= 1 - eps), F.col("_hi"))
-                .otherwise(F.col("_q")[2 * i + 1])
-                .alias("hi"),
-            )
-            for i, n in enumerate(names)
-        ]
-    )
-    brackets = sketch.select(*keys, "_n", plan.alias("_b"))
-    j = attach(counts, brackets, keys, "inner")
-    j = j.select(*keys, "_v", "_k", F.explode("_b").alias("b"))
-    # Values under the bracket are only counted; those in it keep their identity.
-    j = j.withColumn("_in", F.when(F.col("_v") < F.col("b.lo"), None).otherwise(F.col("_v")))
-    j = j.where(F.col("_v") <= F.col("b.hi"))
-    g = j.groupBy(*keys, F.col("b.name").alias("name"), F.col("b.rank").alias("rank"), "_in").agg(
-        F.sum("_k").alias("_k")
-    )
-    w = W.partitionBy(*keys, "name").orderBy(F.col("_in").asc_nulls_first())
-    g = g.withColumn("_c", F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    g = g.withColumn("_below", F.col("_c") - F.col("_k"))
-    lo, hi = F.floor("rank"), F.ceil("rank")
-    at = lambda r: F.max(F.when((F.col("_below") <= r) & (r < F.col("_c")), F.col("_in")))
-    p = g.groupBy(*keys, "name").agg(
-        at(lo).alias("_a"), at(hi).alias("_z"), F.max("rank").alias("rank")
-    )
-    p = p.withColumn(
-        "q", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("rank") - F.floor("rank"))
-    )
-    out = [F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
-    return p.groupBy(*keys).agg(*out)
+    part = df.groupBy(*keys, "_range").agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    part = part.select(*keys, "_range", (F.coalesce(F.sum("_k").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return attach(df, part, [*keys, "_range"], "inner").withColumn(out, F.col("_at") + F.col("_shift")).drop("_shift")
 
 
-def cumulative_counts(
-    df: DataFrame, keys: Sequence[str], value: str, pieces: int = 32
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per key with their count and the number of rows strictly below.
 
-    Groups with many distinct values are cut into ``pieces`` ranges at sketched
-    quantiles, so the running count is a chunked scan rather than one sort per key.
+    Distinct values are dealt into ranges, so the running count is a chunked scan rather than one sort per key.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
-    cuts = [i / pieces for i in range(1, pieces)]
-    size = counts.groupBy(*keys).agg(F.count("*").alias("_d"))
-    big = _keep(counts, size.where(F.col("_d") > SMALL_GROUP), keys)
-    bounds = big.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
-    j = attach(counts, bounds, keys)
-    piece = F.size(F.filter("_b", lambda b: b <= F.col(value))).cast("long")
-    j = j.withColumn("_piece", F.when(F.col("_b").isNotNull(), piece).otherwise(F.lit(0).cast("long"))).drop("_b")
-    s = scan(j, keys, [value], F.col("_piece"), {"_c": running_sum("n_equal")})
+    counts = ranges(rows.groupBy(*keys, value).agg(F.count("*").alias("n_equal")), [*keys, value])
+    s = scan(counts, keys, [value], F.col("_range"), {"_c": running_sum("n_equal")})
     return s.select(*keys, value, "n_equal", (F.col("_c") - F.col("n_equal")).alias("n_below"))
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per key.
+
+    The values at the two ranks around each quantile are read from the running counts, which are cut into ranges: one way
+    for every size, and no task holds a whole key.
+    """
+    keys = list(keys)
+    c = cumulative_counts(df.select(*keys, F.col(value).alias("_v")), keys, "_v")
+    c = attach(c, c.groupBy(*keys).agg(F.sum("n_equal").alias("_n")), keys)
+    out = []
+    for name, p in probs.items():
+        rank = F.lit(float(p)) * (F.col("_n") - 1)
+        at = lambda r: F.max(F.when((F.col("n_below") <= r) & (r < F.col("n_below") + F.col("n_equal")), F.col("_v")))
+        lo, hi = at(F.floor(rank)), at(F.ceil(rank))
+        out.append((lo + (hi - lo) * F.max(rank - F.floor(rank))).alias(name))
+    g = c.groupBy(*keys).agg(*out)
+    return g if keys else g.where(F.coalesce(*[F.col(n) for n in probs]).isNotNull())
+
+
 def average_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str
 ) -> DataFrame:

@@ -79,29 +79,22 @@ def role_metrics(segs: DataFrame, turns: DataFrame, totals: DataFrame) -> DataFr
 def speech_metrics(
     segs: DataFrame, totals: DataFrame, chunk_s: float, turns: DataFrame | None = None
 ) -> DataFrame:
-    """I-16: one row per session with durations, pauses, exchanges, overlap, takeovers."""
+    """I-16: one row per session with durations, pauses, exchanges, overlap, takeovers.
+
+    Three passes: one sweep of the segments, one join of neighbouring segments, one scan of the turns.
+    """
     if turns is None:
         turns = cut(iv.aggregate_turns(segs, chunk_s))
     k = "session_id"
-    d = iv.duration()
-    pauses = iv.silence_intervals(segs, totals, chunk_s).groupBy(k).agg(
-        F.sum(d).alias("pause_time_s"), F.avg(d).alias("mean_pause_s")
-    )
-    floor = iv.floor_exchanges(turns, chunk_s).groupBy(k).agg(
-        F.avg("gap_s").alias("floor_exchange_pause_mean_s"), F.count("*").alias("n_floor_exchanges")
-    )
-    multi = iv.activity_profile(segs, [k], chunk_s).where("level >= 2").groupBy(k).agg(
-        F.sum(F.col("next_t") - F.col("t")).alias("overlap_s")
-    )
-    pair = iv.pairwise_overlap(segs, chunk_s).groupBy(k).agg(F.sum("overlap_s").alias("pairwise_overlap_s"))
-    occ = iv.occupancy(segs, totals, chunk_s)
-    tk = turns.groupBy(k).agg(F.avg(d).alias("mean_turn_s"), F.count("*").alias("total_turns"))
-    take = iv.rapid_takeovers(segs).groupBy(k).agg(F.count("*").alias("rapid_floor_takeovers_total"))
-    intr = iv.interruptions(segs).groupBy(k).agg(
-        F.sum("attempts").alias("n_attempted_interruptions"), F.sum("successes").alias("n_successful_interruptions")
+    sweep = iv.sweep_summary(iv.role_sweep(segs, totals, chunk_s), totals)
+    taking = iv.turn_taking(segs)
+    exchange = iv.is_exchange()
+    tk = iv.next_turns(turns, chunk_s).groupBy(k).agg(
+        F.avg(iv.duration()).alias("mean_turn_s"), F.count("*").alias("total_turns"),
+        F.avg(F.when(exchange, F.col("gap_s"))).alias("floor_exchange_pause_mean_s"), F.count(F.when(exchange, F.lit(1))).alias("n_floor_exchanges"),
     )
     m = totals
-    for part in (pauses, floor, multi, pair, occ, tk, take, intr):
+    for part in (sweep, tk, taking):
         m = m.join(part, k, "left")
     zero = [
         "pause_time_s", "mean_pause_s", "floor_exchange_pause_mean_s", "n_floor_exchanges", "overlap_s",

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.functions.scalars import normalize_text, postprocess_congruence, text_units
+from colloquy.session import cut
 
 from .aggregates import gini, last_action
 from .scan import attach, with_group_aggs
@@ -116,17 +117,39 @@ def final_ideas(snapshot: DataFrame) -> DataFrame:
     return u.groupBy(*GT).agg(F.countDistinct("unit").alias("strategy_elements_covered"))
 
 
-def typed_text(snapshot: DataFrame) -> DataFrame:
+def typed_text(snapshot: DataFrame, events: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """E-08: characters of the final text over those of the expected text, per group.
 
-    Line and paragraph marks do not count; answers are joined by one space.
+    Line and paragraph marks do not count; answers are joined by one space, and the joined text is trimmed (in the order
+    of the column ``order``, where it matters which answer comes first). A group without any answer has as many
+    characters as task actions in ``events``; ``strategy_reference`` tells which.
     """
-    n = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"[¶|\n]", ""))
-    g = snapshot.groupBy(*GT).agg(
-        (F.sum(n(F.col("answer"))) + F.count("answer") - 1).cast("double").alias("n_chars"),
-        (F.sum(n(F.col("truth"))) + F.count("truth") - 1).cast("double").alias("n_expected"),
-    )
-    return g.withColumn("coverage_any", F.try_divide("n_chars", "n_expected"))
+    at = F.col(order) if order else F.lit(0)
+
+    def length(c: str, out: str) -> DataFrame:
+        text = F.regexp_replace(F.col(c), r"[¶|\n]", "")
+        lead, trail = F.length(F.regexp_extract(text, r"(?U)^\s*", 0)), F.length(F.regexp_extract(text, r"(?U)\s*$", 0))
+        d = snapshot.where(F.col(c).isNotNull()).select(*GT, at.alias("_o"), F.length(text).alias("_n"), lead.alias("_lead"), trail.alias("_trail"))
+        full = F.when(F.col("_lead") < F.col("_n"), F.col("_o"))
+        d = with_group_aggs(d, GT, _from=F.min(full), _to=F.max(full)) if order else d
+        if not order:  # one text a group, or texts whose order is not known: each is trimmed at most at its own ends
+            n = d.groupBy(*GT).agg(F.count("*").alias("_k"), F.sum("_n").alias("_s"), F.max("_lead").alias("_lead"), F.max("_trail").alias("_trail"))
+            trim = F.when(F.col("_k") == 1, F.when(F.col("_lead") < F.col("_s"), F.col("_lead") + F.col("_trail")).otherwise(F.col("_s"))).otherwise(0)
+            return n.select(*GT, (F.col("_s") + F.col("_k") - 1 - trim).cast("double").alias(out))
+        # Blank answers before the first and after the last one with text go with the space that joins them.
+        inside = F.col("_o").between(F.col("_from"), F.col("_to"))
+        ends = F.sum(F.when(F.col("_o") == F.col("_from"), F.col("_lead")).otherwise(0)) + F.sum(F.when(F.col("_o") == F.col("_to"), F.col("_trail")).otherwise(0))
+        n = F.sum(F.when(inside, F.col("_n") + 1).otherwise(0)) - F.when(F.count(F.when(inside, F.lit(1))) > 0, 1).otherwise(0) - ends
+        return d.groupBy(*GT).agg(n.cast("double").alias(out))
+
+    g = snapshot.select(*GT).distinct()
+    if events is not None:
+        acts = events.groupBy(*GT).agg(F.sum((F.col("event_type") == TASK).cast("long")).cast("double").alias("_acts"))
+        g = g.join(acts, GT, "full")
+    g = g.join(length("answer", "_chars"), GT, "left").join(length("truth", "n_expected"), GT, "left")
+    chars = F.coalesce("_chars", "_acts") if events is not None else F.col("_chars")
+    g = g.withColumn("n_chars", chars).withColumn("strategy_reference", F.when(F.col("_chars").isNotNull(), "snapshot_answer_char_count").otherwise("eventlog_action_count"))
+    return g.select(*GT, "n_chars", "n_expected", F.try_divide("n_chars", "n_expected").alias("coverage_any"), "strategy_reference")
 
 
 def individual_table(effort_df: DataFrame, skill: DataFrame, contrib: DataFrame, open_tasks: Sequence[str] = (), typed_tasks: Sequence[str] = ()) -> DataFrame:
@@ -151,33 +174,49 @@ def individual_table(effort_df: DataFrame, skill: DataFrame, contrib: DataFrame,
     )
 
 
+def _congruence(value: str, effort_col: str, tag: str, min_members: int, mode: str) -> tuple[list[Column], Column]:
+    """Aggregates per group and task, and the congruence as an expression of them."""
+    both = F.col(value).isNotNull() & F.col(effort_col).isNotNull()
+    x, y = F.when(both, F.col(value).cast("double")), F.when(both, F.col(effort_col).cast("double"))
+    names = {k: f"_{k}_{tag}" for k in ("n", "cx", "cy", "c", "sx", "sy")}
+    parts = {"n": F.count(x), "cx": F.min(x) == F.max(x), "cy": F.min(y) == F.max(y), "c": F.covar_pop(x, y), "sx": F.stddev_pop(x), "sy": F.stddev_pop(y)}
+    of = {k: F.col(n) for k, n in names.items()}
+    r = F.try_divide(of["c"], of["sx"] * of["sy"])
+    v = F.when(of["n"] < min_members, None).when(of["cx"] & of["cy"], 1.0).when(of["cx"] | of["cy"], None).otherwise(postprocess_congruence(r, mode))
+    return [c.alias(names[k]) for k, c in parts.items()], v
+
+
 def congruence(ind: DataFrame, value: str, effort_col: str = "effort_total", typed_tasks: Sequence[str] = (), min_members: int = 2, mode: str = "raw", out: str = "congruence") -> DataFrame:
     """E-10: correlation with effort inside each group and task.
 
     Both constant: 1. One constant: NULL. Typed tasks: 1.
     """
-    both = F.col(value).isNotNull() & F.col(effort_col).isNotNull()
-    x, y = F.when(both, F.col(value).cast("double")), F.when(both, F.col(effort_col).cast("double"))
-    g = ind.groupBy(*GT).agg(
-        F.count(x).alias("_n"), (F.min(x) == F.max(x)).alias("_cx"), (F.min(y) == F.max(y)).alias("_cy"),
-        F.covar_pop(x, y).alias("_c"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"),
-    )
-    r = F.try_divide("_c", F.col("_sx") * F.col("_sy"))
-    v = F.when(F.col("_n") < min_members, None).when(F.col("_cx") & F.col("_cy"), 1.0).when(F.col("_cx") | F.col("_cy"), None).otherwise(postprocess_congruence(r, mode))
-    return g.select(*GT, F.when(F.col("task").isin(list(typed_tasks)), 1.0).otherwise(v).alias(out))
+    aggs, v = _congruence(value, effort_col, "v", min_members, mode)
+    return ind.groupBy(*GT).agg(*aggs).select(*GT, F.when(F.col("task").isin(list(typed_tasks)), 1.0).otherwise(v).alias(out))
+
+
+def _distribution(cols: Sequence[str]) -> list[Column]:
+    return [x for c in cols for x in (
+        F.try_divide(F.stddev_samp(c), F.avg(c)).alias(f"{c}_cv"), F.when(F.sum(c) > 0, F.max(c) / F.sum(c)).alias(f"top_member_{c}_share"), F.count(c).alias(f"_k_{c}"),
+    )]
+
+
+def _ginis(ind: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Gini of several columns per group and task, from one ranking of (group, task, measure)."""
+    parts = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = ind.select(*GT, F.explode(parts).alias("_m")).select(*GT, "_m.measure", "_m.v").where("v is not null")
+    g = gini(long, [*GT, "measure"], "v", "_g")
+    return g.groupBy(*GT).agg(*[F.max(F.when(F.col("measure") == c, F.col("_g"))).alias(f"_g_{c}") for c in cols])
+
+
+def _with_ginis(g: DataFrame, ginis: DataFrame, cols: Sequence[str]) -> DataFrame:
+    d = g.join(ginis, GT, "left").withColumns({f"{c}_gini": F.when(F.col(f"_k_{c}") >= 2, F.col(f"_g_{c}")) for c in cols})
+    return d.drop(*[f"_k_{c}" for c in cols], *[f"_g_{c}" for c in cols])
 
 
 def distribution_metrics(ind: DataFrame, cols: Sequence[str]) -> DataFrame:
     """E-11: coefficient of variation (sample sd), Gini and top share per group and task."""
-    out = ind.select(*GT).distinct()
-    for c in cols:
-        g = ind.groupBy(*GT).agg(
-            F.try_divide(F.stddev_samp(c), F.avg(c)).alias(f"{c}_cv"), F.when(F.sum(c) > 0, F.max(c) / F.sum(c)).alias(f"top_member_{c}_share"), F.count(c).alias("_n")
-        )
-        gi = gini(ind, GT, c, f"{c}_gini")
-        g = g.join(gi, GT, "left").withColumn(f"{c}_gini", F.when(F.col("_n") >= 2, F.col(f"{c}_gini"))).drop("_n")
-        out = out.join(g, GT, "left")
-    return out
+    return _with_ginis(ind.groupBy(*GT).agg(*_distribution(cols)), _ginis(ind, cols), cols)
 
 
 def sample_max_norm(df: DataFrame, value: str, total: str, by: Sequence[str] = ("task",), out: str = "strategy_ratio") -> DataFrame:
@@ -197,16 +236,39 @@ def population_norm(groups: DataFrame, population: DataFrame, value: str, refere
     return d.withColumn(out, F.try_divide(F.col(value).cast("double"), F.when(ok, F.col("_ref")).otherwise(F.col("_mx")))).withColumn(f"{out}_source", src).drop("_ref", "_mx")
 
 
-def task_table(ind: DataFrame, strat: DataFrame, ignored: Sequence[str] = ()) -> DataFrame:
-    """E-13: one row per group and task."""
+SPREAD = ["effort_task", "effort_total", "contribution_correct"]
+
+
+def task_table(
+    ind: DataFrame, strat: DataFrame, ignored: Sequence[str] = (), typed_tasks: Sequence[str] = (), effort_col: str = "effort_total",
+    min_members: int = 2, mode: str = "raw",
+) -> DataFrame:
+    """E-13: one row per group and task: effort, messages, strategy, skill, contribution, congruence and their spread.
+
+    One aggregation of the members and one ranking for the three Gini columns. Where members' effort cannot be observed
+    (``typed_tasks``, with a quantity ``n_chars`` in ``strat``), the group's quantity stands for its task effort.
+    """
     ind = ind.where(~F.col("task").isin(list(ignored))) if ignored else ind
+    skill, skill_value = _congruence("skill_i", effort_col, "skill", min_members, mode)
+    contrib, contrib_value = _congruence("contribution_i", effort_col, "contrib", min_members, mode)
     g = ind.groupBy(*GT).agg(
-        F.count("*").alias("n_members"), F.sum("effort_task").alias("effort_task_sum"), F.sum("effort_total").alias("effort_total_sum"),
-        F.avg("skill_i").alias("skill_mean"), F.max("skill_i").alias("skill_max"), F.sum("contribution_correct").alias("contribution_correct_sum"),
+        F.count("*").alias("n_members"), F.sum("effort_task").alias("effort_task_sum"), F.sum("effort_comm").alias("effort_comm_sum"), F.sum("effort_total").alias("effort_total_sum"),
+        F.sum("comm_n_messages").alias("comm_n_messages"), F.sum("comm_text_length").alias("comm_text_length"),
+        F.avg("skill_i").alias("skill_mean"), F.max("skill_i").alias("skill_max"), F.avg("contribution_i").alias("contribution_mean"),
+        F.sum("contribution_correct").alias("contribution_correct_sum"), F.count("effort_total").alias("n_members_effort"), F.count("skill_i").alias("n_members_skill"),
+        F.count("contribution_i").alias("n_members_contribution"), *skill, *contrib, *_distribution(SPREAD),
     )
-    g = g.join(strat, GT, "left").join(congruence(ind, "skill_i", out="skill_congruence"), GT, "left")
-    g = g.join(congruence(ind, "contribution_i", out="contribution_congruence"), GT, "left")
-    return g.join(distribution_metrics(ind, ["effort_total", "contribution_correct"]), GT, "left")
+    g = _with_ginis(g, _ginis(ind, SPREAD), SPREAD).join(strat, GT, "left")
+    typed = F.col("task").isin(list(typed_tasks))
+    g = g.withColumns({
+        "skill_congruence": F.when(typed, 1.0).otherwise(skill_value), "contribution_congruence": F.when(typed, 1.0).otherwise(contrib_value),
+        "skill_congruence_forced": typed.cast("int"),
+    })
+    if "n_chars" in strat.columns:
+        blind = typed & (F.coalesce("effort_task_sum", F.lit(0.0)) <= 0) & (F.col("n_chars") > 0)
+        g = g.withColumn("effort_total_sum", F.when(blind, F.col("n_chars") + F.coalesce("effort_comm_sum", F.lit(0.0))).otherwise(F.col("effort_total_sum")))
+        g = g.withColumn("effort_task_sum", F.when(blind, F.col("n_chars")).otherwise(F.col("effort_task_sum")))
+    return g.drop(*[c for c in g.columns if c.endswith(("_skill", "_contrib")) and c.startswith("_")])
 
 
 def member_aggregates(ind: DataFrame) -> DataFrame:
@@ -228,6 +290,34 @@ def group_summary(tasks: DataFrame) -> DataFrame:
     )
 
 
+def team_summary(tasks: DataFrame, ind: DataFrame, typed_tasks: Sequence[str] = ()) -> DataFrame:
+    """E-14: one row per group: sums and means of the task table, members' skill and contribution, norms over the sample.
+
+    Members are averaged over their tasks first. Congruence of the ``core`` leaves typed tasks out. Norms divide by the
+    largest value of all groups.
+    """
+    core = F.when(~F.col("task").isin(list(typed_tasks)), F.col("skill_congruence"))
+    mean = lambda c, name=None: F.avg(c).alias(name or f"{c}_mean")
+    optional = [c for c in ("coverage_any", "coverage_correct_final", "redundancy_rate", "strategy_ratio") if c in tasks.columns]
+    g = tasks.groupBy("group_id").agg(
+        *[x for c in ("effort_total", "effort_task", "effort_comm") for x in (F.sum(f"{c}_sum").alias(f"{c}_sum"), mean(f"{c}_sum", f"{c}_mean"))],
+        F.sum("comm_n_messages").alias("comm_n_messages_sum"), F.sum("comm_text_length").alias("comm_text_length_sum"), *[mean(c) for c in optional],
+        *([F.sum("n_touched").alias("strategy_covered_sum")] if "n_touched" in tasks.columns else []),
+        mean("skill_congruence"), mean("contribution_congruence"), mean("contribution_mean", "contribution_mean_task_avg"),
+        F.sum("contribution_correct_sum").alias("contribution_sum_task_total"), F.countDistinct("task").alias("n_tasks"),
+        *[mean(f"{c}_{k}", f"{c}_{k}") for c in SPREAD for k in ("cv", "gini")], *[mean(f"top_member_{c}_share", f"top_member_{c}_share") for c in SPREAD],
+        mean(core, "skill_congruence_mean_core"), F.count(core).alias("n_tasks_skill_congruence_core"),
+    )
+    m = ind.groupBy("group_id", "subject").agg(F.avg("skill_i").alias("_sm"), F.max("skill_i").alias("_sx"), F.avg("contribution_i").alias("_cm"), F.max("contribution_i").alias("_cx"))
+    m = m.groupBy("group_id").agg(
+        F.avg("_sm").alias("skill_mean"), F.max("_sx").alias("skill_max"), F.count("_sm").alias("n_members_with_skill"), F.avg("_cm").alias("contribution_mean"), F.max("_cx").alias("contribution_max"),
+    )
+    norms = {"effort_norm": "effort_total_sum", "effort_task_norm": "effort_task_sum", **({"strategy_norm": "strategy_ratio_mean"} if "strategy_ratio" in optional else {})}
+    d = with_group_aggs(cut(g.join(m, "group_id", "left")), [], **{f"_mx_{k}": F.max(c) for k, c in norms.items()})
+    d = d.withColumns({k: F.when(F.col(f"_mx_{k}") > 0, F.col(c) / F.col(f"_mx_{k}")) for k, c in norms.items()})
+    return d.drop(*[f"_mx_{k}" for k in norms])
+
+
 def rme_stats(scores: DataFrame, pattern: str = "(?i)rme") -> DataFrame:
     """E-17: mean, max and min score of the tasks whose name matches."""
     return scores.where(F.col("task").rlike(pattern)).groupBy("group_id").agg(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import scalars as fn
 from colloquy.operators import aggregates as ag
-from colloquy.plans import query
+from colloquy.plans import draws as dw, query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
@@ -75,24 +75,62 @@ def two(spark, sf):
     return f.select(F.col("unit_id").alias("unit"), F.col("price").alias("x"), F.col("rebate").alias("y"))
 
 
-@query("p06_bootstrap_ci")
+TWO = "d AS (SELECT 0 k, unit_id unit, price x, rebate y FROM feat WHERE rebate IS NOT NULL)"
+
+
+@query("p06_bootstrap_ci", t.with_(t.FEAT, TWO, dw.replicates(2000), dw.counted("d"), dw.SPEARMAN, dw.INTERVAL) + "SELECT round(ci_low, 6) ci_low, round(ci_high, 6) ci_high FROM ci")
+def _(spark, sf):
+    return rnd(rs.percentile_ci(cut(rs.bootstrap_correlations(two(spark, sf), [], 2000)), []), "ci_low", "ci_high")
+
+
+@query("p06_bootstrap_replicates", t.with_(t.FEAT, TWO, dw.replicates(200), dw.counted("d")) + """, m AS (SELECT b, sum(w) n, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my FROM dr GROUP BY ALL)
+SELECT b::INT b, round(sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) ** 2)) / sqrt(sum(w * (y - my) ** 2)), 6) stat FROM dr JOIN m USING (b) GROUP BY ALL""")
+def _(spark, sf):
+    return rnd(rs.bootstrap_correlations(two(spark, sf), [], 200, "pearson"), "stat")
+
+
+# The bias correction is found by halving the interval that holds the normal quantile.
+BCA = f"""m AS (SELECT b, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my FROM dr GROUP BY ALL),
+st AS (SELECT b, sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) ** 2)) / sqrt(sum(w * (y - my) ** 2)) stat FROM dr JOIN m USING (b) GROUP BY ALL),
+th AS (SELECT corr(x, y) theta FROM d), jk AS (SELECT u.unit, corr(d.x, d.y) stat FROM d u JOIN d ON u.unit <> d.unit GROUP BY ALL),
+ac AS (SELECT sum((m - stat) ** 3) / (6 * pow(sum((m - stat) ** 2), 1.5)) acc FROM jk, (SELECT avg(stat) m FROM jk)),
+bl AS (SELECT avg((stat < theta)::INT::DOUBLE) below, count(*) nb FROM st, th),
+bs AS (SELECT greatest(least(below, 1 - 0.5 / nb), 0.5 / nb) p, -8.0::DOUBLE lo, 8.0::DOUBLE hi, 0 s FROM bl
+ UNION ALL SELECT p, CASE WHEN f < p THEN mid ELSE lo END, CASE WHEN f < p THEN hi ELSE mid END, s + 1 FROM (SELECT *, (lo + hi) / 2 mid, {dw.phi('mid')} f FROM bs WHERE s < 55)),
+z AS (SELECT (lo + hi) / 2 z0 FROM bs WHERE s = 55), ad AS (SELECT z0 + (z0 - 1.959963984540054) / (1 - acc * (z0 - 1.959963984540054)) zl, z0 + (z0 + 1.959963984540054) / (1 - acc * (z0 + 1.959963984540054)) zh FROM z, ac),
+pq AS (SELECT {dw.phi('zl')} pl, {dw.phi('zh')} ph FROM ad), so AS (SELECT stat, row_number() OVER (ORDER BY stat) r, count(*) OVER () nb FROM st)"""
+
+
+@query("p07_bca_ci", t.with_(t.FEAT, TWO, dw.replicates(2000), dw.counted("d"), BCA).replace("WITH", "WITH RECURSIVE", 1) + """SELECT round((SELECT theta FROM th), 6) theta, round(min(stat) FILTER (r >= pl * (nb - 1) + 1e-9), 6) ci_low, round(min(stat) FILTER (r >= ph * (nb - 1) + 1e-9), 6) ci_high FROM so, pq""")
 def _(spark, sf):
-    return rs.percentile_ci(cut(rs.bootstrap_correlations(two(spark, sf), [], 100)), [])
+    return rnd(rs.bca_ci(two(spark, sf), [], 2000), "theta", "ci_low", "ci_high")
 
 
-@query("p07_bca_ci")
+@query("p08_permutation_p", t.with_(t.FEAT, TWO, dw.replicates(1000), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT round(rho, 6) rho, round(p_perm, 6) p_perm FROM pp")
 def _(spark, sf):
-    return rs.bca_ci(two(spark, sf), [], 100)
+    return rnd(rs.permutation_p(two(spark, sf), [], 1000), "rho", "p_perm")
 
 
-@query("p08_permutation_p")
+@query("p08_permutation_replicates", t.with_(t.FEAT, TWO, dw.replicates(100), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT b::INT b, round(stat, 6) stat FROM ps")
 def _(spark, sf):
-    return rs.permutation_p(two(spark, sf), [], 50)
+    return rnd(rs.permutation_correlations(two(spark, sf), [], 100)[1], "stat")
+
+
+def metrics(replicates, *source):
+    """CTEs up to mt: correlation metrics of d (k, unit, x, y)."""
+    parts = [*source, dw.replicates(replicates), dw.counted("d"), dw.SPEARMAN, dw.INTERVAL, dw.permuted(), dw.LEAVE_ONE_OUT,
+             f"pv AS (SELECT *, {TP} AS p FROM (SELECT *, atan(abs(rho) * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) th FROM ob))",
+             "mt AS (SELECT k, n, pv.rho, p, ci_low, ci_high, p_perm, loo_min, loo_max, loo_unit FROM pv JOIN ci USING (k) JOIN pp USING (k) JOIN (SELECT k, min(stat) loo_min, max(stat) loo_max, arg_max(unit, abs(stat)) loo_unit FROM lo GROUP BY ALL) USING (k))"]
+    return t.with_(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
+METRICS = "n, round(rho, 6) rho, round(p, 6) p, round(ci_low, 6) ci_low, round(ci_high, 6) ci_high, round(p_perm, 6) p_perm, round(loo_min, 6) loo_min, round(loo_max, 6) loo_max, loo_unit"
+METRIC_COLS = ("rho", "p", "ci_low", "ci_high", "p_perm", "loo_min", "loo_max")
 
 
-@query("p09_correlation_metrics")
+@query("p09_correlation_metrics", metrics(2000, t.FEAT, TWO) + f"SELECT {METRICS} FROM mt")
 def _(spark, sf):
-    return rs.correlation_metrics(two(spark, sf), [], 50)
+    return rnd(rs.correlation_metrics(two(spark, sf), [], 2000), *METRIC_COLS)
 
 
 @query("p10_jackknife_pearson", t.with_(t.FEAT) + """, d AS (SELECT unit_id, price x, rebate y FROM feat WHERE rebate IS NOT NULL)
@@ -256,9 +294,18 @@ def _(spark, sf):
     return rnd(md.standardised_path(t.features(spark, sf), "price", ["quantity", "discount"]).select("term", "beta", "r2"), "beta", "r2")
 
 
-@query("p32_indirect_effect")
+# Standardised variables: path x -> m, path m -> y given x, and their product, from weighted covariances.
+INDIRECT = """d AS (SELECT unit_id unit, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () x, (price - avg(price) OVER ()) / stddev_samp(price) OVER () m, (tax - avg(tax) OVER ()) / stddev_samp(tax) OVER () y FROM feat)"""
+PATHS = """SELECT {k} sum(w * x * m) - sum(w * x) * sum(w * m) / sum(w) xm, sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w) xx, sum(w * m * m) - sum(w * m) * sum(w * m) / sum(w) mm,
+ sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w) xy, sum(w * m * y) - sum(w * m) * sum(w * y) / sum(w) my FROM {src} GROUP BY ALL"""
+PB = f"""cv AS ({PATHS.format(k="b,", src="dr")}), st AS (SELECT b, xm / xx * (my * xx - xm * xy) / (mm * xx - xm * xm) stat FROM cv),
+ev AS ({PATHS.format(k="", src="(SELECT *, 1 w FROM d)")}), es AS (SELECT xm / xx a, (my * xx - xm * xy) / (mm * xx - xm * xm) b FROM ev)"""
+
+
+@query("p32_indirect_effect", t.with_(t.FEAT, INDIRECT, dw.replicates(5000), dw.counted("d"), PB) + """SELECT round(a, 6) a, round(b, 6) b, round(a * b, 6) indirect,
+ round((SELECT quantile_cont(stat, 0.025) FROM st), 6) ci_low, round((SELECT quantile_cont(stat, 0.975) FROM st), 6) ci_high FROM es""")
 def _(spark, sf):
-    return md.indirect_effect(t.features(spark, sf), "unit_id", "quantity", "price", "tax", 50)
+    return rnd(md.indirect_effect(t.features(spark, sf), "unit_id", "quantity", "price", "tax", 5000), "a", "b", "indirect", "ci_low", "ci_high")
 
 
 @query("p33_path_model")
@@ -451,17 +498,17 @@ def _(spark, sf):
 
 @query("p22_parallel_analysis")
 def _(spark, sf):
-    return cp.parallel_analysis(t.features(spark, sf), "unit_id", FULL, 100)
+    return cp.parallel_analysis(t.features(spark, sf), FULL, 1000)
 
 
 @query("p24_pca_loading_stability")
 def _(spark, sf):
-    return cp.bootstrap_stability(t.features(spark, sf), "unit_id", FULL, 2, 50)[0]
+    return cp.bootstrap_stability(t.features(spark, sf), "unit_id", FULL, 2, 300)[0]
 
 
 @query("p24_pca_component_stability")
 def _(spark, sf):
-    return cp.bootstrap_stability(t.features(spark, sf), "unit_id", FULL, 2, 50)[1]
+    return cp.bootstrap_stability(t.features(spark, sf), "unit_id", FULL, 2, 300)[1]
 
 
 @query("p60_top_loadings")
@@ -612,12 +659,16 @@ def _(spark, sf):
     return rnd(rnd(f.select("term", "n", "beta", "r2"), "beta", d=4), "r2")
 
 
-@query("p57_index_validity")
+VALIDITY = """z AS (SELECT unit_id unit, (quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER () a, (discount - avg(discount) OVER ()) / stddev_pop(discount) OVER () b, (tax - avg(tax) OVER ()) / stddev_pop(tax) OVER () c, price, lines FROM feat),
+d AS (SELECT 'price' k, unit, (a + b + c) / 3 x, price y FROM z UNION ALL SELECT 'lines', unit, (a + b + c) / 3, lines FROM z)"""
+
+
+@query("p57_index_validity", metrics(1000, t.FEAT, VALIDITY) + f"SELECT k outcome, {METRICS}, round((SELECT 1.5 * (1 - (var_samp(a) + var_samp(b) + var_samp(c)) / var_samp(a + b + c)) FROM z), 6) alpha FROM mt")
 def _(spark, sf):
     f = t.features(spark, sf)
     z = cut(ag.zscore_within(f, ["quantity", "discount", "tax"], []))
     idx = (F.col("z_quantity") + F.col("z_discount") + F.col("z_tax")) / 3
-    return sy.index_validity(z.withColumn("idx", idx), "unit_id", "idx", ["z_quantity", "z_discount", "z_tax"], ["price", "lines"], 30)
+    return rnd(sy.index_validity(z.withColumn("idx", idx), "unit_id", "idx", ["z_quantity", "z_discount", "z_tax"], ["price", "lines"], 1000), *METRIC_COLS, "alpha")
 
 
 @query("p58_collect_correlations", t.with_(t.FEAT, PR, RK, PV) + "SELECT x, y, n, round(rho, 6) rho, round(p, 6) p FROM pv QUALIFY row_number() OVER (PARTITION BY y, round(rho, 6), round(p, 6), n ORDER BY x) = 1")

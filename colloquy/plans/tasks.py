@@ -129,7 +129,18 @@ def _(spark, sf):
 SELECT group_id, task, (sum(a) + count(*) - 1)::DOUBLE n_chars, (sum(b) + count(*) - 1)::DOUBLE n_expected, (sum(a) + count(*) - 1)::DOUBLE / (sum(b) + count(*) - 1)::DOUBLE coverage_any FROM s GROUP BY ALL""")
 def _(spark, sf):
     c = t.table(spark, sf, "conversations")
-    return te.typed_text(c.select(F.col("conv_id").alias("group_id"), F.lit("typing").alias("task"), F.col("text").alias("answer"), F.col("role").alias("truth")))
+    return te.typed_text(c.select(F.col("conv_id").alias("group_id"), F.lit("typing").alias("task"), F.col("text").alias("answer"), F.col("role").alias("truth"))).drop("strategy_reference")
+
+
+# Answers with blank edges, every third conversation without an answer: its length is the number of task actions.
+@query("e08_typed_text_trimmed", """WITH c AS (SELECT conv_id group_id, turn, CASE WHEN conv_id % 3 <> 0 THEN CASE WHEN turn % 2 = 0 THEN '  ' ELSE chr(9) || text || ' ¶' END END answer, ' ' || role truth FROM conversations),
+s AS (SELECT group_id, length(trim(string_agg(regexp_replace(answer, '[¶|\n]', '', 'g'), ' ' ORDER BY turn), ' ' || chr(9) || chr(13) || chr(10)))::DOUBLE a, length(trim(string_agg(truth, ' ' ORDER BY turn)))::DOUBLE b, count(*) n FROM c GROUP BY ALL)
+SELECT group_id, 'typing' task, coalesce(a, n)::DOUBLE n_chars, b n_expected, coalesce(a, n) / b coverage_any, CASE WHEN a IS NOT NULL THEN 'snapshot_answer_char_count' ELSE 'eventlog_action_count' END strategy_reference FROM s""")
+def _(spark, sf):
+    c = t.table(spark, sf, "conversations").select(F.col("conv_id").alias("group_id"), F.lit("typing").alias("task"), "turn", "text", F.concat(F.lit(" "), "role").alias("truth"))
+    answer = F.when(F.col("turn") % 2 == 0, "  ").otherwise(F.concat(F.lit("\t"), "text", F.lit(" ¶")))
+    c = c.withColumn("answer", F.when(F.col("group_id") % 3 != 0, answer))
+    return te.typed_text(c, c.withColumn("event_type", F.lit(te.TASK)), "turn")
 
 
 def assembled(spark, sf):
@@ -199,6 +210,53 @@ def _(spark, sf):
     return rnd(rnd(o, "skill_mean", "redundancy_rate"), "skill_congruence", d=5)
 
 
+# Spread of one measure over the members: sample deviation over mean, largest share, Gini from ranks.
+def spread_sql(c):
+    return f"""sp_{c} AS (SELECT group_id, task, round(stddev_samp(v) / nullif(avg(v), 0), 6) {c}_cv, round(CASE WHEN sum(v) > 0 THEN max(v) / sum(v) END, 6) top_member_{c}_share,
+ round(CASE WHEN count(*) >= 2 AND sum(v) > 0 THEN 2 * sum(r * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*) END, 6) {c}_gini
+ FROM (SELECT group_id, task, {c}::DOUBLE v, row_number() OVER (PARTITION BY group_id, task ORDER BY {c}) r FROM ind WHERE {c} IS NOT NULL) GROUP BY ALL)"""
+
+
+TT = ", ".join([
+    "", "msg AS (SELECT group_id, task, subject, count(*) FILTER (event_type LIKE 'COMM%') n_msg, coalesce(sum(length(summary)) FILTER (event_type LIKE 'COMM%'), 0) n_text FROM ev GROUP BY ALL)",
+    *[spread_sql(c) for c in te.SPREAD],
+    """tt AS (SELECT group_id, task, count(*) n_members, sum(effort_task) effort_task_sum, sum(effort_comm) effort_comm_sum, sum(effort_total) effort_total_sum, sum(n_msg)::BIGINT comm_n_messages, sum(n_text)::BIGINT comm_text_length,
+ avg(skill_i) skill_mean, max(skill_i) skill_max, avg(contribution_i) contribution_mean, sum(contribution_correct)::BIGINT contribution_correct_sum, count(effort_total) n_members_effort, count(skill_i) n_members_skill, count(contribution_i) n_members_contribution,
+ CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE """ + CONG.format(x="skill_i") + " END::DOUBLE skill_congruence, CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE " + CONG.format(x="contribution_i") + """ END::DOUBLE contribution_congruence, any_value(task = 'T1')::INT skill_congruence_forced
+ FROM ind JOIN msg USING (group_id, task, subject) WHERE task <> 'T3' GROUP BY ALL),
+tf AS (SELECT * FROM tt LEFT JOIN stg USING (group_id, task) """ + " ".join(f"LEFT JOIN sp_{c} USING (group_id, task)" for c in te.SPREAD) + ")",
+])
+TT_ROUND = ["skill_mean", "contribution_mean", "redundancy_rate", *[f"{c}_{k}" for c in te.SPREAD for k in ("cv", "gini")], *[f"top_member_{c}_share" for c in te.SPREAD]]
+TT_ALL = ["group_id", "task", "n_members", "effort_task_sum", "effort_comm_sum", "effort_total_sum", "comm_n_messages", "comm_text_length", "skill_max", "contribution_correct_sum", "n_members_effort", "n_members_skill",
+          "n_members_contribution", "skill_congruence_forced", "n_touched", "coverage_any", "coverage_correct_final"]
+
+
+@query("e13_task_table_columns", IALL + TT + "SELECT " + ", ".join([*TT_ALL, *[f"round({c}, 6) {c}" for c in TT_ROUND], "skill_congruence", "contribution_congruence"]) + " FROM tf")
+def _(spark, sf):
+    ind, st = assembled(spark, sf)
+    o = te.task_table(cut(ind), cut(st), ["T3"], ["T1"])
+    return rnd(rnd(o.select(*TT_ALL, *TT_ROUND, "skill_congruence", "contribution_congruence"), *TT_ROUND), "skill_congruence", "contribution_congruence", d=5)
+
+
+TS_MEANS = ["coverage_any", "coverage_correct_final", "redundancy_rate"]
+TS_SPREAD = [*[f"{c}_{k}" for c in te.SPREAD for k in ("cv", "gini")], *[f"top_member_{c}_share" for c in te.SPREAD]]
+
+
+@query("e14_team_summary", IALL + TT + """, me AS (SELECT group_id, subject, avg(skill_i) sm, max(skill_i) sx, avg(contribution_i) cm, max(contribution_i) cx FROM ind GROUP BY ALL),
+mg AS (SELECT group_id, round(avg(sm), 6) skill_mean, max(sx) skill_max, count(sm) n_members_with_skill, round(avg(cm), 6) contribution_mean, max(cx) contribution_max FROM me GROUP BY ALL),
+gs AS (SELECT group_id, """ + ", ".join([f"sum({c}_sum) {c}_sum, round(avg({c}_sum), 6) {c}_mean" for c in ("effort_total", "effort_task", "effort_comm")]) + """, sum(comm_n_messages)::BIGINT comm_n_messages_sum, sum(comm_text_length)::BIGINT comm_text_length_sum,
+ """ + ", ".join(f"round(avg({c}), 6) {c}_mean" for c in TS_MEANS) + """, sum(n_touched)::BIGINT strategy_covered_sum, round(avg(skill_congruence), 4) skill_congruence_mean, round(avg(contribution_congruence), 4) contribution_congruence_mean,
+ round(avg(contribution_mean), 6) contribution_mean_task_avg, sum(contribution_correct_sum)::BIGINT contribution_sum_task_total, count(DISTINCT task) n_tasks, """ + ", ".join(f"round(avg({c}), 5) {c}" for c in TS_SPREAD) + """,
+ round(avg(skill_congruence) FILTER (task <> 'T1'), 4) skill_congruence_mean_core, count(skill_congruence) FILTER (task <> 'T1') n_tasks_skill_congruence_core FROM tf GROUP BY ALL)
+SELECT *, round(effort_total_sum / max(effort_total_sum) OVER (), 6) effort_norm, round(effort_task_sum / max(effort_task_sum) OVER (), 6) effort_task_norm FROM gs LEFT JOIN mg USING (group_id)""")
+def _(spark, sf):
+    ind, st = assembled(spark, sf)
+    ind = cut(ind)
+    o = te.team_summary(te.task_table(ind, cut(st), ["T3"], ["T1"]), ind, ["T1"])
+    o = rnd(o, "skill_mean", "contribution_mean", "contribution_mean_task_avg", "effort_norm", "effort_task_norm", *[f"{c}_mean" for c in (*TS_MEANS, "effort_total", "effort_task", "effort_comm")])
+    return rnd(rnd(o, *TS_SPREAD, d=5), "skill_congruence_mean", "contribution_congruence_mean", "skill_congruence_mean_core", d=4)
+
+
 @query("e14_member_aggregates", IALL + """, m AS (SELECT group_id, subject, sum(effort_total) e, avg(skill_i) s, sum(contribution_correct) c FROM ind GROUP BY ALL)
 SELECT group_id, count(*) n_members, round(avg(e), 6) member_effort_mean, round(avg(s), 6) member_skill_mean, round(max(s), 6) member_skill_max, round(stddev_samp(e), 6) member_effort_sd, sum(c)::BIGINT contribution_sum FROM m GROUP BY ALL""")
 def _(spark, sf):

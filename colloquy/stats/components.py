@@ -6,14 +6,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from colloquy.operators.aggregates import melt
 from colloquy.operators.scan import quantiles, attach
 from colloquy.session import cut
 from .models import _grouped, _matrix, centred_moments
-from .moments import correlation_matrix, gram, pair_rows, pearson_by, spearman_by
-from .resample import bootstrap_weights, percentile_ci
+from .moments import correlation_matrix, spearman_by
+from .draws import replicate_key
+from .resample import percentile_ci, replicate_moments
 
 
 def _corr_from(s, n):
@@ -73,31 +74,42 @@ def orient(scores: DataFrame, component: str, reference: str) -> DataFrame:
     return attach(scores, r, []).withColumn(component, F.col(component) * F.col("_sign")).drop("_sign")
 
 
-def _normal(seed: int, *parts: Column) -> Column:
-    """Standard normal from two 53-bit hashes (Box-Muller): the same on any cluster."""
-    u = lambda s: (F.shiftrightunsigned(F.xxhash64(F.lit(s), *parts), 11) + 0.5) * F.lit(2.0**-53)
-    return F.sqrt(-2.0 * F.ln(u(seed))) * F.cos(2.0 * np.pi * u(seed + 7919))
+def wishart_correlations(n: int, p: int, iterations: np.ndarray, seed: int) -> np.ndarray:
+    """(iteration, p, p): correlation matrices of ``n`` rows of independent normal columns, without the rows.
 
-
-def parallel_analysis(df: DataFrame, unit: str, cols: Sequence[str], n_iter: int, percentile: float = 0.95, seed: int = 42) -> DataFrame:
+    Their centred cross products have a Wishart distribution with n - 1 degrees of freedom. By Bartlett's decomposition
+    they are L times its transpose, with roots of chi-square values on the diagonal of L and normal values below.
+    """
+    out = np.empty((len(iterations), p, p))
+    for i, key in enumerate(replicate_key(seed, iterations)):
+        rng = np.random.Generator(np.random.PCG64(int(key)))
+        low = np.tril(rng.standard_normal((p, p)), -1)
+        low[np.diag_indices(p)] = np.sqrt(rng.chisquare(np.maximum(n - 1 - np.arange(p), 1e-12)))
+        c = low @ low.T
+        d = np.sqrt(np.diag(c))
+        out[i] = c / np.outer(d, d)
+    return out
+
+
+def parallel_analysis(df: DataFrame, cols: Sequence[str], n_iter: int, percentile: float = 0.95, seed: int = 42) -> DataFrame:
     """P-22: observed eigenvalues against those of random data of the same shape.
 
-    Every data row draws its own random row in every iteration, so generation and the
-    reduction to one matrix per iteration are spread over rows x iterations.
+    An iteration draws one p x p matrix whose distribution is that of the random rows' cross products, whatever their
+    number; iterations are spread over the tasks.
     """
     cols = list(cols)
     p = len(cols)
-    base = df.na.drop(subset=cols)
-    r = base.select(unit, F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("it"))
-    r = r.select("it", *[_normal(seed, F.col("it"), F.col(unit), F.lit(i)).alias(f"v{i}") for i in range(p)])
-    g = gram(r, ["it"], [f"v{i}" for i in range(p)]).withColumn("_m", F.array(*[F.lit(0.0)] * p))
+    base = cut(df.na.drop(subset=cols).select(*cols))
+    spark = df.sparkSession
+    draws = attach(spark.range(0, n_iter).select(F.col("id").alias("it")), base.agg(F.count("*").alias("n")), [])
 
-    def run(pdf):
-        s, n, _m = _matrix(pdf, p)
-        w, _v = _eigen(_corr_from(s, n), p)
-        return pd.DataFrame({"component": range(1, p + 1), "stat": w})
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                w = np.linalg.eigvalsh(wishart_correlations(int(pdf["n"].iloc[0]), p, pdf["it"].to_numpy(), seed))[:, ::-1]
+                yield pd.DataFrame({"it": np.repeat(pdf["it"].to_numpy(), p), "component": np.tile(np.arange(1, p + 1), len(pdf)), "stat": np.maximum(w, 0).ravel()})
 
-    rand = quantiles(cut(_grouped(g, ["it"], run, "component int, stat double")), ["component"], "stat", {"threshold": percentile})
+    rand = quantiles(cut(draws.mapInPandas(run, "it long, component int, stat double")), ["component"], "stat", {"threshold": percentile})
     obs = pca_fit(base, cols, p).select("component", "eigenvalue", "variance_share").distinct()
     o = obs.join(rand, "component")
     return o.withColumn("retained", F.col("eigenvalue") > F.col("threshold")).withColumn("kaiser", F.col("eigenvalue") > 1)
@@ -110,11 +122,8 @@ def bootstrap_stability(df: DataFrame, unit: str, cols: Sequence[str], k: int, r
     d = df.na.drop(subset=cols)
     m = d.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     d = cut(attach(d, m, []).select(F.col(unit).alias("unit"), *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols]))
-    w = bootstrap_weights(d.select("unit", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), [], replicates, seed)
-    j = w.select("b", "unit", "w").join(d, "unit")
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
-    agg = [F.sum("w").alias("n")] + [F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    agg += [F.sum(F.col("w") * F.col(cols[a]) * F.col(cols[b])).alias(f"q{a}_{b}") for a, b in pairs]
+    moments = replicate_moments(d, [], "unit", cols, replicates, seed)
     ref = cut(pca_fit(d, cols, k))
     refw = ref.groupBy().agg(F.collect_list(F.struct("component", "feature", "weight")).alias("_ref"))  # p x k entries
 
@@ -137,7 +146,7 @@ def bootstrap_stability(df: DataFrame, unit: str, cols: Sequence[str], k: int, r
                     rows += [(r.b, c + 1, cols[i], float(v[i, c]), abs(float(cos[c]))) for i in range(p)]
             yield pd.DataFrame(rows, columns=["b", "component", "feature", "stat", "cosine"])
 
-    m2 = attach(j.groupBy("b").agg(*agg), refw.withColumnRenamed("_ref", "ref_"), [])
+    m2 = attach(moments, refw.withColumnRenamed("_ref", "ref_"), [])
     reps = cut(m2.mapInPandas(run, "b int, component int, feature string, stat double, cosine double"))
     key = ["component", "feature"]
     load = reps.groupBy(*key).agg(F.avg("stat").alias("loading_mean"), F.stddev_samp("stat").alias("loading_std"), F.count("*").alias("n_boot"))

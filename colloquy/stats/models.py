@@ -16,7 +16,7 @@ from colloquy.operators.scan import average_rank, row_number, attach, scan, with
 from colloquy.session import cut
 from .dist import chi2_p_value, f_p_value, normal_quantile, t_p_value, t_quantile
 from .moments import gram, pearson_by
-from .resample import bootstrap_weights, percentile_ci
+from .resample import percentile_ci, replicate_moments
 
 FIT = "model string, term string, beta double, se double, t double, df double, n long, rss double, r2 double, adj_r2 double, aic double, bic double"
 
@@ -135,15 +135,11 @@ def standardised_path(df: DataFrame, y: str, xs: Sequence[str], name: str = "pat
 
 
 def bootstrap_paths(df: DataFrame, unit: str, models: Mapping[str, tuple[str, Sequence[str]]], replicates: int, seed: int = 42) -> DataFrame:
-    """Coefficients of every model in every bootstrap replicate (b, model, term, stat)."""
+    """Coefficients of every model in every bootstrap replicate (b, model, term, stat), from the replicate's moments."""
     cols = list(dict.fromkeys(c for y, xs in models.values() for c in (y, *xs)))
     d = cut(standardise(df, cols)).select(F.col(unit).alias("unit"), *cols)
-    w = bootstrap_weights(d.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0)).select("unit", "x", "y"), [], replicates, seed)
-    j = w.select("b", "unit", "w").join(d, "unit")
     p = len(cols)
     pairs = [(i, k) for i in range(p) for k in range(i, p)]
-    agg = [F.sum("w").alias("n")] + [F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    agg += [F.sum(F.col("w") * F.col(cols[i]) * F.col(cols[k])).alias(f"q{i}_{k}") for i, k in pairs]
     spec = {n: (y, list(xs)) for n, (y, xs) in models.items()}
 
     def run(batches):
@@ -161,7 +157,7 @@ def bootstrap_paths(df: DataFrame, unit: str, models: Mapping[str, tuple[str, Se
                     rows += [(r.b, name, x, float(v)) for x, v in zip(xs, beta[1:])]
             yield pd.DataFrame(rows, columns=["b", "model", "term", "stat"])
 
-    return j.groupBy("b").agg(*agg).mapInPandas(run, "b int, model string, term string, stat double")
+    return replicate_moments(d, [], "unit", cols, replicates, seed).mapInPandas(run, "b int, model string, term string, stat double")
 
 
 def indirect_effect(df: DataFrame, unit: str, x: str, m: str, y: str, replicates: int, seed: int = 42) -> DataFrame:

@@ -1,99 +1,233 @@
 """Resampling inference on long pair tables (P-05 to P-12).
 
-Input rows are ``keys, unit, x, y``. Replicates are rows too: a draw is a seeded hash
-of (seed, replicate, position), so results do not depend on partitioning, and the work
-is spread over replicates x pairs.
+Input rows are ``keys, unit, x, y``. A replicate is never a copy of the rows: a unit's count in a replicate is a
+seeded draw of (seed, replicate, unit), Poisson with mean 1, that every task makes for its own rows in place. Tasks
+reduce their rows to sums per replicate, so results do not depend on partitioning and exchanges hold sums, or for rank
+statistics one vector of ranks for each row and block of replicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colloquy.operators.scan import (
-    average_rank, cumulative_counts, join_keys, previous_max, quantiles, row_number, running_sum, attach, scan,
+    average_rank, cumulative_counts, join_keys, places, previous_max, quantiles, ranges, row_number, running_sum, attach, scan,
     with_group_aggs,
 )
 from colloquy.session import cut
 from .dist import correlation_p, normal_cdf, normal_quantile
+from .draws import counts, permuted, unit_number
 from .moments import pearson_by, spearman_by
 
+CHUNK_ROWS = 1 << 14
+BLOCK = 64  # replicates that a task holds for a chunk of rows at once
+HELD = 1 << 23  # sums a task keeps before it hands them over
 PIECES = 32
 
 
-def _hash_chunk(c: Column) -> Column:
-    """256 equal ranges of a 64-bit hash."""
-    return F.shiftright(c, 56)
-
-
-def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_fdr", ids: Sequence[str] = ()) -> DataFrame:
+def bh_fdr(df: DataFrame, family: Sequence[str], p: str = "p", out: str = "p_fdr") -> DataFrame:
     """P-05: Benjamini-Hochberg adjusted p within each family; missing p stays missing.
 
-    adjusted(i) = min over j >= i of p(j) * m / j. The running rank and the minimum from
-    above are chunked scans over ranges of p.
+    adjusted(i) = min over j >= i of p(j) * m / j. The running rank and the minimum from above are scans over ranges of
+    (family, p), so neither a large family nor many equal p fall to one task.
     """
     fam = list(family)
     d = df.withColumn("_i", F.xxhash64(*[F.col(c) for c in df.columns]))
-    ok = cut(d.where(F.col(p).isNotNull()))
+    ok = ranges(d.where(F.col(p).isNotNull()), [*fam, p, "_i"])
     m = ok.groupBy(*fam).agg(F.count("*").alias("_m"))
-    # Many p-values may underflow to 0 or be 1; such ties are cut by the hash that orders them.
-    tied = _hash_chunk(F.col("_i")).cast("long")
-    chunk = F.when(F.col(p) <= 0, tied - 1000).when(F.col(p) >= 1, tied + 1000).otherwise(F.floor(F.sqrt(F.col(p)) * 255).cast("long"))
-    r = scan(ok, fam, [p, "_i"], chunk, {"_k": row_number()})
-    r = attach(r, m, fam, "inner").withColumn("_neg", -F.col(p)).withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k"))
-    r = r.withColumn("_negi", -F.col("_k"))
+    r = scan(ok, fam, [p, "_i"], F.col("_range"), {"_k": row_number()})
+    r = attach(r, m, fam, "inner").withColumn("_q", -F.col(p) * F.col("_m") / F.col("_k")).withColumn("_down", -F.col("_k"))
     # From the largest p downwards the adjusted value is the running minimum.
-    s = scan(cut(r), fam, ["_negi"], -chunk, {"_best": previous_max("_q")})
+    s = scan(cut(r), fam, ["_down"], -F.col("_range"), {"_best": previous_max("_q")})
     s = s.withColumn(out, F.least(-F.greatest("_q", "_best"), F.lit(1.0)))
     rest = df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     return s.select(*df.columns, out).unionByName(rest)
 
 
-def _indexed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positions 0..n-1 within each key, in hash order of the unit, and n."""
-    d = df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "unit", "x", "y")
-    d = d.withColumn("_h", F.xxhash64("unit"))
-    d = scan(d, keys, ["_h", "unit"], _hash_chunk(F.col("_h")), {"_i": row_number()})
-    d = d.withColumn("_i", F.col("_i") - 1).drop("_h")
-    return with_group_aggs(d, keys, _n=F.count("*"))
+def _schema(df: DataFrame, keys: Sequence[str], rest: str) -> str:
+    types = dict(df.dtypes)
+    return ", ".join([*[f"`{k}` {types[k]}" for k in keys], rest])
 
 
-def bootstrap_weights(df: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
-    """How often each row occurs in each replicate of ``n`` draws with replacement."""
-    keys = list(keys)
-    d = cut(_indexed(df, keys))
-    draws = d.select(*keys, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    draws = draws.select(*keys, "b", F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col("_i")), F.col("_n")).alias("_i"))
-    w = draws.groupBy(*keys, "b", "_i").agg(F.count("*").alias("w"))
-    return w.join(d.drop("_n"), [*keys, "_i"])
+def moment_names(p: int) -> list[str]:
+    return ["n", *[f"s{i}" for i in range(p)], *[f"q{i}_{j}" for i in range(p) for j in range(i, p)]]
 
 
-def _weighted_rank(df: DataFrame, keys: Sequence[str], value: str, piece: str, out: str) -> DataFrame:
-    g = df.groupBy(*keys, value, piece).agg(F.sum("w").alias("_k"))
-    s = scan(g, keys, [value], F.col(piece).cast("long"), {"_c": running_sum("_k")})
-    s = s.select(*keys, value, (F.col("_c") - (F.col("_k") - 1) / 2.0).alias(out))
-    return df.join(s, [*keys, value])
+def replicate_moments(df: DataFrame, keys: Sequence[str], unit: str, cols: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """Sums of every bootstrap replicate: ``keys, b``, n, s{i} (sum of column i) and q{i}_{j} (of products), i <= j.
 
+    Complete rows count. They stay where they are: a batch of rows becomes, by one product of matrices, its sums in all
+    replicates, and only these are exchanged.
+    """
+    keys, cols = list(keys), list(cols)
+    p, q = len(cols), 1 + len(cols) + len(cols) * (len(cols) + 1) // 2
+    src = df.na.drop(subset=cols).select(*keys, unit_number(df, unit).alias("_u"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    block, held = BLOCK, HELD
 
-def _pieces(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    cuts = [i / PIECES for i in range(1, PIECES)]
-    b = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
-    j = attach(df, b, keys)
-    return j.withColumn(out, F.size(F.filter("_b", lambda v: v <= F.col(value)))).drop("_b")
+    def sums(pdf, into):
+        z = pdf[[f"_{i}" for i in range(p)]].to_numpy(float)
+        terms = np.column_stack([np.ones(len(z)), z, *[z[:, i] * z[:, j] for i in range(p) for j in range(i, p)]])
+        unit_ = pdf["_u"].to_numpy()
+        for lo in range(0, replicates, block):
+            b = np.arange(lo, min(lo + block, replicates))
+            into[b] += counts(unit_, b, seed).astype(float).T @ terms
 
+    def rows(acc):
+        for key, m in acc.items():
+            out = pd.DataFrame({"b": np.arange(replicates), "m": list(m)})
+            for k, v in zip(reversed(keys), reversed(key)):
+                out.insert(0, k, v)
+            yield out
 
-def _weighted_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str) -> DataFrame:
-    w = F.col("w")
-    g = df.groupBy(*keys).agg(
-        F.sum(w).alias("n"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"),
-        F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(y) * F.col(y)).alias("syy"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"),
-    )
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    c = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    ok = (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
-    return g.select(*keys, F.when(ok, F.try_divide(c, F.sqrt(vx) * F.sqrt(vy))).alias(out))
+    def run(batches):
+        acc = {}
+        for pdf in batches:
+            for key, g in (pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]):
+                sums(g, acc.setdefault(key, np.zeros((replicates, q))))
+                if len(acc) * replicates * q > held:
+                    yield from rows(acc)
+                    acc = {}
+        yield from rows(acc)
+
+    part = src.mapInPandas(run, _schema(df, keys, "b int, m array<double>"))
+    return part.groupBy(*keys, "b").agg(*[F.sum(F.col("m")[i]).alias(n) for i, n in enumerate(moment_names(p))])
+
+
+def _correlations_from_moments(m: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    n = F.col("n")
+    vx, vy = F.col("q0_0") - F.col("s0") * F.col("s0") / n, F.col("q1_1") - F.col("s1") * F.col("s1") / n
+    c = F.col("q0_1") - F.col("s0") * F.col("s1") / n
+    ok = (n > 1) & (vx > 1e-12 * F.col("q0_0")) & (vy > 1e-12 * F.col("q1_1"))
+    return m.select(*keys, F.when(ok, F.try_divide(c, F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy)))).alias(out))
+
+
+def _complete(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Complete pairs with the unit as a number."""
+    d = df.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return d.select(*keys, unit_number(df, "unit").alias("_u"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def _prefix(w: np.ndarray) -> np.ndarray:
+    """Sums over the first 0, 1, ... rows."""
+    return np.vstack([np.zeros((1, w.shape[1]), np.int64), np.cumsum(w, axis=0, dtype=np.int64)])
+
+
+def _pack(m) -> bytes:
+    return np.ascontiguousarray(m, np.int64).tobytes()
+
+
+def _unpack(b) -> np.ndarray:
+    return np.frombuffer(b, np.int64)
+
+
+def _chunked(d: DataFrame, keys: list[str], value: str, rows: int) -> DataFrame:
+    """Rows in order of a value, cut into chunks ``_c{value}`` of at most ``rows``."""
+    chunk = (F.shiftleft(F.col("_range").cast("long"), 40) + F.expr(f"_at div {rows}")).alias(f"_c{value}")
+    return ranges(d, [*keys, value, "_u"]).select(*d.columns, chunk)
+
+
+def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each row's equal values in a sorted column, and the place behind the last."""
+    return np.searchsorted(v, v, "left"), np.searchsorted(v, v, "right")
+
+
+def _replicate_rank_carry(d: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """What a chunk must know of the others, for each side and block of replicates.
+
+    ``base``: counts before the chunk; ``lo``: counts before the equal values that reach in from the left; ``hi``: counts
+    up to the end of the equal values that reach out to the right; ``n``: all counts.
+    """
+    block = BLOCK
+    side = lambda s: d.select(*keys, F.lit(s).alias("_side"), F.col(f"_c{s}").alias("_c"), F.col(s).alias("v"), "_u")
+    group = [*keys, "_side", "_c"]
+
+    def totals(pdf):
+        pdf = pdf.sort_values(["v", "_u"])
+        v, unit = pdf["v"].to_numpy(), pdf["_u"].to_numpy()
+        first_end, last_start = np.searchsorted(v, v[0], "right"), np.searchsorted(v, v[-1], "left")
+        out = []
+        for k, lo in enumerate(range(0, replicates, block)):
+            c0 = _prefix(counts(unit, np.arange(lo, min(lo + block, replicates)), seed))
+            out.append((*pdf[group].iloc[0], k, v[0], v[-1], _pack(c0[-1]), _pack(c0[last_start]), _pack(c0[first_end])))
+        return pd.DataFrame(out, columns=[*group, "_k", "first", "last", "total", "opens", "closes"])
+
+    kinds = _schema(d, keys, "_side string, _c long, _k int")
+    t = side("x").unionByName(side("y")).groupBy(*group).applyInPandas(totals, kinds + ", first double, last double, total binary, opens binary, closes binary")
+
+    def carry(pdf):
+        pdf = pdf.sort_values("_c").reset_index(drop=True)
+        base = _prefix(np.stack([_unpack(b) for b in pdf["total"]]))
+        first, last, n = pdf["first"].to_numpy(), pdf["last"].to_numpy(), len(pdf)
+        lo, hi = [None] * n, [None] * n
+        for i in range(n):
+            if i and first[i] == last[i - 1]:
+                lo[i] = start
+            if lo[i] is None or first[i] != last[i]:
+                start = _pack(base[i] + _unpack(pdf["opens"].iloc[i]))
+        for i in range(n - 1, -1, -1):
+            if i + 1 < n and last[i] == first[i + 1]:
+                hi[i] = end
+            if hi[i] is None or first[i] != last[i]:
+                end = _pack(base[i] + _unpack(pdf["closes"].iloc[i]))
+        out = pdf[[*group, "_k"]].copy()
+        out["base"], out["lo"], out["hi"], out["n"] = [_pack(b) for b in base[:-1]], lo, hi, [_pack(base[-1])] * n
+        return out
+
+    return cut(t.groupBy(*keys, "_side", "_k").applyInPandas(carry, kinds + ", base binary, lo binary, hi binary, n binary"))
+
+
+def _bootstrap_spearman(df: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """Rank correlation of every replicate, with the ranks of the replicate itself.
+
+    A value's rank follows from the counts before and up to its equal values. Rows are cut into chunks in order of x and
+    of y; a chunk sums its counts, the sums are carried over the chunks, and each chunk's rows get their ranks by x in
+    all replicates of a block. These vectors go once to the chunks in order of y, which reduce them to sums.
+    """
+    d = _chunked(_chunked(_complete(df, keys), keys, "x", CHUNK_ROWS), keys, "y", CHUNK_ROWS)
+    carry = _replicate_rank_carry(d, keys, replicates, seed)
+    block = BLOCK
+
+    def ranks(pdf, known):
+        """Counts of the block, and twice the rank of each row less its mean."""
+        pdf = pdf.sort_values(["v", "_u"])
+        c, v = known.iloc[0], pdf["v"].to_numpy()
+        lo = int(c["_k"]) * block
+        w = counts(pdf["_u"].to_numpy(), np.arange(lo, min(lo + block, replicates)), seed)
+        c0, (f, l) = _prefix(w) + _unpack(c["base"]), _runs(v)
+        low, high = c0[f], c0[l]
+        if c["lo"] is not None:
+            low = np.where((v == v[0])[:, None], _unpack(c["lo"]), low)
+        if c["hi"] is not None:
+            high = np.where((v == v[-1])[:, None], _unpack(c["hi"]), high)
+        return pdf, w, low + high - _unpack(c["n"]), lo
+
+    def by_x(pdf, known):
+        pdf, _w, v, _lo = ranks(pdf, known)
+        out = pdf[[*keys, "_k", "_u", "y", "_cy"]].copy()
+        out["r"] = [_pack(r) for r in v]
+        return out
+
+    def by_y(pdf, known):
+        pdf, w, v, lo = ranks(pdf, known)
+        w, v, u = w.astype(float), v.astype(float), np.stack([_unpack(b) for b in pdf["r"]]).astype(float)
+        out = pd.DataFrame({"b": lo + np.arange(w.shape[1]), "sxy": (w * u * v).sum(0), "sxx": (w * u * u).sum(0), "syy": (w * v * v).sum(0)})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_k")
+    group = [*keys, "_c", "_k"]
+    known = lambda s: carry.where(F.col("_side") == s).drop("_side").groupBy(*group)
+    r = d.select(*keys, "_u", F.col("x").alias("v"), "y", "_cy", F.col("_cx").alias("_c"), blocks)
+    r = r.groupBy(*group).cogroup(known("x")).applyInPandas(by_x, _schema(d, keys, "_k int, _u long, y double, _cy long, r binary"))
+    r = r.select(*keys, "_k", "_u", F.col("y").alias("v"), "r", F.col("_cy").alias("_c"))
+    s = r.groupBy(*group).cogroup(known("y")).applyInPandas(by_y, _schema(d, keys, "b int, sxy double, sxx double, syy double"))
+    g = s.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")])
+    return g.select(*keys, "b", F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy"))).alias("stat"))
 
 
 def bootstrap_correlations(
@@ -101,15 +235,18 @@ def bootstrap_correlations(
 ) -> DataFrame:
     """P-06: the correlation of every replicate, ``keys, b, stat``; ranks are redone per replicate."""
     keys = list(keys)
-    if method == "pearson":
-        d = with_group_aggs(df, keys, _mx=F.avg("x"), _my=F.avg("y"))
-        d = d.withColumn("x", F.col("x") - F.col("_mx")).withColumn("y", F.col("y") - F.col("_my"))
-        return _weighted_corr(bootstrap_weights(d, keys, replicates, seed), [*keys, "b"], "x", "y", "stat")
-    d = _pieces(_pieces(bootstrap_weights(df, keys, replicates, seed), keys, "x", "_px"), keys, "y", "_py")
-    d = cut(d)
-    d = cut(_weighted_rank(d, [*keys, "b"], "x", "_px", "_rx"))
-    d = _weighted_rank(d, [*keys, "b"], "y", "_py", "_ry")
-    return _weighted_corr(d, [*keys, "b"], "_rx", "_ry", "stat")
+    if method == "spearman":
+        return _bootstrap_spearman(df, keys, replicates, seed)
+    d = with_group_aggs(df.where(F.col("x").isNotNull() & F.col("y").isNotNull()), keys, _mx=F.avg("x"), _my=F.avg("y"))
+    d = d.select(*keys, "unit", (F.col("x") - F.col("_mx")).alias("x"), (F.col("y") - F.col("_my")).alias("y"))
+    return _correlations_from_moments(replicate_moments(d, keys, "unit", ["x", "y"], replicates, seed), [*keys, "b"], "stat")
+
+
+def _pieces(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    cuts = [i / PIECES for i in range(1, PIECES)]
+    b = df.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
+    j = attach(df, b, keys)
+    return j.withColumn(out, F.size(F.filter("_b", lambda v: v <= F.col(value)))).drop("_b")
 
 
 def percentile_ci(reps: DataFrame, keys: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -208,29 +345,78 @@ def leave_one_out_range(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def permutation_p(df: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
-    """P-08: share of random re-pairings at least as strongly rank-correlated (add-one).
+def permutation_correlations(df: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """P-08: rank correlation (``keys, rho, n``), and that of every random re-pairing (``keys, b, stat``).
 
-    Ranks do not change under permutation, so they are computed once; a replicate pairs
-    the i-th row with the row whose seeded hash is i-th.
+    Ranks do not change under permutation, so they are computed once. Replicate b pairs the y of the row at place i by x
+    with the x at place pi_b(i), where pi_b is computed from (seed, b, i) alone. A chunk of places pairs what stays inside
+    it on the spot and sends the rest, packed, to the chunks of their new places.
     """
     keys = list(keys)
-    d = df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "unit", "x", "y")
-    d = average_rank(cut(average_rank(d, keys, "x", "_rx")), keys, "y", "_ry").select(*keys, "unit", F.col("_rx").alias("x"), F.col("_ry").alias("y"))
-    d = cut(_indexed(cut(d), keys))
-    obs = pearson_by(d, keys, "x", "y", 3, "rho")
-    kb = [*keys, "b"]
-    e = d.select(*keys, "y", "unit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    e = e.withColumn("_h", F.xxhash64(F.lit(seed), F.col("b"), F.col("unit")))
-    s = scan(e, kb, ["_h", "unit"], _hash_chunk(F.col("_h")), {"_i": row_number()}).withColumn("_i", F.col("_i") - 1)
-    j = s.select(*kb, "_i", "y").join(d.select(*keys, "_i", "x"), [*keys, "_i"])
-    r = pearson_by(j, kb, "x", "y", 3, "_r")
-    r = attach(r.drop("n"), obs.drop("n"), keys, "inner")
-    g = r.groupBy(*keys).agg(
+    d = average_rank(average_rank(_complete(df, keys), keys, "x", "_rx"), keys, "y", "_ry")
+    d = with_group_aggs(places(ranges(d, [*keys, "x", "_u"]), keys, "px"), keys, _n=F.count("*"))
+    centred = lambda c: 2.0 * F.col(c) - F.col("_n") - 1
+    d = cut(d.select(*keys, "px", "_n", centred("_rx").alias("x"), centred("_ry").alias("y")))
+    scale = d.groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("_xy"), F.sum(F.col("x") * F.col("x")).alias("_xx"), F.sum(F.col("y") * F.col("y")).alias("_yy"), F.count("*").alias("n"))
+    root = F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))
+    rows, block = 4 * CHUNK_ROWS, max(1, BLOCK // 4)
+    cell = np.dtype([("b", "<i4"), ("at", "<i8"), ("y", "<f8")])
+
+    def pair(pdf):
+        pdf = pdf.sort_values("px")
+        c, k, n = int(pdf["_c"].iloc[0]), int(pdf["_k"].iloc[0]), int(pdf["_n"].iloc[0])
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        b = np.arange(k * block, min((k + 1) * block, replicates))
+        to = permuted(pdf["px"].to_numpy(), n, b, seed)
+        near = to // rows == c
+        met = np.where(near, x[np.where(near, to - c * rows, 0)], 0.0)
+        out = [(k, int(i), None, float(v), None) for i, v in zip(b, (met * y[:, None]).sum(0))]
+        i, j = np.nonzero(~near)
+        far = to[i, j] // rows
+        for t in np.unique(far):
+            at = far == t
+            cells = np.zeros(int(at.sum()), cell)
+            cells["b"], cells["at"], cells["y"] = b[j[at]], to[i[at], j[at]] - t * rows, y[i[at]]
+            out.append((k, None, int(t), None, cells.tobytes()))
+        out = pd.DataFrame(out, columns=["_k", "b", "_c", "s", "cells"]).astype({"b": "Int64", "_c": "Int64"})
+        for name in reversed(keys):
+            out.insert(0, name, pdf[name].iloc[0])
+        return out
+
+    def receive(cells, pdf):
+        x = pdf.sort_values("px")["x"].to_numpy()
+        got = np.concatenate([np.frombuffer(b, cell) for b in cells["cells"]])
+        first = int(cells["_k"].iloc[0]) * block
+        s = np.bincount(got["b"] - first, weights=x[got["at"]] * got["y"])
+        out = pd.DataFrame({"b": first + np.arange(len(s)), "s": s})
+        for name in reversed(keys):
+            out.insert(0, name, cells[name].iloc[0])
+        return out
+
+    placed = d.withColumn("_c", F.expr(f"px div {rows}"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_k")
+    group = [*keys, "_c", "_k"]
+    sent = cut(placed.select("*", blocks).groupBy(*group).applyInPandas(pair, _schema(d, keys, "_k int, b long, _c long, s double, cells binary")))
+    sums = sent.where("s is not null").select(*keys, "b", "s")
+    far = sent.where("cells is not null")
+    # Only the chunks and blocks that cells were sent to are read again.
+    wanted = placed.select(*keys, "_c", "px", "x").join(far.select(*group).distinct(), [*keys, "_c"])
+    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])
+    got = far.groupBy(*group).cogroup(wanted.groupBy(*group)).applyInPandas(receive, _schema(d, keys, "b long, s double"))
+    stat = sums.unionByName(got).groupBy(*keys, "b").agg(F.sum("s").alias("_s"))
+    stat = attach(stat, scale, keys, "inner").select(*keys, F.col("b").cast("int").alias("b"), F.try_divide("_s", root).alias("stat"))
+    return scale.where("n >= 3").select(*keys, F.try_divide("_xy", root).alias("rho"), "n"), stat
+
+
+def permutation_p(df: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
+    """P-08: share of random re-pairings at least as strongly rank-correlated (add-one)."""
+    keys = list(keys)
+    obs, stat = permutation_correlations(df, keys, replicates, seed)
+    r = attach(stat, obs.drop("n"), keys, "inner")
+    return r.groupBy(*keys).agg(
         F.max("rho").alias("rho"),
-        ((F.sum((F.abs("_r") >= F.abs("rho") - 1e-12).cast("long")) + 1) / F.lit(replicates + 1)).alias("p_perm"),
+        ((F.sum((F.abs("stat") >= F.abs("rho") - 1e-12).cast("long")) + 1) / F.lit(replicates + 1)).alias("p_perm"),
     )
-    return g
 
 
 def bca_ci(df: DataFrame, keys: Sequence[str], replicates: int, level: float = 0.95, seed: int = 42) -> DataFrame:

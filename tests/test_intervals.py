@@ -161,7 +161,7 @@ def test_islands_keep_long_carried_end(spark):
 
 def test_quantiles_small_and_large(spark):
     d = spark.range(30001).select((F.col("id") % 3).alias("k"), (F.pow(F.col("id"), 2) % 9973).cast("double").alias("v"))
-    got = {r.k: (r.a, r.b) for r in quantiles(d, ["k"], "v", {"a": 0.5, "b": 0.95}, accuracy=500).collect()}
+    got = {r.k: (r.a, r.b) for r in quantiles(d, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
     exp = {r.k: (r.p[0], r.p[1]) for r in d.groupBy("k").agg(F.percentile("v", [0.5, 0.95]).alias("p")).collect()}
     assert got.keys() == exp.keys()
     for k in got:
