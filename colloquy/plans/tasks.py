@@ -212,17 +212,18 @@ def _(spark, sf):
 
 # Spread of one measure over the members: sample deviation over mean, largest share, Gini from ranks.
 def spread_sql(c):
-    return f"""sp_{c} AS (SELECT group_id, task, round(stddev_samp(v) / nullif(avg(v), 0), 6) {c}_cv, round(CASE WHEN sum(v) > 0 THEN max(v) / sum(v) END, 6) top_member_{c}_share,
- round(CASE WHEN count(*) >= 2 AND sum(v) > 0 THEN 2 * sum(r * v) / (count(*) * sum(v)) - (count(*) + 1.0) / count(*) END, 6) {c}_gini
+    return f"""sp_{c} AS (SELECT group_id, task, stddev_samp(v) / nullif(avg(v), 0) {c}_cv, CASE WHEN sum(v) > 0 THEN max(v) / sum(v) END top_member_{c}_share,
+ CASE WHEN count(*) >= 2 AND sum(v) > 0 THEN 2 * sum(r * v) / (count(*) * sum(v)) - (count(*) + 1.0::DOUBLE) / count(*) END {c}_gini
  FROM (SELECT group_id, task, {c}::DOUBLE v, row_number() OVER (PARTITION BY group_id, task ORDER BY {c}) r FROM ind WHERE {c} IS NOT NULL) GROUP BY ALL)"""
 
 
+EXACT = CONG.replace("round(corr({x}, effort_total), 5)", "corr({x}, effort_total)")
 TT = ", ".join([
     "", "msg AS (SELECT group_id, task, subject, count(*) FILTER (event_type LIKE 'COMM%') n_msg, coalesce(sum(length(summary)) FILTER (event_type LIKE 'COMM%'), 0) n_text FROM ev GROUP BY ALL)",
     *[spread_sql(c) for c in te.SPREAD],
     """tt AS (SELECT group_id, task, count(*) n_members, sum(effort_task) effort_task_sum, sum(effort_comm) effort_comm_sum, sum(effort_total) effort_total_sum, sum(n_msg)::BIGINT comm_n_messages, sum(n_text)::BIGINT comm_text_length,
  avg(skill_i) skill_mean, max(skill_i) skill_max, avg(contribution_i) contribution_mean, sum(contribution_correct)::BIGINT contribution_correct_sum, count(effort_total) n_members_effort, count(skill_i) n_members_skill, count(contribution_i) n_members_contribution,
- CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE """ + CONG.format(x="skill_i") + " END::DOUBLE skill_congruence, CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE " + CONG.format(x="contribution_i") + """ END::DOUBLE contribution_congruence, any_value(task = 'T1')::INT skill_congruence_forced
+ CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE """ + EXACT.format(x="skill_i") + " END::DOUBLE skill_congruence, CASE WHEN any_value(task) = 'T1' THEN 1.0 ELSE " + EXACT.format(x="contribution_i") + """ END::DOUBLE contribution_congruence, any_value(task = 'T1')::INT skill_congruence_forced
  FROM ind JOIN msg USING (group_id, task, subject) WHERE task <> 'T3' GROUP BY ALL),
 tf AS (SELECT * FROM tt LEFT JOIN stg USING (group_id, task) """ + " ".join(f"LEFT JOIN sp_{c} USING (group_id, task)" for c in te.SPREAD) + ")",
 ])
@@ -231,7 +232,7 @@ TT_ALL = ["group_id", "task", "n_members", "effort_task_sum", "effort_comm_sum",
           "n_members_contribution", "skill_congruence_forced", "n_touched", "coverage_any", "coverage_correct_final"]
 
 
-@query("e13_task_table_columns", IALL + TT + "SELECT " + ", ".join([*TT_ALL, *[f"round({c}, 6) {c}" for c in TT_ROUND], "skill_congruence", "contribution_congruence"]) + " FROM tf")
+@query("e13_task_table_columns", IALL + TT + "SELECT " + ", ".join([*TT_ALL, *[f"round({c}, 6) {c}" for c in TT_ROUND], "round(skill_congruence, 5) + 0.0 skill_congruence", "round(contribution_congruence, 5) + 0.0 contribution_congruence"]) + " FROM tf")
 def _(spark, sf):
     ind, st = assembled(spark, sf)
     o = te.task_table(cut(ind), cut(st), ["T3"], ["T1"])
