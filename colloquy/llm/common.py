@@ -67,18 +67,22 @@ def fold_column(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0, ties: list[str] = []) -> DataFrame:
-    """At most ``limit`` rows for each value of ``keys``, those with the smallest seeded hash of doc_id; ``_n`` counts them.
+MAX_KEYS = 10_000
 
-    ``_weight`` is the number of rows of the key that a sampled row stands for. ``ties`` orders rows of one doc_id.
 
-    The rows of a key are first thinned by that hash to about twice the limit, so no task sorts many rows of one key.
+def bounded_sample(labels: DataFrame, keys: list[str], limit: int, seed: int = 0, ties: list[str] = [], by: str = "doc_id") -> DataFrame:
+    """At most ``limit`` rows for each value of ``keys``, those with the smallest seeded hash of ``by``; ``_n`` counts them.
+
+    ``_weight`` is the number of rows of the key that a sampled row stands for. ``ties`` orders rows of one ``by``.
+
+    Rows are thinned by that hash to about twice the limit where they lie, before any of them moves: the counts of the
+    keys, a row for each value, are broadcast up to ``MAX_KEYS`` values. So no task reads many rows of one key.
     """
-    seen = labels.groupBy(*keys).agg(F.count("*").alias("_all"))
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    seen = written(labels.groupBy(*keys).agg(F.count("*").alias("_all")), "counts")
+    h = F.xxhash64(F.col(by), F.lit(seed))
     near = (F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) * F.col("_all") <= 2.0 * limit + 50
-    thin = labels.join(seen, keys).where(near)
-    order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col("doc_id"), *ties)
+    thin = labels.join(F.broadcast(seen) if seen.count() <= MAX_KEYS else seen.hint("merge"), keys).where(near)
+    order = Window.partitionBy(*keys).orderBy(F.pmod(h, F.lit(1 << 30)), F.col(by), *ties)
     return thin.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).withColumn("_weight", F.col("_all") / F.least("_all", F.lit(limit))).drop("_all")
 
 

@@ -1,14 +1,14 @@
 """Language ID by mixture inference.
 
 Each language has a smoothed distribution over hashed character n-grams, counted over a bounded sample of labelled
-rows (``per_language`` rows of each language). Every word of a document has a likelihood under each language.
+rows (``per_language`` texts of each language, copies as one). Every word of a document has a likelihood under each language.
 Expectation-maximisation estimates the document's language proportions from its words; the set of languages is the one
 with the largest likelihood less a penalty for each further language. The prediction is the language with the largest
 proportion in that set and the score is that proportion.
 
-Whether a document can need more than one language is decided exactly: with ``m`` the log likelihood of each word's
-best mixture of all languages, a larger set can't win unless the full mixture beats the best single language by more
-than one penalty.
+A document is tried with more than one language where the mixture of all of them, after at most ``ROUNDS`` rounds, beats
+the best single language by more than one penalty. Larger sets are then tried in one order, by the proportions in that
+mixture, each with the next language added; so the set is a greedy choice among these, not among all sets.
 
 Defined results: texts that are null or have no letter give ``und`` with score 0; without any labelled row every text
 gives ``und``; ties take the first language by name; repeated rows each give a row; other columns are not read.
@@ -20,9 +20,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import bounded_sample, fold_column, map_batches, map_stream
+from colloquy.llm.common import bounded_sample, fold_column, map_batches, map_stream, text_key
 
 WIDTH = 1 << 16
 PER_LANGUAGE = 1500
@@ -32,11 +33,13 @@ KNOWN_WORDS = 200_000
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters, in lower case. Superscripts, fractions and Roman numerals are word characters, but no letters."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words if all(map(str.isalpha, words)) else _LETTERS.findall(text.lower())
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,9 +134,11 @@ def mixture(p: np.ndarray, start: np.ndarray | None = None, rounds: int = ROUNDS
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, penalty: float = 1.0) -> Model:
-    """Count n-grams on ``per_language`` sampled rows of each language that are not held out."""
+    """Count n-grams on ``per_language`` sampled texts of each language that are not held out; copies are sampled as one."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), FOLDS) != HELD_OUT))
-    sample = bounded_sample(known.select("doc_id", "lang"), ["lang"], per_language).select("doc_id", "lang").distinct()
+    marked = known.select("lang", "text", "doc_id", text_key().alias("_text"))
+    texts = marked.groupBy("lang", "_text").agg(F.min("doc_id").alias("_first"))
+    sample = bounded_sample(texts, ["lang"], per_language, by="_text").select("lang", "_text", "_first")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -147,7 +152,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, penalty: float = 1.
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "gram", "n"])
 
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text")
+    same = marked.join(F.broadcast(sample), ["lang", "_text"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    rows = same.dropDuplicates(["lang", "_text"]).select("lang", "text")
     by = map_stream(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     packed = by.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).collect()  # at most WIDTH numbers a language
     packed = sorted(packed, key=lambda r: r["lang"])

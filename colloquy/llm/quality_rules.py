@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from colloquy.llm.common import WHITE, bounded_sample, fold, fold_column, labelled, map_batches, texts_of
+from colloquy.llm.common import WHITE, bounded_sample, distinct_texts, fold, fold_column, labelled, map_batches, text_key, texts_of, written
 from colloquy.llm.linear import Rows, fit_logistic, platt, sigmoid
 
 SYMBOLS = b"#*$%&|<>"
@@ -146,25 +146,31 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, ridge: float = 1e-4) -> Model:
-    """Fit on ``per_class`` rows of each label and calibrate on ``calibration`` other rows of each label.
+    """Fit on ``per_class`` texts of each label and calibrate on ``calibration`` other texts of each label.
 
-    Rows whose crc32(doc_id) mod 5 is 0 calibrate, the others train.
+    Rows whose crc32(doc_id) mod 5 is 0 calibrate, the others train. Copies of a text under one label are sampled as one,
+    by their smallest id; the calibration weighs the labels by the documents that hold them.
     """
-    known = labelled(labels, "quality")
+    known = written(distinct_texts(docs, labelled(labels, "quality")), "texts")
     held = fold_column(F.col("doc_id"), 5) == 0
-    sample = bounded_sample(known.where(~held), ["y"], per_class).unionByName(bounded_sample(known.where(held), ["y"], calibration)).drop("_n")
+    sample = bounded_sample(known.where(~held), ["y"], per_class, ties=["_text"]).unionByName(bounded_sample(known.where(held), ["y"], calibration, ties=["_text"])).drop("_n")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(t) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([c.astype(np.int32).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], ["doc_id", "y", "weight", "cols", "vals"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.astype(np.int32).tobytes() for c, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())], ["doc_id", "y", "cols", "vals"])
 
-    source = texts_of(docs, sample).select("doc_id", "y", F.col("text").cast("binary"), "_weight")
-    got = sorted(map_batches(source, run, "doc_id long, y int, weight double, cols binary, vals binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["cols"]), bytes(r["vals"])))
+    source = texts_of(docs, sample).where(text_key() == F.col("_text")).dropDuplicates(["doc_id", "_text", "y"]).select("doc_id", "y", F.col("text").cast("binary"))
+    got = sorted(map_batches(source, run, "doc_id long, y int, cols binary, vals binary").toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["cols"]), bytes(r["vals"])))
     rows = lambda some: Rows([(np.frombuffer(bytes(r["cols"]), np.int32), np.frombuffer(bytes(r["vals"]), np.float32)) for r in some], 2 * WIDTH)
     fitting, checking = [r for r in got if fold(r["doc_id"], 5)], [r for r in got if not fold(r["doc_id"], 5)]
     y = np.array([r["y"] for r in fitting], float)
     weights, bias = fit_logistic(rows(fitting), y, ridge)
-    slope, shift = platt(rows(checking).dot(weights) + bias, np.array([r["y"] for r in checking], float), weights=np.array([r["weight"] for r in checking])) if weights.any() else (1.0, 0.0)
+    slope, shift = 1.0, 0.0
+    if weights.any():
+        documents = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
+        drawn = np.array([r["y"] for r in checking], int)
+        each = {k: documents[k] / n for k, n in zip(*(a.tolist() for a in np.unique(drawn, return_counts=True)))}
+        slope, shift = platt(rows(checking).dot(weights) + bias, drawn.astype(float), weights=np.array([each[k] for k in drawn.tolist()]))
     return Model(weights, bias, slope, shift)
 
 

@@ -160,11 +160,20 @@ def _nodes(archive: str, hashes) -> Iterator[list[tuple]]:
 
 def reference_tree(archives: DataFrame, folder: str) -> DataFrame:
     """Nodes over the hashes that were taken when the archives were written."""
-    return _each(archives, lambda a: _nodes(a, ((int(e["offset"]), int(e["offset"] + e["length"]), e["sha256"].decode()) for part in manifest(folder, a) for e in part)), NODES)
+
+    def hashes(archive: str):
+        end = 0
+        for part in manifest(folder, archive):
+            for e in part:
+                end = int(e["offset"] + e["length"])
+                yield int(e["offset"]), end, e["sha256"].decode()
+        yield end, end, hashlib.sha256().hexdigest()  # nothing follows the last record
+
+    return _each(archives, lambda a: _nodes(a, hashes(a)), NODES)
 
 
 def replica_tree(archives: DataFrame, reference: str, folder: str) -> DataFrame:
-    """Nodes over a replica's bytes, read again at the offset ranges of the reference manifest."""
+    """Nodes over a replica's bytes, read again at the offset ranges of the reference manifest and behind the last one."""
 
     def hashes(archive: str):
         fs, base = file_system(folder)
@@ -172,10 +181,15 @@ def replica_tree(archives: DataFrame, reference: str, folder: str) -> DataFrame:
             source = fs.open_input_stream(f"{base}/{archive}", compression=None)
         except FileNotFoundError:
             source = None
+        end = 0
         for part in manifest(reference, archive):
             for e in part:
-                data = source.read(int(e["length"])) if source else b""
-                yield int(e["offset"]), int(e["offset"] + e["length"]), hashlib.sha256(data).hexdigest()
+                data, end = source.read(int(e["length"])) if source else b"", int(e["offset"] + e["length"])
+                yield int(e["offset"]), end, hashlib.sha256(data).hexdigest()
+        rest = hashlib.sha256()
+        while source and (data := source.read(1 << 20)):
+            rest.update(data)
+        yield end, end, rest.hexdigest()
         if source:
             source.close()
 
@@ -205,7 +219,10 @@ def roots_equal(one: DataFrame, two: DataFrame) -> bool:
 
 
 def differing_records(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(archive, idx, start, stop) of the records that differ: descends from the roots into differing nodes only."""
+    """(archive, idx, start, stop) of the records that differ: descends from the roots into differing nodes only.
+
+    Bytes behind the last record of an archive are a leaf of their own: its idx is the number of records, stop = start.
+    """
     if roots_equal(one, two):
         return one.where(F.lit(False)).select("archive", "idx", "start", "stop")
     tops = one.groupBy("archive").agg(F.max("level").alias("level"))

@@ -133,6 +133,22 @@ def test_archives_are_warc_and_cut_files_are_noticed(spark, pages):
     assert sorted(r["idx"] for r in bad) == [len(entries) - 2, len(entries) - 1] and {r["archive"] for r in bad} == {name}
 
 
+def test_appended_bytes_and_changed_records_are_noticed(spark, pages):
+    archives, folders = wf.write_archives(pages, 2)
+    name = archives.first()["archive"]
+    n = {r["archive"]: r["n_records"] for r in archives.collect()}
+    reference = wf.reference_tree(archives, folders[0]).cache()
+    assert wf.differing_records(reference, wf.replica_tree(archives, folders[0], folders[1])).count() == 0
+    fs, base = file_system(folders[1])
+    with fs.open_input_file(f"{base}/{name}") as f:
+        data = f.read()
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+        f.write(data + b"x" * 700)
+    bad = wf.differing_records(reference, wf.replica_tree(archives, folders[0], folders[1])).collect()
+    assert [(r["archive"], r["idx"], r["stop"] - r["start"]) for r in bad] == [(name, n[name], 0)]
+    assert not wf.roots_equal(reference, wf.replica_tree(archives, folders[0], folders[1]))
+
+
 def test_only_differing_branches_are_visited(spark):
     nodes = []
     tree = wf.Tree()

@@ -229,3 +229,38 @@ def test_no_labels_nulls_and_empty_tables(spark, make, odd_texts, score):
     assert score(make([]), labels).count() == 0
     some = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (4, 7, 7)], "doc_id long, quality int, toxic int")
     assert score(make([(0, "a b"), (0, "c d"), (1, None), (2, "x")]), some).count() == 4
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_samples_are_thinned_before_any_exchange_by_label(spark, threshold):
+    from colloquy.llm.common import bounded_sample
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = spark.range(40000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+        sample = bounded_sample(rows, ["y"], 100)
+        plan = sample._jdf.queryExecution().sparkPlan().toString()
+        below = plan[plan.index("Join"):]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(y" not in below
+        got = sample.collect()
+        assert sorted((r["y"], sum(1 for x in got if x["y"] == r["y"])) for r in {x["y"]: x for x in got}.values()) == [(0, 100), (1, 100)]
+        assert {round(r["_weight"] * 100) for r in got} == {26666, 13334}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_one_id_or_text_does_not_fill_the_language_sample(make):
+    texts = [" ".join(f"{c}{d}word" for d in "abcdefgh") + f" t{i}" for i, c in enumerate("bcdfghklmn" * 30)]
+    alone = lm.train(make(texts, lang=lambda i: "xx"), per_language=100)
+    crowd = [(10_000, f"zq{'abcdefghij'[i % 10]}zq t{i}") for i in range(200)] + [(None, "qqqq wwww")] * 200 + list(enumerate(texts))
+    some = lm.train(make(crowd, lang=lambda i: "xx"), per_language=100)
+    mean = lambda m: float(m.likelihoods(lm.words_of(texts[0])).mean())
+    assert mean(some) > mean(alone) - 4
+    nulls = lm.train(make([(None, t) for t in texts], lang=lambda i: "xx"), per_language=100)
+    assert nulls.languages == ["xx"] and mean(nulls) > mean(alone) - 4
+
+
+def test_only_letters_make_words():
+    assert lm.words_of("½ ² 3 ③ Ⅷ") == [] and lm.words_of("x² Élan_b 日本") == ["x", "élan", "b", "日本"]
