@@ -160,6 +160,20 @@ def _(spark, sf):
     return rnd(rs.leave_one_out_range(tied(spark, sf), []).select("loo_min", "loo_max"), "loo_min", "loo_max")
 
 
+# One step removes the unit without which the correlation is lowest.
+def removal_step(i, threshold=0.72):
+    src = "d" if i == 1 else f"d{i}"
+    left = "" if i == 1 else f"d{i} AS (SELECT * FROM {'d' if i == 2 else f'd{i - 1}'} WHERE unit NOT IN (SELECT unit FROM s{i - 1}) AND NOT (SELECT bool_or(reached) FROM s{i - 1})), "
+    return left + f"""j{i} AS (SELECT u.unit, v.x, v.y FROM {src} u JOIN {src} v ON u.unit <> v.unit),
+r{i} AS (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY x) + (count(*) OVER (PARTITION BY unit, x) - 1) / 2.0 rx, rank() OVER (PARTITION BY unit ORDER BY y) + (count(*) OVER (PARTITION BY unit, y) - 1) / 2.0 ry FROM j{i}),
+s{i} AS (SELECT {i} k, unit, stat rho_after, stat < {threshold} reached FROM (SELECT unit, corr(rx::DOUBLE, ry::DOUBLE) stat FROM r{i} GROUP BY ALL) ORDER BY stat, unit LIMIT 1)"""
+
+
+@query("p11_minimal_removal", t.with_(t.FEAT, TWO, *[removal_step(i) for i in range(1, 5)]) + " UNION ALL ".join(f"SELECT k, unit, round(rho_after, 6) rho_after, reached FROM s{i}" for i in range(1, 5)))
+def _(spark, sf):
+    return rnd(rs.minimal_removal(two(spark, sf), [], 0.72), "rho_after")
+
+
 ALPHA = """it AS (SELECT dimension, item, var_samp(score) v, count(*) n, avg(score) m, stddev_samp(score) s FROM resp GROUP BY ALL), tt AS (SELECT dimension, participant, sum(score) t FROM resp GROUP BY ALL),
 al AS (SELECT dimension, k n_items, n, k / (k - 1.0) * (1 - sv / tv) alpha FROM (SELECT dimension, count(*)::DOUBLE k, sum(v) sv FROM it GROUP BY ALL) JOIN (SELECT dimension, var_samp(t) tv, count(*) n FROM tt GROUP BY ALL) USING (dimension))"""
 

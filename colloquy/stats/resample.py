@@ -345,6 +345,34 @@ def leave_one_out_range(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def minimal_removal(df: DataFrame, keys: Sequence[str], threshold: float = 0.70, max_remove: int = 4) -> DataFrame:
+    """P-11: units to take away until the rank correlation falls below ``threshold``: ``keys, k, unit, rho_after, reached``.
+
+    Greedy: each step removes the unit without which the correlation is lowest (of equals the smallest unit), by one
+    leave-one-out pass over all keys that are still above the threshold. One step is exact; with more steps another set
+    of the same or a smaller number may exist, which only a search over all subsets could find. ``reached`` is false for
+    keys that stay above after ``max_remove`` steps or when fewer than four units are left.
+    """
+    keys = list(keys)
+    left = cut(_with_unit(df, keys))
+    out = None
+    for k in range(1, max_remove + 1):
+        loo = leave_one_out_spearman(left, keys).where(F.col("stat").isNotNull())
+        step = loo.groupBy(*keys).agg(F.min(F.struct("stat", "unit")).alias("_m"))
+        step = step if keys else step.where("_m is not null")
+        step = cut(step.select(*keys, F.lit(k).alias("k"), F.col("_m.unit").alias("unit"), F.col("_m.stat").alias("rho_after"), (F.col("_m.stat") < threshold).alias("reached")))
+        out = step if out is None else out.unionByName(step)
+        open_ = step.where(~F.col("reached")).select(*keys, F.col("unit").alias("_gone"))
+        if open_.isEmpty():
+            break
+        left = cut(attach(left, open_, keys, "inner").where(F.col("unit") != F.col("_gone")).drop("_gone"))
+    return out
+
+
+def _with_unit(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "unit", "x", "y")
+
+
 def permutation_correlations(df: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """P-08: rank correlation (``keys, rho, n``), and that of every random re-pairing (``keys, b, stat``).
 

@@ -182,3 +182,31 @@ def test_fdr_of_large_families_and_tiny_p(spark):
         o = g.sort_values("p", kind="stable")
         q = np.minimum.accumulate((o.p * len(o) / np.arange(1, len(o) + 1)).to_numpy()[::-1])[::-1]
         assert [got[i] for i in o.i] == pytest.approx(np.minimum(q, 1))
+
+
+def test_removal_is_minimal_where_one_unit_suffices_and_never_above_subsets(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for k in range(6):
+        x = rng.normal(size=12)
+        y = x + rng.normal(size=12) * (0.3 + 0.2 * k)
+        rows += [(k, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+        for m in range(1, 5):
+            best = min(corr(ranks(np.delete(x, c)), ranks(np.delete(y, c))) for c in combinations(range(12), m))
+            if best < 0.7:
+                want[k] = m
+                break
+    d = spark.createDataFrame([*rows, (0, 99, None, 1.0)], "g int, unit int, x double, y double")
+    steps = {}
+    for r in sorted(rs.minimal_removal(d, ["g"]).collect(), key=lambda r: (r.g, r.k)):
+        steps.setdefault(r.g, []).append(r)
+    assert set(steps) == set(range(6))
+    for g, taken in steps.items():
+        xy = np.array([(a, b) for k, _, a, b in rows if k == g])
+        left = np.delete(xy, [r.unit for r in taken], axis=0)
+        assert taken[-1].rho_after == pytest.approx(corr(ranks(left[:, 0]), ranks(left[:, 1])))
+        assert [r.reached for r in taken[:-1]] == [False] * (len(taken) - 1)
+        if taken[-1].reached:
+            assert want[g] <= len(taken) and (want[g] == 1) == (len(taken) == 1)
