@@ -149,10 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     """Fit on ``per_class`` texts of each label and calibrate on ``calibration`` other texts of each label.
 
     Rows whose crc32(doc_id) mod 5 is 0 calibrate, the others train. Copies of a text under one label are sampled as one,
-    by their smallest id; the calibration weighs the labels by the documents that hold them.
+    by their smallest id; the calibration weighs the labels by the documents of its fold that hold them.
     """
-    known = written(distinct_texts(docs, labelled(labels, "quality")), "texts")
-    held = fold_column(F.col("doc_id"), 5) == 0
+    marked, held = labelled(labels, "quality"), fold_column(F.col("doc_id"), 5) == 0
+    known = written(distinct_texts(docs, marked), "texts")
     sample = bounded_sample(known.where(~held), ["y"], per_class, ties=["_text"]).unionByName(bounded_sample(known.where(held), ["y"], calibration, ties=["_text"])).drop("_n")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibr
     weights, bias = fit_logistic(rows(fitting), y, ridge)
     slope, shift = 1.0, 0.0
     if weights.any():
-        documents = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
+        documents = {r["y"]: r["count"] for r in marked.where(held).groupBy("y").count().collect()}
         drawn = np.array([r["y"] for r in checking], int)
         each = {k: documents[k] / n for k, n in zip(*(a.tolist() for a in np.unique(drawn, return_counts=True)))}
         slope, shift = platt(rows(checking).dot(weights) + bias, drawn.astype(float), weights=np.array([each[k] for k in drawn.tolist()]))
