@@ -193,8 +193,9 @@ def parse_boolean(x: Column) -> Column:
     return F.lower(F.trim(x.cast("string"))).isin(TRUE_WORDS)
 
 
-def compress_distance(d: Column, floor_m: float = 0.80, gain: float = 0.85) -> Column:
-    """F-20: display distance, compressed above a floor."""
+def compress_distance(d: Column, floor_m: float = 0.80, gain: float = 0.85, missing: float | None = None) -> Column:
+    """F-20: display distance, compressed above a floor; ``missing`` stands for a distance that is not known."""
+    d = F.coalesce(d, F.lit(missing)) if missing is not None else d
     return F.when(d <= floor_m, d).otherwise(F.lit(floor_m) + (d - F.lit(floor_m)) * F.lit(gain))
 
 

@@ -128,6 +128,53 @@ def graph_nodes(speech: DataFrame, focus: DataFrame) -> DataFrame:
     return speech.join(focus, ["session_id", "window_idx", "role"], "left")
 
 
+def window_gaze(flags: DataFrame, windows: DataFrame, chunk_s: float, min_s: float = 0.15, merge_s: float = 0.10) -> DataFrame:
+    """G-39 per window: episodes of looking at a peer and their share of the window, per directed pair with samples in it."""
+    k = ["session_id", "window_idx", "role", "target"]
+    w = windows.select("session_id", "window_idx", "t_start", "t_end")
+    f = interval_join(flags.withColumn("_t1", F.col("t")), w, ["session_id"], 60.0, ("t", "_t1"), ("t_start", "t_end"), (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")))
+    f = cut(f.select(*k, "t", "state", (F.col("t_end") - F.col("t_start")).alias("_w")))
+    e = ep.irregular_episodes(f, k, "t", chunk_s, min_s, merge_s, end="next").groupBy(*k).agg(F.count("*").alias("n"), F.sum(F.col("end_s") - F.col("start_s")).alias("d"))
+    g = f.groupBy(*k).agg(F.max("_w").alias("_w")).join(e, k, "left").na.fill(0, ["n", "d"])
+    return g.select(*k, "n", (F.col("d") / F.greatest("_w", F.lit(1e-6))).alias("ratio"))
+
+
+def gaze_edges(gaze: DataFrame) -> DataFrame:
+    """Both directions of ``window_gaze`` on the row of the unordered pair."""
+    k = ["session_id", "window_idx", F.least("role", "target").alias("role_a"), F.greatest("role", "target").alias("role_b")]
+    ab = F.col("role") < F.col("target")
+    one = gaze.select(*k, ab.alias("_ab"), "ratio", "n")
+    pick = lambda c, way: F.coalesce(F.max(F.when(way, F.col(c))), F.lit(0))
+    return one.groupBy("session_id", "window_idx", "role_a", "role_b").agg(
+        pick("ratio", F.col("_ab")).cast("double").alias("gaze_a_to_b_ratio"), pick("ratio", ~F.col("_ab")).cast("double").alias("gaze_b_to_a_ratio"),
+        pick("n", F.col("_ab")).cast("long").alias("gaze_a_to_b_episodes"), pick("n", ~F.col("_ab")).cast("long").alias("gaze_b_to_a_episodes"),
+    )
+
+
+def watched(edges: DataFrame) -> DataFrame:
+    """Incoming gaze of each role per window: the sum of the shares of all peers that look at it."""
+    sides = F.array(F.struct(F.col("role_b").alias("role"), F.col("gaze_a_to_b_ratio").alias("g")), F.struct(F.col("role_a").alias("role"), F.col("gaze_b_to_a_ratio").alias("g")))
+    s = edges.select("session_id", "window_idx", F.explode(sides).alias("s"))
+    return s.groupBy("session_id", "window_idx", "s.role").agg(F.coalesce(F.sum("s.g"), F.lit(0.0)).alias("watched"))
+
+
+def graph_edges(windows: DataFrame, roles: DataFrame, *layers: DataFrame) -> DataFrame:
+    """G-43: one row per window and role pair with the measures of every layer that has them.
+
+    A layer holds session_id, window_idx, role_a, role_b and measures: speech equality, shared objects, gaze both ways,
+    face synchrony, distance. All layers are stacked and reduced in one aggregation, so a pair that a layer lacks costs
+    nothing and layers are never joined with each other.
+    """
+    k = ["session_id", "window_idx", "role_a", "role_b"]
+    base = windows.select("session_id", "window_idx", "t_start", "t_end").join(role_pairs(roles), "session_id")
+    names = list(dict.fromkeys(c for layer in layers for c in layer.columns if c not in (*k, "t_start", "t_end")))
+    rows = base
+    for layer in layers:
+        rows = rows.unionByName(layer.select(*k, *[c for c in layer.columns if c in names]), allowMissingColumns=True)
+    g = rows.groupBy(*k).agg(F.max("t_start").alias("t_start"), F.max("t_end").alias("t_end"), *[F.max(c).alias(c) for c in names])
+    return g.where(F.col("t_start").isNotNull())
+
+
 def graph_windows(nodes: DataFrame, equality: DataFrame, watched: DataFrame, distances: DataFrame) -> DataFrame:
     """G-43: one row per window: balance, leaders, engagement, proximity, proxy mean.
 

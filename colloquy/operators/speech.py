@@ -180,6 +180,24 @@ def live_shares(segs: DataFrame, probes: DataFrame, chunk_s: float) -> DataFrame
     return s.select(*k, "t", (F.col("_n") * F.col("t") - F.col("_nt")).alias("speech_s"))
 
 
+def session_overview(segs: DataFrame, totals: DataFrame, chunk_s: float) -> DataFrame:
+    """I-23: the metrics shown for a session, one row each: turns, exchanges, backchannels, occupancy, balance, takeovers."""
+    k = "session_id"
+    turns = cut(iv.aggregate_turns(segs, chunk_s))
+    m = speech_metrics(segs, totals, chunk_s, turns)
+    median = quantiles(turns.withColumn("_d", iv.duration()), [k], "_d", {"_median": 0.5})
+    calls = iv.backchannels(segs, turns).groupBy(k).agg(F.count("*").alias("_bc"))
+    speech = entropy_of(segs.groupBy(k, "role").agg(F.sum(iv.duration()).alias("_s")), [k], "_s", out="_h")
+    o = m.join(median, k, "left").join(calls, k, "left").join(speech, k, "left").na.fill(0, ["_bc"])
+    percent = [F.round(F.col(f"pct_{n}") * 100, 1).alias(f"pct_{n}_spk") for n in range(4)]
+    return o.select(
+        k, F.col("total_turns").alias("n_turns"), F.round("mean_turn_s", 2).alias("mean_turn_s"), F.round("_median", 2).alias("median_turn_s"), "n_floor_exchanges",
+        F.when(F.col("n_floor_exchanges") > 0, F.col("floor_exchange_pause_mean_s")).alias("floor_pause_mean_s"), F.col("_bc").alias("n_backchannels"),
+        F.round(F.try_divide(F.col("_bc").cast("double"), F.col("duration_s") / 60.0), 2).alias("bc_per_min"), *percent, F.round("overlap_ratio", 3).alias("overlap_ratio"),
+        F.round(F.col("_h") / F.ln(F.lit(2.0)), 3).alias("participation_entropy"), "rapid_floor_takeovers_total", "n_attempted_interruptions", "n_successful_interruptions", "successful_interruption_ratio",
+    )
+
+
 def session_summary(segs: DataFrame, turns: DataFrame, session: str | int) -> DataFrame:
     """I-23: interruptions and turns of one session, by directed role pair."""
     only = F.col("session_id") == session

@@ -361,6 +361,12 @@ def _(spark, sf):
     return li(spark, sf).select(*ID, F.round(fn.compress_distance(F.col("l_quantity") / 10), 9).alias("d"))
 
 
+@query("f20_compress_missing", f"SELECT {IDS}, round(CASE WHEN l_linenumber = 3 THEN 1.9 WHEN l_quantity / 10 <= 0.8 THEN l_quantity / 10 ELSE 0.8 + (l_quantity / 10 - 0.8) * 0.5 END, 9) d {L}")
+def _(spark, sf):
+    known = F.when(F.col("l_linenumber") != 3, F.col("l_quantity") / 10)
+    return li(spark, sf).select(*ID, F.round(fn.compress_distance(known, 0.8, 0.5, 3.0), 9).alias("d"))
+
+
 @query("f21_host_shape", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'SOL' ELSE 'MUR' END host, CASE WHEN p_size % 3 = 0 THEN 'CIRCULAIRE' END shape FROM part")
 def _(spark, sf):
     n = F.concat(F.lit("Reservation "), F.when(F.col("p_size") % 2 == 0, "sol ").otherwise("mur "), F.when(F.col("p_size") % 3 == 0, "circulaire").otherwise(""))

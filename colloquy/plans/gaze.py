@@ -570,8 +570,38 @@ def _(spark, sf):
     nodes = cut(po.graph_nodes(speech, po.task_focus(f, w)))
     h = head(spark, sf)
     dist = po.proximity(h, spans(h), 0.05, C, 300.0)
-    watched = nodes.select("session_id", "window_idx", "role", F.lit(0.0).alias("watched"))
-    return po.graph_windows(nodes, po.speech_equality(speech, 20.0, 5.0), watched, dist)
+    gaze = po.gaze_edges(po.window_gaze(po.peer_gaze(eye(spark, sf), h, C, 2.0, 20.0), w, C, 0.0, 0.0))
+    return po.graph_windows(nodes, po.speech_equality(speech, 20.0, 5.0), po.watched(gaze), dist)
+
+
+# Flags of looking at a peer by window, runs of them closed by the next sample or a median step.
+FLAGS = """p AS (SELECT e.session_id, e.role, r.role target, e.t, e.hx, e.hy, e.hz FROM eye e JOIN (SELECT DISTINCT session_id, role FROM hd) r ON e.session_id = r.session_id AND e.role <> r.role),
+nf AS (SELECT p.*, b.t bt, f.t ft, b.px bx, b.py bpy, b.pz bz, f.px fx, f.py fy, f.pz fz, b.t IS NULL OR (f.t IS NOT NULL AND f.t - p.t < p.t - b.t) fw FROM p ASOF LEFT JOIN hd b ON p.session_id = b.session_id AND p.target = b.role AND p.t >= b.t ASOF LEFT JOIN hd f ON p.session_id = f.session_id AND p.target = f.role AND p.t <= f.t),
+fl AS (SELECT session_id, role, target, t, coalesce(abs(CASE WHEN fw THEN ft ELSE bt END - t) <= 20 AND sqrt(pow(hx - CASE WHEN fw THEN fx ELSE bx END, 2) + pow(hy - CASE WHEN fw THEN fy ELSE bpy END, 2) + pow(hz - CASE WHEN fw THEN fz ELSE bz END, 2)) <= 2.0, false) state FROM nf),
+fw AS (SELECT fl.*, window_idx, t_end - t_start wd, row_number() OVER k - row_number() OVER (PARTITION BY session_id, window_idx, role, target, state ORDER BY t) g, t - lag(t) OVER k st FROM fl JOIN w USING (session_id) WHERE t >= t_start AND t < t_end WINDOW k AS (PARTITION BY session_id, window_idx, role, target ORDER BY t)),
+dt AS (SELECT session_id, window_idx, role, target, any_value(wd) wd, coalesce(quantile_cont(st, 0.5) FILTER (st > 0), 0.05) dt FROM fw GROUP BY ALL),
+rn AS (SELECT session_id, window_idx, role, target, state, min(t) a, max(t) b FROM fw GROUP BY session_id, window_idx, role, target, state, g),
+rl AS (SELECT *, lead(a) OVER (PARTITION BY session_id, window_idx, role, target ORDER BY a) nx FROM rn),
+wg AS (SELECT session_id, window_idx, role, target, count(*) FILTER (state) n, coalesce(sum(coalesce(nx, b + dt) - a) FILTER (state), 0) / any_value(wd) ratio FROM rl JOIN dt USING (session_id, window_idx, role, target) GROUP BY ALL)"""
+DIST = f"""gd AS (SELECT DISTINCT session_id, role, i f, i / 0.05 t FROM hd, range(0, {int(T1*0.05)}) r(i)),
+nd AS (SELECT gd.session_id, gd.role, gd.f, gd.t, b.t bt, f.t ft, b.px bx, b.pz bz, f.px fx, f.pz fz, b.t IS NULL OR (f.t IS NOT NULL AND f.t - gd.t < gd.t - b.t) fw FROM gd ASOF LEFT JOIN hd b ON gd.session_id = b.session_id AND gd.role = b.role AND gd.t >= b.t ASOF LEFT JOIN hd f ON gd.session_id = f.session_id AND gd.role = f.role AND gd.t <= f.t),
+md AS (SELECT session_id, role, f, CASE WHEN fw THEN fx ELSE bx END x, CASE WHEN fw THEN fz ELSE bz END z FROM nd WHERE abs(CASE WHEN fw THEN ft ELSE bt END - t) <= 20),
+pd AS (SELECT a.session_id, a.f // 15 window_idx, a.role role_a, b.role role_b, avg(sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2))) dist FROM md a JOIN md b ON a.session_id = b.session_id AND a.f = b.f AND a.role < b.role GROUP BY ALL)"""
+
+
+@query("g43_interaction_edges", t.with_(t.SAMP, t.SEG, EYE, PW, EQ, FLAGS, DIST) + """SELECT a.session_id, a.window_idx, a.t_start, a.t_end, a.role role_a, b.role role_b, a.d + b.d >= 20 AND least(a.d, b.d) >= 5 speech_valid, round(CASE WHEN a.d + b.d >= 20 AND least(a.d, b.d) >= 5 THEN 1 - abs(a.d - b.d) / (a.d + b.d) END, 6) speech_equality,
+ round(CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(x.ratio, 0) END, 6) gaze_a_to_b_ratio, round(CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(y.ratio, 0) END, 6) gaze_b_to_a_ratio,
+ CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(x.n, 0) END gaze_a_to_b_episodes, CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(y.n, 0) END gaze_b_to_a_episodes, round(dist, 6) distance_m_raw
+FROM ws a JOIN ws b ON a.session_id = b.session_id AND a.window_idx = b.window_idx AND a.role < b.role
+LEFT JOIN wg x ON x.session_id = a.session_id AND x.window_idx = a.window_idx AND x.role = a.role AND x.target = b.role LEFT JOIN wg y ON y.session_id = a.session_id AND y.window_idx = a.window_idx AND y.role = b.role AND y.target = a.role
+LEFT JOIN pd ON pd.session_id = a.session_id AND pd.window_idx = a.window_idx AND pd.role_a = a.role AND pd.role_b = b.role""")
+def _(spark, sf):
+    s, h = t.segments(spark, sf), head(spark, sf)
+    w = cut(wins(s))
+    equality = po.speech_equality(cut(po.window_speech(s, w)), 20.0, 5.0)
+    gaze = po.gaze_edges(po.window_gaze(po.peer_gaze(eye(spark, sf), h, C, 2.0, 20.0), w, C, 0.0, 0.0))
+    distance = po.proximity(h, spans(h), 0.05, C, 300.0).drop("distance_m_display")
+    return rnd(po.graph_edges(w, s, equality, gaze, distance), "speech_equality", "gaze_a_to_b_ratio", "gaze_b_to_a_ratio", "distance_m_raw")
 
 
 @query("g43_interaction_nodes", t.with_(t.SAMP, t.SEG, FIX, PW, EQ) + """, x AS (SELECT session_id, window_idx, role, sum(least("offset", t_end) - greatest(onset, t_start)) f, count(*) n FROM fix JOIN w USING (session_id) WHERE onset < t_end AND "offset" > t_start GROUP BY ALL)

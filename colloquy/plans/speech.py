@@ -303,3 +303,13 @@ def _(spark, sf):
         s, o, ["session_id"], 10.0, ("start_s", "end_s"), ("o_s", "o_e"),
         (F.col("role") < F.col("o_role")) & (F.col("start_s") < F.col("o_e")) & (F.col("o_s") < F.col("end_s")),
     )
+
+
+@query("i23_session_overview", ALL_SPEECH + """, md AS (SELECT session_id, quantile_cont(end_s - start_s, 0.5) md FROM turn GROUP BY ALL), nb AS (SELECT session_id, count(*) nb FROM bc GROUP BY ALL),
+en AS (SELECT session_id, -sum(p * log2(p)) h FROM (SELECT session_id, sum(end_s - start_s) / sum(sum(end_s - start_s)) OVER (PARTITION BY session_id) p FROM seg GROUP BY session_id, role) WHERE p > 0 GROUP BY ALL)
+SELECT session_id, total_turns n_turns, round(mean_turn_s, 2) mean_turn_s, round(md, 2) median_turn_s, n_floor_exchanges, CASE WHEN n_floor_exchanges > 0 THEN floor_exchange_pause_mean_s END floor_pause_mean_s, coalesce(nb, 0) n_backchannels,
+ round(coalesce(nb, 0) / (duration_s / 60), 2) bc_per_min, round(pct_0 * 100, 1) pct_0_spk, round(pct_1 * 100, 1) pct_1_spk, round(pct_2 * 100, 1) pct_2_spk, round(pct_3 * 100, 1) pct_3_spk, round(overlap_ratio, 3) overlap_ratio, round(h, 3) participation_entropy,
+ rapid_floor_takeovers_total, n_attempted_interruptions, n_successful_interruptions, successful_interruption_ratio FROM met LEFT JOIN md USING (session_id) LEFT JOIN nb USING (session_id) LEFT JOIN en USING (session_id)""")
+def _(spark, sf):
+    s = t.segments(spark, sf)
+    return sp.session_overview(s, totals(s), C)

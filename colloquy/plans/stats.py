@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import scalars as fn
 from colloquy.operators import aggregates as ag
-from colloquy.plans import draws as dw, query
+from colloquy.plans import draws as dw, eigen, query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
@@ -75,15 +75,15 @@ def two(spark, sf):
     return f.select(F.col("unit_id").alias("unit"), F.col("price").alias("x"), F.col("rebate").alias("y"))
 
 
-TWO = "d AS (SELECT 0 k, unit_id unit, price x, rebate y FROM feat WHERE rebate IS NOT NULL)"
+PRICE_REBATE = "d AS (SELECT 0 k, unit_id unit, price x, rebate y FROM feat WHERE rebate IS NOT NULL)"
 
 
-@query("p06_bootstrap_ci", t.with_(t.FEAT, TWO, dw.replicates(2000), dw.counted("d"), dw.SPEARMAN, dw.INTERVAL) + "SELECT round(ci_low, 6) ci_low, round(ci_high, 6) ci_high FROM ci")
+@query("p06_bootstrap_ci", t.with_(t.FEAT, PRICE_REBATE, dw.replicates(2000), dw.counted("d"), dw.SPEARMAN, dw.INTERVAL) + "SELECT round(ci_low, 6) ci_low, round(ci_high, 6) ci_high FROM ci")
 def _(spark, sf):
     return rnd(rs.percentile_ci(cut(rs.bootstrap_correlations(two(spark, sf), [], 2000)), []), "ci_low", "ci_high")
 
 
-@query("p06_bootstrap_replicates", t.with_(t.FEAT, TWO, dw.replicates(200), dw.counted("d")) + """, m AS (SELECT b, sum(w) n, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my FROM dr GROUP BY ALL)
+@query("p06_bootstrap_replicates", t.with_(t.FEAT, PRICE_REBATE, dw.replicates(200), dw.counted("d")) + """, m AS (SELECT b, sum(w) n, sum(w * x) / sum(w) mx, sum(w * y) / sum(w) my FROM dr GROUP BY ALL)
 SELECT b::INT b, round(sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) ** 2)) / sqrt(sum(w * (y - my) ** 2)), 6) stat FROM dr JOIN m USING (b) GROUP BY ALL""")
 def _(spark, sf):
     return rnd(rs.bootstrap_correlations(two(spark, sf), [], 200, "pearson"), "stat")
@@ -101,17 +101,17 @@ z AS (SELECT (lo + hi) / 2 z0 FROM bs WHERE s = 55), ad AS (SELECT z0 + (z0 - 1.
 pq AS (SELECT {dw.phi('zl')} pl, {dw.phi('zh')} ph FROM ad), so AS (SELECT stat, row_number() OVER (ORDER BY stat) r, count(*) OVER () nb FROM st)"""
 
 
-@query("p07_bca_ci", t.with_(t.FEAT, TWO, dw.replicates(2000), dw.counted("d"), BCA).replace("WITH", "WITH RECURSIVE", 1) + """SELECT round((SELECT theta FROM th), 6) theta, round(min(stat) FILTER (r >= pl * (nb - 1) + 1e-9), 6) ci_low, round(min(stat) FILTER (r >= ph * (nb - 1) + 1e-9), 6) ci_high FROM so, pq""")
+@query("p07_bca_ci", t.with_(t.FEAT, PRICE_REBATE, dw.replicates(2000), dw.counted("d"), BCA).replace("WITH", "WITH RECURSIVE", 1) + """SELECT round((SELECT theta FROM th), 6) theta, round(min(stat) FILTER (r >= pl * (nb - 1) + 1e-9), 6) ci_low, round(min(stat) FILTER (r >= ph * (nb - 1) + 1e-9), 6) ci_high FROM so, pq""")
 def _(spark, sf):
     return rnd(rs.bca_ci(two(spark, sf), [], 2000), "theta", "ci_low", "ci_high")
 
 
-@query("p08_permutation_p", t.with_(t.FEAT, TWO, dw.replicates(1000), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT round(rho, 6) rho, round(p_perm, 6) p_perm FROM pp")
+@query("p08_permutation_p", t.with_(t.FEAT, PRICE_REBATE, dw.replicates(1000), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT round(rho, 6) rho, round(p_perm, 6) p_perm FROM pp")
 def _(spark, sf):
     return rnd(rs.permutation_p(two(spark, sf), [], 1000), "rho", "p_perm")
 
 
-@query("p08_permutation_replicates", t.with_(t.FEAT, TWO, dw.replicates(100), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT b::INT b, round(stat, 6) stat FROM ps")
+@query("p08_permutation_replicates", t.with_(t.FEAT, PRICE_REBATE, dw.replicates(100), dw.permuted()).replace("WITH", "WITH RECURSIVE", 1) + "SELECT b::INT b, round(stat, 6) stat FROM ps")
 def _(spark, sf):
     return rnd(rs.permutation_correlations(two(spark, sf), [], 100)[1], "stat")
 
@@ -128,7 +128,7 @@ METRICS = "n, round(rho, 6) rho, round(p, 6) p, round(ci_low, 6) ci_low, round(c
 METRIC_COLS = ("rho", "p", "ci_low", "ci_high", "p_perm", "loo_min", "loo_max")
 
 
-@query("p09_correlation_metrics", metrics(2000, t.FEAT, TWO) + f"SELECT {METRICS} FROM mt")
+@query("p09_correlation_metrics", metrics(2000, t.FEAT, PRICE_REBATE) + f"SELECT {METRICS} FROM mt")
 def _(spark, sf):
     return rnd(rs.correlation_metrics(two(spark, sf), [], 2000), *METRIC_COLS)
 
@@ -169,7 +169,7 @@ r{i} AS (SELECT unit, rank() OVER (PARTITION BY unit ORDER BY x) + (count(*) OVE
 s{i} AS (SELECT {i} k, unit, stat rho_after, stat < {threshold} reached FROM (SELECT unit, corr(rx::DOUBLE, ry::DOUBLE) stat FROM r{i} GROUP BY ALL) ORDER BY stat, unit LIMIT 1)"""
 
 
-@query("p11_minimal_removal", t.with_(t.FEAT, TWO, *[removal_step(i) for i in range(1, 5)]) + " UNION ALL ".join(f"SELECT k, unit, round(rho_after, 6) rho_after, reached FROM s{i}" for i in range(1, 5)))
+@query("p11_minimal_removal", t.with_(t.FEAT, PRICE_REBATE, *[removal_step(i) for i in range(1, 5)]) + " UNION ALL ".join(f"SELECT k, unit, round(rho_after, 6) rho_after, reached FROM s{i}" for i in range(1, 5)))
 def _(spark, sf):
     return rnd(rs.minimal_removal(two(spark, sf), [], 0.72), "rho_after")
 
@@ -219,20 +219,26 @@ def _(spark, sf):
     return rl.prune_greedy(t.responses(spark, sf))
 
 
-ICC = """c0 AS (SELECT participant, item, score x FROM resp WHERE dimension = 'D1'), fl AS (SELECT participant FROM c0 GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT item) FROM c0)), c AS (SELECT c0.* FROM c0 JOIN fl USING (participant)),
-q AS (SELECT count(DISTINCT participant)::DOUBLE n, count(DISTINCT item)::DOUBLE k, avg(x) g, sum(x * x) - sum(x) * sum(x) / count(*) st FROM c),
-ms AS (SELECT n, k, st, k * (SELECT sum(pow(m - g, 2)) FROM (SELECT avg(x) m FROM c GROUP BY participant)) sst, n * (SELECT sum(pow(m - g, 2)) FROM (SELECT avg(x) m FROM c GROUP BY item)) ssr FROM q),
-mm AS (SELECT n, k, sst / (n - 1) mst, ssr / (k - 1) msr, (st - sst - ssr) / ((n - 1) * (k - 1)) mse, (st - sst) / (n * (k - 1)) msw FROM ms)"""
+def icc_sql(*keys):
+    """CTEs up to ic: two-way layout of participants and items per key, participants with every item of the key only."""
+    k = ", ".join(keys)
+    return f"""it AS (SELECT {k}, count(DISTINCT item) ni FROM resp GROUP BY ALL), fl AS (SELECT {k}, participant FROM resp JOIN it USING ({k}) GROUP BY {k}, participant, ni HAVING count(*) = ni), c AS (SELECT resp.*, score x FROM resp SEMI JOIN fl USING ({k}, participant)),
+q AS (SELECT {k}, count(DISTINCT participant)::DOUBLE n, count(DISTINCT item)::DOUBLE k, avg(x) g, sum(x * x) - sum(x) * sum(x) / count(*) st FROM c GROUP BY ALL),
+ta AS (SELECT {k}, sum(pow(m - g, 2)) a FROM (SELECT {k}, participant, avg(x) m FROM c GROUP BY ALL) JOIN q USING ({k}) GROUP BY ALL), ra AS (SELECT {k}, sum(pow(m - g, 2)) b FROM (SELECT {k}, item, avg(x) m FROM c GROUP BY ALL) JOIN q USING ({k}) GROUP BY ALL),
+ms AS (SELECT {k}, n, k, st, k * a sst, n * b ssr FROM q JOIN ta USING ({k}) JOIN ra USING ({k}) WHERE n >= 2 AND k >= 2),
+mm AS (SELECT {k}, n, k, sst / (n - 1) mst, ssr / (k - 1) msr, (st - sst - ssr) / ((n - 1) * (k - 1)) mse, (st - sst) / (n * (k - 1)) msw FROM ms),
+ic AS (SELECT {k}, n::BIGINT n, k::BIGINT k, round(CASE WHEN abs(mst + (k - 1) * msw) >= 1e-12 THEN (mst - msw) / (mst + (k - 1) * msw) END, 6) + 0.0 icc1,
+ round(CASE WHEN abs(mst + (k - 1) * mse + k * (msr - mse) / n) >= 1e-12 THEN (mst - mse) / (mst + (k - 1) * mse + k * (msr - mse) / n) END, 6) + 0.0 icc21, round(CASE WHEN abs(mst + (msr - mse) / n) >= 1e-12 THEN (mst - mse) / (mst + (msr - mse) / n) END, 6) + 0.0 icc2k FROM mm)"""
 
 
-@query("p17_icc", t.with_(t.RESP, ICC) + "SELECT n::BIGINT n, k::BIGINT k, round((mst - msw) / (mst + (k - 1) * msw), 6) icc1, round((mst - mse) / (mst + (k - 1) * mse + k * (msr - mse) / n), 6) icc21, round((mst - mse) / (mst + (msr - mse) / n), 6) icc2k FROM mm")
+@query("p17_icc", t.with_(t.RESP, icc_sql("dimension")) + "SELECT * FROM ic")
 def _(spark, sf):
-    return rnd(rl.icc(t.responses(spark, sf).where("dimension = 'D1'"), [], "participant", "item", "score"), "icc1", "icc21", "icc2k")
+    return rnd(rl.icc(t.responses(spark, sf), ["dimension"], "participant", "item", "score"), "icc1", "icc21", "icc2k")
 
 
-@query("p62_agreement_from_survey")
+@query("p62_agreement_from_survey", t.with_(t.RESP, icc_sql("dimension", "group_id")) + "SELECT * FROM ic")
 def _(spark, sf):
-    return rl.icc(t.responses(spark, sf), ["dimension", "group_id"], "participant", "item", "score")
+    return rnd(rl.icc(t.responses(spark, sf), ["dimension", "group_id"], "participant", "item", "score"), "icc1", "icc21", "icc2k")
 
 
 @query("p17_variance_components", t.with_(t.RESP) + """, g AS (SELECT dimension, group_id, count(*) n, avg(score) m, var_pop(score) v FROM resp GROUP BY ALL), a AS (SELECT dimension, avg(score) g FROM resp GROUP BY ALL),
@@ -322,10 +328,15 @@ def _(spark, sf):
     return rnd(md.indirect_effect(t.features(spark, sf), "unit_id", "quantity", "price", "tax", 5000), "a", "b", "indirect", "ci_low", "ci_high")
 
 
-@query("p33_path_model")
+PATH_MODEL = """z AS (SELECT *, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () zq, (lines - avg(lines) OVER ()) / stddev_samp(lines) OVER () zl, (discount - avg(discount) OVER ()) / stddev_samp(discount) OVER () zd, -(tax - avg(tax) OVER ()) / stddev_samp(tax) OVER () zt FROM feat),
+pm AS (SELECT price, (zq + zl) / 2 load, (zd + 0.5 * zt) / 1.5 deal FROM z)"""
+
+
+@query("p33_path_model", t.with_(t.FEAT, PATH_MODEL) + f"SELECT model, term, n, round(beta, 4) beta, round(se, 4) se, round(r2, 6) r2 FROM ({eigen.least_squares('pm', 'price', ['load', 'deal'], 'price')} UNION ALL {eigen.least_squares('pm', 'deal', ['load'], 'deal')})")
 def _(spark, sf):
     d = cut(md.composites(t.features(spark, sf), {"load": {"quantity": 1.0, "lines": 1.0}, "deal": {"discount": 1.0, "tax": 0.5}}, ["tax"]))
-    return md.fit_models(d, {"price": ("price", ["load", "deal"]), "deal": ("deal", ["load"])})
+    f = md.fit_models(d, {"price": ("price", ["load", "deal"]), "deal": ("deal", ["load"])}).where("term != 'const'")
+    return rnd(rnd(f.select("model", "term", "n", "beta", "se", "r2"), "beta", "se", d=4), "r2")
 
 
 @query("c13_composites", t.with_(t.FEAT) + """, z AS (SELECT unit_id, (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () zq, (lines - avg(lines) OVER ()) / stddev_samp(lines) OVER () zl, -(tax - avg(tax) OVER ()) / stddev_samp(tax) OVER () zt FROM feat)
@@ -487,27 +498,36 @@ def _(spark, sf):
     return rnd(cp.pca_fit(t.features(spark, sf), ["quantity", "price"], 2).select("component", "eigenvalue").distinct(), "eigenvalue").distinct()
 
 
-@query("p20_pca_loadings")
+def rec(*ctes):
+    return t.with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
+PC = "component, feature, round(weight, 6) + 0.0 weight, round(loading, 6) + 0.0 loading, round(eigenvalue, 6) eigenvalue, round(variance_share, 6) variance_share"
+PC_COLS = ("weight", "loading", "eigenvalue", "variance_share")
+
+
+@query("p20_pca_loadings", rec(t.FEAT, eigen.components("feat", FULL, 3)) + f"SELECT {PC} FROM pc")
 def _(spark, sf):
-    return cp.pca_fit(t.features(spark, sf), FULL, 3)
+    return rnd(cp.pca_fit(t.features(spark, sf), FULL, 3), *PC_COLS)
 
 
-@query("p20_pca_by_condition")
+@query("p20_pca_by_condition", rec(t.FEAT, *[f"f{c} AS (SELECT * FROM feat WHERE condition = '{c}')" for c in ("VR", "PC")], *[eigen.components(f"f{c}", FULL, 2, c) for c in ("VR", "PC")]) + " UNION ALL ".join(f"SELECT '{c}' condition, {PC} FROM pc{c}" for c in ("VR", "PC")))
 def _(spark, sf):
-    return cp.pca_fit(t.features(spark, sf), FULL, 2, ["condition"])
+    return rnd(cp.pca_fit(t.features(spark, sf), FULL, 2, ["condition"]), *PC_COLS)
 
 
-@query("p20_pca_scores")
+@query("p20_pca_scores", rec(t.FEAT, eigen.components("feat", FULL, 2), eigen.scores("feat", FULL, 2, "unit_id")) + "SELECT unit_id, round(PC1, 6) + 0.0 PC1, round(PC2, 6) + 0.0 PC2 FROM ps")
 def _(spark, sf):
     f = t.features(spark, sf)
-    return cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 2)), FULL, 2).select("unit_id", "PC1", "PC2")
+    return rnd(cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 2)), FULL, 2).select("unit_id", "PC1", "PC2"), "PC1", "PC2")
 
 
-@query("p21_orient_components")
+@query("p21_orient_components", rec(t.FEAT, eigen.components("feat", FULL, 1), eigen.scores("feat", FULL, 1, "unit_id")) + """, rk AS (SELECT rank() OVER (ORDER BY PC1) + (count(*) OVER (PARTITION BY PC1) - 1) / 2.0 a, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 b FROM ps JOIN feat USING (unit_id))
+SELECT unit_id, round(PC1 * CASE WHEN (SELECT corr(a::DOUBLE, b::DOUBLE) FROM rk) < 0 THEN -1 ELSE 1 END, 6) + 0.0 PC1 FROM ps""")
 def _(spark, sf):
     f = t.features(spark, sf)
     s = cut(cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 1)), FULL, 1))
-    return cp.orient(s, "PC1", "price").select("unit_id", "PC1")
+    return rnd(cp.orient(s, "PC1", "price").select("unit_id", "PC1"), "PC1")
 
 
 @query("p22_parallel_analysis")
@@ -525,7 +545,8 @@ def _(spark, sf):
     return cp.bootstrap_stability(t.features(spark, sf), "unit_id", FULL, 2, 300)[1]
 
 
-@query("p60_top_loadings")
+@query("p60_top_loadings", rec(t.FEAT, eigen.components("feat", FULL, 2)) + """SELECT component, rank, feature, round(loading, 6) loading, CASE WHEN loading >= 0 THEN '+' ELSE '-' END sign
+FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature DESC)::INT rank FROM pc) WHERE rank <= 3""")
 def _(spark, sf):
     return cp.top_loadings(cp.pca_fit(t.features(spark, sf), FULL, 2), 3)
 
@@ -667,10 +688,13 @@ def _(spark, sf):
     return sy.significance_switches(rs.correlation_table(pairs(spark, sf))).select("x", "y", "change")
 
 
-@query("p56_familiarity_models", t.with_(t.FEAT) + "SELECT 'lines' term, count(*) n, round(regr_slope(price, lines), 4) beta, round(regr_r2(price, lines), 6) r2 FROM feat")
+FAMILIARITY = {"alone": ["lines"], "with_discount": ["lines", "discount"], "with_tax": ["lines", "tax"], "with_all": ["lines", "discount", "tax"]}
+
+
+@query("p56_familiarity_models", t.with_(t.FEAT) + "SELECT model, term, n, round(beta, 4) beta, round(se, 4) se, round(r2, 6) r2 FROM (" + " UNION ALL ".join(eigen.least_squares("feat", "price", xs, m) for m, xs in FAMILIARITY.items()) + ") WHERE term = 'lines'")
 def _(spark, sf):
-    f = sy.familiarity_models(t.features(spark, sf), "price", "lines", ["discount", "tax"]).where("model = 'alone'")
-    return rnd(rnd(f.select("term", "n", "beta", "r2"), "beta", d=4), "r2")
+    f = sy.familiarity_models(t.features(spark, sf), "price", "lines", ["discount", "tax"])
+    return rnd(rnd(f.select("model", "term", "n", "beta", "se", "r2"), "beta", "se", d=4), "r2")
 
 
 VALIDITY = """z AS (SELECT unit_id unit, (quantity - avg(quantity) OVER ()) / stddev_pop(quantity) OVER () a, (discount - avg(discount) OVER ()) / stddev_pop(discount) OVER () b, (tax - avg(tax) OVER ()) / stddev_pop(tax) OVER () c, price, lines FROM feat),
@@ -685,9 +709,13 @@ def _(spark, sf):
     return rnd(sy.index_validity(z.withColumn("idx", idx), "unit_id", "idx", ["z_quantity", "z_discount", "z_tax"], ["price", "lines"], 1000), *METRIC_COLS, "alpha")
 
 
-@query("p58_collect_correlations", t.with_(t.FEAT, PR, RK, PV) + "SELECT x, y, n, round(rho, 6) rho, round(p, 6) p FROM pv QUALIFY row_number() OVER (PARTITION BY y, round(rho, 6), round(p, 6), n ORDER BY x) = 1")
+CORE = ["quantity", "price", "discount"]
+
+
+@query("p58_collect_correlations", t.with_(t.FEAT, PR, RK, PV) + f""", bl AS (SELECT 'features' block, * FROM pv UNION ALL SELECT 'core', * FROM pv WHERE x IN {tuple(CORE)} AND y IN {tuple(CORE)})
+SELECT block, x, y, n, round(rho, 6) rho, round(p, 6) p FROM bl QUALIFY row_number() OVER (PARTITION BY y, round(rho, 6), round(p, 6), n ORDER BY x, block) = 1""")
 def _(spark, sf):
-    return sy.collect_correlations({"features": pairs(spark, sf)}).select("x", "y", "n", "rho", "p")
+    return sy.collect_correlations({"features": pairs(spark, sf), "core": pairs(spark, sf, CORE)}).select("block", "x", "y", "n", "rho", "p")
 
 
 @query("p59_score_agreement", t.with_(t.FEAT) + """, r AS (SELECT price x, quantity y, rank() OVER (ORDER BY price DESC) a, rank() OVER (ORDER BY quantity DESC) b, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 rx, rank() OVER (ORDER BY quantity) + (count(*) OVER (PARTITION BY quantity) - 1) / 2.0 ry FROM feat)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from colloquy.operators import placements as pl, taskevents as te
-from colloquy.plans import query
+from colloquy.plans import eigen, query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
 from colloquy.session import cut
@@ -293,11 +293,13 @@ def _(spark, sf):
     return rnd(sy.indicator_correlations(matrix(spark, sf), ["T0", "T1", "T2", "T3"]), "r")
 
 
-@query("e16_c_factor")
+TASKS = ["T0", "T1", "T2", "T3"]
+
+
+@query("e16_c_factor", t.with_(MAT, eigen.components("mx", TASKS, 1), eigen.scores("mx", TASKS, 1, "group_id")).replace("WITH", "WITH RECURSIVE", 1) + "SELECT group_id, round(PC1, 6) + 0.0 c_score FROM ps")
 def _(spark, sf):
-    cols = ["T0", "T1", "T2", "T3"]
     m = cut(matrix(spark, sf))
-    return cp.pca_scores(m, cut(cp.pca_fit(m, cols, 1)), cols, 1).select("group_id", F.col("PC1").alias("c_score"))
+    return rnd(cp.pca_scores(m, cut(cp.pca_fit(m, TASKS, 1)), TASKS, 1).select("group_id", F.col("PC1").alias("c_score")), "c_score")
 
 
 @query("e17_rme_stats", "SELECT l_suppkey group_id, round(avg(l_quantity), 6) rme_mean, max(l_quantity) rme_max, min(l_quantity) rme_min FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL")
