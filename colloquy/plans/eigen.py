@@ -43,8 +43,8 @@ def determinant(m) -> str:
     return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {determinant(minor(j))}" for j in range(len(m))) + ")"
 
 
-def least_squares(source: str, y: str, xs, model: str) -> str:
-    """SELECT model, term, n, beta, se, r2 of the slopes, on rows of ``source`` that are complete; xs are columns."""
+def fitted(source: str, y: str, xs) -> str:
+    """SELECT n, slopes b0.. with inverse terms v0.., r2, rss of one model on rows of ``source`` that are complete."""
     k, cols = len(xs), [*xs, y]
     full = " AND ".join(f"{c} IS NOT NULL" for c in cols)
     sums = ", ".join(f"sum(({cols[i]} - m{i}) * ({cols[j]} - m{j})) s{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
@@ -55,5 +55,19 @@ def least_squares(source: str, y: str, xs, model: str) -> str:
     inverse = [(determinant([[c for j, c in enumerate(r) if j != t] for i, r in enumerate(a) if i != t]) if k > 1 else "1.0") + f" / {det}" for t in range(k)]
     betas = ", ".join(f"{b} b{t}, {v} v{t}" for t, (b, v) in enumerate(zip(beta, inverse)))
     r2 = "(" + " + ".join(f"b{t} * s{t}_{k}" for t in range(k)) + f") / s{k}_{k}"
-    rows = f"SELECT *, {r2} r2 FROM (SELECT *, {betas} FROM (SELECT count(*) n, {sums} FROM {source}, (SELECT {means} FROM {source} WHERE {full}) WHERE {full}))"
-    return " UNION ALL ".join(f"SELECT '{model}' model, '{x}' term, n, b{t} beta, sqrt((1 - r2) * s{k}_{k} / (n - {k + 1}) * v{t}) se, r2 FROM ({rows})" for t, x in enumerate(xs))
+    return f"SELECT *, (1 - r2) * s{k}_{k} rss FROM (SELECT *, {r2} r2 FROM (SELECT *, {betas} FROM (SELECT count(*) n, {sums} FROM {source}, (SELECT {means} FROM {source} WHERE {full}) WHERE {full})))"
+
+
+def least_squares(source: str, y: str, xs, model: str) -> str:
+    """SELECT model, term, n, beta, se, r2 of the slopes."""
+    k = len(xs)
+    return " UNION ALL ".join(f"SELECT '{model}' model, '{x}' term, n, b{t} beta, sqrt(rss / (n - {k + 1}) * v{t}) se, r2 FROM ({fitted(source, y, xs)})" for t, x in enumerate(xs))
+
+
+def type_two(source: str, y: str, tests: dict, whole) -> str:
+    """SELECT term, ss, df, ss_resid, df_resid, f, partial_eta2 of one-column terms: {term: (columns without it, its column)}."""
+    parts = []
+    for term, (others, own) in tests.items():
+        without = f"(SELECT rss FROM ({fitted(source, y, others)}))"
+        parts.append(f"SELECT '{term}' term, {without} - (SELECT rss FROM ({fitted(source, y, [*others, own])})) ss, rss, n - {len(whole) + 1} dfe FROM ({fitted(source, y, whole)})")
+    return f"SELECT term, ss, 1.0::DOUBLE df, rss ss_resid, dfe::DOUBLE df_resid, ss / (rss / dfe) f, ss / (ss + rss) partial_eta2 FROM ({' UNION ALL '.join(parts)})"

@@ -156,10 +156,17 @@ def _(spark, sf):
     return rnd(o.select("session_id", "window_idx", "t_start", "t_end", "n_episodes", "dur_total_s", "shared_ratio"), "dur_total_s", "shared_ratio")
 
 
-@query("g10_shared_object_pairs")
+@query("g10_shared_object_pairs", t.with_(t.SAMP, FIX) + f""", rp AS (SELECT a.session_id, a.role role_a, b.role role_b FROM (SELECT DISTINCT session_id, role FROM fix) a JOIN (SELECT DISTINCT session_id, role FROM fix) b ON a.session_id = b.session_id AND a.role < b.role),
+w AS (SELECT rp.*, i window_idx, i * 600.0::DOUBLE s, least(i * 600.0 + 600.0, {T1})::DOUBLE e FROM rp, range(0, 5) r(i)),
+gf AS (SELECT session_id, role_a, role_b, window_idx, role, object, unnest(range(ceil((greatest(onset, s) - s) * {FS})::BIGINT, ceil((least("offset", e) - s) * {FS})::BIGINT)) f FROM fix JOIN w USING (session_id) WHERE role IN (role_a, role_b) AND onset < e AND "offset" > s),
+sh AS (SELECT DISTINCT session_id, role_a, role_b, window_idx, f FROM (SELECT session_id, role_a, role_b, window_idx, object, f FROM gf GROUP BY ALL HAVING count(*) >= 2)),
+si AS (SELECT *, f - row_number() OVER (PARTITION BY session_id, role_a, role_b, window_idx ORDER BY f) g FROM sh),
+sr AS (SELECT session_id, role_a, role_b, window_idx, count(*) / {FS}::DOUBLE d FROM si GROUP BY session_id, role_a, role_b, window_idx, g HAVING count(*) / {FS} >= 1.0)
+SELECT session_id, role_a, role_b, window_idx, any_value(s) t_start, any_value(e) t_end, count(d) n_episodes, round(coalesce(sum(d), 0), 6) dur_total_s, round(coalesce(sum(d), 0) / any_value(e - s), 6) shared_ratio FROM w LEFT JOIN sr USING (session_id, role_a, role_b, window_idx) GROUP BY ALL""")
 def _(spark, sf):
     s = t.samples(spark, sf)
-    return gz.shared_object_windows(fixes(spark, sf), spans(s), 600.0, 600.0, FS, 1.0, pairs=True)
+    o = gz.shared_object_windows(fixes(spark, sf), spans(s), 600.0, 600.0, FS, 1.0, pairs=True)
+    return rnd(o.select("session_id", "role_a", "role_b", "window_idx", "t_start", "t_end", "n_episodes", "dur_total_s", "shared_ratio"), "dur_total_s", "shared_ratio")
 
 
 @query("g11_object_entropy", t.with_(t.SAMP, FIX) + """, d AS (SELECT session_id, role, object, sum("offset" - onset) d FROM fix GROUP BY ALL), p AS (SELECT *, d / sum(d) OVER (PARTITION BY session_id, role) p, count(*) OVER (PARTITION BY session_id, role) k FROM d)
@@ -533,11 +540,6 @@ def _(spark, sf):
     return po.peer_gaze(eye(spark, sf), head(spark, sf), C, 2.0, 20.0)
 
 
-@query("g39_peer_gaze_episodes")
-def _(spark, sf):
-    return po.peer_gaze_episodes(cut(po.peer_gaze(eye(spark, sf), head(spark, sf), C, 2.0, 20.0)), C)
-
-
 @query("g40_task_focus", t.with_(t.SAMP, FIX, PW) + """, x AS (SELECT session_id, window_idx, role, sum(least("offset", t_end) - greatest(onset, t_start)) d, count(*) n FROM fix JOIN w USING (session_id) WHERE onset < t_end AND "offset" > t_start GROUP BY ALL)
 SELECT session_id, window_idx, role, round(coalesce(d, 0) / (t_end - t_start), 6) task_focus_ratio, coalesce(n, 0) task_fixation_count FROM w JOIN (SELECT DISTINCT session_id, role FROM fix) USING (session_id) LEFT JOIN x USING (session_id, window_idx, role)""")
 def _(spark, sf):
@@ -555,23 +557,16 @@ def _(spark, sf):
     return rnd(po.speech_equality(po.window_speech(s, wins(s)), 20.0, 5.0), "speech_equality")
 
 
-@query("g42_face_sync_window")
-def _(spark, sf):
-    f = cut(fc.intensities(face(spark, sf)))
-    return po.face_sync(f, face_spans(f), 10.0, 2.0, 2.0)
+# Face samples lie on the grid of ten frames a second; a window has twenty.
+SYNC = """sp AS (SELECT session_id, max(t) t1 FROM fa GROUP BY ALL), fq2 AS (SELECT session_id, role, round(t * 10)::BIGINT f, joy, sad FROM fb JOIN sp USING (session_id) WHERE round(t * 10) < ceil(t1 * 10.0)),
+fp AS (SELECT a.session_id, a.f // 20 window_idx, a.role role_a, b.role role_b, unnest(['joy', 'sad']) k, unnest([a.joy, a.sad]) x, unnest([b.joy, b.sad]) y FROM fq2 a JOIN fq2 b ON a.session_id = b.session_id AND a.f = b.f AND a.role < b.role),
+fr AS (SELECT session_id, window_idx, role_a, role_b, k, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 1e-12 * avg(abs(x)) AND stddev_pop(y) > 1e-12 * avg(abs(y)) THEN corr(x, y) END r FROM fp GROUP BY ALL)"""
 
 
-@query("g43_interaction_windows")
+@query("g42_face_sync_window", t.with_(FACE, SYNC) + "SELECT session_id, window_idx, role_a, role_b, round(avg((r + 1) / 2), 6) face_sync_score FROM fr GROUP BY ALL")
 def _(spark, sf):
-    s = t.segments(spark, sf)
-    f = cut(fixes(spark, sf))
-    w = cut(wins(s))
-    speech = cut(po.window_speech(s, w))
-    nodes = cut(po.graph_nodes(speech, po.task_focus(f, w)))
-    h = head(spark, sf)
-    dist = po.proximity(h, spans(h), 0.05, C, 300.0)
-    gaze = po.gaze_edges(po.window_gaze(po.peer_gaze(eye(spark, sf), h, C, 2.0, 20.0), w, C, 0.0, 0.0))
-    return po.graph_windows(nodes, po.speech_equality(speech, 20.0, 5.0), po.watched(gaze), dist)
+    f = cut(fc.intensities(face(spark, sf)))
+    return rnd(po.face_sync(f, face_spans(f), 10.0, 2.0, 2.0), "face_sync_score")
 
 
 # Flags of looking at a peer by window, runs of them closed by the next sample or a median step.
@@ -589,6 +584,19 @@ md AS (SELECT session_id, role, f, CASE WHEN fw THEN fx ELSE bx END x, CASE WHEN
 pd AS (SELECT a.session_id, a.f // 15 window_idx, a.role role_a, b.role role_b, avg(sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2))) dist FROM md a JOIN md b ON a.session_id = b.session_id AND a.f = b.f AND a.role < b.role GROUP BY ALL)"""
 
 
+# Runs of flags over the whole session; close ones are merged, short ones dropped.
+RUNS = """fs AS (SELECT *, row_number() OVER k - row_number() OVER (PARTITION BY session_id, role, target, state ORDER BY t) g, t - lag(t) OVER k st FROM fl WINDOW k AS (PARTITION BY session_id, role, target ORDER BY t)),
+ds AS (SELECT session_id, role, target, coalesce(quantile_cont(st, 0.5) FILTER (st > 0), 0.05) dt FROM fs GROUP BY ALL), rs AS (SELECT session_id, role, target, state, min(t) a, max(t) b FROM fs GROUP BY session_id, role, target, state, g),
+ls AS (SELECT *, lead(a) OVER (PARTITION BY session_id, role, target ORDER BY a) nx FROM rs), es AS (SELECT session_id, role, target, a, coalesce(nx, b + dt) e FROM ls JOIN ds USING (session_id, role, target) WHERE state),
+gs AS (SELECT *, sum(CASE WHEN a - pe <= 0.10 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id, role, target ORDER BY a) i FROM (SELECT *, lag(e) OVER (PARTITION BY session_id, role, target ORDER BY a) pe FROM es)),
+ms AS (SELECT session_id, role, target, min(a) a, max(e) e FROM gs GROUP BY session_id, role, target, i)"""
+
+
+@query("g39_peer_gaze_episodes", t.with_(t.SAMP, EYE, PW, FLAGS, RUNS) + "SELECT session_id, role, target, count(*) n_episodes, round(sum(e - a), 6) dur_total_s FROM ms WHERE e - a >= 0.15 GROUP BY ALL")
+def _(spark, sf):
+    return rnd(po.peer_gaze_episodes(cut(po.peer_gaze(eye(spark, sf), head(spark, sf), C, 2.0, 20.0)), C), "dur_total_s")
+
+
 @query("g43_interaction_edges", t.with_(t.SAMP, t.SEG, EYE, PW, EQ, FLAGS, DIST) + """SELECT a.session_id, a.window_idx, a.t_start, a.t_end, a.role role_a, b.role role_b, a.d + b.d >= 20 AND least(a.d, b.d) >= 5 speech_valid, round(CASE WHEN a.d + b.d >= 20 AND least(a.d, b.d) >= 5 THEN 1 - abs(a.d - b.d) / (a.d + b.d) END, 6) speech_equality,
  round(CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(x.ratio, 0) END, 6) gaze_a_to_b_ratio, round(CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(y.ratio, 0) END, 6) gaze_b_to_a_ratio,
  CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(x.n, 0) END gaze_a_to_b_episodes, CASE WHEN x.n IS NOT NULL OR y.n IS NOT NULL THEN coalesce(y.n, 0) END gaze_b_to_a_episodes, round(dist, 6) distance_m_raw
@@ -604,6 +612,33 @@ def _(spark, sf):
     return rnd(po.graph_edges(w, s, equality, gaze, distance), "speech_equality", "gaze_a_to_b_ratio", "gaze_b_to_a_ratio", "distance_m_raw")
 
 
+WINDOWS = """x AS (SELECT session_id, window_idx, role, sum(least("offset", t_end) - greatest(onset, t_start)) f FROM fix JOIN w USING (session_id) WHERE onset < t_end AND "offset" > t_start GROUP BY ALL),
+wt AS (SELECT session_id, window_idx, target role, sum(ratio) wa FROM wg GROUP BY ALL),
+nn AS (SELECT ws.session_id, window_idx, t_start, t_end, role, d, coalesce(f, 0) / (t_end - t_start) tf, coalesce(wa, 0) wa FROM ws LEFT JOIN x USING (session_id, window_idx, role) LEFT JOIN wt USING (session_id, window_idx, role)),
+mx AS (SELECT *, max(wa) OVER (PARTITION BY session_id, window_idx) wm FROM nn),
+tp AS (SELECT session_id, window_idx, any_value(t_start) t_start, any_value(t_end) t_end, arg_min(role, row(-d, role)) talking_leader, CASE WHEN max(wm) > 0 THEN arg_min(role, row(-wa, role)) END watched_leader, arg_min(role, row(-tf, role)) task_focus_leader,
+ avg(tf) task_focus_score, avg((tf + CASE WHEN wm > 0 THEN wa / greatest(wm, 1e-6) ELSE 0 END) / 2) engagement_score FROM mx GROUP BY ALL),
+ba AS (SELECT a.session_id, a.window_idx, avg(CASE WHEN a.d + b.d >= 20 AND least(a.d, b.d) >= 5 THEN 1 - abs(a.d - b.d) / (a.d + b.d) END) speech_balance_score FROM ws a JOIN ws b ON a.session_id = b.session_id AND a.window_idx = b.window_idx AND a.role < b.role GROUP BY ALL),
+di AS (SELECT session_id, window_idx, avg(dist) mean_pair_distance_m FROM pd GROUP BY ALL),
+aw AS (SELECT *, min(mean_pair_distance_m) OVER (PARTITION BY session_id) lo, max(mean_pair_distance_m) OVER (PARTITION BY session_id) hi, count(mean_pair_distance_m) OVER (PARTITION BY session_id) c FROM tp LEFT JOIN ba USING (session_id, window_idx) LEFT JOIN di USING (session_id, window_idx)),
+pw AS (SELECT *, CASE WHEN c >= 2 THEN CASE WHEN hi > lo THEN 1 - (mean_pair_distance_m - lo) / (hi - lo) ELSE 1.0 END END proximity_score FROM aw)"""
+
+
+@query("g43_interaction_windows", t.with_(t.SAMP, t.SEG, FIX, EYE, PW, EQ, FLAGS, DIST, WINDOWS) + """SELECT session_id, window_idx, t_start, t_end, talking_leader, watched_leader, task_focus_leader, round(task_focus_score, 6) task_focus_score, round(engagement_score, 6) engagement_score, round(speech_balance_score, 6) speech_balance_score,
+ round(mean_pair_distance_m, 6) mean_pair_distance_m, round(proximity_score, 6) proximity_score, round(list_avg(list_filter([speech_balance_score, task_focus_score, proximity_score], lambda v: v IS NOT NULL)), 6) collaboration_proxy_score FROM pw""")
+def _(spark, sf):
+    s = t.segments(spark, sf)
+    f = cut(fixes(spark, sf))
+    w = cut(wins(s))
+    speech = cut(po.window_speech(s, w))
+    nodes = cut(po.graph_nodes(speech, po.task_focus(f, w)))
+    h = head(spark, sf)
+    dist = po.proximity(h, spans(h), 0.05, C, 300.0)
+    gaze = po.gaze_edges(po.window_gaze(po.peer_gaze(eye(spark, sf), h, C, 2.0, 20.0), w, C, 0.0, 0.0))
+    o = po.graph_windows(nodes, po.speech_equality(speech, 20.0, 5.0), po.watched(gaze), dist)
+    return rnd(o, "task_focus_score", "engagement_score", "speech_balance_score", "mean_pair_distance_m", "proximity_score", "collaboration_proxy_score")
+
+
 @query("g43_interaction_nodes", t.with_(t.SAMP, t.SEG, FIX, PW, EQ) + """, x AS (SELECT session_id, window_idx, role, sum(least("offset", t_end) - greatest(onset, t_start)) f, count(*) n FROM fix JOIN w USING (session_id) WHERE onset < t_end AND "offset" > t_start GROUP BY ALL)
 SELECT ws.session_id, window_idx, t_start, t_end, role, round(d, 6) speaking_time_s, round(least(d / (t_end - t_start), 1), 6) speaking_ratio_window, round(coalesce(f, 0) / (t_end - t_start), 6) task_focus_ratio, coalesce(n, 0) task_fixation_count FROM ws LEFT JOIN x USING (session_id, window_idx, role)""")
 def _(spark, sf):

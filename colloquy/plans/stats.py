@@ -302,11 +302,15 @@ def _(spark, sf):
     return rnd(rnd(f.select("condition", "n", "beta", "r2"), "beta", d=3), "r2")
 
 
-@query("p30_ols_factor_interaction")
+FACTOR = "fi AS (SELECT price, quantity, discount, (condition = 'VR')::INT::DOUBLE condition_VR, (quantity - avg(quantity) OVER ()) * (discount - avg(discount) OVER ()) quantity_x_discount FROM feat)"
+
+
+@query("p30_ols_factor_interaction", t.with_(t.FEAT, FACTOR) + f"SELECT term, n, round(beta, 3) beta, round(se, 3) se, round(r2, 6) r2 FROM ({eigen.least_squares('fi', 'price', ['quantity', 'discount', 'condition_VR', 'quantity_x_discount'], 'ols')})")
 def _(spark, sf):
     d, names = md.dummies(t.features(spark, sf), "condition", ["PC", "VR"])
     d, x = md.centred_interaction(d, "quantity", "discount")
-    return md.ols(d, "price", ["quantity", "discount", *names, x])
+    f = md.ols(d, "price", ["quantity", "discount", *names, x]).where("term != 'const'").select("term", "n", "beta", "se", "r2")
+    return rnd(rnd(f, "beta", "se", d=3), "r2")
 
 
 @query("p31_standardised_path", t.with_(t.FEAT, TWO) + "SELECT unnest(['quantity', 'discount']) term, unnest([round(b1 * sqrt(v1 / vy), 6), round(b2 * sqrt(v2 / vy), 6)]) beta, round((b1 * c1 + b2 * c2) / vy, 6) r2 FROM bb")
@@ -379,9 +383,16 @@ def _(spark, sf):
     return md.repeated_kfold(t.features(spark, sf), "unit_id", "rebate", ["price", "discount"])
 
 
-@query("p38_diagnostics")
+# Normal scores by halving; one regressor, so Breusch-Pagan has one degree of freedom.
+DIAGNOSTICS = f"""re AS (SELECT unit_id, quantity x, price - (SELECT avg(price) - regr_slope(price, quantity) * avg(quantity) FROM feat) - (SELECT regr_slope(price, quantity) FROM feat) * quantity e FROM feat),
+rr AS (SELECT *, (rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0::DOUBLE - 0.375) / (count(*) OVER () + 0.25) p FROM re),
+nq AS (SELECT unit_id, p, -8.0::DOUBLE lo, 8.0::DOUBLE hi, 0 i FROM rr UNION ALL SELECT unit_id, p, CASE WHEN f < p THEN mid ELSE lo END, CASE WHEN f < p THEN hi ELSE mid END, i + 1 FROM (SELECT *, {dw.phi('mid')} f FROM (SELECT *, (lo + hi) / 2 mid FROM nq WHERE i < 50))),
+bp AS (SELECT count(*) * regr_r2(e * e, x) lm FROM re)"""
+
+
+@query("p38_diagnostics", t.with_(t.FEAT, DIAGNOSTICS).replace("WITH", "WITH RECURSIVE", 1) + f"SELECT (SELECT count(*) FROM re) n, round((SELECT corr(e, (lo + hi) / 2) FROM nq JOIN rr USING (unit_id) WHERE i = 50), 6) qq_r, round(lm, 6) bp_lm, round(2 * (1 - {dw.phi('sqrt(lm)')}), 6) bp_p FROM bp")
 def _(spark, sf):
-    return md.diagnostics(t.features(spark, sf), "price", ["quantity"])
+    return rnd(md.diagnostics(t.features(spark, sf), "price", ["quantity"]), "qq_r", "bp_lm", "bp_p")
 
 
 @query("p39_welch_t", t.with_(t.FEAT) + """, g AS (SELECT count(*) FILTER (condition = 'VR') n_a, count(*) FILTER (condition = 'PC') n_b, avg(price) FILTER (condition = 'VR') ma, avg(price) FILTER (condition = 'PC') mb, var_samp(price) FILTER (condition = 'VR') va, var_samp(price) FILTER (condition = 'PC') vb FROM feat)
@@ -446,14 +457,23 @@ def _(spark, sf):
     return rnd(f.select("unit_id", "n", rs.correlation_p(F.col("rho"), F.col("n")).alias("p")), "p")
 
 
-@query("p41_factorial_anova")
+# Indicators of two factors and the product of the centred ones; F with one degree of freedom is t squared.
+FACTORS = "fa AS (SELECT price, quantity, (condition = 'VR')::INT::DOUBLE a, (scenario = 'S2')::INT::DOUBLE b, ((condition = 'VR')::INT - 0.5) * ((scenario = 'S2')::INT - 0.5) ab FROM feat)"
+ANOVA = f"SELECT term, round(ss, 1) ss, df, round(ss_resid, 1) ss_resid, df_resid, round(f, 6) f, round(partial_eta2, 6) partial_eta2, round({TP}, 6) p FROM (SELECT *, df_resid::BIGINT + 2 n, atan(sqrt(f) / sqrt(df_resid)) th FROM an)"
+
+
+def anova_rounded(a):
+    return rnd(rnd(a, "f", "partial_eta2", "p"), "ss", "ss_resid", d=1)
+
+
+@query("p41_factorial_anova", t.with_(t.FEAT, FACTORS, f"an AS ({eigen.type_two('fa', 'price', {'condition': (['b'], 'a'), 'scenario': (['a'], 'b'), 'condition:scenario': (['a', 'b'], 'ab')}, ['a', 'b', 'ab'])})") + ANOVA)
 def _(spark, sf):
-    return md.two_factor_anova(t.features(spark, sf), "price", "condition", "scenario", ["PC", "VR"], ["S1", "S2"])
+    return anova_rounded(md.two_factor_anova(t.features(spark, sf), "price", "condition", "scenario", ["PC", "VR"], ["S1", "S2"]))
 
 
-@query("p41_ancova")
+@query("p41_ancova", t.with_(t.FEAT, FACTORS, f"an AS ({eigen.type_two('fa', 'price', {'condition': (['quantity', 'b'], 'a'), 'scenario': (['quantity', 'a'], 'b')}, ['quantity', 'a', 'b'])})") + ANOVA)
 def _(spark, sf):
-    return md.two_factor_anova(t.features(spark, sf), "price", "condition", "scenario", ["PC", "VR"], ["S1", "S2"], ["quantity"], interaction=False)
+    return anova_rounded(md.two_factor_anova(t.features(spark, sf), "price", "condition", "scenario", ["PC", "VR"], ["S1", "S2"], ["quantity"], interaction=False))
 
 
 @query("p41_adjusted_means", t.with_(t.FEAT) + """, w AS (SELECT sum(sxy) / sum(sxx) b FROM (SELECT regr_sxy(price, quantity) sxy, regr_sxx(price, quantity) sxx FROM feat GROUP BY condition))
@@ -468,16 +488,29 @@ def _(spark, sf):
     return rnd(ts.stratified_spearman(t.features(spark, sf), [], "condition", "price", "lines", "VR", "PC"), "rho_a", "rho_b", "delta_rho")
 
 
-@query("p43_dispersion_regression")
+DISPERSION = """g0 AS (SELECT group_id, avg(score) m, stddev_samp(score) sd, max(score)::DOUBLE y FROM resp GROUP BY ALL),
+gz AS (SELECT (m - avg(m) OVER ()) / stddev_samp(m) OVER () m, (sd - avg(sd) OVER ()) / stddev_samp(sd) OVER () sd, (y - avg(y) OVER ()) / stddev_samp(y) OVER () y FROM g0)"""
+
+
+@query("p43_dispersion_regression", t.with_(t.RESP, DISPERSION) + f"""SELECT f.n, round(e.r2, 6) r2_mean, round(f.r2, 6) r2_mean_sd, round(f.b1, 6) beta_sd, round((SELECT corr(m, sd) FROM gz), 6) r_mean_sd, round(f.r2 - e.r2, 6) delta_r2, abs((SELECT corr(m, sd) FROM gz)) > 0.7 confounded
+FROM ({eigen.fitted('gz', 'y', ['m'])}) e, ({eigen.fitted('gz', 'y', ['m', 'sd'])}) f""")
 def _(spark, sf):
     r = t.responses(spark, sf)
     out = r.groupBy("group_id").agg(F.max("score").alias("y"))
-    return md.dispersion_regression(r, "group_id", "score", out, "y")
+    return rnd(md.dispersion_regression(r, "group_id", "score", out, "y"), "r2_mean", "r2_mean_sd", "beta_sd", "r_mean_sd", "delta_r2")
+
+
+RANDOM = """rs AS (SELECT family_key g, price y, quantity x, price - (SELECT avg(price) - regr_slope(price, quantity) * avg(quantity) FROM feat) - (SELECT regr_slope(price, quantity) FROM feat) * quantity e FROM feat),
+vg AS (SELECT g, count(*)::DOUBLE n, avg(e) m, var_pop(e) v, avg(y) my, avg(x) mx FROM rs GROUP BY ALL), vt AS (SELECT sum(n) n, count(*) k, sum(n * n) n2, sum(n * pow(m - (SELECT avg(e) FROM rs), 2)) b, sum(n * v) w FROM vg),
+vc AS (SELECT w / (n - k) vw, greatest((b / (k - 1) - w / (n - k)) / ((n - n2 / n) / (k - 1)), 0) vb FROM vt),
+tr AS (SELECT 1 - th c, y - th * my y, x - th * mx x FROM (SELECT *, 1 - sqrt(vw / (vw + n * vb)) th FROM rs JOIN vg USING (g), vc)),
+ts AS (SELECT sum(c * c) cc, sum(c * x) cx, sum(x * x) xx, sum(c * y) cy, sum(x * y) xy, count(*) n FROM tr)"""
 
 
-@query("p44_random_intercept")
+@query("p44_random_intercept", t.with_(t.FEAT, RANDOM) + """SELECT n, round(vb, 3) var_between, round(vw, 3) var_within, round((xx * cy - cx * xy) / (cc * xx - cx * cx), 4) intercept, round((cc * xy - cx * cy) / (cc * xx - cx * cx), 4) slope, round(sqrt(vw * cc / (cc * xx - cx * cx)), 4) se_slope FROM ts, vc""")
 def _(spark, sf):
-    return md.random_intercept(t.features(spark, sf), "family_key", "price", "quantity")
+    o = md.random_intercept(t.features(spark, sf), "family_key", "price", "quantity")
+    return rnd(rnd(o, "var_between", "var_within", d=3), "intercept", "slope", "se_slope", d=4)
 
 
 @query("p55_scenario_modality_scores", t.with_(t.FEAT) + "SELECT condition, scenario, count(*) n, round(avg(price), 4) mean, round(stddev_samp(price), 4) sd FROM feat GROUP BY ALL")
@@ -486,9 +519,15 @@ def _(spark, sf):
     return rnd(o.select("condition", "scenario", "n", "mean", "sd"), "mean", "sd", d=4)
 
 
-@query("p55_scenario_modality_ci")
+# The t quantile by halving the interval that holds it.
+CELLS = f"""ce AS (SELECT condition, scenario, count(*) k, avg(price) m, stddev_samp(price) s FROM feat GROUP BY ALL),
+tq AS (SELECT DISTINCT k, 0.0::DOUBLE lo, 100.0::DOUBLE hi, 0 i FROM ce UNION ALL SELECT k, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1
+ FROM (SELECT *, {TP} p FROM (SELECT k, lo, hi, i, (lo + hi) / 2 mid, k + 1 n, atan((lo + hi) / 2 / sqrt(k - 1)) th FROM tq WHERE i < 50)))"""
+
+
+@query("p55_scenario_modality_ci", t.with_(t.FEAT, CELLS).replace("WITH", "WITH RECURSIVE", 1) + "SELECT condition, scenario, k n, round(m, 4) mean, round(s, 4) sd, round(m - (lo + hi) / 2 * s / sqrt(k), 4) ci_low, round(m + (lo + hi) / 2 * s / sqrt(k), 4) ci_high FROM ce JOIN tq USING (k) WHERE i = 50")
 def _(spark, sf):
-    return ts.cell_means_ci(t.features(spark, sf), ["condition", "scenario"], "price")
+    return rnd(ts.cell_means_ci(t.features(spark, sf), ["condition", "scenario"], "price"), "mean", "sd", "ci_low", "ci_high", d=4)
 
 
 # ---- components and networks ---------------------------------------------------------
@@ -557,15 +596,15 @@ def _(spark, sf):
 
 
 # Embedding dimensions as features: pairs of dimensions are the network.
-DIMS = [f"e{i}" for i in range(16)]
-EMB = "emb AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE e{i}" for i in range(16)) + " FROM embeddings)"
+DIMS = [f"e{i}" for i in range(64)]
+EMB = "emb AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE e{i}" for i in range(64)) + " FROM embeddings)"
 LONG = "lg AS (UNPIVOT (SELECT * EXCLUDE (label) FROM emb) ON " + ", ".join(DIMS) + " INTO NAME f VALUE v)"
 CORR = "cr AS (SELECT least(a.f, b.f) x, greatest(a.f, b.f) y, count(*) n, corr(a.v, b.v) r FROM lg a JOIN lg b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY ALL)"
 
 
 def emb(spark, sf):
     e = t.table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 def corr_edges(spark, sf):
@@ -596,17 +635,31 @@ def feats(spark):
     return spark.createDataFrame([(d, 0, i) for i, d in enumerate(DIMS)], "feature string, n_missing int, priority int")
 
 
-@query("p26_prune_correlated")
+# Pairs from the strongest down; the feature with the larger key goes unless one of the pair is gone already.
+PRUNE = f"""ke AS (SELECT f, row((f NOT IN ('e0', 'e1'))::INT, substr(f, 2)::INT, length(f), f) k FROM (SELECT DISTINCT f FROM lg)),
+pe AS (SELECT x, y, abs(r) a, CASE WHEN p.k < q.k THEN y ELSE x END gone, row_number() OVER (ORDER BY abs(r) DESC, x, y) i FROM cr JOIN ke p ON p.f = x JOIN ke q ON q.f = y WHERE abs(r) > {TH} AND NOT (x IN ('e0', 'e1') AND y IN ('e0', 'e1'))),
+pr AS (SELECT 0::BIGINT i, []::VARCHAR[] gone, []::VARCHAR[] why, []::DOUBLE[] how UNION ALL
+ SELECT j, CASE WHEN alive THEN list_append(gone, out) ELSE gone END, CASE WHEN alive THEN list_append(why, CASE WHEN out = x THEN y ELSE x END) ELSE why END, CASE WHEN alive THEN list_append(how, a) ELSE how END
+ FROM (SELECT pr.gone, why, how, x, y, a, pe.gone out, pe.i j, NOT list_contains(pr.gone, x) AND NOT list_contains(pr.gone, y) alive FROM pr JOIN pe ON pe.i = pr.i + 1))"""
+
+
+@query("p26_prune_correlated", rec(EMB, LONG, CORR, PRUNE) + """, dr AS (SELECT unnest(gone) f, unnest(why) kept_instead, unnest(how) abs_r FROM pr WHERE i = (SELECT max(i) FROM pr))
+SELECT f feature, abs_r IS NULL kept, kept_instead, round(abs_r, 6) abs_r FROM (SELECT DISTINCT f FROM lg) LEFT JOIN dr USING (f)""")
 def _(spark, sf):
-    return cp.prune_correlated(corr_edges(spark, sf), feats(spark), TH, [("e0", "e1")])
+    return rnd(cp.prune_correlated(corr_edges(spark, sf), feats(spark), TH, [("e0", "e1")]), "abs_r")
+
+
+CLUSTERS = """ce AS (SELECT x a, y b FROM cr WHERE abs(r) >= 0.12 UNION ALL SELECT y, x FROM cr WHERE abs(r) >= 0.12), ca AS (SELECT DISTINCT f node, f reach FROM lg UNION SELECT ca.node, ce.b FROM ca JOIN ce ON ca.reach = ce.a),
+cl AS (SELECT node feature, min(reach) "cluster" FROM ca GROUP BY ALL)"""
 
 
-@query("p29_feature_clusters")
+@query("p29_feature_clusters", rec(EMB, LONG, CORR, CLUSTERS) + 'SELECT feature, "cluster" FROM cl')
 def _(spark, sf):
     return cp.feature_clusters(corr_edges(spark, sf), feats(spark), 0.12)
 
 
-@query("p28_cluster_representatives")
+@query("p28_cluster_representatives", rec(EMB, LONG, CORR, CLUSTERS) + """, tc AS (SELECT f feature, abs(corr(v, label)) tc FROM lg JOIN emb USING (vec_id) GROUP BY ALL)
+SELECT "cluster", feature, row_number() OVER (PARTITION BY "cluster" ORDER BY coalesce(tc, 0) DESC, substr(feature, 2)::INT, length(feature), feature) = 1 selected FROM cl JOIN tc USING (feature)""")
 def _(spark, sf):
     cl = cp.feature_clusters(corr_edges(spark, sf), feats(spark), 0.12)
     tc = mo.pearson_by(mo.pair_rows(emb(spark, sf), [], [(d, "label") for d in DIMS]), ["x", "y"], "vx", "vy").select(F.col("x").alias("feature"), F.abs("r").alias("target_corr"))
@@ -628,7 +681,7 @@ def _(spark, sf):
     return nw.connected_components(net(spark, sf))
 
 
-@query("p46_hop_distance", "WITH RECURSIVE " + ", ".join([EMB, LONG, CORR, NET]) + ", rc AS (SELECT DISTINCT a node, 0 hops FROM dbl WHERE a = 'e1' UNION SELECT dbl.b, hops + 1 FROM rc JOIN dbl ON rc.node = dbl.a WHERE hops < 16) SELECT node, min(hops) hops FROM rc GROUP BY ALL")
+@query("p46_hop_distance", "WITH RECURSIVE " + ", ".join([EMB, LONG, CORR, NET]) + ", rc AS (SELECT DISTINCT a node, 0 hops FROM dbl WHERE a = 'e1' UNION SELECT dbl.b, hops + 1 FROM rc JOIN dbl ON rc.node = dbl.a WHERE hops < 64) SELECT node, min(hops) hops FROM rc GROUP BY ALL")
 def _(spark, sf):
     return nw.hop_distance(net(spark, sf), "e1")
 
