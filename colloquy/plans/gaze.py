@@ -24,6 +24,11 @@ def fixes(spark, sf):
     return ep.fixations(t.samples(spark, sf), ["session_id", "role"], "t", C)
 
 
+def plus_zero(df, *cols):
+    """Rounded values with -0.0 as 0.0."""
+    return df.withColumns({c: F.col(c) + F.lit(0.0) for c in cols})
+
+
 def spans(df):
     return df.select("session_id").distinct().select("session_id", F.lit(0.0).alias("t0"), F.lit(T1).alias("t1"))
 

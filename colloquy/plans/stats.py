@@ -6,7 +6,7 @@ from colloquy.functions import scalars as fn
 from colloquy.operators import aggregates as ag
 from colloquy.plans import draws as dw, eigen, query
 from colloquy.plans import tables as t
-from colloquy.plans.gaze import rnd
+from colloquy.plans.gaze import plus_zero, rnd
 from colloquy.session import cut
 from colloquy.stats import components as cp, models as md, moments as mo, network as nw, reliability as rl, resample as rs, synthesis as sy, tests as ts
 
@@ -233,12 +233,12 @@ ic AS (SELECT {k}, n::BIGINT n, k::BIGINT k, round(CASE WHEN abs(mst + (k - 1) *
 
 @query("p17_icc", t.with_(t.RESP, icc_sql("dimension")) + "SELECT * FROM ic")
 def _(spark, sf):
-    return rnd(rl.icc(t.responses(spark, sf), ["dimension"], "participant", "item", "score"), "icc1", "icc21", "icc2k")
+    return plus_zero(rnd(rl.icc(t.responses(spark, sf), ["dimension"], "participant", "item", "score"), "icc1", "icc21", "icc2k"), "icc1", "icc21", "icc2k")
 
 
 @query("p62_agreement_from_survey", t.with_(t.RESP, icc_sql("dimension", "group_id")) + "SELECT * FROM ic")
 def _(spark, sf):
-    return rnd(rl.icc(t.responses(spark, sf), ["dimension", "group_id"], "participant", "item", "score"), "icc1", "icc21", "icc2k")
+    return plus_zero(rnd(rl.icc(t.responses(spark, sf), ["dimension", "group_id"], "participant", "item", "score"), "icc1", "icc21", "icc2k"), "icc1", "icc21", "icc2k")
 
 
 @query("p17_variance_components", t.with_(t.RESP) + """, g AS (SELECT dimension, group_id, count(*) n, avg(score) m, var_pop(score) v FROM resp GROUP BY ALL), a AS (SELECT dimension, avg(score) g FROM resp GROUP BY ALL),
@@ -547,18 +547,18 @@ PC_COLS = ("weight", "loading", "eigenvalue", "variance_share")
 
 @query("p20_pca_loadings", rec(t.FEAT, eigen.components("feat", FULL, 3)) + f"SELECT {PC} FROM pc")
 def _(spark, sf):
-    return rnd(cp.pca_fit(t.features(spark, sf), FULL, 3), *PC_COLS)
+    return plus_zero(rnd(cp.pca_fit(t.features(spark, sf), FULL, 3), *PC_COLS), "weight", "loading")
 
 
 @query("p20_pca_by_condition", rec(t.FEAT, *[f"f{c} AS (SELECT * FROM feat WHERE condition = '{c}')" for c in ("VR", "PC")], *[eigen.components(f"f{c}", FULL, 2, c) for c in ("VR", "PC")]) + " UNION ALL ".join(f"SELECT '{c}' condition, {PC} FROM pc{c}" for c in ("VR", "PC")))
 def _(spark, sf):
-    return rnd(cp.pca_fit(t.features(spark, sf), FULL, 2, ["condition"]), *PC_COLS)
+    return plus_zero(rnd(cp.pca_fit(t.features(spark, sf), FULL, 2, ["condition"]), *PC_COLS), "weight", "loading")
 
 
 @query("p20_pca_scores", rec(t.FEAT, eigen.components("feat", FULL, 2), eigen.scores("feat", FULL, 2, "unit_id")) + "SELECT unit_id, round(PC1, 6) + 0.0 PC1, round(PC2, 6) + 0.0 PC2 FROM ps")
 def _(spark, sf):
     f = t.features(spark, sf)
-    return rnd(cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 2)), FULL, 2).select("unit_id", "PC1", "PC2"), "PC1", "PC2")
+    return plus_zero(rnd(cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 2)), FULL, 2).select("unit_id", "PC1", "PC2"), "PC1", "PC2"), "PC1", "PC2")
 
 
 @query("p21_orient_components", rec(t.FEAT, eigen.components("feat", FULL, 1), eigen.scores("feat", FULL, 1, "unit_id")) + """, rk AS (SELECT rank() OVER (ORDER BY PC1) + (count(*) OVER (PARTITION BY PC1) - 1) / 2.0 a, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 b FROM ps JOIN feat USING (unit_id))
@@ -566,7 +566,7 @@ SELECT unit_id, round(PC1 * CASE WHEN (SELECT corr(a::DOUBLE, b::DOUBLE) FROM rk
 def _(spark, sf):
     f = t.features(spark, sf)
     s = cut(cp.pca_scores(f, cut(cp.pca_fit(f, FULL, 1)), FULL, 1))
-    return rnd(cp.orient(s, "PC1", "price").select("unit_id", "PC1"), "PC1")
+    return plus_zero(rnd(cp.orient(s, "PC1", "price").select("unit_id", "PC1"), "PC1"), "PC1")
 
 
 @query("p22_parallel_analysis")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from colloquy.operators import placements as pl, taskevents as te
 from colloquy.plans import eigen, query
 from colloquy.plans import tables as t
-from colloquy.plans.gaze import rnd
+from colloquy.plans.gaze import plus_zero, rnd
 from colloquy.session import cut
 from colloquy.stats import components as cp, moments as mo, synthesis as sy
 
@@ -236,7 +236,8 @@ TT_ALL = ["group_id", "task", "n_members", "effort_task_sum", "effort_comm_sum",
 def _(spark, sf):
     ind, st = assembled(spark, sf)
     o = te.task_table(cut(ind), cut(st), ["T3"], ["T1"])
-    return rnd(rnd(o.select(*TT_ALL, *TT_ROUND, "skill_congruence", "contribution_congruence"), *TT_ROUND), "skill_congruence", "contribution_congruence", d=5)
+    o = rnd(rnd(o.select(*TT_ALL, *TT_ROUND, "skill_congruence", "contribution_congruence"), *TT_ROUND), "skill_congruence", "contribution_congruence", d=5)
+    return plus_zero(o, "skill_congruence", "contribution_congruence")
 
 
 TS_MEANS = ["coverage_any", "coverage_correct_final", "redundancy_rate"]
@@ -246,16 +247,17 @@ TS_SPREAD = [*[f"{c}_{k}" for c in te.SPREAD for k in ("cv", "gini")], *[f"top_m
 @query("e14_team_summary", IALL + TT + """, me AS (SELECT group_id, subject, avg(skill_i) sm, max(skill_i) sx, avg(contribution_i) cm, max(contribution_i) cx FROM ind GROUP BY ALL),
 mg AS (SELECT group_id, round(avg(sm), 6) skill_mean, max(sx) skill_max, count(sm) n_members_with_skill, round(avg(cm), 6) contribution_mean, max(cx) contribution_max FROM me GROUP BY ALL),
 gs AS (SELECT group_id, """ + ", ".join([f"sum({c}_sum) {c}_sum, round(avg({c}_sum), 6) {c}_mean" for c in ("effort_total", "effort_task", "effort_comm")]) + """, sum(comm_n_messages)::BIGINT comm_n_messages_sum, sum(comm_text_length)::BIGINT comm_text_length_sum,
- """ + ", ".join(f"round(avg({c}), 6) {c}_mean" for c in TS_MEANS) + """, sum(n_touched)::BIGINT strategy_covered_sum, round(avg(skill_congruence), 4) skill_congruence_mean, round(avg(contribution_congruence), 4) contribution_congruence_mean,
+ """ + ", ".join(f"round(avg({c}), 6) {c}_mean" for c in TS_MEANS) + """, sum(n_touched)::BIGINT strategy_covered_sum, round(avg(skill_congruence), 4) + 0.0 skill_congruence_mean, round(avg(contribution_congruence), 4) + 0.0 contribution_congruence_mean,
  round(avg(contribution_mean), 6) contribution_mean_task_avg, sum(contribution_correct_sum)::BIGINT contribution_sum_task_total, count(DISTINCT task) n_tasks, """ + ", ".join(f"round(avg({c}), 5) {c}" for c in TS_SPREAD) + """,
- round(avg(skill_congruence) FILTER (task <> 'T1'), 4) skill_congruence_mean_core, count(skill_congruence) FILTER (task <> 'T1') n_tasks_skill_congruence_core FROM tf GROUP BY ALL)
+ round(avg(skill_congruence) FILTER (task <> 'T1'), 4) + 0.0 skill_congruence_mean_core, count(skill_congruence) FILTER (task <> 'T1') n_tasks_skill_congruence_core FROM tf GROUP BY ALL)
 SELECT *, round(effort_total_sum / max(effort_total_sum) OVER (), 6) effort_norm, round(effort_task_sum / max(effort_task_sum) OVER (), 6) effort_task_norm FROM gs LEFT JOIN mg USING (group_id)""")
 def _(spark, sf):
     ind, st = assembled(spark, sf)
     ind = cut(ind)
     o = te.team_summary(te.task_table(ind, cut(st), ["T3"], ["T1"]), ind, ["T1"])
     o = rnd(o, "skill_mean", "contribution_mean", "contribution_mean_task_avg", "effort_norm", "effort_task_norm", *[f"{c}_mean" for c in (*TS_MEANS, "effort_total", "effort_task", "effort_comm")])
-    return rnd(rnd(o, *TS_SPREAD, d=5), "skill_congruence_mean", "contribution_congruence_mean", "skill_congruence_mean_core", d=4)
+    o = rnd(rnd(o, *TS_SPREAD, d=5), "skill_congruence_mean", "contribution_congruence_mean", "skill_congruence_mean_core", d=4)
+    return plus_zero(o, "skill_congruence_mean", "contribution_congruence_mean", "skill_congruence_mean_core")
 
 
 @query("e14_member_aggregates", IALL + """, m AS (SELECT group_id, subject, sum(effort_total) e, avg(skill_i) s, sum(contribution_correct) c FROM ind GROUP BY ALL)
@@ -299,7 +301,7 @@ TASKS = ["T0", "T1", "T2", "T3"]
 @query("e16_c_factor", t.with_(MAT, eigen.components("mx", TASKS, 1), eigen.scores("mx", TASKS, 1, "group_id")).replace("WITH", "WITH RECURSIVE", 1) + "SELECT group_id, round(PC1, 6) + 0.0 c_score FROM ps")
 def _(spark, sf):
     m = cut(matrix(spark, sf))
-    return rnd(cp.pca_scores(m, cut(cp.pca_fit(m, TASKS, 1)), TASKS, 1).select("group_id", F.col("PC1").alias("c_score")), "c_score")
+    return plus_zero(rnd(cp.pca_scores(m, cut(cp.pca_fit(m, TASKS, 1)), TASKS, 1).select("group_id", F.col("PC1").alias("c_score")), "c_score"), "c_score")
 
 
 @query("e17_rme_stats", "SELECT l_suppkey group_id, round(avg(l_quantity), 6) rme_mean, max(l_quantity) rme_max, min(l_quantity) rme_min FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL")
