@@ -22,16 +22,20 @@ K = ["layout_id"]
 def near_pairs(solution: DataFrame, placed: DataFrame, radius: float | Column) -> DataFrame:
     """J-13: solution / placed pairs of one layout within ``radius``, found by grid cell.
 
-    ``radius`` may be a column of both tables that is constant in a layout.
+    ``radius`` may be a column of both tables that is constant in a layout. The solution is
+    copied to the cells beside it along x, the placed objects along z, so that neighbours
+    meet in one cell. The join is always sorted: a plan's size estimate does not see the
+    copies, and a broadcast by that estimate would hold them all on the driver.
     """
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
     cell = lambda c: F.floor(F.col(c) / F.col("_r")).cast("long")
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
     s = solution.select(*K, "s_id", F.col("x").alias("sx"), F.col("z").alias("sz"), r.alias("_r"))
     p = placed.select(*K, "p_id", F.col("x").alias("px"), F.col("z").alias("pz"), r.alias("_r"))
-    s = s.withColumn("_i", F.explode(F.transform(step, lambda d: d + cell("sx")))).withColumn("_j", F.explode(F.transform(step, lambda d: d + cell("sz"))))
-    p = p.withColumn("_i", cell("px")).withColumn("_j", cell("pz")).drop("_r")
-    j = s.join(p, [*K, "_i", "_j"])
+    beside = lambda c: F.explode(F.transform(step, lambda d: d + cell(c)))
+    s = s.withColumn("_i", beside("sx")).withColumn("_j", cell("sz"))
+    p = p.withColumn("_i", cell("px")).withColumn("_j", beside("pz")).drop("_r")
+    j = s.join(p.hint("merge"), [*K, "_i", "_j"])
     dx, dz = F.col("sx") - F.col("px"), F.col("sz") - F.col("pz")
     j = j.withColumn("dist", F.sqrt(dx * dx + dz * dz)).where(F.col("dist") <= F.col("_r"))
     return j.select(*K, "s_id", "p_id", "dist")

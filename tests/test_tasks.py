@@ -1,5 +1,6 @@
 """Placements, task logs, readers and streams."""
 
+import math
 import random
 
 import pytest
@@ -178,3 +179,16 @@ def test_ids_and_words_are_not_cut(spark):
     assert t.select(text_units(F.col("x"))).first()[0] == ["straße", "œuvre", "слово", "snake_case"]
     k = spark.createDataFrame([("7.5",), (" 7 ",), ("0",), ("12",), ("Oui",)], "x string")
     assert [r[0] for r in k.select(recode_likert(F.col("x"), {"oui": 9}, F.lit("i"), [])).collect()] == [None, 7, None, None, 9]
+
+
+def test_near_pairs_equal_all_pairs_and_are_never_broadcast(spark):
+    """The copies of one side over the cells are more than a plan's estimate tells: no side may go to the driver."""
+    rnd = random.Random(5)
+    at = lambda: (rnd.randint(0, 2), round(rnd.uniform(-4, 4), 1), round(rnd.uniform(-4, 4), 1))
+    sr, pr = [(l, i, x, z) for i in range(60) for l, x, z in [at()]], [(l, i, x, z) for i in range(60) for l, x, z in [at()]]
+    s, p = spark.createDataFrame(sr, "layout_id long, s_id long, x double, z double"), spark.createDataFrame(pr, "layout_id long, p_id long, x double, z double")
+    d = pl.near_pairs(s, p, 1.0)
+    want = {(a[0], a[1], b[1]) for a in sr for b in pr if a[0] == b[0] and math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) <= 1.0}
+    got = [tuple(r)[:3] for r in d.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
