@@ -14,6 +14,9 @@ PINNED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key's partition even where that costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A plan's estimate sees neither packed columns nor exploded rows: only a measured size lets a side go to the driver.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 
@@ -33,7 +36,7 @@ def build_session(app: str = "colloquy", master: str | None = None, **conf) -> S
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Event times are read as UTC; skewed joins are split at run time."""
+    """Event times are read as UTC; skewed joins are split at run time; broadcasts go by measured size."""
     for key, value in PINNED.items():
         spark.conf.set(key, value)
     return spark
