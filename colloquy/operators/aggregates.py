@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.session import cut
+
 from .scan import average_rank, cumulative_counts, quantiles, row_number, running_sum, attach, scan, with_group_aggs
 
 
@@ -37,9 +39,17 @@ def coef_var(value: str, ddof: int = 0) -> Column:
     return F.try_divide(sd, F.avg(value))
 
 
+FEW_GROUPS = 10_000
+
+
 def share_of_total(df: DataFrame, value: str, keys: Sequence[str], out: str = "share") -> DataFrame:
-    """A-03: value over the group's sum, NULL when the sum is not positive."""
-    d = with_group_aggs(df, keys, _total=F.sum(value))
+    """A-03: value over the group's sum, NULL when the sum is not positive.
+
+    Sums of few groups go to the rows, so that no task reads all rows of a large group.
+    """
+    small = cut(df.groupBy(*keys).agg(F.sum(value).alias("_total")))
+    few = bool(keys) and small.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    d = attach(df, F.broadcast(small) if few else small, keys)
     return d.withColumn(out, F.when(F.col("_total") > 0, F.col(value) / F.col("_total"))).drop("_total")
 
 

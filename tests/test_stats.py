@@ -212,3 +212,17 @@ def test_distributions_hold_for_large_shapes():
     finally:
         dist.LARGE_SHAPE = dist_small
     assert dist.betainc(np.array([5e5]), np.array([5e5]), np.array([0.5])).item() == pytest.approx(0.5, abs=1e-9)
+
+
+def test_shares_of_few_groups_do_not_move_the_rows(spark):
+    from colloquy.operators import aggregates as ag
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = ag.share_of_total(spark.range(1000).selectExpr("id", "id % 3 g", "cast(id as double) v"), "v", ["g"])
+        assert "Exchange hashpartitioning" not in d._jdf.queryExecution().executedPlan().toString()
+        total = [sum(range(g, 1000, 3)) for g in range(3)]
+        assert all(r.share == r.id / total[r.g] for r in d.collect()) and d.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
