@@ -67,9 +67,11 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where a result is read by two branches or by an iteration: the copy
     survives lost executors and stops the plan from being computed once per branch.
+    The files are columnar; Spark's own checkpoint serializes each row as an object of its own.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = stage_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

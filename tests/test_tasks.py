@@ -213,3 +213,38 @@ def test_lines_that_tie_in_everything_but_answer_and_truth(spark, tmp_path, name
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_one_pass_over_the_log_equals_the_separate_operators(spark):
+    rnd = random.Random(7)
+    pick = lambda *x: rnd.choice(x)
+    rows = [(pick(1, 2), pick("T1", "T2"), pick(1, 2, 3, 4, None), pick(*range(8), None), i // 3, rnd.randrange(2), pick("A", "N", "R"), pick("A", "N", "R"), pick(te.TASK, te.COMM), "y" * rnd.randrange(3)) for i in range(160)]
+    rows += [(3, "T1", 5, None, 0, 0, "A", "A", te.COMM, "y"), (4, "T1", 5, 10, 0, 0, "A", "A", te.TASK, None)]
+    a = spark.createDataFrame(rows, "group_id long, task string, subject long, item long, t long, seq long, answer string, truth string, event_type string, summary string")
+    order, scored = ["t", "seq"], F.col("item") % 5 != 0
+    cells = te.resolved_cells(a, order, scored)
+    members = te.cell_members(cells)
+
+    latest = lambda c: F.max(F.struct(*order, "subject", c))
+    sn = a.groupBy(*te.GT, "item").agg(latest("answer").alias("a"), latest("truth").alias("b"))
+    sn = sn.select(*te.GT, "item", F.col("a.subject").alias("author"), F.col("a.answer").alias("answer"), F.col("b.truth").alias("truth"))
+    ex = a.groupBy(*te.GT).agg((F.countDistinct("item") + 5).alias("expected_total"))
+    la, ky = te.last_answers(a, order), sn.where(scored).select(*te.GT, "item", "truth")
+    ind = te.individual_table(te.effort(a.withColumn("content", F.lit(""))), te.skill_items(la, ky, ex), te.contribution(sn), ["T2"])
+    one = te.with_shares(te.member_table(members, 5, ["T2"]))
+    show = lambda d, cols: sorted(map(repr, d.select(*cols).collect()))
+    assert show(one, ind.columns) == show(ind, ind.columns)
+    st = te.strategy(a, te.correct_items(la, ky), ex)
+    assert show(te.member_strategy(cells, members, 5), st.columns) == show(st, st.columns)
+
+
+def test_spread_of_large_groups_equals_that_of_small_ones(spark):
+    rnd = random.Random(8)
+    nan = float("nan")
+    rows = [(g, "T1", rnd.choice([None, nan, *map(float, range(6))])) for g in (1, 2, None) for _ in range(30)] + [(4, "T1", 1.0), (5, "T1", None)]
+    d = spark.createDataFrame(rows, "group_id long, task string, v double")
+    table = lambda many: sorted(map(repr, te._ranked(d, ["v"], many).groupBy(*te.GT).agg(*te._distribution(["v"])).select(*te.GT, F.round("v_gini", 9)).collect()))
+    assert table(5) == table(te.MANY)
+    x = sorted(v for g, _, v in rows if g == 1 and v is not None and v == v)
+    want = 2 * sum(r * v for r, v in enumerate(x, 1)) / (len(x) * sum(x)) - (len(x) + 1) / len(x)
+    assert f"group_id=1, task='T1', round(v_gini, 9)={round(want, 9)}" in " ".join(table(5))
