@@ -33,6 +33,16 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
     return F.when(x.isNotNull(), y)
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """The scaled value rounded half up, as SQL engines round doubles.
+
+    ``F.round`` goes by the shortest decimal of a double instead: 0.0045 * 100 is 0.44999999999999996, on one digit 0.4
+    there and 0.5 here.
+    """
+    scale = F.lit(float(10**digits))
+    return F.round(x * scale) / scale
+
+
 def log1p_clipped(x: Column) -> Column:
     """F-04"""
     return F.log1p(clip(x, 0.0))

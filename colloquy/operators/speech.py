@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from colloquy.functions.scalars import round_scaled
+
 from . import intervals as iv
 from .aggregates import entropy_of, zscore_within
 from .scan import by_width, quantiles, running_sum, attach, scan, with_group_aggs
@@ -189,12 +191,14 @@ def session_overview(segs: DataFrame, totals: DataFrame, chunk_s: float) -> Data
     calls = iv.backchannels(segs, turns).groupBy(k).agg(F.count("*").alias("_bc"))
     speech = entropy_of(segs.groupBy(k, "role").agg(F.sum(iv.duration()).alias("_s")), [k], "_s", out="_h")
     o = m.join(median, k, "left").join(calls, k, "left").join(speech, k, "left").na.fill(0, ["_bc"])
-    percent = [F.round(F.col(f"pct_{n}") * 100, 1).alias(f"pct_{n}_spk") for n in range(4)]
+    # Values that were rounded before lie on ties.
+    percent = [round_scaled(F.col(f"pct_{n}") * 100, 1).alias(f"pct_{n}_spk") for n in range(4)]
     return o.select(
-        k, F.col("total_turns").alias("n_turns"), F.round("mean_turn_s", 2).alias("mean_turn_s"), F.round("_median", 2).alias("median_turn_s"), "n_floor_exchanges",
+        k, F.col("total_turns").alias("n_turns"), round_scaled(F.col("mean_turn_s"), 2).alias("mean_turn_s"), round_scaled(F.col("_median"), 2).alias("median_turn_s"), "n_floor_exchanges",
         F.when(F.col("n_floor_exchanges") > 0, F.col("floor_exchange_pause_mean_s")).alias("floor_pause_mean_s"), F.col("_bc").alias("n_backchannels"),
-        F.round(F.try_divide(F.col("_bc").cast("double"), F.col("duration_s") / 60.0), 2).alias("bc_per_min"), *percent, F.round("overlap_ratio", 3).alias("overlap_ratio"),
-        F.round(F.col("_h") / F.ln(F.lit(2.0)), 3).alias("participation_entropy"), "rapid_floor_takeovers_total", "n_attempted_interruptions", "n_successful_interruptions", "successful_interruption_ratio",
+        round_scaled(F.try_divide(F.col("_bc").cast("double"), F.col("duration_s") / 60.0), 2).alias("bc_per_min"), *percent, round_scaled(F.col("overlap_ratio"), 3).alias("overlap_ratio"),
+        # The negated sum, so one role alone gives the zero that SQL gives.
+        (-round_scaled(-F.col("_h") / F.ln(F.lit(2.0)), 3)).alias("participation_entropy"), "rapid_floor_takeovers_total", "n_attempted_interruptions", "n_successful_interruptions", "successful_interruption_ratio",
     )
 
 

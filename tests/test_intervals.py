@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import intervals as iv
+from colloquy.operators import intervals as iv, speech as sp
 from colloquy.operators.align import asof, interpolate, interval_join
 from colloquy.operators.scan import by_width, collapse_islands, lag, last_valid, lead, next_valid, previous_max, quantiles, running_sum, scan
 
@@ -208,3 +208,8 @@ def test_backchannels_look_as_far_as_the_widest_filter(spark):
     turns = d.where("end_s - start_s > 1")
     assert iv.backchannels(d, turns, continuation_s=0.2).count() == 1
     assert iv.backchannels(d, turns, continuation_s=2.0).count() == 0
+
+
+def test_overview_rounds_shares_and_one_role_as_sql(spark):
+    o = sp.session_overview(segs(spark, {"A": [(0, 4.5)]}), total(spark, 1000), 60.0).first()
+    assert (o.pct_1_spk, str(o.participation_entropy)) == (0.5, "-0.0")
