@@ -339,9 +339,10 @@ def leave_one_out_spearman(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def leave_one_out_range(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """P-10: smallest and largest correlation when any one unit is removed."""
+    """P-10: smallest and largest correlation when any one unit is removed, and the unit of the strongest (of equals the smallest)."""
     return leave_one_out_spearman(df, keys).groupBy(*keys).agg(
-        F.min("stat").alias("loo_min"), F.max("stat").alias("loo_max"), F.max_by("unit", F.abs("stat")).alias("loo_unit")
+        F.min("stat").alias("loo_min"), F.max("stat").alias("loo_max"),
+        F.min_by("unit", F.when(F.col("stat").isNotNull(), F.struct(-F.abs("stat"), F.col("unit")))).alias("loo_unit"),
     )
 
 

@@ -83,6 +83,14 @@ def test_leave_one_out_equals_brute_force(spark):
         assert jk[u] == pytest.approx(np.corrcoef(a, b)[0, 1])
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_leave_one_out_names_the_smallest_of_equal_units(spark, order):
+    x, y = [1, 2, 3, 4, 5, 9], [2, 1, 3, 5, 4, 0]
+    rows = [(i + 100 * copy, float(a), float(b)) for copy in range(4) for i, (a, b) in enumerate(zip(x, y))]
+    d = spark.createDataFrame(rows[::order], "unit int, x double, y double")
+    assert rs.leave_one_out_range(d, []).first().loo_unit == 5
+
+
 def test_bootstrap_is_reproducible_and_brackets(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=60)
