@@ -1,10 +1,9 @@
 """Reader, writer and streaming queries: files are written from the given tables by Spark
 into the shared stage folder and read back through the operators."""
 
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
-
-
 from colloquy.plans import query
 from colloquy.plans import tables as t
 from colloquy.plans.gaze import rnd
@@ -29,6 +28,28 @@ def lines(df, name, col="value"):
     return path
 
 
+def put_files(df, path):
+    """One file for each row (``name`` below ``path``, text ``body``), as a scoring run writes its reports.
+
+    Tasks write their own rows, so nothing is moved afterwards; a repeated task writes the same files again.
+    """
+    def write(batches):
+        local = path.startswith("file:/") and not path.startswith("file://")
+        fs, root = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if local else path)
+        made = set()
+        for pdf in batches:
+            for name, body in zip(pdf["name"], pdf["body"]):
+                folder = f"{root}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with fs.open_output_stream(f"{root}/{name}") as f:
+                    f.write(body.encode())
+            yield pdf[["name"]]
+
+    df.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 @query("s01_read_eu_csv", "SELECT c_custkey::VARCHAR c_custkey, c_name, c_acctbal FROM customer")
 def _(spark, sf):
     c = t.table(spark, sf, "customer").select("c_custkey", "c_name", eu_number("c_acctbal").alias("c_acctbal"))
@@ -137,9 +158,9 @@ def _(spark, sf):
     s = t.table(spark, sf, "supplier")
     m = F.create_map(F.lit("R1"), F.lit("true"), F.lit("R2"), F.when(F.col("s_suppkey") % 2 == 1, "vrai").otherwise("faux"), F.lit("R3"), F.lit("false"))
     p = stage_path(spark, "rules")
-    # One report per file, as written by the scoring of a layout.
-    s.select(m.alias("rules"), F.lit(0).alias("n_rules_passed"), "s_suppkey").repartition(100, "s_suppkey").write.partitionBy("s_suppkey").json(p)
-    return rd.read_rule_reports(spark, f"{p}/*/*.json").select("n_rules_passed", "n_rules_total")
+    d = s.select((F.col("s_suppkey") % 100).alias("folder"), "s_suppkey", F.to_json(F.struct(m.alias("rules"), F.lit(0).alias("n_rules_passed"))).alias("report"))
+    put_files(d.repartition(100, "folder").select(F.concat(F.lit("folder="), "folder", F.lit("/"), "s_suppkey", F.lit(".json")).alias("name"), F.col("report").alias("body")), p)
+    return rd.read_rule_reports(spark, p).select("n_rules_passed", "n_rules_total")
 
 
 @query("s12_merge_performance", "SELECT s_suppkey layout_id, NULL::DOUBLE n_expected, NULL::DOUBLE n_placed, CASE WHEN s_suppkey % 2 = 0 THEN 5.0 ELSE 7.0 END::DOUBLE n_matched, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END duration_s, s_acctbal / 2 sum_distance_m FROM supplier")

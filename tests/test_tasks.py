@@ -1,5 +1,6 @@
 """Placements, task logs, readers and streams."""
 
+import os
 import math
 import random
 
@@ -248,3 +249,17 @@ def test_spread_of_large_groups_equals_that_of_small_ones(spark):
     x = sorted(v for g, _, v in rows if g == 1 and v is not None and v == v)
     want = 2 * sum(r * v for r, v in enumerate(x, 1)) / (len(x) * sum(x)) - (len(x) + 1) / len(x)
     assert f"group_id=1, task='T1', round(v_gini, 9)={round(want, 9)}" in " ".join(table(5))
+
+
+def test_rule_reports_are_written_in_few_folders(spark, tmp_path):
+    from colloquy import plans
+    from colloquy.session import checkpoint_dir
+
+    plans.load_all()
+    spark.range(250).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    root = checkpoint_dir(spark).replace("file:", "")
+    old = set(os.listdir(root))
+    got = sorted(tuple(r) for r in plans.QUERIES["s11_read_rule_reports"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3)] * 125 + [(2, 3)] * 125
+    walked = [(d, files) for new in set(os.listdir(root)) - old for d, _, files in os.walk(f"{root}/{new}/rules")]
+    assert sum(f.endswith(".json") for _, files in walked for f in files) == 250 and len(walked) <= 101
