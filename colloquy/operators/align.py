@@ -6,10 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from colloquy.session import cut
+
 from .scan import by_width, last_valid, next_valid, scan
 
+GRID_ROWS = 1 << 17  # frames that a task makes
+GRID_BLOCK = 1 << 10
+
 
-def _levels(sides, width: float, factor: int) -> int:
+def _levels(sides, width: float, factor: int = 16) -> int:
     """Bucket levels that the longest interval of both sides needs."""
     longest = max((df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 0.0) for df, (s, e) in sides)
     n = 1
@@ -180,13 +185,20 @@ def interpolate(
 
 
 def grid(sessions: DataFrame, n_frames: Column, fs: float, out: str = "frame_idx") -> DataFrame:
-    """G-06: integer frames of each session; time is ``frame / fs`` only at the end."""
+    """G-06: integer frames of each session; time is ``frame / fs`` only at the end.
+
+    The table of sessions is small and would be merged into few partitions, so it is cut into blocks of frames and these
+    are dealt out by the number of frames: no task makes more than about ``GRID_ROWS``, however many or long the sessions.
+    """
+    s = cut(sessions.withColumn("_n", n_frames.cast("long")).where(F.col("_n") > 0))
+    parts = -(-(s.agg(F.sum("_n")).first()[0] or 1) // GRID_ROWS)
+    first = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(GRID_BLOCK).cast("long"))
     return (
-        sessions.withColumn("_n", n_frames)
-        .where(F.col("_n") > 0)
-        .withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        s.withColumn("_b", F.explode(first))
+        .repartition(parts)
+        .withColumn(out, F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + GRID_BLOCK, F.col("_n")) - 1)))
         .withColumn("t", F.col(out) / F.lit(fs))
-        .drop("_n")
+        .drop("_n", "_b")
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.operators import intervals as iv, speech as sp
-from colloquy.operators.align import asof, interpolate, interval_join
+from colloquy.operators.align import asof, grid, interpolate, interval_join
 from colloquy.operators.scan import by_width, collapse_islands, lag, last_valid, lead, next_valid, previous_max, quantiles, running_sum, scan
 
 SCHEMA = "session_id long, role string, start_s double, end_s double"
@@ -213,3 +213,12 @@ def test_backchannels_look_as_far_as_the_widest_filter(spark):
 def test_overview_rounds_shares_and_one_role_as_sql(spark):
     o = sp.session_overview(segs(spark, {"A": [(0, 4.5)]}), total(spark, 1000), 60.0).first()
     assert (o.pct_1_spk, str(o.participation_entropy)) == (0.5, "-0.0")
+
+
+def test_grid_frames_are_dealt_over_tasks(spark):
+    s = spark.createDataFrame([(1, 400_000), (2, 1025), (3, 0), (4, 1)], "session_id long, n long").coalesce(1)
+    g = grid(s, F.col("n"), 0.5)
+    assert g.columns == ["session_id", "n", "frame_idx", "t"]
+    per = g.groupBy("session_id").agg(F.count("*").alias("c"), F.countDistinct("frame_idx").alias("d"), F.max("frame_idx").alias("m"), F.max("t").alias("t"))
+    assert sorted(tuple(r) for r in per.collect()) == [(1, 400_000, 400_000, 399_999, 799_998.0), (2, 1025, 1025, 1024, 2048.0), (4, 1, 1, 0, 0.0)]
+    assert max(r["count"] for r in g.groupBy(F.spark_partition_id()).count().collect()) <= 140_000
