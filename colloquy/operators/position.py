@@ -9,7 +9,7 @@ from colloquy.session import cut
 from colloquy.stats.moments import pearson_by
 
 from . import episodes as ep
-from .align import asof, grid, interval_join, role_pairs
+from .align import _levels, asof, grid, interval_join, role_pairs
 from .face import row_mean
 from .scan import attach, with_group_aggs
 
@@ -132,7 +132,11 @@ def window_gaze(flags: DataFrame, windows: DataFrame, chunk_s: float, min_s: flo
     """G-39 per window: episodes of looking at a peer and their share of the window, per directed pair with samples in it."""
     k = ["session_id", "window_idx", "role", "target"]
     w = windows.select("session_id", "window_idx", "t_start", "t_end")
-    f = interval_join(flags.withColumn("_t1", F.col("t")), w, ["session_id"], 60.0, ("t", "_t1"), ("t_start", "t_end"), (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")))
+    # Samples have no length: only windows are measured, so the flags are made once.
+    levels = _levels([(w, ("t_start", "t_end"))], 60.0)
+    f = interval_join(
+        flags.withColumn("_t1", F.col("t")), w, ["session_id"], 60.0, ("t", "_t1"), ("t_start", "t_end"), (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end")), levels,
+    )
     f = cut(f.select(*k, "t", "state", (F.col("t_end") - F.col("t_start")).alias("_w")))
     e = ep.irregular_episodes(f, k, "t", chunk_s, min_s, merge_s, end="next").groupBy(*k).agg(F.count("*").alias("n"), F.sum(F.col("end_s") - F.col("start_s")).alias("d"))
     g = f.groupBy(*k).agg(F.max("_w").alias("_w")).join(e, k, "left").na.fill(0, ["n", "d"])
