@@ -14,13 +14,15 @@ from colloquy.session import cut
 
 from .align import interval_join, role_pairs
 from .scan import (
-    by_width, collapse_islands, gap_islands, lag, lead, running_sum, attach, scan, with_group_aggs,
+    by_width, chunk_width, collapse_islands, gap_islands, lag, lead, running_sum, attach, scan, with_group_aggs,
 )
 
 KEYS = ["session_id"]
 TURN_MIN_S = 1.0
 TURN_MAX_PAUSE_S = 3.0
 FLOOR_MAX_GAP_S = 2.0
+SWEEP_TRACKS = ["time", "frame", "role"]
+FRAME_TRACK, ROLE_TRACK = 1, 2
 TAKEOVER_MAX_GAP_S = 1.0
 INTERRUPT_MIN_OVERLAP_S = 0.1
 INTERRUPT_MIN_AFTER_S = 0.5
@@ -201,28 +203,33 @@ def occupancy(
     return o.select("session_id", *shares, F.round(multi / F.col("n_frames"), 6).alias("overlap_ratio"))
 
 
-def role_sweep(segs: DataFrame, totals: DataFrame, chunk_s: float, fs: float = 100.0) -> DataFrame:
+def role_sweep(segs: DataFrame, totals: DataFrame, chunk_s: float | None, fs: float = 100.0) -> DataFrame:
     """Step functions of activity, all from one scan of the segments: ``session_id, track, role, t, next_t, level``.
 
     Tracks: ``time`` (how many segments of the session are active), ``role`` (how many of one role) and ``frame`` (as
     ``time``, on the integer frames of I-09). Silence, union, overlap and occupancy are sums over these rows; so is the
     overlap of all role pairs, half of the integral of level^2 of the session less that of its roles.
     """
+    width = chunk_width(segs, KEYS, chunk_s)
     s = attach(segs, totals.select("session_id", F.ceil(F.col("total_s") * fs).cast("long").alias("_n")), KEYS)
     f0, f1 = F.least(F.floor(F.col("start_s") * fs).cast("long"), "_n"), F.least(F.ceil(F.col("end_s") * fs).cast("long"), "_n")
-    edge = lambda track, role, t, d: F.struct(F.lit(track).alias("track"), role.alias("role"), t.cast("double").alias("t"), F.lit(d).alias("d"))
-    none, real = F.lit(None).cast("string"), F.col("role").cast("string")
+    edge = lambda kind, role, t, d: F.struct(kind.alias("_kind"), role.alias("_role"), t.cast("double").alias("t"), F.lit(d).alias("d"))
+    # The role of a group is text without nulls; segments without a role are a kind of their own.
+    none, real, no_role = F.lit(""), F.coalesce(F.col("role").cast("string"), F.lit("")), F.lit(len(SWEEP_TRACKS))
+    own = F.when(F.col("role").isNull(), no_role).otherwise(ROLE_TRACK)
     rows = F.array(*[
-        edge(track, role, t, d)
-        for track, role, ends in (("time", none, ("start_s", "end_s")), ("role", real, ("start_s", "end_s")), ("frame", none, (f0, f1)))
+        edge(kind, role, t, d)
+        for kind, role, ends in ((F.lit(0), none, ("start_s", "end_s")), (own, real, ("start_s", "end_s")), (F.lit(FRAME_TRACK), none, (f0, f1)))
         for t, d in ((F.col(ends[0]) if isinstance(ends[0], str) else ends[0], 1), (F.col(ends[1]) if isinstance(ends[1], str) else ends[1], -1))
     ])
-    rows = F.filter(rows, lambda e: (e["track"] != "frame") | (f1 > f0))
-    e = s.select("session_id", F.explode(rows).alias("e")).groupBy("session_id", "e.track", "e.role", "e.t").agg(F.sum("e.d").alias("d"))
-    e = e.withColumn("_group", F.struct("track", "role"))
-    chunk = F.floor(F.col("t") / F.when(F.col("track") == "frame", chunk_s * fs).otherwise(chunk_s)).cast("long")
-    p = scan(e, ["session_id", "_group"], ["t"], chunk, {"level": running_sum("d"), "next_t": lead("t")})
-    return p.select("session_id", "track", "role", "t", "next_t", "level")
+    rows = F.filter(rows, lambda e: (e["_kind"] != FRAME_TRACK) | (f1 > f0))
+    e = s.select("session_id", F.explode(rows).alias("e")).select("session_id", "e.*")
+    chunk = None if width is None else F.floor(F.col("t") / F.when(F.col("_kind") == FRAME_TRACK, width * fs).otherwise(width)).cast("long")
+    p = scan(e, ["session_id", "_kind", "_role"], ["t"], chunk, {"level": running_sum("d"), "next_t": lead("t")})
+    # Of edges at one moment the last has the level that holds until the next moment.
+    p = p.where(F.col("next_t").isNull() | (F.col("next_t") > F.col("t")))
+    track = F.element_at(F.array(*[F.lit(n) for n in (*SWEEP_TRACKS, SWEEP_TRACKS[ROLE_TRACK])]), F.col("_kind") + 1)
+    return p.select("session_id", track.alias("track"), F.when(F.col("_kind") == ROLE_TRACK, F.col("_role")).alias("role"), "t", "next_t", "level")
 
 
 def sweep_summary(sweep: DataFrame, totals: DataFrame, fs: float = 100.0, max_level: int = 3) -> DataFrame:
@@ -286,25 +293,26 @@ def activity_synchrony(frames: DataFrame) -> DataFrame:
 
 
 def aggregate_turns(
-    segs: DataFrame, chunk_s: float, turn_min_s: float = TURN_MIN_S, max_pause_s: float = TURN_MAX_PAUSE_S
+    segs: DataFrame, chunk_s: float | None, turn_min_s: float = TURN_MIN_S, max_pause_s: float = TURN_MAX_PAUSE_S
 ) -> DataFrame:
     """I-11: segments to conversational turns.
 
     Same-role neighbours with a pause of at most ``max_pause_s`` form one turn, turns
     shorter than ``turn_min_s`` are dropped, and what became adjacent is merged again.
     """
+    width = chunk_width(segs, KEYS, chunk_s)
 
     def merge(df, order):
         # A turn keeps the place of its first segment among turns that start together.
-        rows = gap_islands(df, KEYS, order, by_width("start_s", chunk_s), "start_s", "end_s", max_pause_s, ["role"])
+        rows = gap_islands(df, KEYS, order, by_width("start_s", width), "start_s", "end_s", max_pause_s, ["role"])
         return rows.groupBy(*KEYS, "role", "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
 
     first = merge(segs.select(*KEYS, "role", "start_s", "end_s"), ["start_s", "end_s", "role"])
     first = first.where(duration() >= turn_min_s).select(*KEYS, "role", "start_s", "end_s", F.col("island.end_s").alias("_first_end"))
-    return merge(cut(first), ["start_s", "_first_end", "role"]).select("session_id", "role", "start_s", "end_s")
+    return merge(first if width is None else cut(first), ["start_s", "_first_end", "role"]).select("session_id", "role", "start_s", "end_s")
 
 
-def next_turns(turns: DataFrame, chunk_s: float) -> DataFrame:
+def next_turns(turns: DataFrame, chunk_s: float | None) -> DataFrame:
     """Each turn with the role of the next one and the gap to it."""
     n = scan(
         turns.withColumn("_next", F.struct("role", "start_s")), KEYS, ["start_s", "end_s", "role"],
@@ -327,7 +335,7 @@ def floor_exchanges(
     min_turn_s: float = 0.0,
 ) -> DataFrame:
     """I-12: pauses between consecutive turns of different roles."""
-    n = next_turns(turns.where(duration() >= min_turn_s), chunk_s).where(is_exchange(max_gap_s, include_zero))
+    n = next_turns(turns.where(duration() >= min_turn_s), chunk_width(turns, KEYS, chunk_s)).where(is_exchange(max_gap_s, include_zero))
     return n.select("session_id", F.col("role").alias("from_role"), "to_role", F.col("end_s").alias("at_s"), "gap_s")
 
 

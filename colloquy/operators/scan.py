@@ -5,7 +5,9 @@ A session (or any other key) may hold a large share of all rows, so a plain
 ordered operator of this package goes through the functions below instead. They
 split each key by a *chunk* (a monotone function of the leading order column, such
 as an hour of the recording), work inside the chunk, and hand the running state from
-one chunk to the next through a table with one row per (key, chunk).
+one chunk to the next through a table with one row per (key, chunk). Where every key was
+counted and found small (``chunk_width``), the key is its own only chunk and nothing is
+handed over; results are the same.
 """
 
 from __future__ import annotations
@@ -18,10 +20,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from colloquy.session import cut
 
 CHUNK = "_chunk"
+WHOLE_ROWS = 1 << 16  # rows of a key that are sorted as one chunk
 
 
-def by_width(col: str, width: float) -> Column:
-    """Chunk number of a time or index column."""
+def chunk_width(df: DataFrame, keys: Sequence[str], width: float | None) -> float | None:
+    """``width``, or None where no key has more than ``WHOLE_ROWS`` rows of ``df``: then each key is one chunk.
+
+    Chunks much smaller than a task can hold cost a carry table nearly as long as the detail. One count by key decides.
+    """
+    if width is None or not keys:
+        return width
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return None if largest <= WHOLE_ROWS else width
+
+
+def by_width(col: str, width: float | None) -> Column | None:
+    """Chunk number of a time or index column; None where a key is one chunk."""
+    if width is None:
+        return None
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
@@ -70,16 +86,21 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     specs: dict[str, Spec],
 ) -> DataFrame:
     """Add running columns over ``keys`` in ``order`` (ascending, NULL-free, total).
 
     One shuffle of the detail on (keys, chunk); the carried state is a groupBy with
-    map-side combine and a window over one row per chunk.
+    map-side combine and a window over one row per chunk. Without a chunk there is no
+    carried state.
     """
     keys, order = list(keys), list(order)
-    body = df.select("*", chunk.alias(CHUNK), *[s.expr.alias(f"_e_{n}") for n, s in specs.items()])
+    exprs = [s.expr.alias(f"_e_{n}") for n, s in specs.items()]
+    if chunk is None:
+        none = [F.lit(None).cast("int" if s.kind == "sum" else df.select(s.expr).schema[0].dataType).alias(f"_c_{n}") for n, s in specs.items()]
+        return _running(df.select("*", *exprs, *none), df.columns, keys, order, specs)
+    body = df.select("*", chunk.alias(CHUNK), *exprs)
     pos = F.struct(*order)
 
     aggs = []
@@ -118,9 +139,13 @@ def scan(
         carry.append(c.alias(f"_c_{name}"))
     carried = per_chunk.select(*keys, CHUNK, *carry)
 
-    joined = body.join(carried, [*keys, CHUNK], "left")
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    back = W.partitionBy(*keys, CHUNK).orderBy(*[F.desc(o) for o in order])
+    return _running(body.join(carried, [*keys, CHUNK], "left"), df.columns, [*keys, CHUNK], order, specs)
+
+
+def _running(joined: DataFrame, columns: Sequence[str], part: Sequence[str], order: Sequence[str], specs: dict[str, Spec]) -> DataFrame:
+    """Running columns inside ``part``, continued from the state ``_c_*`` on every row."""
+    inside = W.partitionBy(*part).orderBy(*order)
+    back = W.partitionBy(*part).orderBy(*[F.desc(o) for o in order])
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     upto_prev = inside.rowsBetween(W.unboundedPreceding, -1)
     out = []
@@ -141,7 +166,7 @@ def scan(
                 F.last(e, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0)), c
             )
         out.append(v.alias(name))
-    kept = [c for c in df.columns if c not in specs]
+    kept = [c for c in columns if c not in specs]
     return joined.select(*kept, *out)
 
 
@@ -149,7 +174,7 @@ def gap_islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     start: str,
     end: str,
     gap: float | None = 0.0,
@@ -168,12 +193,13 @@ def gap_islands(
     the carried (run, latest end, island) is enough.
     """
     keys, order, run = list(keys), list(order), list(run)
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    at = [] if chunk is None else [chunk.alias(CHUNK)]
+    inside = W.partitionBy(*keys, *[CHUNK for _ in at]).orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     pos = F.struct(*order)
     state = F.struct(*run) if run else F.lit(True)
 
-    loc = df.select("*", chunk.alias(CHUNK), state.alias("_run"))
+    loc = df.select("*", *at, state.alias("_run"))
     changed = ~F.lag("_run").over(inside).eqNullSafe(F.col("_run"))
     loc = loc.select("*", ((F.row_number().over(inside) > 1) & changed).cast("long").alias("_chg"))
     loc = loc.select("*", F.sum("_chg").over(upto).alias("_nrun"))
@@ -183,7 +209,11 @@ def gap_islands(
     loc = loc.select("*", latest.alias("_prev"))
     new_run = F.col("_prev").isNull() | (F.col("_prev._nrun") != F.col("_nrun"))
     late = F.lit(False) if gap is None else (F.col(start) - F.col("_prev.e")) > F.lit(gap)
-    loc = loc.select(*df.columns, CHUNK, "_run", "_nrun", (new_run | late).alias("_new"), pos.alias("_pos"))
+    opens = new_run | late
+    if chunk is None:
+        first = F.last(F.when(F.col("_new"), F.col("_pos")), ignorenulls=True).over(upto)
+        return loc.select(*df.columns, opens.alias("_new"), pos.alias("_pos")).select(*df.columns, first.alias(island))
+    loc = loc.select(*df.columns, CHUNK, "_run", "_nrun", opens.alias("_new"), pos.alias("_pos"))
 
     summary = loc.groupBy(*keys, CHUNK).agg(
         F.min_by("_run", "_pos").alias("first_run"),
@@ -222,7 +252,7 @@ def collapse_islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     start: str = "start_s",
     end: str = "end_s",
     gap: float | None = 0.0,
@@ -294,13 +324,23 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return s.select(*keys, value, "n_equal", (F.col("_c") - F.col("n_equal")).alias("n_below"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], whole: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per key.
 
     The values at the two ranks around each quantile are read from the running counts, which are cut into ranges: one way
-    for every size, and no task holds a whole key.
+    for every size, and no task holds a whole key. ``whole`` sorts the values of a key in one row instead, for keys
+    counted and found small.
     """
     keys = list(keys)
+    if whole:
+        v = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        g = v.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_a"))
+        out = []
+        for name, p in probs.items():
+            rank = F.lit(float(p)) * (F.size("_a") - 1)
+            lo, hi = (F.element_at("_a", (r + 1).cast("int")) for r in (F.floor(rank), F.ceil(rank)))
+            out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
+        return g.select(*keys, *out)
     c = cumulative_counts(df.select(*keys, F.col(value).alias("_v")), keys, "_v")
     c = attach(c, c.groupBy(*keys).agg(F.sum("n_equal").alias("_n")), keys)
     out = []

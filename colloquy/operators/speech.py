@@ -8,7 +8,7 @@ from colloquy.functions.scalars import round_scaled
 
 from . import intervals as iv
 from .aggregates import entropy_of, zscore_within
-from .scan import by_width, quantiles, running_sum, attach, scan, with_group_aggs
+from .scan import by_width, chunk_width, quantiles, running_sum, attach, scan, with_group_aggs
 from colloquy.session import cut
 
 # Fixed values of the decibel scale used for energy frames.
@@ -79,14 +79,16 @@ def role_metrics(segs: DataFrame, turns: DataFrame, totals: DataFrame) -> DataFr
 
 
 def speech_metrics(
-    segs: DataFrame, totals: DataFrame, chunk_s: float, turns: DataFrame | None = None
+    segs: DataFrame, totals: DataFrame, chunk_s: float | None, turns: DataFrame | None = None
 ) -> DataFrame:
     """I-16: one row per session with durations, pauses, exchanges, overlap, takeovers.
 
     Three passes: one sweep of the segments, one join of neighbouring segments, one scan of the turns.
     """
+    chunk_s = chunk_width(segs, iv.KEYS, chunk_s)
     if turns is None:
-        turns = cut(iv.aggregate_turns(segs, chunk_s))
+        turns = iv.aggregate_turns(segs, chunk_s)
+        turns = turns if chunk_s is None else cut(turns)
     k = "session_id"
     sweep = iv.sweep_summary(iv.role_sweep(segs, totals, chunk_s), totals)
     taking = iv.turn_taking(segs)
@@ -185,9 +187,10 @@ def live_shares(segs: DataFrame, probes: DataFrame, chunk_s: float) -> DataFrame
 def session_overview(segs: DataFrame, totals: DataFrame, chunk_s: float) -> DataFrame:
     """I-23: the metrics shown for a session, one row each: turns, exchanges, backchannels, occupancy, balance, takeovers."""
     k = "session_id"
+    chunk_s = chunk_width(segs, iv.KEYS, chunk_s)
     turns = cut(iv.aggregate_turns(segs, chunk_s))
     m = speech_metrics(segs, totals, chunk_s, turns)
-    median = quantiles(turns.withColumn("_d", iv.duration()), [k], "_d", {"_median": 0.5})
+    median = quantiles(turns.withColumn("_d", iv.duration()), [k], "_d", {"_median": 0.5}, chunk_s is None)
     calls = iv.backchannels(segs, turns).groupBy(k).agg(F.count("*").alias("_bc"))
     speech = entropy_of(segs.groupBy(k, "role").agg(F.sum(iv.duration()).alias("_s")), [k], "_s", out="_h")
     o = m.join(median, k, "left").join(calls, k, "left").join(speech, k, "left").na.fill(0, ["_bc"])
