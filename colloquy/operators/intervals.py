@@ -421,12 +421,12 @@ def backchannels(
     """I-15: short segments given while another role holds or has just held the floor.
 
     Kept when near a segment of another role, not the continuation of an own segment,
-    and not the opening of an own turn. Existence tests are semi-joins on time buckets.
+    and not the opening of an own turn. All three come from one join on time buckets.
     """
     key = ["session_id", "role", "start_s", "end_s"]
     cand = segs.where(duration().between(min_s, max_s)).select(*key)
     pad = max(proximity_s, continuation_s, turn_start_s) * 1.001
-    probe = cand.distinct().select(
+    probe = cand.groupBy(*key).agg(F.count("*").alias("_n")).select(
         "*", (F.col("start_s") - pad).alias("lo"), (F.col("end_s") + pad).alias("hi")
     )
     other = segs.select(
@@ -435,29 +435,17 @@ def backchannels(
     after, ahead = F.col("start_s") - F.col("o_e"), F.col("o_s") - F.col("end_s")
     overlap = F.greatest(F.lit(0.0), F.least("end_s", "o_e") - F.greatest("start_s", "o_s"))
     near = (overlap >= min_overlap_s) | after.between(0, proximity_s) | ahead.between(0, proximity_s)
-    near_ok = interval_join(
-        probe, other, KEYS, 10.0, ("lo", "hi"), ("o_s", "o_e"), (F.col("role") != F.col("o_role")) & near,
-        how="left_semi",
-    )
-    own = other.withColumn("o_at", F.col("o_e"))
-    continued = interval_join(
-        probe, own, KEYS, 10.0, ("lo", "hi"), ("o_at", "o_e"),
-        (F.col("role") == F.col("o_role")) & (after > 0) & (after <= continuation_s)
-        & ~((F.col("o_s") == F.col("start_s")) & (F.col("o_e") == F.col("end_s"))),
-        levels=1, how="left_semi",
-    )
-    opening = interval_join(
-        probe,
-        turns.select("session_id", F.col("role").alias("o_role"), F.col("start_s").alias("o_s"), F.col("start_s").alias("o_e")),
-        KEYS, 10.0, ("lo", "hi"), ("o_s", "o_e"),
-        (F.col("role") == F.col("o_role")) & (F.abs(F.col("o_s") - F.col("start_s")) < turn_start_s),
-        levels=1, how="left_semi",
-    )
-    return (
-        cand.join(near_ok.select(*key), key, "left_semi")
-        .join(continued.select(*key), key, "left_anti")
-        .join(opening.select(*key), key, "left_anti")
+    is_turn, same = F.col("_turn"), F.col("role") == F.col("o_role")
+    near = ~is_turn & ~same & near
+    continued = ~is_turn & same & (after > 0) & (after <= continuation_s) & ~((F.col("o_s") == F.col("start_s")) & (F.col("o_e") == F.col("end_s")))
+    opening = is_turn & same & (F.abs(F.col("o_s") - F.col("start_s")) < turn_start_s)
+    starts = turns.select("session_id", F.col("role").alias("o_role"), F.col("start_s").alias("o_s"), F.col("start_s").alias("o_e"), F.lit(True).alias("_turn"))
+    hit = interval_join(
+        probe, other.withColumn("_turn", F.lit(False)).unionByName(starts), KEYS, 10.0, ("lo", "hi"), ("o_s", "o_e"), near | continued | opening,
     )
+    # Equal candidates are one probe and come back as often as they were given.
+    ok = hit.groupBy(*key).agg(F.max("_n").alias("_n"), F.bool_or(near).alias("_near"), F.bool_or(continued | opening).alias("_not"))
+    return ok.where("_near and not _not").select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i")).drop("_i")
 
 
 def common_window(samples: DataFrame, t: str = "t", keys: Sequence[str] = ("session_id",)) -> DataFrame:

@@ -67,3 +67,11 @@ def test_sweep_has_one_row_a_moment(spark):
         ("", False, 1.0, 3.0, 1), ("", False, 3.0, -1.0, 0), ("", True, 1.0, 2.0, 1), ("", True, 2.0, -1.0, 0),
         ("a", False, 0.0, 4.0, 1), ("a", False, 4.0, 6.0, 1), ("a", False, 6.0, -1.0, 0), ("b", False, 0.0, 6.0, 1), ("b", False, 6.0, -1.0, 0),
     ]
+
+
+def test_backchannels_keep_copies_and_need_one_join(spark):
+    segs = spark.createDataFrame([(1, "a", 0.0, 10.0), (1, "b", 4.0, 4.5), (1, "b", 4.0, 4.5), (1, "b", 20.0, 20.5), (1, "c", 4.6, 5.0), (1, "c", 5.125, 5.5)], SCHEMA)
+    turns = spark.createDataFrame([(1, "a", 0.0, 10.0)], SCHEMA)
+    b = iv.backchannels(segs, turns)
+    assert sorted((r.role, r.start_s) for r in b.collect()) == [("b", 4.0), ("b", 4.0), ("c", 4.6)]
+    assert b._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
