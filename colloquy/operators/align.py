@@ -104,7 +104,7 @@ def asof(
     keys: Sequence[str],
     t: str,
     values: Sequence[str],
-    chunk_s: float,
+    chunk_s: float | None,
     direction: str = "backward",
     tolerance: float | None = None,
 ) -> DataFrame:

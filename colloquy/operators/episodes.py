@@ -14,7 +14,7 @@ from colloquy.session import cut
 
 from .intervals import activity_profile
 from .scan import (
-    by_width, collapse_islands, lag, last_valid, lead, next_valid, quantiles, row_number, attach, scan,
+    by_width, chunk_width, collapse_islands, lag, last_valid, lead, next_valid, quantiles, row_number, attach, scan,
 )
 
 CHUNK_FRAMES = 65536
@@ -67,18 +67,19 @@ def episode_stats(runs: DataFrame, keys: Sequence[str], fs: float, prefix: str =
     )
 
 
-def median_step(samples: DataFrame, keys: Sequence[str], t: str, chunk_s: float, out: str = "dt_s") -> DataFrame:
+def median_step(samples: DataFrame, keys: Sequence[str], t: str, chunk_s: float | None, out: str = "dt_s") -> DataFrame:
     """G-05: median positive time step."""
-    d = scan(samples.select(*keys, t), keys, [t], by_width(t, chunk_s), {"_p": lag(t)})
+    width = chunk_width(samples, keys, chunk_s)
+    d = scan(samples.select(*keys, t), keys, [t], by_width(t, width), {"_p": lag(t)})
     d = d.withColumn("_d", F.col(t) - F.col("_p")).where("_d > 0")
-    return quantiles(d, keys, "_d", {out: 0.5})
+    return quantiles(d, keys, "_d", {out: 0.5}, bool(keys) and width is None)
 
 
 def irregular_episodes(
     samples: DataFrame,
     keys: Sequence[str],
     t: str,
-    chunk_s: float,
+    chunk_s: float | None,
     min_episode_s: float = 0.0,
     merge_gap_s: float = 0.0,
     end: str = "last",
@@ -89,10 +90,12 @@ def irregular_episodes(
     ``end="next"`` on the first false one, or a median step after the last sample.
     """
     keys = list(keys)
+    chunk_s = chunk_width(samples, keys, chunk_s)
+    again = (lambda d: d) if chunk_s is None else cut  # a scan over chunks reads its rows twice
     rows = samples.select(*keys, t, F.col("state").alias("state"), F.col(t).alias("_e"))
     runs = collapse_islands(rows, keys, [t], by_width(t, chunk_s), t, "_e", gap=None, run=["state"])
     if end == "next":
-        runs = scan(cut(runs), keys, [t], by_width(t, chunk_s), {"_n": lead(t)})
+        runs = scan(again(runs), keys, [t], by_width(t, chunk_s), {"_n": lead(t)})
         dt = median_step(samples, keys, t, chunk_s)
         runs = attach(runs, dt, keys).withColumn(
             "_e", F.coalesce("_n", F.col("_e") + F.coalesce("dt_s", F.lit(0.05)))
@@ -100,7 +103,7 @@ def irregular_episodes(
     ep = runs.where("state").select(*keys, F.col(t).alias("start_s"), F.col("_e").alias("end_s"))
     if merge_gap_s > 0:
         ep = collapse_islands(
-            cut(ep), keys, ["start_s", "end_s"], by_width("start_s", chunk_s), gap=merge_gap_s
+            again(ep), keys, ["start_s", "end_s"], by_width("start_s", chunk_s), gap=merge_gap_s
         ).drop("n")
     return ep.where((F.col("end_s") - F.col("start_s")) >= min_episode_s)
 

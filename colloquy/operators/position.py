@@ -11,7 +11,7 @@ from colloquy.stats.moments import pearson_by
 from . import episodes as ep
 from .align import _levels, asof, grid, interval_join, role_pairs
 from .face import row_mean
-from .scan import attach, with_group_aggs
+from .scan import attach, chunk_width, with_group_aggs
 
 POS = ["px", "py", "pz"]
 
@@ -59,7 +59,9 @@ def peer_gaze(eye: DataFrame, pos: DataFrame, chunk_s: float, radius_m: float =
     rp = pos.select("session_id", F.col("role").alias("target")).distinct()
     e = eye.select("session_id", "role", "t", "hx", "hy", "hz").join(rp, "session_id").where("role != target")
     p = pos.select("session_id", F.col("role").alias("target"), "t", *POS)
-    j = asof(e, p, ["session_id", "target"], "t", POS, chunk_s, "nearest", tolerance_s)
+    # A target meets at most all samples of its session.
+    width = chunk_width(eye.select("session_id").unionByName(pos.select("session_id")), ["session_id"], chunk_s)
+    j = asof(e, p, ["session_id", "target"], "t", POS, width, "nearest", tolerance_s)
     d = distance([F.col(c) for c in ("hx", "hy", "hz")], [F.col(c) for c in POS])
     return j.select("session_id", "role", "target", "t", F.coalesce(d <= radius_m, F.lit(False)).alias("state"))
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import intervals as iv, scan as sc, speech as sp
+from colloquy.operators import episodes as ep, intervals as iv, position as po, scan as sc, speech as sp
 
 SCHEMA = "session_id long, role string, start_s double, end_s double"
 
@@ -75,3 +75,20 @@ def test_backchannels_keep_copies_and_need_one_join(spark):
     b = iv.backchannels(segs, turns)
     assert sorted((r.role, r.start_s) for r in b.collect()) == [("b", 4.0), ("b", 4.0), ("c", 4.6)]
     assert b._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("width", [3.0, 60.0])
+def test_whole_episodes_and_gaze_equal_chunks(spark, monkeypatch, width):
+    rnd = random.Random(7)
+    times = {(s, r): sorted(rnd.sample(range(800), 60)) for s in (1, 2) for r in "ab"}
+    eye = spark.createDataFrame([(s, r, v / 8, float(rnd.randrange(6)), 0.0, 0.0) for (s, r), ts in times.items() for v in ts], "session_id long, role string, t double, hx double, hy double, hz double").cache()
+    pos = eye.where("hx < 4").selectExpr("session_id", "role", "t", "hx AS px", "hy AS py", "hz AS pz")
+    flags = po.peer_gaze(eye, pos, width, 1.5, 2.0).cache()
+    for make in (
+        lambda: po.peer_gaze(eye, pos, width, 1.5, 2.0), lambda: po.peer_gaze_episodes(flags, width, 0.25, 0.5), lambda: ep.median_step(flags, ["session_id", "role", "target"], "t", width),
+        lambda: ep.irregular_episodes(flags, ["session_id", "role", "target"], "t", width, 0.0, 0.0),
+    ):
+        whole, chunked = both(monkeypatch, make)
+        assert whole and whole == chunked
+    given = spark.createDataFrame(flags.collect(), flags.schema)
+    assert exchanges(po.peer_gaze_episodes(given, width)) == 2  # runs, and the median steps
