@@ -25,6 +25,7 @@ from .moments import pearson_by, spearman_by
 
 CHUNK_ROWS = 1 << 14
 BLOCK = 64  # replicates that a task holds for a chunk of rows at once
+DEALT = 1 << 22  # draws that a task makes where groups are dealt out by work
 HELD = 1 << 23  # sums a task keeps before it hands them over
 PIECES = 32
 
@@ -124,6 +125,11 @@ def _unpack(b) -> np.ndarray:
     return np.frombuffer(b, np.int64)
 
 
+def dealt(df: DataFrame, group: Sequence[str], draws: int) -> DataFrame:
+    """Groups dealt over tasks by their draws: they are small in bytes, so adaptive execution would merge them into few tasks."""
+    return df.repartition(max(1, -(-draws // DEALT)), *group)
+
+
 def _chunked(d: DataFrame, keys: list[str], value: str, rows: int) -> DataFrame:
     """Rows in order of a value, cut into chunks ``_c{value}`` of at most ``rows``."""
     chunk = (F.shiftleft(F.col("_range").cast("long"), 40) + F.expr(f"_at div {rows}")).alias(f"_c{value}")
@@ -156,7 +162,7 @@ def _replicate_rank_carry(d: DataFrame, keys: list[str], replicates: int, seed:
         return pd.DataFrame(out, columns=[*group, "_k", "first", "last", "total", "opens", "closes"])
 
     kinds = _schema(d, keys, "_side string, _c long, _k int")
-    t = side("x").unionByName(side("y")).groupBy(*group).applyInPandas(totals, kinds + ", first double, last double, total binary, opens binary, closes binary")
+    t = dealt(side("x").unionByName(side("y")), group, 2 * d.count() * replicates).groupBy(*group).applyInPandas(totals, kinds + ", first double, last double, total binary, opens binary, closes binary")
 
     def carry(pdf):
         pdf = pdf.sort_values("_c").reset_index(drop=True)
@@ -221,11 +227,12 @@ def _bootstrap_spearman(df: DataFrame, keys: list[str], replicates: int, seed: i
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_k")
     group = [*keys, "_c", "_k"]
+    draws = d.count() * replicates
     known = lambda s: carry.where(F.col("_side") == s).drop("_side").groupBy(*group)
     r = d.select(*keys, "_u", F.col("x").alias("v"), "y", "_cy", F.col("_cx").alias("_c"), blocks)
-    r = r.groupBy(*group).cogroup(known("x")).applyInPandas(by_x, _schema(d, keys, "_k int, _u long, y double, _cy long, r binary"))
+    r = dealt(r, group, draws).groupBy(*group).cogroup(known("x")).applyInPandas(by_x, _schema(d, keys, "_k int, _u long, y double, _cy long, r binary"))
     r = r.select(*keys, "_k", "_u", F.col("y").alias("v"), "r", F.col("_cy").alias("_c"))
-    s = r.groupBy(*group).cogroup(known("y")).applyInPandas(by_y, _schema(d, keys, "b int, sxy double, sxx double, syy double"))
+    s = dealt(r, group, draws).groupBy(*group).cogroup(known("y")).applyInPandas(by_y, _schema(d, keys, "b int, sxy double, sxx double, syy double"))
     g = s.groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in ("sxy", "sxx", "syy")])
     return g.select(*keys, "b", F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy"))).alias("stat"))
 
@@ -389,7 +396,7 @@ def permutation_correlations(df: DataFrame, keys: Sequence[str], replicates: int
     scale = d.groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("_xy"), F.sum(F.col("x") * F.col("x")).alias("_xx"), F.sum(F.col("y") * F.col("y")).alias("_yy"), F.count("*").alias("n"))
     root = F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))
     rows, block = 4 * CHUNK_ROWS, max(1, BLOCK // 4)
-    cell = np.dtype([("b", "<i4"), ("at", "<i8"), ("y", "<f8")])
+    cell = np.dtype([("b", "<u2"), ("at", "<u2" if rows <= 1 << 16 else "<u4"), ("y", "<f8")])
 
     def pair(pdf):
         pdf = pdf.sort_values("px")
@@ -405,7 +412,7 @@ def permutation_correlations(df: DataFrame, keys: Sequence[str], replicates: int
         for t in np.unique(far):
             at = far == t
             cells = np.zeros(int(at.sum()), cell)
-            cells["b"], cells["at"], cells["y"] = b[j[at]], to[i[at], j[at]] - t * rows, y[i[at]]
+            cells["b"], cells["at"], cells["y"] = j[at], to[i[at], j[at]] - t * rows, y[i[at]]
             out.append((k, None, int(t), None, cells.tobytes()))
         out = pd.DataFrame(out, columns=["_k", "b", "_c", "s", "cells"]).astype({"b": "Int64", "_c": "Int64"})
         for name in reversed(keys):
@@ -416,16 +423,17 @@ def permutation_correlations(df: DataFrame, keys: Sequence[str], replicates: int
         x = pdf.sort_values("px")["x"].to_numpy()
         got = np.concatenate([np.frombuffer(b, cell) for b in cells["cells"]])
         first = int(cells["_k"].iloc[0]) * block
-        s = np.bincount(got["b"] - first, weights=x[got["at"]] * got["y"])
+        s = np.bincount(got["b"], weights=x[got["at"]] * got["y"])
         out = pd.DataFrame({"b": first + np.arange(len(s)), "s": s})
         for name in reversed(keys):
             out.insert(0, name, cells[name].iloc[0])
         return out
 
-    placed = d.withColumn("_c", F.expr(f"px div {rows}"))
+    draws = d.count() * replicates
+    placed = dealt(d.withColumn("_c", F.expr(f"px div {rows}")), ["px"], draws)
     blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))).alias("_k")
     group = [*keys, "_c", "_k"]
-    sent = cut(placed.select("*", blocks).groupBy(*group).applyInPandas(pair, _schema(d, keys, "_k int, b long, _c long, s double, cells binary")))
+    sent = cut(dealt(placed.select("*", blocks), group, draws).groupBy(*group).applyInPandas(pair, _schema(d, keys, "_k int, b long, _c long, s double, cells binary")))
     sums = sent.where("s is not null").select(*keys, "b", "s")
     far = sent.where("cells is not null")
     # Only the chunks and blocks that cells were sent to are read again.

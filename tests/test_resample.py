@@ -210,3 +210,14 @@ def test_removal_is_minimal_where_one_unit_suffices_and_never_above_subsets(spar
         assert [r.reached for r in taken[:-1]] == [False] * (len(taken) - 1)
         if taken[-1].reached:
             assert want[g] <= len(taken) and (want[g] == 1) == (len(taken) == 1)
+
+
+def test_groups_are_dealt_by_their_draws(spark, monkeypatch):
+    d = spark.createDataFrame([("p", i, float(i * 7 % 40), float(i * 11 % 37)) for i in range(40)], "k string, unit long, x double, y double")
+    few = {r.b: r.stat for r in rs.permutation_correlations(d, ["k"], 20)[1].collect()}
+    # Adaptive execution does not merge the parts again, however small they are.
+    assert rs.dealt(d, ["unit"], 5 * rs.DEALT).groupBy("unit").count().rdd.getNumPartitions() == 5
+    monkeypatch.setattr(rs, "DEALT", 100)
+    monkeypatch.setattr(rs, "CHUNK_ROWS", 2)
+    many = {r.b: r.stat for r in rs.permutation_correlations(d, ["k"], 20)[1].collect()}
+    assert len(many) == 20 and all(abs(many[b] - few[b]) < 1e-12 for b in few)
